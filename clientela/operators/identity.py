@@ -4,7 +4,8 @@ The relation is ``ifood FULL JOIN store ON document FULL JOIN food99 ON store ph
 join cannot be split when one document or phone is hot, and it sends all rows without a key to one
 task. So each full join is written as its three disjoint parts: matches (inner), left rows without a
 match and right rows without a match (anti). The adaptive planner can split a hot key in each of
-these, and the side that only tests for a match is cut down to distinct keys first.
+these, and the side that only tests for a match is cut down to distinct keys first. Rows without a
+key get a join key of their own that nothing equals, which spreads them over all tasks.
 """
 
 from __future__ import annotations
@@ -16,95 +17,81 @@ from pyspark.sql import functions as F
 
 from clientela.labels import CHANNELS, FOOD99, IFOOD, STORE
 
-
-def _join_key(key: Column) -> Column:
-    return F.concat(F.lit("="), key)
-
-
-def _spread_join_key(df: DataFrame, key: str) -> Column:
-    """Join key that equals nothing where ``key`` is null, and spreads such rows over all tasks."""
-    return F.coalesce(_join_key(F.col(key)), F.xxhash64(*df.columns).cast("string"))
-
-
-def _distinct_keys(df: DataFrame, key: str, name: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).select(_join_key(F.col(key)).alias(name)).distinct()
-
-
-def _tagged(df: DataFrame, tag: str, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"{tag}_{c}") for c in columns])
-
-
-def registry_rows(ifood: DataFrame, store: DataFrame, food99: DataFrame) -> DataFrame:
-    """All registry columns side by side, one row per identity row."""
-    ifood = _tagged(ifood, "c", ["id", "document_number", "first_name", "last_name"])
-    store = _tagged(store, "s", ["document_number", "phone_number", "first_name", "last_name"])
-    food99 = _tagged(food99, "n", ["c_uid", "phone_number", "first_name", "last_name"])
-
-    def padded(df: DataFrame) -> DataFrame:
-        wanted = ifood.columns + store.columns + food99.columns
-        return df.select(*[c if c in df.columns else F.lit(None).cast("string").alias(c) for c in wanted])
-
-    store_by_phone = store.withColumn("phone_key", _spread_join_key(store, "s_phone_number"))
-    food99_by_phone = food99.withColumn("phone_key", _spread_join_key(food99, "n_phone_number"))
-    ifood_by_document = ifood.withColumn("document_key", _spread_join_key(ifood, "c_document_number"))
-
-    with_food99 = store_by_phone.join(food99_by_phone, "phone_key")
-    without_food99 = store_by_phone.join(_distinct_keys(food99, "n_phone_number", "phone_key"), "phone_key", "left_anti")
-    store_rows = with_food99.drop("phone_key").unionByName(without_food99.drop("phone_key"), allowMissingColumns=True)
-    store_rows = store_rows.withColumn("document_key", _spread_join_key(store_rows, "s_document_number"))
-
-    parts = [
-        store_rows.join(ifood_by_document, "document_key"),
-        store_rows.join(_distinct_keys(ifood, "c_document_number", "document_key"), "document_key", "left_anti"),
-        ifood_by_document.join(_distinct_keys(store, "s_document_number", "document_key"), "document_key", "left_anti"),
-        food99_by_phone.join(_distinct_keys(store, "s_phone_number", "phone_key"), "phone_key", "left_anti"),
-    ]
-    rows = padded(parts[0])
-    for part in parts[1:]:
-        rows = rows.unionByName(padded(part))
-    return rows
+_REGISTRY_ROWS = """
+WITH ifood AS (
+  SELECT id AS c_id, document_number AS c_document, first_name AS c_first, last_name AS c_last,
+         coalesce('=' || document_number, CAST(xxhash64(id, first_name, last_name) AS STRING)) AS document_key
+  FROM {ifood}),
+store AS (
+  SELECT document_number AS s_document, phone_number AS s_phone, first_name AS s_first, last_name AS s_last,
+         coalesce('=' || document_number, CAST(xxhash64(phone_number, first_name, last_name) AS STRING)) AS document_key,
+         coalesce('=' || phone_number, CAST(xxhash64(document_number, first_name, last_name) AS STRING)) AS phone_key
+  FROM {store}),
+food99 AS (
+  SELECT c_uid AS n_uid, phone_number AS n_phone, first_name AS n_first, last_name AS n_last,
+         coalesce('=' || phone_number, CAST(xxhash64(c_uid, first_name, last_name) AS STRING)) AS phone_key
+  FROM {food99}),
+store_rows AS (
+  SELECT store.* EXCEPT (phone_key), n_uid, n_phone, n_first, n_last
+  FROM store JOIN food99 ON store.phone_key = food99.phone_key AND s_phone IS NOT NULL AND n_phone IS NOT NULL
+  UNION ALL
+  SELECT store.* EXCEPT (phone_key), NULL, NULL, NULL, NULL
+  FROM store LEFT ANTI JOIN (SELECT DISTINCT phone_key FROM food99 WHERE n_phone IS NOT NULL) p ON store.phone_key = p.phone_key),
+registry_rows AS (
+  SELECT s.* EXCEPT (document_key), c_id, c_document, c_first, c_last
+  FROM store_rows s JOIN ifood ON s.document_key = ifood.document_key AND c_document IS NOT NULL
+  UNION ALL
+  SELECT s.* EXCEPT (document_key), NULL, NULL, NULL, NULL
+  FROM store_rows s
+  LEFT ANTI JOIN (SELECT DISTINCT document_key FROM ifood WHERE c_document IS NOT NULL) d ON s.document_key = d.document_key
+  UNION ALL
+  SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, c_id, c_document, c_first, c_last
+  FROM ifood
+  LEFT ANTI JOIN (SELECT DISTINCT document_key FROM store WHERE s_document IS NOT NULL) d ON ifood.document_key = d.document_key
+  UNION ALL
+  SELECT NULL, NULL, NULL, NULL, n_uid, n_phone, n_first, n_last, NULL, NULL, NULL, NULL
+  FROM food99
+  LEFT ANTI JOIN (SELECT DISTINCT phone_key FROM store WHERE s_phone IS NOT NULL) p ON food99.phone_key = p.phone_key)
+SELECT concat_ws({id_sep}, coalesce(c_id, ''), coalesce(n_uid, ''), coalesce(s_document, '')) AS id,
+       coalesce(c_id, n_uid) AS customer_id,
+       coalesce(n_first, c_first, s_first, '') AS first_name,
+       coalesce(n_last, c_last, s_last, '') AS last_name,
+       coalesce(c_document, s_document) AS document_number,
+       coalesce(s_phone, n_phone) AS phone_number,
+       c_id AS customer_id_original,
+       n_uid AS c_uid_original,
+       s_document AS document_number_ctb,
+       c_document AS document_number_c,
+       s_phone AS phone_number_ctb,
+       n_phone AS phone_number_c9
+FROM registry_rows
+"""
 
 
 def resolve_identity(ifood: DataFrame, store: DataFrame, food99: DataFrame, id_sep: str = "") -> DataFrame:
     """The identity relation. ``id_sep`` separates the three keys inside ``id`` (default: nothing)."""
+    return ifood.sparkSession.sql(_REGISTRY_ROWS, ifood=ifood, store=store, food99=food99, id_sep=id_sep)
 
-    def text(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(""))
-
-    return registry_rows(ifood, store, food99).select(
-        F.concat_ws(id_sep, text("c_id"), text("n_c_uid"), text("s_document_number")).alias("id"),
-        F.coalesce("c_id", "n_c_uid").alias("customer_id"),
-        F.coalesce("n_first_name", "c_first_name", "s_first_name", F.lit("")).alias("first_name"),
-        F.coalesce("n_last_name", "c_last_name", "s_last_name", F.lit("")).alias("last_name"),
-        F.coalesce("c_document_number", "s_document_number").alias("document_number"),
-        F.coalesce("s_phone_number", "n_phone_number").alias("phone_number"),
-        F.col("c_id").alias("customer_id_original"),
-        F.col("n_c_uid").alias("c_uid_original"),
-        F.col("s_document_number").alias("document_number_ctb"),
-        F.col("c_document_number").alias("document_number_c"),
-        F.col("s_phone_number").alias("phone_number_ctb"),
-        F.col("n_phone_number").alias("phone_number_c9"),
-    )
-
-
-def full_name() -> Column:
-    return F.concat("first_name", F.lit(" "), "last_name")
 
+FULL_NAME = "first_name || ' ' || last_name"
 
 NATIVE_KEYS = {IFOOD: "customer_id_original", FOOD99: "c_uid_original", STORE: "document_number_ctb"}
 
 
-def identity_links(identity: DataFrame, carried: Sequence[Column] = (), channels: Sequence[str] = CHANNELS) -> DataFrame:
-    """``(channel, native_key, id, ...)``: one row per identity row and channel it is registered in."""
-    keys = [F.col(NATIVE_KEYS[channel]).alias(channel) for channel in channels]
-    wide = identity.select("id", *carried, *keys).where(F.coalesce(*[F.col(NATIVE_KEYS[c]) for c in channels]).isNotNull())
+def identity_links(identity: DataFrame, carried: Sequence[str] = (), channels: Sequence[str] = CHANNELS) -> DataFrame:
+    """``(channel, native_key, id, ...)``: one row per identity row and channel it is registered in.
+
+    ``carried`` are further expressions over the identity to keep.
+    """
+    keys = [NATIVE_KEYS[channel] for channel in channels]
+    wide = identity.where(f"coalesce({', '.join(keys)}) IS NOT NULL").selectExpr(
+        "id", *carried, *[f"{key} AS `{channel}`" for channel, key in zip(channels, keys)]
+    )
     kept = [c for c in wide.columns if c not in channels]
-    long = wide.unpivot(kept, list(channels), "channel", "native_key")
-    return long.where(F.col("native_key").isNotNull())
+    return wide.unpivot(kept, list(channels), "channel", "native_key").where("native_key IS NOT NULL")
 
 
 def weighted_links(links: DataFrame, *also: Column) -> DataFrame:
     """Fold repeated links into one row with the number of times they occur (``copies``)."""
-    aggregated = {"phone_number"} & set(links.columns)
-    keys = [c for c in links.columns if c not in aggregated]
+    keys = [c for c in links.columns if c != "phone_number"]
     return links.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), *also)

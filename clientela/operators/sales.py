@@ -1,9 +1,8 @@
-"""Sales of all channels, and the per-customer rollups the analyses are built on.
+"""Sales of all channels, and the rollups the analyses per customer are built on.
 
-A sale is addressed by ``(channel, native_key)``. The analyses per customer never move single sales
-more than once: sales are first summed per key and day (with map-side combine, so a key that holds a
-third of all sales shrinks to one row per day and task, spread by day), then folded to one row per
-key with the sorted list of its days, and only that row is joined to the identities.
+A sale is addressed by ``(channel, native_key)``. No analysis moves single sales more than once:
+they are first summed per key (or per key and day, or month), with map-side combine, so that a key
+that holds a third of all sales shrinks to a row per task. Only the sums are joined to identities.
 """
 
 from __future__ import annotations
@@ -11,13 +10,15 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientela.functions.money import to_units
 from clientela.functions.times import day_number, utc_wall_clock
 from clientela.labels import CHANNELS, FOOD99, IFOOD, STORE
 
+SALE_KEY = ["channel", "native_key"]
+
 
 def selected_channels(channel: str | None) -> tuple[str, ...]:
     """One known channel selects itself; anything else selects all."""
@@ -27,56 +28,76 @@ def selected_channels(channel: str | None) -> tuple[str, ...]:
 def channel_sales(shop, channels: Sequence[str] = CHANNELS) -> DataFrame:
     """``(channel, native_key, created_at, total)`` of the chosen channels; each fact table is read once."""
     branches = []
-    app = [(label, key) for label, key in ((IFOOD, "customer_id"), (FOOD99, "c_uid")) if label in channels]
+    app = {label: key for label, key in ((IFOOD, "customer_id"), (FOOD99, "c_uid")) if label in channels}
     if app:
         orders = shop.app_orders
-        known = orders.where(F.coalesce(*[F.col(key) for _, key in app]).isNotNull())
-        wide = known.select(
+        wide = orders.where(f"coalesce({', '.join(app.values())}) IS NOT NULL").select(
             utc_wall_clock(orders, "created_at").alias("created_at"),
-            F.col("total_bag_detail").cast("double").alias("total"),
-            *[F.col(key).alias(label) for label, key in app],
+            F.expr("CAST(total_bag_detail AS DOUBLE) AS total"),
+            *[F.expr(f"{key} AS `{label}`") for label, key in app.items()],
         )
-        long = wide.unpivot(["created_at", "total"], [label for label, _ in app], "channel", "native_key")
-        branches.append(long.where(F.col("native_key").isNotNull()))
+        long = wide.unpivot(["created_at", "total"], list(app), "channel", "native_key")
+        branches.append(long.where("native_key IS NOT NULL").select(*SALE_KEY, "created_at", "total"))
     if STORE in channels:
         sales = shop.store_sales
         branches.append(
-            sales.where(F.col("client_cpf").isNotNull()).select(
+            sales.where("client_cpf IS NOT NULL").select(
+                F.expr(f"'{STORE}' AS channel"),
+                F.expr("client_cpf AS native_key"),
                 utc_wall_clock(sales, "created_at").alias("created_at"),
-                F.col("total").cast("double").alias("total"),
-                F.lit(STORE).alias("channel"),
-                F.col("client_cpf").alias("native_key"),
+                F.expr("CAST(total AS DOUBLE) AS total"),
             )
         )
     sales = branches[0]
     for branch in branches[1:]:
         sales = sales.unionByName(branch)
-    return sales.select("channel", "native_key", "created_at", "total")
+    return sales
 
 
 def up_to(sales: DataFrame, as_of: dt.date | None) -> DataFrame:
     """Drop sales after ``as_of``, so that a past reference date sees no later sale."""
     if as_of is None:
         return sales
-    after = F.lit(dt.datetime.combine(as_of + dt.timedelta(days=1), dt.time())).cast("timestamp_ntz")
-    return sales.where(F.col("created_at").isNull() | (F.col("created_at") < after))
+    return sales.where(f"created_at IS NULL OR created_at < TIMESTAMP_NTZ '{as_of + dt.timedelta(days=1)}'")
 
 
-def key_activity(sales: DataFrame) -> DataFrame:
-    """One row per ``(channel, native_key)``: ``sales``, ``dated`` sales, ``units``, sorted ``days``."""
-    daily = (
-        sales.select("channel", "native_key", day_number(F.col("created_at")).alias("day"), to_units(F.col("total")).alias("units"))
-        .groupBy("channel", "native_key", "day")
-        .agg(F.count(F.lit(1)).alias("sales"), F.sum("units").alias("units"))
+def _measured(sales: DataFrame) -> DataFrame:
+    return sales.select(
+        *SALE_KEY, day_number(F.col("created_at")).alias("day"), to_units(F.col("total")).alias("units")
     )
-    return daily.groupBy("channel", "native_key").agg(
-        F.sum("sales").alias("sales"),
-        F.sum(F.when(F.col("day").isNotNull(), F.col("sales")).otherwise(F.lit(0))).alias("dated"),
-        F.sum("units").alias("units"),
-        F.sort_array(F.collect_list("day")).alias("days"),
+
+
+def key_totals(sales: DataFrame) -> DataFrame:
+    """One row per ``(channel, native_key)``: ``sales``, ``dated`` sales, ``units``, first and last day."""
+    return _measured(sales).groupBy(*SALE_KEY).agg(
+        F.expr("count(1) AS sales"),
+        F.expr("count(day) AS dated"),
+        F.expr("sum(units) AS units"),
+        F.expr("min(day) AS first_day"),
+        F.expr("max(day) AS last_day"),
     )
 
 
+def daily_totals(sales: DataFrame) -> DataFrame:
+    """One row per ``(channel, native_key, day)``: ``sales`` and ``units``."""
+    return _measured(sales).groupBy(*SALE_KEY, "day").agg(F.expr("count(1) AS sales"), F.expr("sum(units) AS units"))
+
+
 def selling_keys(sales: DataFrame) -> DataFrame:
     """Distinct ``(channel, native_key)`` that sold anything."""
-    return sales.select("channel", "native_key").distinct()
+    return sales.select(*SALE_KEY).distinct()
+
+
+def _flag(channel: str) -> str:
+    return f"sells_{CHANNELS.index(channel)}"
+
+
+def channel_flags() -> list[Column]:
+    """Aggregates that note which channels occur: three booleans, so the aggregate stays fixed-width."""
+    return [F.expr(f"bool_or(channel = '{channel}') AS {_flag(channel)}") for channel in CHANNELS]
+
+
+def channels_text() -> Column:
+    """The channels noted by :func:`channel_flags` in text order, separated by ``/``."""
+    parts = ", ".join(f"IF({_flag(channel)}, '{channel}', NULL)" for channel in sorted(CHANNELS))
+    return F.expr(f"concat_ws('/', {parts}) AS sales_channel")

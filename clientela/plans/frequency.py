@@ -9,9 +9,9 @@ from clientela.functions.money import from_units, mean_rounded_to_cents, ratio_r
 from clientela.functions.text import headed
 from clientela.functions.times import day_date
 from clientela.labels import DATE_TEXT, FREQUENCY_HEADERS
-from clientela.operators.identity import full_name, identity_links, weighted_links
+from clientela.operators.identity import FULL_NAME, identity_links, weighted_links
 from clientela.operators.ordered import with_global_order
-from clientela.operators.sales import channel_sales, key_activity, selling_keys
+from clientela.operators.sales import SALE_KEY, channel_flags, channel_sales, channels_text, daily_totals, selling_keys
 
 #: Rows a page may reach into the order before a distributed numbering replaces the top-k operator.
 SHALLOW_ROWS = 100_000
@@ -19,17 +19,6 @@ SHALLOW_ROWS = 100_000
 LISTING_ORDER = ("id", "name", "document_number", "phone_number")
 
 
-def largest_gap(days: Column) -> Column:
-    """Largest step in a sorted list of distinct day numbers; 0 for a single day."""
-    steps = F.greatest(F.size(days) - F.lit(1), F.lit(0))
-    later, earlier = F.slice(days, F.lit(2), steps), F.slice(days, F.lit(1), steps)
-    return F.coalesce(F.array_max(F.zip_with(later, earlier, lambda b, a: b - a)), F.lit(0))
-
-
-def joined_channels(channel: str = "channel") -> Column:
-    return F.array_join(F.array_sort(F.collect_set(channel)), "/")
-
-
 def customer_summary(shop) -> DataFrame:
     """Per ``id``: sales, totals, first and last day, gap statistics and channel text.
 
@@ -37,29 +26,31 @@ def customer_summary(shop) -> DataFrame:
     ordered window; the largest gap comes from the list of distinct days, which the calendar bounds.
     """
     links = weighted_links(identity_links(shop.identity))
-    days = F.array_sort(F.array_distinct(F.flatten(F.collect_list("days"))))
     per_id = (
-        links.join(key_activity(channel_sales(shop)), ["channel", "native_key"])
+        links.join(daily_totals(channel_sales(shop)), SALE_KEY)
         .groupBy("id")
         .agg(
-            F.sum(F.col("sales") * F.col("copies")).alias("sales"),
-            F.sum(F.col("dated") * F.col("copies")).alias("dated"),
-            F.sum(F.col("units") * F.col("copies")).alias("units"),
-            days.alias("days"),
-            joined_channels().alias("sales_channel"),
+            F.expr("sum(sales * copies) AS sales"),
+            F.expr("sum(IF(day IS NULL, 0, sales * copies)) AS dated"),
+            F.expr("sum(units * copies) AS units"),
+            F.expr("array_sort(collect_set(day)) AS days"),
+            *channel_flags(),
         )
     )
-    span = F.array_max("days") - F.array_min("days")
-    has_gap = F.col("dated") > 1
-    return per_id.select(
+    steps = "greatest(size(days) - 1, 0)"
+    largest_step = f"array_max(zip_with(slice(days, 2, {steps}), slice(days, 1, {steps}), (b, a) -> b - a))"
+    first_day, last_day = F.expr("array_min(days) AS first_day"), F.expr("array_max(days) AS last_day")
+    dated = per_id.select("id", "sales", "dated", "units", channels_text(), first_day, last_day, F.expr(f"{largest_step} AS step"))
+    mean_gap = ratio_rounded(F.expr("CAST(last_day - first_day AS BIGINT)"), F.expr("dated - 1"))
+    return dated.select(
         "id",
         "sales",
         "units",
         "sales_channel",
-        F.array_min("days").alias("first_day"),
-        F.array_max("days").alias("last_day"),
-        F.when(has_gap, ratio_rounded(span.cast("bigint"), F.col("dated") - F.lit(1))).alias("mean_gap"),
-        F.when(has_gap, largest_gap(F.col("days")).cast("bigint")).alias("max_gap"),
+        "first_day",
+        "last_day",
+        F.when(F.expr("dated > 1"), mean_gap).alias("mean_gap"),
+        F.expr("CASE WHEN dated > 1 THEN CAST(coalesce(step, 0) AS BIGINT) END AS max_gap"),
     )
 
 
@@ -71,7 +62,7 @@ def normalized_channels(sales_channel: str) -> str:
 def identity_filters(name: str | None, phone_number: str | None, document_number: str | None) -> Column:
     chosen = F.lit(True)
     if name:
-        chosen = chosen & full_name().like(f"%{name}%")
+        chosen = chosen & F.expr(FULL_NAME).like(f"%{name}%")
     if phone_number:
         chosen = chosen & (F.col("phone_number") == phone_number)
     if document_number:
@@ -90,8 +81,8 @@ def customer_frequency(
     summary = customer_summary(shop)
     if sales_channel:
         summary = summary.where(F.col("sales_channel") == normalized_channels(sales_channel))
-    customers = shop.identity.where(identity_filters(name, phone_number, document_number)).select(
-        "id", full_name().alias("name"), "document_number", "phone_number"
+    customers = shop.identity.where(identity_filters(name, phone_number, document_number)).selectExpr(
+        "id", f"{FULL_NAME} AS name", "document_number", "phone_number"
     )
     repeated = F.col("sales") > 1
     return customers.join(summary, "id").select(
@@ -144,9 +135,10 @@ def customer_count(
     selling = (
         identity_links(shop.identity)
         .distinct()
-        .join(selling_keys(channel_sales(shop)), ["channel", "native_key"])
+        .join(selling_keys(channel_sales(shop)), SALE_KEY)
         .groupBy("id")
-        .agg(joined_channels().alias("sales_channel"))
+        .agg(*channel_flags())
+        .select("id", channels_text())
     )
     if sales_channel:
         selling = selling.where(F.col("sales_channel") == normalized_channels(sales_channel))

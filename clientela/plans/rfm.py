@@ -12,54 +12,60 @@ from clientela import labels
 from clientela.functions.money import from_units
 from clientela.functions.text import headed
 from clientela.functions.times import day_date, reference_date
-from clientela.operators.identity import full_name, identity_links, weighted_links
+from clientela.operators.identity import FULL_NAME, identity_links, weighted_links
 from clientela.operators.ordered import ONE_SLICE_ROWS, order_statistics
-from clientela.operators.sales import channel_sales, key_activity, selected_channels, up_to
-from clientela.plans.frequency import joined_channels
+from clientela.operators.sales import (
+    SALE_KEY,
+    channel_flags,
+    channel_sales,
+    channels_text,
+    daily_totals,
+    key_totals,
+    selected_channels,
+    up_to,
+)
 from clientela.session import materialize
 
 CUSTOMER_KEY = ["id", "name"]
 
 
 def _ids_with_several_names(identity: DataFrame) -> DataFrame:
-    names = identity.select("id", full_name().alias("name")).groupBy("id")
+    names = identity.selectExpr("id", f"{FULL_NAME} AS name").groupBy("id")
     return names.agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("id")
 
 
-def _per_customer(owned: DataFrame) -> DataFrame:
-    """Fold ``(channel, native_key, id, name)`` rows to one row per ``(id, name)``."""
-    return owned.groupBy(*CUSTOMER_KEY).agg(
-        F.max("phone_number").alias("phone_number"),
-        F.sum(F.col("units") * F.col("copies")).alias("units"),
-        F.sum(F.col("sales") * F.col("copies")).alias("frequency"),
-        F.sum(F.col("dated") * F.col("copies")).alias("dated"),
-        F.min(F.array_min("days")).alias("first_day"),
-        F.max(F.array_max("days")).alias("last_day"),
-        joined_channels().alias("sales_channel"),
+def _per_customer(links: DataFrame, sales: DataFrame) -> DataFrame:
+    """Fold sales to one row per ``(id, name)``; each key is summed before it meets its identities."""
+    return links.join(key_totals(sales), SALE_KEY).groupBy(*CUSTOMER_KEY).agg(
+        F.expr("max(phone_number) AS phone_number"),
+        F.expr("sum(units * copies) AS units"),
+        F.expr("sum(sales * copies) AS frequency"),
+        F.expr("sum(dated * copies) AS dated"),
+        F.expr("min(first_day) AS first_day"),
+        F.expr("max(last_day) AS last_day"),
+        *channel_flags(),
     )
 
 
-def _gaps_by_name(owned: DataFrame) -> DataFrame:
+def _gaps_by_name(links: DataFrame, sales: DataFrame) -> DataFrame:
     """Days since the previous purchase of an id, credited to the name that leads the day.
 
     All names of an id share one purchase history. The first sale of a day carries the gap; among
-    the names with a sale on that day the alphabetically first one leads.
+    the names with a sale on that day the alphabetically first one leads. The calendar bounds the
+    days of an id, and so the window.
     """
     by_day = Window.partitionBy("id").orderBy("day")
     return (
-        owned.select("id", "name", F.explode("days").alias("day"))
+        links.join(daily_totals(sales), SALE_KEY)
+        .where("day IS NOT NULL")
         .groupBy("id", "day")
         .agg(F.min("name").alias("name"))
         .withColumn("step", F.col("day") - F.lag("day").over(by_day))
         .groupBy(*CUSTOMER_KEY)
-        .agg(F.sum("step").alias("steps"), F.count_if(F.col("step").isNull()).alias("starts"))
+        .agg(F.expr("sum(step) AS steps"), F.expr("count_if(step IS NULL) AS starts"))
     )
 
 
-def _mean_gap(span: Column, gaps: Column) -> Column:
-    return F.when(gaps > 0, span.cast("double") / gaps.cast("double"))
-
-
 def rfm_base(shop, as_of: dt.date | None = None, channel: str | None = None) -> DataFrame:
     """One row per ``(id, name)`` with a purchase.
 
@@ -68,28 +74,25 @@ def rfm_base(shop, as_of: dt.date | None = None, channel: str | None = None) ->
     second branch that credits each gap to a name.
     """
     channels = selected_channels(channel)
-    carried = [full_name().alias("name"), F.coalesce("phone_number", F.lit("")).alias("phone_number")]
-    links = weighted_links(identity_links(shop.identity, carried, channels), F.max("phone_number").alias("phone_number"))
-    activity = key_activity(up_to(channel_sales(shop, channels), as_of))
+    carried = [f"{FULL_NAME} AS name", "coalesce(phone_number, '') AS phone_number"]
+    links = weighted_links(identity_links(shop.identity, carried, channels), F.expr("max(phone_number) AS phone_number"))
+    sales = up_to(channel_sales(shop, channels), as_of)
     several = _ids_with_several_names(shop.identity)
-
-    def owned(chosen: DataFrame) -> DataFrame:
-        return chosen.join(activity, ["channel", "native_key"])
-
-    plain_mean = _mean_gap(F.col("last_day") - F.col("first_day"), F.col("dated") - F.lit(1))
+    one_name = F.expr("CASE WHEN dated > 1 THEN CAST(last_day - first_day AS DOUBLE) / (dated - 1) END AS avg_cycle")
     if several.isEmpty():
-        customers = _per_customer(owned(links)).withColumn("avg_cycle", plain_mean)
+        customers = _per_customer(links, sales).select("*", one_name)
     else:
-        one_name = _per_customer(owned(links.join(several, "id", "left_anti"))).withColumn("avg_cycle", plain_mean)
-        shared = owned(links.join(several, "id", "left_semi"))
-        steps, starts = F.coalesce("steps", F.lit(0)), F.coalesce("starts", F.lit(0))
+        shared = links.join(several, "id", "left_semi")
+        gaps = "dated - coalesce(starts, 0)"
+        credited = F.expr(f"CASE WHEN {gaps} > 0 THEN CAST(coalesce(steps, 0) AS DOUBLE) / ({gaps}) END AS avg_cycle")
         many_names = (
-            _per_customer(shared)
-            .join(_gaps_by_name(shared), CUSTOMER_KEY, "left")
-            .withColumn("avg_cycle", _mean_gap(steps, F.col("dated") - starts))
+            _per_customer(shared, sales)
+            .join(_gaps_by_name(shared, sales), CUSTOMER_KEY, "left")
+            .select("*", credited)
             .drop("steps", "starts")
         )
-        customers = one_name.unionByName(many_names)
+        alone = links.join(several, "id", "left_anti")
+        customers = _per_customer(alone, sales).select("*", one_name).unionByName(many_names)
     last = day_date(F.col("last_day"))
     return customers.select(
         "id",
@@ -101,7 +104,7 @@ def rfm_base(shop, as_of: dt.date | None = None, channel: str | None = None) ->
         last.alias("last_purchase"),
         F.datediff(reference_date(as_of), last).cast("bigint").alias("recency"),
         "avg_cycle",
-        "sales_channel",
+        channels_text(),
     )
 
 

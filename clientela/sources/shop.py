@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +23,7 @@ class Shop:
     process_last_run: DataFrame | None = None
     identity_table: DataFrame | None = None
 
-    @property
+    @cached_property
     def identity(self) -> DataFrame:
         """The stored identity table if there is one, else its lazy plan."""
         if self.identity_table is not None:

@@ -55,11 +55,18 @@ VIEWS = {
         FROM {events} GROUP BY event_type""",
 }
 
-_TABLES = ("customer", "orders", "events")
+_TABLES = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 
 
 def sample_shop(spark: SparkSession, folder: str) -> Shop:
-    tables: dict[str, DataFrame] = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in _TABLES}
+    tables: dict[str, DataFrame] = {
+        name: spark.read.schema(schema).parquet(f"{folder}/{name}.parquet") for name, schema in _TABLES.items()
+    }
     views = {}
     for name, text in VIEWS.items():
         used = {table: df for table, df in tables.items() if "{" + table + "}" in text}
