@@ -1,4 +1,7 @@
-"""UTC calendar handling that does not depend on the zone of the session."""
+"""UTC calendar handling that does not depend on the zone of the session.
+
+Times come as zoneless timestamps that hold UTC, or as instants. Both give the same UTC days.
+"""
 
 from __future__ import annotations
 
@@ -6,32 +9,45 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, TimestampNTZType, TimestampType
+
+_MICROS_PER_DAY = 86_400_000_000
 
 
-def utc_wall_clock(df: DataFrame, name: str) -> Column:
-    """Column ``name`` as a zoneless UTC timestamp."""
+def _kind(df: DataFrame, name: str) -> DataType:
     kind = df.schema[name].dataType
-    if isinstance(kind, TimestampNTZType):
-        return F.col(name)
-    if isinstance(kind, DateType):
-        return F.col(name).cast("timestamp_ntz")
-    if isinstance(kind, TimestampType):
-        seconds = F.unix_micros(F.col(name)).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")
-        epoch = F.lit(dt.datetime(1970, 1, 1)).cast("string").cast("timestamp_ntz")
-        return epoch + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
-    raise TypeError(f"{name} must be a timestamp or a date, not {kind.simpleString()}")
+    if not isinstance(kind, (TimestampNTZType, TimestampType)):
+        raise TypeError(f"{name} must be a timestamp, not {kind.simpleString()}")
+    return kind
 
 
-def day_number(moment: Column) -> Column:
-    """Days since 1970-01-01."""
-    return F.unix_date(F.to_date(moment))
+def day_number(df: DataFrame, name: str) -> Column:
+    """Days from 1970-01-01 to the UTC day of a time column."""
+    if isinstance(_kind(df, name), TimestampNTZType):
+        return F.expr(f"unix_date(CAST({name} AS DATE))")
+    micros = f"unix_micros({name})"
+    return F.expr(f"CAST(({micros} - pmod({micros}, {_MICROS_PER_DAY})) div {_MICROS_PER_DAY} AS INT)")
 
 
 def day_date(day: Column) -> Column:
     return F.date_from_unix_date(day)
 
 
+def before_day_after(df: DataFrame, name: str, day: dt.date) -> Column:
+    """True up to the end of the UTC day ``day``. A plain comparison, so it reaches the file scan."""
+    end = day + dt.timedelta(days=1)
+    if isinstance(_kind(df, name), TimestampNTZType):
+        return F.expr(f"{name} < TIMESTAMP_NTZ '{end} 00:00:00'")
+    return F.expr(f"{name} < TIMESTAMP_LTZ '{end} 00:00:00Z'")
+
+
+def zone_text(df: DataFrame, name: str, pattern: str, zone: str = "UTC") -> Column:
+    """A time column as text on the clocks of ``zone``."""
+    stored = F.lit("UTC") if isinstance(_kind(df, name), TimestampNTZType) else F.current_timezone()
+    local = F.convert_timezone(stored, F.lit(zone), F.col(name).cast("timestamp_ntz"))
+    return F.date_format(local, pattern)
+
+
 def month_number(date: Column) -> Column:
     return F.year(date) * F.lit(12) + F.month(date) - F.lit(1)
 

@@ -5,7 +5,7 @@ join cannot be split when one document or phone is hot, and it sends all rows wi
 task. So each full join is written as its three disjoint parts: matches (inner), left rows without a
 match and right rows without a match (anti). The adaptive planner can split a hot key in each of
 these, and the side that only tests for a match is cut down to distinct keys first. Rows without a
-key get a join key of their own that nothing equals, which spreads them over all tasks.
+key get one that nothing on the other side equals, which spreads them over all tasks.
 """
 
 from __future__ import annotations
@@ -20,26 +20,26 @@ from clientela.labels import CHANNELS, FOOD99, IFOOD, STORE
 _REGISTRY_ROWS = """
 WITH ifood AS (
   SELECT id AS c_id, document_number AS c_document, first_name AS c_first, last_name AS c_last,
-         coalesce('=' || document_number, CAST(xxhash64(id, first_name, last_name) AS STRING)) AS document_key
+         coalesce('=' || document_number, 'c' || xxhash64(id, first_name, last_name)) AS document_key
   FROM {ifood}),
 store AS (
   SELECT document_number AS s_document, phone_number AS s_phone, first_name AS s_first, last_name AS s_last,
-         coalesce('=' || document_number, CAST(xxhash64(phone_number, first_name, last_name) AS STRING)) AS document_key,
-         coalesce('=' || phone_number, CAST(xxhash64(document_number, first_name, last_name) AS STRING)) AS phone_key
+         coalesce('=' || document_number, 's' || xxhash64(phone_number, first_name, last_name)) AS document_key,
+         coalesce('=' || phone_number, 's' || xxhash64(document_number, first_name, last_name)) AS phone_key
   FROM {store}),
 food99 AS (
   SELECT c_uid AS n_uid, phone_number AS n_phone, first_name AS n_first, last_name AS n_last,
-         coalesce('=' || phone_number, CAST(xxhash64(c_uid, first_name, last_name) AS STRING)) AS phone_key
+         coalesce('=' || phone_number, 'n' || xxhash64(c_uid, first_name, last_name)) AS phone_key
   FROM {food99}),
 store_rows AS (
   SELECT store.* EXCEPT (phone_key), n_uid, n_phone, n_first, n_last
-  FROM store JOIN food99 ON store.phone_key = food99.phone_key AND s_phone IS NOT NULL AND n_phone IS NOT NULL
+  FROM store JOIN food99 ON store.phone_key = food99.phone_key
   UNION ALL
   SELECT store.* EXCEPT (phone_key), NULL, NULL, NULL, NULL
   FROM store LEFT ANTI JOIN (SELECT DISTINCT phone_key FROM food99 WHERE n_phone IS NOT NULL) p ON store.phone_key = p.phone_key),
 registry_rows AS (
   SELECT s.* EXCEPT (document_key), c_id, c_document, c_first, c_last
-  FROM store_rows s JOIN ifood ON s.document_key = ifood.document_key AND c_document IS NOT NULL
+  FROM store_rows s JOIN ifood ON s.document_key = ifood.document_key
   UNION ALL
   SELECT s.* EXCEPT (document_key), NULL, NULL, NULL, NULL
   FROM store_rows s
@@ -84,7 +84,8 @@ def identity_links(identity: DataFrame, carried: Sequence[str] = (), channels: S
     ``carried`` are further expressions over the identity to keep.
     """
     keys = [NATIVE_KEYS[channel] for channel in channels]
-    wide = identity.where(f"coalesce({', '.join(keys)}) IS NOT NULL").selectExpr(
+    # An id is never null; saying so keeps the plans of several uses equal, so that they share exchanges.
+    wide = identity.where(f"id IS NOT NULL AND coalesce({', '.join(keys)}) IS NOT NULL").selectExpr(
         "id", *carried, *[f"{key} AS `{channel}`" for channel, key in zip(channels, keys)]
     )
     kept = [c for c in wide.columns if c not in channels]

@@ -8,13 +8,15 @@ that holds a third of all sales shrinks to a row per task. Only the sums are joi
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientela.functions.money import to_units
-from clientela.functions.times import day_number, utc_wall_clock
+from clientela.functions.times import before_day_after, day_number
 from clientela.labels import CHANNELS, FOOD99, IFOOD, STORE
 
 SALE_KEY = ["channel", "native_key"]
@@ -25,45 +27,49 @@ def selected_channels(channel: str | None) -> tuple[str, ...]:
     return (channel,) if channel in CHANNELS else CHANNELS
 
 
-def channel_sales(shop, channels: Sequence[str] = CHANNELS) -> DataFrame:
-    """``(channel, native_key, created_at, total)`` of the chosen channels; each fact table is read once."""
-    branches = []
+def channel_sales(
+    shop, channels: Sequence[str] = CHANNELS, keys: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """``(channel, native_key, created_at, total)`` of the chosen channels; each fact table is read once.
+
+    ``keys`` keeps only the listed native keys per channel, by filters on the fact tables themselves,
+    which reach the file scans.
+    """
     app = {label: key for label, key in ((IFOOD, "customer_id"), (FOOD99, "c_uid")) if label in channels}
+
+    def chosen(label: str, key: str) -> Column:
+        return F.col(key).isNotNull() if keys is None else F.col(key).isin(list(keys.get(label, ())))
+
+    branches = []
     if app:
-        orders = shop.app_orders
-        wide = orders.where(f"coalesce({', '.join(app.values())}) IS NOT NULL").select(
-            utc_wall_clock(orders, "created_at").alias("created_at"),
-            F.expr("CAST(total_bag_detail AS DOUBLE) AS total"),
-            *[F.expr(f"{key} AS `{label}`") for label, key in app.items()],
+        known = reduce(or_, [chosen(label, key) for label, key in app.items()])
+        wide = shop.app_orders.where(known).selectExpr(
+            "created_at", "CAST(total_bag_detail AS DOUBLE) AS total", *[f"{key} AS `{label}`" for label, key in app.items()]
         )
         long = wide.unpivot(["created_at", "total"], list(app), "channel", "native_key")
         branches.append(long.where("native_key IS NOT NULL").select(*SALE_KEY, "created_at", "total"))
     if STORE in channels:
-        sales = shop.store_sales
         branches.append(
-            sales.where("client_cpf IS NOT NULL").select(
-                F.expr(f"'{STORE}' AS channel"),
-                F.expr("client_cpf AS native_key"),
-                utc_wall_clock(sales, "created_at").alias("created_at"),
-                F.expr("CAST(total AS DOUBLE) AS total"),
+            shop.store_sales.where(chosen(STORE, "client_cpf")).selectExpr(
+                f"'{STORE}' AS channel", "client_cpf AS native_key", "created_at", "CAST(total AS DOUBLE) AS total"
             )
         )
-    sales = branches[0]
-    for branch in branches[1:]:
-        sales = sales.unionByName(branch)
-    return sales
+    kinds = {branch.schema["created_at"].dataType for branch in branches}
+    if len(kinds) > 1:
+        raise TypeError("the times of all sales must have one type: instants, or zoneless UTC times")
+    return reduce(DataFrame.unionByName, branches)
 
 
 def up_to(sales: DataFrame, as_of: dt.date | None) -> DataFrame:
     """Drop sales after ``as_of``, so that a past reference date sees no later sale."""
     if as_of is None:
         return sales
-    return sales.where(f"created_at IS NULL OR created_at < TIMESTAMP_NTZ '{as_of + dt.timedelta(days=1)}'")
+    return sales.where(F.col("created_at").isNull() | before_day_after(sales, "created_at", as_of))
 
 
 def _measured(sales: DataFrame) -> DataFrame:
     return sales.select(
-        *SALE_KEY, day_number(F.col("created_at")).alias("day"), to_units(F.col("total")).alias("units")
+        *SALE_KEY, day_number(sales, "created_at").alias("day"), to_units(F.col("total")).alias("units")
     )
 
 

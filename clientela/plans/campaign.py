@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clientela import labels
 from clientela.functions.text import clean_phone, fill, first_word, headed, percent_encode
+from clientela.functions.times import zone_text
 from clientela.plans.rfm import in_segment
 
 SHORTEST_PHONE = 6
@@ -31,7 +32,7 @@ def campaign_audience(
 
 def campaign_queue(audience: DataFrame) -> DataFrame:
     """The audience as shown to the person who sends the messages."""
-    contacted = F.date_format("last_contact", labels.MINUTE_TEXT)
+    contacted = zone_text(audience, "last_contact", labels.MINUTE_TEXT)
     return audience.select(
         "id",
         "name",

@@ -7,10 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientela.functions.times import month_number, reference_date
+from clientela.functions.times import day_date, day_number, month_number, reference_date
 from clientela.labels import MONTH_TEXT
 from clientela.operators.identity import identity_links
-from clientela.operators.sales import channel_sales, selected_channels, up_to
+from clientela.operators.sales import SALE_KEY, channel_sales, selected_channels, up_to
 
 LOOK_BACK_MONTHS = 12
 
@@ -22,17 +22,16 @@ def cohort_counts(shop, as_of: dt.date | None = None, channel: str | None = None
     row with its first day and its months, a list the calendar bounds.
     """
     channels = selected_channels(channel)
-    day = F.to_date("created_at")
+    sales = up_to(channel_sales(shop, channels), as_of).where("created_at IS NOT NULL")
+    dated = sales.select(*SALE_KEY, day_date(day_number(sales, "created_at")).alias("day"))
     monthly = (
-        up_to(channel_sales(shop, channels), as_of)
-        .where(F.col("created_at").isNotNull())
-        .select("channel", "native_key", day.alias("day"), month_number(day).alias("month"))
-        .groupBy("channel", "native_key", "month")
+        dated.select(*SALE_KEY, "day", month_number(F.col("day")).alias("month"))
+        .groupBy(*SALE_KEY, "month")
         .agg(F.min("day").alias("first_day"))
     )
     links = identity_links(shop.identity, channels=channels).distinct()
     customers = (
-        links.join(monthly, ["channel", "native_key"])
+        links.join(monthly, SALE_KEY)
         .groupBy("id")
         .agg(F.min("first_day").alias("first_day"), F.collect_set("month").alias("months"))
         .where(F.col("first_day") >= F.add_months(reference_date(as_of), -LOOK_BACK_MONTHS))

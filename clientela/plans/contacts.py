@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientela.functions.text import headed
+from clientela.functions.times import zone_text
 from clientela.labels import HISTORY_HEADERS, MINUTE_TEXT
 from clientela.schemas import CONTACT_LOG
 
@@ -57,7 +58,7 @@ def contact_history(log: DataFrame, customer_id: str) -> DataFrame:
     """Contacts of one customer, newest first."""
     chosen = log.where(F.col("customer_id") == customer_id)
     ordered = chosen.orderBy(F.desc("timestamp"), "message_type", "message_body")
-    return ordered.select(F.date_format("timestamp", MINUTE_TEXT).alias("timestamp"), "message_type", "message_body")
+    return ordered.select(zone_text(log, "timestamp", MINUTE_TEXT).alias("timestamp"), "message_type", "message_body")
 
 
 def headed_history(history: DataFrame) -> DataFrame:
@@ -68,5 +69,5 @@ def latest_events(log: DataFrame, n: int = LATEST_EVENTS) -> DataFrame:
     """The newest ``n`` contacts of all customers."""
     newest = log.orderBy(F.desc("timestamp"), "customer_name", "segment", "message_type").limit(n)
     return newest.select(
-        F.date_format("timestamp", MINUTE_TEXT).alias("timestamp"), "customer_name", "segment", "message_type"
+        zone_text(log, "timestamp", MINUTE_TEXT).alias("timestamp"), "customer_name", "segment", "message_type"
     )

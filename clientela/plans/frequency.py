@@ -109,14 +109,18 @@ def page(listing: DataFrame, page_number: int = 1, rows_per_page: int = 20) -> D
     """One page of the listing, highest total first.
 
     A page near the top is a plain top-k. A deep page would pull every row before it into one task,
-    so it is cut out of a distributed numbering instead.
+    so it is cut out of a distributed numbering instead. Equal rows are folded for that: each folded
+    row covers as many positions as it has copies, and is expanded to those on the page.
     """
     skipped = (page_number - 1) * rows_per_page
     if skipped + rows_per_page <= SHALLOW_ROWS:
         return listing.orderBy(*listing_order()).offset(skipped).limit(rows_per_page)
-    numbered = with_global_order(listing, listing_order())
-    wanted = F.col("position").between(skipped + 1, skipped + rows_per_page)
-    return numbered.where(wanted).orderBy("position").drop("position")
+    folded = listing.groupBy(*listing.columns).agg(F.expr("count(1) AS copies"))
+    numbered = with_global_order(folded, listing_order(), {"through": "copies"})
+    shown = f"least(through, {skipped + rows_per_page}) - greatest(through - copies, {skipped})"
+    on_page = numbered.withColumn("shown", F.expr(f"CAST({shown} AS INT)")).where("shown > 0")
+    expanded = on_page.withColumn("copy", F.explode(F.sequence(F.lit(1), "shown")))
+    return expanded.orderBy("position", "copy").select(*listing.columns)
 
 
 def customer_frequency_export(listing: DataFrame) -> DataFrame:

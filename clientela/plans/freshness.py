@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clientela.functions.times import zone_text
+
 SECOND_TEXT = "dd/MM/yyyy HH:mm:ss"
 
 
@@ -17,4 +19,4 @@ def process_last_run(runs: DataFrame, process_keys: Sequence[str]) -> DataFrame:
 
 
 def run_text(runs: DataFrame) -> DataFrame:
-    return runs.select("name", F.date_format("last_run_date", SECOND_TEXT).alias("last_run"))
+    return runs.select("name", zone_text(runs, "last_run_date", SECOND_TEXT).alias("last_run"))

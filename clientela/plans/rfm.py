@@ -206,13 +206,13 @@ def rfm_segments(base: DataFrame, on_ties: str = "raise", one_slice_rows: int =
 
 def segment_counts(segments: DataFrame) -> DataFrame:
     """Customers per segment, most frequent first; the four segments always appear."""
-    spark = segments.sparkSession
-    named = spark.createDataFrame([(label, 0) for label in labels.SEGMENT_LABELS], "segmento string, n int")
+    names = ", ".join(f"('{label}', 0L)" for label in labels.SEGMENT_LABELS)
+    named = segments.sparkSession.sql(f"SELECT * FROM VALUES {names} AS names(segmento, n)")
     counted = segments.groupBy("segmento").agg(F.count(F.lit(1)).alias("n"))
     return (
         named.unionByName(counted)
         .groupBy("segmento")
-        .agg(F.sum("n").cast("bigint").alias("quantidade"))
+        .agg(F.sum("n").alias("quantidade"))
         .orderBy(F.desc("quantidade"), "segmento")
     )
 

@@ -2,25 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientela.functions.text import headed
-from clientela.labels import DISPLAY_ZONE, MINUTE_TEXT, TRANSACTION_HEADERS
+from clientela.functions.times import day_date, day_number, zone_text
+from clientela.labels import CHANNELS, DISPLAY_ZONE, MINUTE_TEXT, TRANSACTION_HEADERS
 from clientela.operators.identity import identity_links
-from clientela.operators.sales import channel_sales
+from clientela.operators.sales import SALE_KEY, channel_sales
 
-#: Equal sales written by one task while expanding a folded group again.
-COPIES_PER_TASK_ROW = 10_000
+#: Equal sales expanded from one row; larger groups are split into blocks of this size.
+COPIES_PER_BLOCK = 10_000
 
 
 def transactions(shop) -> DataFrame:
     """``id, sales_date, total, channel``: each sale once per identity row that owns its key."""
-    return (
-        channel_sales(shop)
-        .join(identity_links(shop.identity), ["channel", "native_key"])
-        .select("id", F.to_date("created_at").alias("sales_date"), "total", "channel")
-    )
+    sales = channel_sales(shop)
+    dated = sales.select(*SALE_KEY, day_date(day_number(sales, "created_at")).alias("sales_date"), "total")
+    return dated.join(identity_links(shop.identity), SALE_KEY).select("id", "sales_date", "total", "channel")
+
+
+def _leading_sale() -> tuple[list[Column], Column, Column]:
+    """The first sale of a group by channel and total (nulls first).
+
+    Returns fixed-width aggregates (so that a hash aggregate can hold them) and, over their results,
+    the channel and the total of that sale.
+    """
+    noted, channel, total = [], "NULL", "NULL"
+    for i, name in reversed(list(enumerate(sorted(CHANNELS)))):
+        noted += [
+            F.expr(f"bool_or(channel = '{name}') AS has_{i}"),
+            F.expr(f"bool_or(channel = '{name}' AND total IS NULL) AS blank_{i}"),
+            F.expr(f"min(IF(channel = '{name}', total, NULL)) AS least_{i}"),
+        ]
+        channel = f"IF(has_{i}, '{name}', {channel})"
+        total = f"IF(has_{i}, IF(blank_{i}, NULL, least_{i}), {total})"
+    return noted, F.expr(f"{channel} AS lead_channel"), F.expr(f"{total} AS lead_total")
 
 
 def purchase_gaps(shop) -> DataFrame:
@@ -30,42 +49,31 @@ def purchase_gaps(shop) -> DataFrame:
     a count, the gaps are taken between the distinct days of a customer (the calendar bounds that
     list), and the folded rows are expanded again in blocks, each with its own join key.
     """
-    block = F.lit(COPIES_PER_TASK_ROW)
-    folded = transactions(shop).groupBy("id", "sales_date", "channel", "total").agg(F.count(F.lit(1)).alias("copies"))
-    last_block = F.call_function("div", F.col("copies") - F.lit(1), block)
+    folded = transactions(shop).groupBy("id", "sales_date", "channel", "total").agg(F.expr("count(1) AS copies"))
+    last_block = f"(copies - 1) div {COPIES_PER_BLOCK}"
+    noted, lead_channel, lead_total = _leading_sale()
     by_day = Window.partitionBy("id").orderBy(F.asc_nulls_first("sales_date"))
     days = (
         folded.groupBy("id", "sales_date")
-        .agg(F.min(F.struct("channel", "total")).alias("first_sale"), F.max(last_block).alias("blocks"))
+        .agg(*noted, F.expr(f"max({last_block}) AS blocks"))
         .withColumn("days", F.datediff("sales_date", F.lag("sales_date").over(by_day)).cast("bigint"))
         .select(
-            F.col("id").alias("day_id"),
-            F.col("sales_date").alias("day_date"),
-            "first_sale",
-            "days",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), "blocks")).alias("day_block"),
+            F.expr("id AS day_id"), F.expr("sales_date AS day_date"), lead_channel, lead_total, "days",
+            F.expr("explode(sequence(0L, blocks)) AS day_block"),
         )
     )
-    blocks = folded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
-    same_day = (
-        (F.col("id") == F.col("day_id"))
-        & F.col("sales_date").eqNullSafe(F.col("day_date"))
-        & (F.col("block") == F.col("day_block"))
-    )
-    start = F.col("block") * block
-    copy = F.explode(F.sequence(start + F.lit(1), F.least(start + block, F.col("copies"))))
-    leads = (F.struct("channel", "total") == F.col("first_sale")) & (F.col("copy") == 1)
+    blocks = folded.select("*", F.expr(f"explode(sequence(0L, {last_block})) AS block"))
+    first, last = f"block * {COPIES_PER_BLOCK} + 1", f"least((block + 1) * {COPIES_PER_BLOCK}, copies)"
+    leads = "copy = 1 AND channel = lead_channel AND total <=> lead_total"
     return (
-        blocks.join(days, same_day)
-        .withColumn("copy", copy)
+        blocks.join(days, F.expr("id = day_id AND sales_date <=> day_date AND block = day_block"))
+        .select("*", F.expr(f"explode(sequence({first}, {last})) AS copy"))
         .select(
             "id",
             "sales_date",
             "channel",
             "total",
-            F.when(leads, F.col("days"))
-            .when(F.col("sales_date").isNotNull(), F.lit(0).cast("bigint"))
-            .alias("days_between"),
+            F.expr(f"CASE WHEN {leads} THEN days WHEN sales_date IS NOT NULL THEN 0L END AS days_between"),
         )
     )
 
@@ -76,18 +84,18 @@ def customer_transactions(shop, customer_id: str | None = None, zone: str = DISP
     For one customer the few native keys of the id (pieces of the id text, so their number is bounded
     by its length) are looked up first and pushed into the fact scans as ``IN`` filters.
     """
-    links = identity_links(shop.identity)
-    sales = channel_sales(shop)
+    links, keys = identity_links(shop.identity), None
     if customer_id is not None:
         links = links.where(F.col("id") == customer_id)
-        keys = {row["native_key"] for row in links.select("native_key").distinct().collect()}
-        sales = sales.where(F.col("native_key").isin(sorted(keys)))
-    owned = sales.join(links, ["channel", "native_key"])
+        keys = defaultdict(list)
+        for row in links.select(*SALE_KEY).distinct().collect():
+            keys[row["channel"]].append(row["native_key"])
+    owned = channel_sales(shop, keys=keys).join(links, SALE_KEY)
     newest = [F.desc("created_at"), "id", "channel", "total"]
     return owned.orderBy(*newest).select(
         "id",
         F.col("channel").alias("canal"),
-        F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("created_at")), MINUTE_TEXT).alias("data_venda"),
+        zone_text(owned, "created_at", MINUTE_TEXT, zone).alias("data_venda"),
         "total",
     )
 
