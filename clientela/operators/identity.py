@@ -10,7 +10,7 @@ key get one that nothing on the other side equals, which spreads them over all t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +73,12 @@ def resolve_identity(ifood: DataFrame, store: DataFrame, food99: DataFrame, id_s
     return ifood.sparkSession.sql(_REGISTRY_ROWS, ifood=ifood, store=store, food99=food99, id_sep=id_sep)
 
 
+def stacked(keys: Mapping[str, str]) -> str:
+    """Expression that turns one key column per channel into rows ``(channel, native_key)``."""
+    pairs = ", ".join(f"'{channel}', {key}" for channel, key in keys.items())
+    return f"stack({len(keys)}, {pairs}) AS (channel, native_key)"
+
+
 FULL_NAME = "first_name || ' ' || last_name"
 
 NATIVE_KEYS = {IFOOD: "customer_id_original", FOOD99: "c_uid_original", STORE: "document_number_ctb"}
@@ -83,13 +89,9 @@ def identity_links(identity: DataFrame, carried: Sequence[str] = (), channels: S
 
     ``carried`` are further expressions over the identity to keep.
     """
-    keys = [NATIVE_KEYS[channel] for channel in channels]
-    # An id is never null; saying so keeps the plans of several uses equal, so that they share exchanges.
-    wide = identity.where(f"id IS NOT NULL AND coalesce({', '.join(keys)}) IS NOT NULL").selectExpr(
-        "id", *carried, *[f"{key} AS `{channel}`" for channel, key in zip(channels, keys)]
-    )
-    kept = [c for c in wide.columns if c not in channels]
-    return wide.unpivot(kept, list(channels), "channel", "native_key").where("native_key IS NOT NULL")
+    keys = {channel: NATIVE_KEYS[channel] for channel in channels}
+    known = identity.where(f"coalesce({', '.join(keys.values())}) IS NOT NULL")
+    return known.selectExpr("id", *carried, stacked(keys)).where("native_key IS NOT NULL")
 
 
 def weighted_links(links: DataFrame, *also: Column) -> DataFrame:

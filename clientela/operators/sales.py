@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from clientela.functions.money import to_units
 from clientela.functions.times import before_day_after, day_number
 from clientela.labels import CHANNELS, FOOD99, IFOOD, STORE
+from clientela.operators.identity import stacked
 
 SALE_KEY = ["channel", "native_key"]
 
@@ -43,11 +44,10 @@ def channel_sales(
     branches = []
     if app:
         known = reduce(or_, [chosen(label, key) for label, key in app.items()])
-        wide = shop.app_orders.where(known).selectExpr(
-            "created_at", "CAST(total_bag_detail AS DOUBLE) AS total", *[f"{key} AS `{label}`" for label, key in app.items()]
+        orders = shop.app_orders.where(known).selectExpr(
+            stacked(app), "created_at", "CAST(total_bag_detail AS DOUBLE) AS total"
         )
-        long = wide.unpivot(["created_at", "total"], list(app), "channel", "native_key")
-        branches.append(long.where("native_key IS NOT NULL").select(*SALE_KEY, "created_at", "total"))
+        branches.append(orders.where("native_key IS NOT NULL"))
     if STORE in channels:
         branches.append(
             shop.store_sales.where(chosen(STORE, "client_cpf")).selectExpr(

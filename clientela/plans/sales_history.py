@@ -49,7 +49,9 @@ def purchase_gaps(shop) -> DataFrame:
     a count, the gaps are taken between the distinct days of a customer (the calendar bounds that
     list), and the folded rows are expanded again in blocks, each with its own join key.
     """
-    folded = transactions(shop).groupBy("id", "sales_date", "channel", "total").agg(F.expr("count(1) AS copies"))
+    # An id is never null; saying so keeps both uses of the folded rows equal, so that they share one exchange.
+    sales = transactions(shop).withColumn("id", F.coalesce("id", F.lit("")))
+    folded = sales.groupBy("id", "sales_date", "channel", "total").agg(F.expr("count(1) AS copies"))
     last_block = f"(copies - 1) div {COPIES_PER_BLOCK}"
     noted, lead_channel, lead_total = _leading_sale()
     by_day = Window.partitionBy("id").orderBy(F.asc_nulls_first("sales_date"))
