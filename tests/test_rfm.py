@@ -1,0 +1,150 @@
+import datetime as dt
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import HealthCheck, given, settings as hypothesis_settings, strategies as st
+
+from clientela import labels
+from clientela.plans import rfm
+from conftest import FORCED_SKEW, local_frame, tuples
+
+BASE = (
+    "id string, name string, phone_number string, monetary double, frequency bigint, first_purchase date, "
+    "last_purchase date, recency bigint, avg_cycle double, sales_channel string"
+)
+DAY = dt.date(2024, 1, 1)
+
+
+def base_frame(spark, values):
+    rows = [
+        (f"c{i:03d}", f"N{i}", "", float(m) if m is not None else None, f, DAY, DAY, r, None, "Loja")
+        for i, (r, f, m) in enumerate(values)
+    ]
+    return local_frame(spark, rows, BASE)
+
+
+def pandas_scores(values):
+    frame = pd.DataFrame(values, columns=["r", "f", "m"])
+    r = pd.qcut(frame["r"], 4, labels=[4, 3, 2, 1]).astype(int)
+    f = pd.qcut(frame["f"].rank(method="first"), 4, labels=[1, 2, 3, 4]).astype(int)
+    m = pd.qcut(frame["m"], 4, labels=[1, 2, 3, 4]).astype(int)
+    return list(zip(r, f, m))
+
+
+def spark_scores(spark, values, **options):
+    scored = rfm.rfm_segments(base_frame(spark, values), **options).orderBy("id").collect()
+    return [(row["r_score"], row["f_score"], row["m_score"]) for row in scored]
+
+
+@pytest.mark.parametrize("one_slice_rows", [0, 1_000_000])
+@pytest.mark.parametrize("n", [10, 11, 12, 13, 250])
+def test_scores_equal_pandas_quartiles(spark, n, one_slice_rows):
+    rng = np.random.default_rng(n)
+    values = [
+        (int(r), int(f), round(float(m), 2))
+        for r, f, m in zip(rng.integers(0, 400, n), rng.integers(1, 5, n), rng.integers(100, 30_000, n) / 100)
+    ]
+    assert spark_scores(spark, values, one_slice_rows=one_slice_rows) == pandas_scores(values)
+
+
+@hypothesis_settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(1, 3), st.integers(1, 9)), min_size=10, max_size=30))
+def test_scores_or_error_equal_pandas(spark, values):
+    try:
+        expected = pandas_scores(values)
+    except ValueError:
+        with pytest.raises(rfm.QuartileError):
+            spark_scores(spark, values)
+    else:
+        assert spark_scores(spark, values) == expected
+
+
+def test_fewer_than_ten_customers_are_beginners(spark):
+    rows = rfm.rfm_segments(base_frame(spark, [(i, i, i) for i in range(9)])).collect()
+    assert {(r["segmento"], r["rfm_score"]) for r in rows} == {(labels.BEGINNER, None)}
+
+
+@pytest.mark.parametrize("values", [[(5, i, i) for i in range(20)], [(i, i, 7) for i in range(20)], [(i, i, None) for i in range(20)]])
+def test_quartiles_that_cannot_be_cut(spark, values):
+    with pytest.raises(rfm.QuartileError):
+        rfm.rfm_segments(base_frame(spark, values))
+    empty = rfm.rfm_segments(base_frame(spark, values), on_ties="empty")
+    assert empty.count() == 0 and empty.columns[-1] == "segmento"
+
+
+def test_wrong_option(spark):
+    with pytest.raises(ValueError):
+        rfm.rfm_segments(base_frame(spark, []), on_ties="skip")
+
+
+def test_labels_by_score(spark):
+    scores = local_frame(spark, [(s,) for s in range(3, 13)], "s bigint")
+    got = [row[0] for row in scores.select(rfm.segment_label(scores["s"])).collect()]
+    champions, loyal, potential, at_risk = labels.SEGMENT_LABELS
+    assert got == [at_risk] * 3 + [potential] * 2 + [loyal] * 2 + [champions] * 3
+
+
+def test_counts_labels_and_listing(spark):
+    scored = rfm.rfm_segments(base_frame(spark, [(i, i % 3 + 1, i * 1.5) for i in range(40)]))
+    counts = {row["segmento"]: row["quantidade"] for row in rfm.segment_counts(scored).collect()}
+    assert set(counts) == set(labels.SEGMENT_LABELS) and sum(counts.values()) == 40
+    present = [row["segmento"] for row in rfm.segment_labels(scored).collect()]
+    assert sorted(present) == sorted(k for k, n in counts.items() if n)
+    money = [row["monetary"] for row in rfm.segment_listing(scored).collect()]
+    assert money == sorted(money, reverse=True) and len(money) == 40
+    one = labels.SEGMENT_LABELS[1]
+    assert rfm.segment_listing(scored, one).count() == counts[one]
+    assert "Canais" in rfm.headed_segment_listing(rfm.segment_listing(scored)).columns
+
+
+def test_counts_of_nobody_are_zero(spark):
+    counts = rfm.segment_counts(rfm.rfm_segments(base_frame(spark, []))).collect()
+    assert {r["quantidade"] for r in counts} == {0} and len(counts) == 4
+
+
+def test_base_values(make_shop):
+    shop = make_shop(
+        [("1", "d", "Ana", "Lima")],
+        [("d", "9", None, None)],
+        ifood_sales=[("1", 1.5, "2024-01-01"), ("1", 2, "2024-01-11"), ("1", 4, "2024-03-01")],
+        store_sales=[("d", 3, "2024-01-02")],
+    )
+    row = rfm.rfm_base(shop, dt.date(2024, 2, 1)).first().asDict()
+    assert row == {
+        "id": "1d", "name": "Ana Lima", "phone_number": "9", "monetary": 6.5, "frequency": 3,
+        "first_purchase": DAY, "last_purchase": dt.date(2024, 1, 11), "recency": 21, "avg_cycle": 5.0,
+        "sales_channel": "Loja/iFood",
+    }
+    only_store = rfm.rfm_base(shop, dt.date(2024, 2, 1), "Loja").first()
+    assert (only_store["frequency"], only_store["avg_cycle"], only_store["sales_channel"]) == (1, None, "Loja")
+    assert rfm.rfm_base(shop, dt.date(2024, 2, 1), "Loja/iFood").first()["frequency"] == 3
+    today = rfm.rfm_base(shop).first()
+    assert today["frequency"] == 4 and today["recency"] == (dt.date.today() - dt.date(2024, 3, 1)).days
+
+
+def lag_by_name(rows):
+    """Mean gap per (id, name) with LAG over the id in the order date, name (missing dates first)."""
+    gaps, last = {}, {}
+    for i, name, day in sorted(rows, key=lambda r: (r[0], r[2] is not None, r[2], r[1])):
+        previous = last.get(i)
+        gaps.setdefault((i, name), [])
+        if day and previous:
+            gaps[i, name].append((day - previous).days)
+        last[i] = day
+    return {key: (sum(g) / len(g) if g else None) for key, g in gaps.items()}
+
+
+def test_ids_with_several_names_share_one_history(make_shop, settings):
+    settings(**FORCED_SKEW)
+    # 1 + 23 and 12 + 3 collide in the id 123; app customer 7 is registered twice under two names
+    ifood = [("1", "23", "Ana", "a"), ("12", "3", "Bia", "b"), ("7", None, "Zoe", "z"), ("7", None, "Eva", "e"), ("9", None, "Leo", "l")]
+    store = [("23", None, None, None), ("3", None, None, None)]
+    sales = [("1", "2024-01-05"), ("12", "2024-01-05"), ("12", "2024-01-01"), ("1", "2024-02-01"), ("12", "2024-02-11"),
+             ("1", None), ("7", "2024-01-01"), ("7", "2024-01-01"), ("7", "2024-01-08"), ("9", "2024-01-01"), ("9", "2024-01-31")]
+    shop = make_shop(ifood, store, ifood_sales=[(k, 1, d) for k, d in sales], store_sales=[("23", 1, "2024-03-01")])
+    names = {"1": [("123", "Ana a")], "12": [("123", "Bia b")], "7": [("7", "Zoe z"), ("7", "Eva e")], "9": [("9", "Leo l")]}
+    rows = [(i, n, d and dt.date.fromisoformat(d)) for k, d in sales for i, n in names[k]] + [("123", "Ana a", dt.date(2024, 3, 1))]
+    got = {(r["id"], r["name"]): r["avg_cycle"] for r in rfm.rfm_base(shop).collect()}
+    assert got == lag_by_name(rows)
+    assert tuples(rfm.rfm_base(shop), "name", "frequency") == [("Ana a", 4), ("Bia b", 3), ("Eva e", 3), ("Leo l", 2), ("Zoe z", 3)]
