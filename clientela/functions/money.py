@@ -1,35 +1,28 @@
-"""Money as whole numbers of 1/10000, so that sums are exact and do not depend on partitioning."""
+"""Money as whole numbers of 1/10000, so that sums are exact and do not depend on partitioning.
 
-from __future__ import annotations
+The functions return SQL expressions over the names or expressions they are given.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 UNITS_PER_ONE = 10_000
 UNITS_PER_CENT = UNITS_PER_ONE // 100
 
 
-def to_units(total: Column) -> Column:
-    return F.rint(total.cast("double") * F.lit(float(UNITS_PER_ONE))).cast("bigint")
-
-
-def from_units(units: Column) -> Column:
-    return units.cast("double") / F.lit(float(UNITS_PER_ONE))
+def to_units(total: str) -> str:
+    return f"CAST(rint({total} * {UNITS_PER_ONE}D) AS BIGINT)"
 
 
-def whole_division(dividend: Column, divisor: Column) -> Column:
-    """Quotient of two whole-number columns, cut towards zero, without passing through doubles."""
-    return F.call_function("div", dividend, divisor)
+def from_units(units: str) -> str:
+    return f"CAST({units} AS DOUBLE) / {UNITS_PER_ONE}D"
 
 
-def mean_rounded_to_cents(units: Column, rows: Column) -> Column:
+def mean_rounded_to_cents(units: str, rows: str) -> str:
     """``round(sum / rows, 2)``, halves away from zero, computed on whole numbers."""
-    cents = whole_division(F.abs(units) + rows * F.lit(UNITS_PER_CENT // 2), rows * F.lit(UNITS_PER_CENT))
-    return F.signum(units) * cents.cast("double") / F.lit(100.0)
+    cents = f"(abs({units}) + {rows} * {UNITS_PER_CENT // 2}) div ({rows} * {UNITS_PER_CENT})"
+    return f"signum({units}) * ({cents}) / 100D"
 
 
-def ratio_rounded(numerator: Column, denominator: Column) -> Column:
+def ratio_rounded(numerator: str, denominator: str) -> str:
     """``round(numerator / denominator, 2)`` of non-negative whole numbers, halves up."""
-    doubled = denominator * F.lit(2)
-    hundredths = whole_division(numerator * F.lit(200) + denominator, doubled)
-    return hundredths.cast("double") / F.lit(100.0)
+    return f"(({numerator}) * 200L + ({denominator})) div (({denominator}) * 2L) / 100D"

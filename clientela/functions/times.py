@@ -1,14 +1,14 @@
 """UTC calendar handling that does not depend on the zone of the session.
 
-Times come as zoneless timestamps that hold UTC, or as instants. Both give the same UTC days.
+Times come as zoneless timestamps that hold UTC, or as instants. Both give the same UTC days. The
+functions return SQL expressions.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType, TimestampNTZType, TimestampType
 
 _MICROS_PER_DAY = 86_400_000_000
@@ -21,36 +21,35 @@ def _kind(df: DataFrame, name: str) -> DataType:
     return kind
 
 
-def day_number(df: DataFrame, name: str) -> Column:
+def day_number(df: DataFrame, name: str) -> str:
     """Days from 1970-01-01 to the UTC day of a time column."""
     if isinstance(_kind(df, name), TimestampNTZType):
-        return F.expr(f"unix_date(CAST({name} AS DATE))")
+        return f"unix_date(CAST({name} AS DATE))"
     micros = f"unix_micros({name})"
-    return F.expr(f"CAST(({micros} - pmod({micros}, {_MICROS_PER_DAY})) div {_MICROS_PER_DAY} AS INT)")
+    return f"CAST(({micros} - pmod({micros}, {_MICROS_PER_DAY})) div {_MICROS_PER_DAY} AS INT)"
 
 
-def day_date(day: Column) -> Column:
-    return F.date_from_unix_date(day)
+def day_date(df: DataFrame, name: str) -> str:
+    return f"date_from_unix_date({day_number(df, name)})"
 
 
-def before_day_after(df: DataFrame, name: str, day: dt.date) -> Column:
+def before_day_after(df: DataFrame, name: str, day: dt.date) -> str:
     """True up to the end of the UTC day ``day``. A plain comparison, so it reaches the file scan."""
     end = day + dt.timedelta(days=1)
     if isinstance(_kind(df, name), TimestampNTZType):
-        return F.expr(f"{name} < TIMESTAMP_NTZ '{end} 00:00:00'")
-    return F.expr(f"{name} < TIMESTAMP_LTZ '{end} 00:00:00Z'")
+        return f"{name} < TIMESTAMP_NTZ '{end} 00:00:00'"
+    return f"{name} < TIMESTAMP_LTZ '{end} 00:00:00Z'"
 
 
-def zone_text(df: DataFrame, name: str, pattern: str, zone: str = "UTC") -> Column:
+def zone_text(df: DataFrame, name: str, pattern: str, zone: str = "UTC") -> str:
     """A time column as text on the clocks of ``zone``."""
-    stored = F.lit("UTC") if isinstance(_kind(df, name), TimestampNTZType) else F.current_timezone()
-    local = F.convert_timezone(stored, F.lit(zone), F.col(name).cast("timestamp_ntz"))
-    return F.date_format(local, pattern)
+    stored = "'UTC'" if isinstance(_kind(df, name), TimestampNTZType) else "current_timezone()"
+    return f"date_format(convert_timezone({stored}, '{zone}', CAST({name} AS TIMESTAMP_NTZ)), '{pattern}')"
 
 
-def month_number(date: Column) -> Column:
-    return F.year(date) * F.lit(12) + F.month(date) - F.lit(1)
+def month_number(date: str) -> str:
+    return f"(year({date}) * 12 + month({date}) - 1)"
 
 
-def reference_date(as_of: dt.date | None) -> Column:
-    return F.current_date() if as_of is None else F.lit(as_of)
+def reference_date(as_of: dt.date | None) -> str:
+    return "current_date()" if as_of is None else f"DATE '{as_of}'"

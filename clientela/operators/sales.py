@@ -64,13 +64,11 @@ def up_to(sales: DataFrame, as_of: dt.date | None) -> DataFrame:
     """Drop sales after ``as_of``, so that a past reference date sees no later sale."""
     if as_of is None:
         return sales
-    return sales.where(F.col("created_at").isNull() | before_day_after(sales, "created_at", as_of))
+    return sales.where(f"created_at IS NULL OR {before_day_after(sales, 'created_at', as_of)}")
 
 
 def _measured(sales: DataFrame) -> DataFrame:
-    return sales.select(
-        *SALE_KEY, day_number(sales, "created_at").alias("day"), to_units(F.col("total")).alias("units")
-    )
+    return sales.selectExpr(*SALE_KEY, f"{day_number(sales, 'created_at')} AS day", f"{to_units('total')} AS units")
 
 
 def key_totals(sales: DataFrame) -> DataFrame:
@@ -103,7 +101,7 @@ def channel_flags() -> list[Column]:
     return [F.expr(f"bool_or(channel = '{channel}') AS {_flag(channel)}") for channel in CHANNELS]
 
 
-def channels_text() -> Column:
+def channels_text() -> str:
     """The channels noted by :func:`channel_flags` in text order, separated by ``/``."""
     parts = ", ".join(f"IF({_flag(channel)}, '{channel}', NULL)" for channel in sorted(CHANNELS))
-    return F.expr(f"concat_ws('/', {parts}) AS sales_channel")
+    return f"concat_ws('/', {parts}) AS sales_channel"

@@ -33,16 +33,16 @@ def campaign_audience(
 def campaign_queue(audience: DataFrame) -> DataFrame:
     """The audience as shown to the person who sends the messages."""
     contacted = zone_text(audience, "last_contact", labels.MINUTE_TEXT)
-    return audience.select(
+    return audience.selectExpr(
         "id",
         "name",
         "phone_number",
         "sales_channel",
         "segmento",
         "frequency",
-        F.date_format("first_purchase", labels.DATE_TEXT).alias("first_purchase"),
-        F.date_format("last_purchase", labels.DATE_TEXT).alias("last_purchase"),
-        F.coalesce(contacted, F.lit(labels.NEVER)).alias("ultimo_contato"),
+        f"date_format(first_purchase, '{labels.DATE_TEXT}') AS first_purchase",
+        f"date_format(last_purchase, '{labels.DATE_TEXT}') AS last_purchase",
+        f"coalesce({contacted}, '{labels.NEVER}') AS ultimo_contato",
     )
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientela.functions.times import day_date, day_number, month_number, reference_date
+from clientela.functions.times import day_date, month_number, reference_date
 from clientela.labels import MONTH_TEXT
 from clientela.operators.identity import identity_links
 from clientela.operators.sales import SALE_KEY, channel_sales, selected_channels, up_to
@@ -23,9 +23,9 @@ def cohort_counts(shop, as_of: dt.date | None = None, channel: str | None = None
     """
     channels = selected_channels(channel)
     sales = up_to(channel_sales(shop, channels), as_of).where("created_at IS NOT NULL")
-    dated = sales.select(*SALE_KEY, day_date(day_number(sales, "created_at")).alias("day"))
     monthly = (
-        dated.select(*SALE_KEY, "day", month_number(F.col("day")).alias("month"))
+        sales.selectExpr(*SALE_KEY, f"{day_date(sales, 'created_at')} AS day")
+        .selectExpr(*SALE_KEY, "day", f"{month_number('day')} AS month")
         .groupBy(*SALE_KEY, "month")
         .agg(F.min("day").alias("first_day"))
     )
@@ -34,15 +34,16 @@ def cohort_counts(shop, as_of: dt.date | None = None, channel: str | None = None
         links.join(monthly, SALE_KEY)
         .groupBy("id")
         .agg(F.min("first_day").alias("first_day"), F.collect_set("month").alias("months"))
-        .where(F.col("first_day") >= F.add_months(reference_date(as_of), -LOOK_BACK_MONTHS))
+        .where(f"first_day >= add_months({reference_date(as_of)}, -{LOOK_BACK_MONTHS})")
     )
     return (
-        customers.select("first_day", F.explode("months").alias("month"))
-        .groupBy(
-            F.trunc("first_day", "MM").alias("cohort_month"),
-            (F.col("month") - month_number(F.col("first_day")) + F.lit(1)).cast("bigint").alias("cohort_index"),
+        customers.selectExpr("first_day", "explode(months) AS month")
+        .selectExpr(
+            "CAST(trunc(first_day, 'MM') AS DATE) AS cohort_month",
+            f"CAST(month - {month_number('first_day')} + 1 AS BIGINT) AS cohort_index",
         )
-        .agg(F.count(F.lit(1)).alias("customers"))
+        .groupBy("cohort_month", "cohort_index")
+        .agg(F.expr("count(1) AS customers"))
     )
 
 
@@ -50,25 +51,20 @@ def cohort_matrix(counts: DataFrame, width: int = LOOK_BACK_MONTHS + 1) -> DataF
     """Columns ``m1 .. m<width>``; a month without customers is null."""
     indexes = list(range(1, width + 1))
     wide = counts.groupBy("cohort_month").pivot("cohort_index", indexes).agg(F.first("customers"))
-    return wide.select("cohort_month", *[F.col(f"`{i}`").alias(f"m{i}") for i in indexes]).orderBy("cohort_month")
+    return wide.toDF("cohort_month", *[f"m{i}" for i in indexes]).orderBy("cohort_month")
+
+
+def _months(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c != "cohort_month"]
 
 
 def cohort_retention(matrix: DataFrame) -> DataFrame:
     """Each month as a share of the cohort's first month."""
-    months = [c for c in matrix.columns if c != "cohort_month"]
-    return matrix.select(
-        F.date_format("cohort_month", MONTH_TEXT).alias("cohort_month"),
-        *[(F.col(m) / F.col("m1")).alias(m) for m in months],
-    )
+    shares = [f"{m} / m1 AS {m}" for m in _months(matrix)]
+    return matrix.selectExpr(f"date_format(cohort_month, '{MONTH_TEXT}') AS cohort_month", *shares)
 
 
 def percent_text(retention: DataFrame) -> DataFrame:
     """Retention as text with one decimal; blank where there is none."""
-    months = [c for c in retention.columns if c != "cohort_month"]
-    return retention.select(
-        "cohort_month",
-        *[
-            F.when(F.col(m).isNotNull(), F.format_string("%.1f%%", F.col(m) * F.lit(100.0))).otherwise(F.lit("")).alias(m)
-            for m in months
-        ],
-    )
+    shown = [f"IF({m} IS NULL, '', format_string('%.1f%%', {m} * 100D)) AS {m}" for m in _months(retention)]
+    return retention.selectExpr("cohort_month", *shown)

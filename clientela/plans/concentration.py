@@ -16,24 +16,22 @@ CYCLE_BARS = 10
 
 def abc_curve(base: DataFrame, one_slice_rows: int = ONE_SLICE_ROWS) -> DataFrame:
     """``position, id, monetary, cum_perc``: customers by value, highest first, with the running share."""
-    table = materialize(base.select("id", "name", "monetary", to_units(F.col("monetary")).alias("units")), "abc")
-    facts = table.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("units").cast("decimal(28,0)")).alias("total")).first()
+    table = materialize(base.selectExpr("id", "name", "monetary", f"{to_units('monetary')} AS units"), "abc")
+    facts = table.agg(F.expr("count(1) AS rows"), F.expr("sum(CAST(units AS DECIMAL(28, 0))) AS total")).first()
     order = [F.desc_nulls_last("monetary"), F.col("id"), F.col("name")]
     ordered = with_global_order(table, order, {"running": "units"}, facts["rows"], one_slice_rows)
-    total = F.lit(float(facts["total"] or 0))
-    share = F.try_divide(F.lit(100.0) * F.col("running").cast("double"), total)
-    return ordered.select("position", "id", "monetary", F.when(F.col("monetary").isNotNull(), share).alias("cum_perc"))
+    share = f"try_divide(100D * CAST(running AS DOUBLE), {float(facts['total'] or 0)!r}D)"
+    return ordered.selectExpr("position", "id", "monetary", f"IF(monetary IS NULL, NULL, {share}) AS cum_perc")
 
 
 def abc_summary(curve: DataFrame, cut: float = VIP_SHARE) -> DataFrame:
     """How many customers lie within the first ``cut`` percent of revenue."""
-    counts = curve.agg(F.count_if(F.col("cum_perc") <= cut).alias("vip_count"), F.count(F.lit(1)).alias("total_count"))
-    share = F.try_divide(F.lit(100.0) * F.col("vip_count"), F.col("total_count").cast("double"))
-    return counts.withColumn("vip_percent", share)
+    counts = curve.agg(F.expr(f"count_if(cum_perc <= {cut}) AS vip_count"), F.expr("count(1) AS total_count"))
+    return counts.selectExpr("*", "try_divide(100D * vip_count, total_count) AS vip_percent")
 
 
 def _returning(base: DataFrame) -> DataFrame:
-    return base.where(F.col("avg_cycle") > 0)
+    return base.where("avg_cycle > 0")
 
 
 def repurchase_cycle(base: DataFrame, top: int = CYCLE_BARS, order: str = "text") -> DataFrame:
@@ -43,10 +41,9 @@ def repurchase_cycle(base: DataFrame, top: int = CYCLE_BARS, order: str = "text"
     """
     if order not in ("text", "numeric"):
         raise ValueError("order is 'text' or 'numeric'")
-    start = (F.floor(F.col("avg_cycle") / F.lit(CYCLE_DAYS)) * F.lit(CYCLE_DAYS)).cast("bigint")
-    label = F.concat(F.col("start"), F.lit("-"), F.col("start") + F.lit(CYCLE_DAYS), F.lit(" dias"))
-    bands = _returning(base).groupBy(start.alias("start")).agg(F.count(F.lit(1)).alias("customers"))
-    named = bands.select("start", label.alias("faixa"), "customers")
+    start = f"CAST(floor(avg_cycle / {CYCLE_DAYS}) * {CYCLE_DAYS} AS BIGINT) AS start"
+    bands = _returning(base).selectExpr(start).groupBy("start").agg(F.expr("count(1) AS customers"))
+    named = bands.selectExpr("start", f"concat(start, '-', start + {CYCLE_DAYS}, ' dias') AS faixa", "customers")
     return named.orderBy("faixa" if order == "text" else "start").limit(top).select("faixa", "customers")
 
 

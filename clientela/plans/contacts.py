@@ -58,7 +58,7 @@ def contact_history(log: DataFrame, customer_id: str) -> DataFrame:
     """Contacts of one customer, newest first."""
     chosen = log.where(F.col("customer_id") == customer_id)
     ordered = chosen.orderBy(F.desc("timestamp"), "message_type", "message_body")
-    return ordered.select(zone_text(log, "timestamp", MINUTE_TEXT).alias("timestamp"), "message_type", "message_body")
+    return ordered.selectExpr(f"{zone_text(log, 'timestamp', MINUTE_TEXT)} AS timestamp", "message_type", "message_body")
 
 
 def headed_history(history: DataFrame) -> DataFrame:
@@ -68,6 +68,5 @@ def headed_history(history: DataFrame) -> DataFrame:
 def latest_events(log: DataFrame, n: int = LATEST_EVENTS) -> DataFrame:
     """The newest ``n`` contacts of all customers."""
     newest = log.orderBy(F.desc("timestamp"), "customer_name", "segment", "message_type").limit(n)
-    return newest.select(
-        zone_text(log, "timestamp", MINUTE_TEXT).alias("timestamp"), "customer_name", "segment", "message_type"
-    )
+    text = zone_text(log, "timestamp", MINUTE_TEXT)
+    return newest.selectExpr(f"{text} AS timestamp", "customer_name", "segment", "message_type")

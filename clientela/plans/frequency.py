@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from clientela.functions.money import from_units, mean_rounded_to_cents, ratio_rounded
 from clientela.functions.text import headed
-from clientela.functions.times import day_date
 from clientela.labels import DATE_TEXT, FREQUENCY_HEADERS
 from clientela.operators.identity import FULL_NAME, identity_links, weighted_links
 from clientela.operators.ordered import with_global_order
@@ -39,18 +38,16 @@ def customer_summary(shop) -> DataFrame:
     )
     steps = "greatest(size(days) - 1, 0)"
     largest_step = f"array_max(zip_with(slice(days, 2, {steps}), slice(days, 1, {steps}), (b, a) -> b - a))"
-    first_day, last_day = F.expr("array_min(days) AS first_day"), F.expr("array_max(days) AS last_day")
-    dated = per_id.select("id", "sales", "dated", "units", channels_text(), first_day, last_day, F.expr(f"{largest_step} AS step"))
-    mean_gap = ratio_rounded(F.expr("CAST(last_day - first_day AS BIGINT)"), F.expr("dated - 1"))
-    return dated.select(
+    mean_gap = ratio_rounded("array_max(days) - array_min(days)", "dated - 1")
+    return per_id.selectExpr(
         "id",
         "sales",
         "units",
-        "sales_channel",
-        "first_day",
-        "last_day",
-        F.when(F.expr("dated > 1"), mean_gap).alias("mean_gap"),
-        F.expr("CASE WHEN dated > 1 THEN CAST(coalesce(step, 0) AS BIGINT) END AS max_gap"),
+        channels_text(),
+        "array_min(days) AS first_day",
+        "array_max(days) AS last_day",
+        f"IF(dated > 1, {mean_gap}, NULL) AS mean_gap",
+        f"IF(dated > 1, CAST(coalesce({largest_step}, 0) AS BIGINT), NULL) AS max_gap",
     )
 
 
@@ -84,16 +81,15 @@ def customer_frequency(
     customers = shop.identity.where(identity_filters(name, phone_number, document_number)).selectExpr(
         "id", f"{FULL_NAME} AS name", "document_number", "phone_number"
     )
-    repeated = F.col("sales") > 1
-    return customers.join(summary, "id").select(
+    return customers.join(summary, "id").selectExpr(
         "name",
-        F.date_format(day_date(F.col("first_day")), DATE_TEXT).alias("primeira_compra"),
-        F.date_format(day_date(F.col("last_day")), DATE_TEXT).alias("ultima_compra"),
-        F.col("sales").alias("num_compras"),
-        from_units(F.col("units")).alias("total_gasto"),
-        mean_rounded_to_cents(F.col("units"), F.col("sales")).alias("ticket_medio"),
-        F.when(repeated, F.col("mean_gap")).otherwise(F.lit(0.0)).alias("media_frequencia_compra"),
-        F.when(repeated, F.col("max_gap")).otherwise(F.lit(0)).alias("max_dias_sem_recompra"),
+        f"date_format(date_from_unix_date(first_day), '{DATE_TEXT}') AS primeira_compra",
+        f"date_format(date_from_unix_date(last_day), '{DATE_TEXT}') AS ultima_compra",
+        "sales AS num_compras",
+        f"{from_units('units')} AS total_gasto",
+        f"{mean_rounded_to_cents('units', 'sales')} AS ticket_medio",
+        "IF(sales > 1, mean_gap, 0D) AS media_frequencia_compra",
+        "IF(sales > 1, max_gap, 0L) AS max_dias_sem_recompra",
         "sales_channel",
         "document_number",
         "phone_number",
@@ -142,7 +138,7 @@ def customer_count(
         .join(selling_keys(channel_sales(shop)), SALE_KEY)
         .groupBy("id")
         .agg(*channel_flags())
-        .select("id", channels_text())
+        .selectExpr("id", channels_text())
     )
     if sales_channel:
         selling = selling.where(F.col("sales_channel") == normalized_channels(sales_channel))
@@ -153,6 +149,4 @@ def customer_count(
 
 
 def customer_page_count(count: DataFrame, rows_per_page: int = 25) -> DataFrame:
-    return count.select(
-        F.col("n").alias("total"), F.ceil(F.col("n") / F.lit(rows_per_page)).cast("bigint").alias("total_pages")
-    )
+    return count.selectExpr("n AS total", f"(n + {rows_per_page - 1}) div {rows_per_page} AS total_pages")

@@ -19,4 +19,4 @@ def process_last_run(runs: DataFrame, process_keys: Sequence[str]) -> DataFrame:
 
 
 def run_text(runs: DataFrame) -> DataFrame:
-    return runs.select("name", zone_text(runs, "last_run_date", SECOND_TEXT).alias("last_run"))
+    return runs.selectExpr("name", f"{zone_text(runs, 'last_run_date', SECOND_TEXT)} AS last_run")

@@ -3,7 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+_OVERLAP = """
+WITH ifood AS (
+  SELECT document_number, count(1) AS c, count(id) AS c_id FROM {ifood} GROUP BY document_number),
+food99 AS (
+  SELECT phone_number, count(1) AS u, count(c_uid) AS u_id FROM {food99} GROUP BY phone_number),
+store AS (
+  SELECT document_number, phone_number, count(1) AS s FROM {store} GROUP BY document_number, phone_number),
+matched AS (
+  SELECT s, IF(store.document_number IS NULL, 0, s) AS documented, coalesce(c, 1) AS apps, coalesce(c_id, 0) AS app_ids,
+         coalesce(u, 1) AS foods, coalesce(u_id, 0) AS food_ids
+  FROM store
+  LEFT JOIN ifood ON store.document_number = ifood.document_number
+  LEFT JOIN food99 ON store.phone_number = food99.phone_number),
+parts AS (
+  SELECT sum(s * apps * foods) AS total, sum(s * app_ids * foods) AS app, sum(documented * apps * foods) AS shop,
+         sum(s * apps * food_ids) AS food, sum(documented * apps * food_ids) AS shop_food,
+         sum(s * app_ids * foods) AS shop_app, sum(s * app_ids * food_ids) AS app_food
+  FROM matched
+  UNION ALL
+  SELECT sum(c), sum(c_id), 0, 0, 0, 0, 0
+  FROM ifood LEFT ANTI JOIN (SELECT DISTINCT document_number FROM store) d ON ifood.document_number = d.document_number
+  UNION ALL
+  SELECT sum(u), 0, 0, sum(u_id), 0, 0, 0
+  FROM food99 LEFT ANTI JOIN (SELECT DISTINCT phone_number FROM store) p ON food99.phone_number = p.phone_number),
+totals AS (
+  SELECT coalesce(sum(total), 0) AS total, coalesce(sum(app), 0) AS app, coalesce(sum(shop), 0) AS shop,
+         coalesce(sum(food), 0) AS food, coalesce(sum(shop_food), 0) AS shop_food,
+         coalesce(sum(shop_app), 0) AS shop_app, coalesce(sum(app_food), 0) AS app_food
+  FROM parts)
+SELECT total AS total_cliente, app AS clientes_ifood, shop AS clientes_loja, food AS clientes_99food,
+       shop_food AS clientes_loja_99food, shop_app AS clientes_loja_ifood,
+       -- food99 meets the app registry only through a store row, so this pair is always a triple
+       app_food AS clientes_ifood_99food, app_food AS clientes_loja_ifood_99food
+FROM totals
+"""
 
 
 def channel_overlap(shop) -> DataFrame:
@@ -13,48 +48,5 @@ def channel_overlap(shop) -> DataFrame:
     ``max(c,1) * max(u,1)`` identity rows. Counting with these products never builds the rows, so a
     document or phone shared by very many rows costs one row here.
     """
-    ones = F.count(F.lit(1))
-    ifood = shop.ifood_customer.groupBy("document_number").agg(ones.alias("c"), F.count("id").alias("c_id"))
-    food99 = shop.food99_customer.groupBy("phone_number").agg(ones.alias("u"), F.count("c_uid").alias("u_id"))
-    store = shop.store_customer.groupBy("document_number", "phone_number").agg(ones.alias("s"))
-
-    def part(df: DataFrame, total, app, loja, food, loja_food, loja_app, app_food) -> DataFrame:
-        named = {
-            "total_cliente": total,
-            "clientes_ifood": app,
-            "clientes_loja": loja,
-            "clientes_99food": food,
-            "clientes_loja_99food": loja_food,
-            "clientes_loja_ifood": loja_app,
-            "clientes_ifood_99food": app_food,
-            # food99 meets the app registry only through a store row, so this pair is always a triple
-            "clientes_loja_ifood_99food": app_food,
-        }
-        return df.agg(*[F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias(name) for name, value in named.items()])
-
-    def count_of(name: str):
-        return F.coalesce(F.col(name), F.lit(0))
-
-    rows_app, rows_food = F.coalesce("c", F.lit(1)), F.coalesce("u", F.lit(1))
-    documented = F.when(F.col("document_number").isNotNull(), F.col("s")).otherwise(F.lit(0))
-    none = F.lit(0)
-    from_store = part(
-        store.join(ifood, "document_number", "left").join(food99, "phone_number", "left"),
-        F.col("s") * rows_app * rows_food,
-        F.col("s") * count_of("c_id") * rows_food,
-        documented * rows_app * rows_food,
-        F.col("s") * rows_app * count_of("u_id"),
-        documented * rows_app * count_of("u_id"),
-        F.col("s") * count_of("c_id") * rows_food,
-        F.col("s") * count_of("c_id") * count_of("u_id"),
-    )
-    documents = shop.store_customer.select("document_number").distinct()
-    phones = shop.store_customer.select("phone_number").distinct()
-    ifood_only = part(
-        ifood.join(documents, "document_number", "left_anti"), F.col("c"), F.col("c_id"), none, none, none, none, none
-    )
-    food99_only = part(
-        food99.join(phones, "phone_number", "left_anti"), F.col("u"), none, none, F.col("u_id"), none, none, none
-    )
-    parts = from_store.unionByName(ifood_only).unionByName(food99_only)
-    return parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
+    spark = shop.store_customer.sparkSession
+    return spark.sql(_OVERLAP, ifood=shop.ifood_customer, store=shop.store_customer, food99=shop.food99_customer)

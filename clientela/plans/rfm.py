@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clientela import labels
 from clientela.functions.money import from_units
 from clientela.functions.text import headed
-from clientela.functions.times import day_date, reference_date
+from clientela.functions.times import reference_date
 from clientela.operators.identity import FULL_NAME, identity_links, weighted_links
 from clientela.operators.ordered import ONE_SLICE_ROWS, order_statistics
 from clientela.operators.sales import (
@@ -78,31 +78,31 @@ def rfm_base(shop, as_of: dt.date | None = None, channel: str | None = None) ->
     links = weighted_links(identity_links(shop.identity, carried, channels), F.expr("max(phone_number) AS phone_number"))
     sales = up_to(channel_sales(shop, channels), as_of)
     several = _ids_with_several_names(shop.identity)
-    one_name = F.expr("CASE WHEN dated > 1 THEN CAST(last_day - first_day AS DOUBLE) / (dated - 1) END AS avg_cycle")
+    one_name = "CASE WHEN dated > 1 THEN CAST(last_day - first_day AS DOUBLE) / (dated - 1) END AS avg_cycle"
     if several.isEmpty():
-        customers = _per_customer(links, sales).select("*", one_name)
+        customers = _per_customer(links, sales).selectExpr("*", one_name)
     else:
         shared = links.join(several, "id", "left_semi")
         gaps = "dated - coalesce(starts, 0)"
-        credited = F.expr(f"CASE WHEN {gaps} > 0 THEN CAST(coalesce(steps, 0) AS DOUBLE) / ({gaps}) END AS avg_cycle")
+        credited = f"CASE WHEN {gaps} > 0 THEN CAST(coalesce(steps, 0) AS DOUBLE) / ({gaps}) END AS avg_cycle"
         many_names = (
             _per_customer(shared, sales)
             .join(_gaps_by_name(shared, sales), CUSTOMER_KEY, "left")
-            .select("*", credited)
+            .selectExpr("*", credited)
             .drop("steps", "starts")
         )
         alone = links.join(several, "id", "left_anti")
-        customers = _per_customer(alone, sales).select("*", one_name).unionByName(many_names)
-    last = day_date(F.col("last_day"))
-    return customers.select(
+        customers = _per_customer(alone, sales).selectExpr("*", one_name).unionByName(many_names)
+    last = "date_from_unix_date(last_day)"
+    return customers.selectExpr(
         "id",
         "name",
         "phone_number",
-        from_units(F.col("units")).alias("monetary"),
+        f"{from_units('units')} AS monetary",
         "frequency",
-        day_date(F.col("first_day")).alias("first_purchase"),
-        last.alias("last_purchase"),
-        F.datediff(reference_date(as_of), last).cast("bigint").alias("recency"),
+        "date_from_unix_date(first_day) AS first_purchase",
+        f"{last} AS last_purchase",
+        f"CAST(datediff({reference_date(as_of)}, {last}) AS BIGINT) AS recency",
         "avg_cycle",
         channels_text(),
     )
@@ -136,41 +136,40 @@ def _require_distinct(edges: list, column: str) -> None:
         raise QuartileError(f"quartile edges of {column} coincide: {[float(e) for e in edges]}")
 
 
-def _above(checks: list[Column]) -> Column:
-    total = F.lit(0)
-    for check in checks:
-        total = total + check.cast("int")
-    return total
+def _above(column: str, cuts: list[float]) -> str:
+    """Number of cuts a value lies above."""
+    return " + ".join(f"int({column} > {cut!r}D)" for cut in cuts)
 
 
 def _with_scores(table: DataFrame, rows: int, recency_edges: list[float], one_slice_rows: int) -> DataFrame:
     _require_distinct(recency_edges, "recency")
-    r_score = F.lit(4) - _above([F.col("recency") > F.lit(edge) for edge in recency_edges[1:4]])
-
     around = sorted({p for low, high, _ in _edge_positions(rows) for p in (low, high)})
     money = order_statistics(table, ["monetary", *CUSTOMER_KEY], around, rows, one_slice_rows)
     _require_distinct(_edges(money, "monetary", rows), "monetary")
     # No value lies strictly between the two neighbours of an edge, so "above the edge" is the same
     # as "above its lower neighbour".
     cuts = [low for low, _, _ in _edge_positions(rows)[1:4]]
-    m_score = F.lit(1) + _above([F.col("monetary") > F.lit(money[cut]["monetary"]) for cut in cuts])
 
     # The frequency score cuts ranks, not values; ties rank by id, then name.
     ranked = ["frequency", *CUSTOMER_KEY]
     ranks = order_statistics(table, ranked, cuts, rows, one_slice_rows)
-    limits = [F.struct(F.lit(ranks[c]["frequency"]).cast("bigint"), F.lit(ranks[c]["id"]), F.lit(ranks[c]["name"])) for c in cuts]
-    f_score = F.lit(1) + _above([F.struct(*ranked) > limit for limit in limits])
-
-    scored = table.select("*", r_score.alias("r_score"), f_score.alias("f_score"), m_score.alias("m_score"))
-    return scored.withColumn("rfm_score", F.col("r_score") + F.col("f_score") + F.col("m_score"))
+    f_score = F.lit(1)
+    for cut in cuts:
+        limit = F.struct(*[F.lit(ranks[cut][c]).cast(table.schema[c].dataType) for c in ranked])
+        f_score = f_score + (F.struct(*ranked) > limit).cast("int")
+    scored = table.select(
+        "*",
+        F.expr(f"4 - ({_above('recency', recency_edges[1:4])}) AS r_score"),
+        f_score.alias("f_score"),
+        F.expr(f"1 + {_above('monetary', [money[cut]['monetary'] for cut in cuts])} AS m_score"),
+    )
+    return scored.selectExpr("*", "r_score + f_score + m_score AS rfm_score")
 
 
-def segment_label(score: Column) -> Column:
+def segment_label(score: str) -> Column:
     *floors, (_, lowest) = labels.SEGMENTS
-    label = F.when(score >= floors[0][0], F.lit(floors[0][1]))
-    for floor, name in floors[1:]:
-        label = label.when(score >= floor, F.lit(name))
-    return label.otherwise(F.lit(lowest))
+    whens = " ".join(f"WHEN {score} >= {floor} THEN '{name}'" for floor, name in floors)
+    return F.expr(f"CASE {whens} ELSE '{lowest}' END")
 
 
 def rfm_segments(base: DataFrame, on_ties: str = "raise", one_slice_rows: int = ONE_SLICE_ROWS) -> DataFrame:
@@ -183,16 +182,15 @@ def rfm_segments(base: DataFrame, on_ties: str = "raise", one_slice_rows: int =
     if on_ties not in ("raise", "empty"):
         raise ValueError("on_ties is 'raise' or 'empty'")
     table = materialize(base, "rfm")
-    quarters = F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)])
     # recency is a whole number of days: the calendar bounds the distinct values this aggregate holds
     facts = table.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("recency").isNull() | F.col("monetary").isNull()).alias("incomplete"),
-        F.percentile("recency", quarters).alias("recency_edges"),
+        F.expr("count(1) AS rows"),
+        F.expr("count_if(recency IS NULL OR monetary IS NULL) AS incomplete"),
+        F.expr("percentile(recency, array(0D, 0.25D, 0.5D, 0.75D, 1D)) AS recency_edges"),
     ).first()
-    unscored = [F.lit(None).cast("int").alias(c) for c in ("r_score", "f_score", "m_score", "rfm_score")]
+    unscored = [f"CAST(NULL AS INT) AS {c}" for c in ("r_score", "f_score", "m_score", "rfm_score")]
     if facts["rows"] < labels.MIN_SCORED_CUSTOMERS:
-        return table.select("*", *unscored, F.lit(labels.BEGINNER).alias("segmento"))
+        return table.selectExpr("*", *unscored, f"'{labels.BEGINNER}' AS segmento")
     try:
         if facts["incomplete"]:
             raise QuartileError(f"{facts['incomplete']} customers have no recency or no monetary value")
@@ -200,8 +198,8 @@ def rfm_segments(base: DataFrame, on_ties: str = "raise", one_slice_rows: int =
     except QuartileError:
         if on_ties == "raise":
             raise
-        return table.limit(0).select("*", *unscored, F.lit(None).cast("string").alias("segmento"))
-    return scored.withColumn("segmento", segment_label(F.col("rfm_score")))
+        return table.limit(0).selectExpr("*", *unscored, "CAST(NULL AS STRING) AS segmento")
+    return scored.withColumn("segmento", segment_label("rfm_score"))
 
 
 def segment_counts(segments: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientela.functions.text import headed
-from clientela.functions.times import day_date, day_number, zone_text
+from clientela.functions.times import day_date, zone_text
 from clientela.labels import CHANNELS, DISPLAY_ZONE, MINUTE_TEXT, TRANSACTION_HEADERS
 from clientela.operators.identity import identity_links
 from clientela.operators.sales import SALE_KEY, channel_sales
@@ -20,11 +20,11 @@ COPIES_PER_BLOCK = 10_000
 def transactions(shop) -> DataFrame:
     """``id, sales_date, total, channel``: each sale once per identity row that owns its key."""
     sales = channel_sales(shop)
-    dated = sales.select(*SALE_KEY, day_date(day_number(sales, "created_at")).alias("sales_date"), "total")
+    dated = sales.selectExpr(*SALE_KEY, f"{day_date(sales, 'created_at')} AS sales_date", "total")
     return dated.join(identity_links(shop.identity), SALE_KEY).select("id", "sales_date", "total", "channel")
 
 
-def _leading_sale() -> tuple[list[Column], Column, Column]:
+def _leading_sale() -> tuple[list[Column], str, str]:
     """The first sale of a group by channel and total (nulls first).
 
     Returns fixed-width aggregates (so that a hash aggregate can hold them) and, over their results,
@@ -39,7 +39,7 @@ def _leading_sale() -> tuple[list[Column], Column, Column]:
         ]
         channel = f"IF(has_{i}, '{name}', {channel})"
         total = f"IF(has_{i}, IF(blank_{i}, NULL, least_{i}), {total})"
-    return noted, F.expr(f"{channel} AS lead_channel"), F.expr(f"{total} AS lead_total")
+    return noted, f"{channel} AS lead_channel", f"{total} AS lead_total"
 
 
 def purchase_gaps(shop) -> DataFrame:
@@ -58,24 +58,24 @@ def purchase_gaps(shop) -> DataFrame:
     days = (
         folded.groupBy("id", "sales_date")
         .agg(*noted, F.expr(f"max({last_block}) AS blocks"))
-        .withColumn("days", F.datediff("sales_date", F.lag("sales_date").over(by_day)).cast("bigint"))
-        .select(
-            F.expr("id AS day_id"), F.expr("sales_date AS day_date"), lead_channel, lead_total, "days",
-            F.expr("explode(sequence(0L, blocks)) AS day_block"),
+        .withColumn("previous", F.lag("sales_date").over(by_day))
+        .selectExpr(
+            "id AS day_id", "sales_date AS day_date", lead_channel, lead_total,
+            "CAST(datediff(sales_date, previous) AS BIGINT) AS days", "explode(sequence(0L, blocks)) AS day_block",
         )
     )
-    blocks = folded.select("*", F.expr(f"explode(sequence(0L, {last_block})) AS block"))
+    blocks = folded.selectExpr("*", f"explode(sequence(0L, {last_block})) AS block")
     first, last = f"block * {COPIES_PER_BLOCK} + 1", f"least((block + 1) * {COPIES_PER_BLOCK}, copies)"
     leads = "copy = 1 AND channel = lead_channel AND total <=> lead_total"
     return (
         blocks.join(days, F.expr("id = day_id AND sales_date <=> day_date AND block = day_block"))
-        .select("*", F.expr(f"explode(sequence({first}, {last})) AS copy"))
-        .select(
+        .selectExpr("*", f"explode(sequence({first}, {last})) AS copy")
+        .selectExpr(
             "id",
             "sales_date",
             "channel",
             "total",
-            F.expr(f"CASE WHEN {leads} THEN days WHEN sales_date IS NOT NULL THEN 0L END AS days_between"),
+            f"CASE WHEN {leads} THEN days WHEN sales_date IS NOT NULL THEN 0L END AS days_between",
         )
     )
 
@@ -94,12 +94,8 @@ def customer_transactions(shop, customer_id: str | None = None, zone: str = DISP
             keys[row["channel"]].append(row["native_key"])
     owned = channel_sales(shop, keys=keys).join(links, SALE_KEY)
     newest = [F.desc("created_at"), "id", "channel", "total"]
-    return owned.orderBy(*newest).select(
-        "id",
-        F.col("channel").alias("canal"),
-        zone_text(owned, "created_at", MINUTE_TEXT, zone).alias("data_venda"),
-        "total",
-    )
+    text = zone_text(owned, "created_at", MINUTE_TEXT, zone)
+    return owned.orderBy(*newest).selectExpr("id", "channel AS canal", f"{text} AS data_venda", "total")
 
 
 def headed_transactions(sales: DataFrame) -> DataFrame:

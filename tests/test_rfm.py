@@ -80,7 +80,7 @@ def test_wrong_option(spark):
 
 def test_labels_by_score(spark):
     scores = local_frame(spark, [(s,) for s in range(3, 13)], "s bigint")
-    got = [row[0] for row in scores.select(rfm.segment_label(scores["s"])).collect()]
+    got = [row[0] for row in scores.select(rfm.segment_label("s")).collect()]
     champions, loyal, potential, at_risk = labels.SEGMENT_LABELS
     assert got == [at_risk] * 3 + [potential] * 2 + [loyal] * 2 + [champions] * 3
 
