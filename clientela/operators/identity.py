@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientela.labels import CHANNELS, FOOD99, IFOOD, STORE
@@ -94,7 +94,6 @@ def identity_links(identity: DataFrame, carried: Sequence[str] = (), channels: S
     return known.selectExpr("id", *carried, stacked(keys)).where("native_key IS NOT NULL")
 
 
-def weighted_links(links: DataFrame, *also: Column) -> DataFrame:
+def weighted_links(links: DataFrame) -> DataFrame:
     """Fold repeated links into one row with the number of times they occur (``copies``)."""
-    keys = [c for c in links.columns if c != "phone_number"]
-    return links.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), *also)
+    return links.groupBy(*links.columns).agg(F.expr("count(1) AS copies"))

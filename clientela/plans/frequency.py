@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientela.functions.money import from_units, mean_rounded_to_cents, ratio_rounded
@@ -21,33 +21,35 @@ LISTING_ORDER = ("id", "name", "document_number", "phone_number")
 def customer_summary(shop) -> DataFrame:
     """Per ``id``: sales, totals, first and last day, gap statistics and channel text.
 
-    The gaps between consecutive purchases add up to last day - first day, so their mean needs no
-    ordered window; the largest gap comes from the list of distinct days, which the calendar bounds.
+    Only the sums per key and day are ordered by customer, so the calendar bounds the window of one
+    customer, however many sales it has. The gaps between consecutive purchases add up to
+    last day - first day; the largest one lies between two of the days.
     """
     links = weighted_links(identity_links(shop.identity))
+    by_day = Window.partitionBy("id").orderBy("day")
     per_id = (
         links.join(daily_totals(channel_sales(shop)), SALE_KEY)
+        .withColumn("previous", F.lag("day").over(by_day))
         .groupBy("id")
         .agg(
             F.expr("sum(sales * copies) AS sales"),
             F.expr("sum(IF(day IS NULL, 0, sales * copies)) AS dated"),
             F.expr("sum(units * copies) AS units"),
-            F.expr("array_sort(collect_set(day)) AS days"),
+            F.expr("min(day) AS first_day"),
+            F.expr("max(day) AS last_day"),
+            F.expr("max(day - previous) AS largest_step"),
             *channel_flags(),
         )
     )
-    steps = "greatest(size(days) - 1, 0)"
-    largest_step = f"array_max(zip_with(slice(days, 2, {steps}), slice(days, 1, {steps}), (b, a) -> b - a))"
-    mean_gap = ratio_rounded("array_max(days) - array_min(days)", "dated - 1")
     return per_id.selectExpr(
         "id",
         "sales",
         "units",
         channels_text(),
-        "array_min(days) AS first_day",
-        "array_max(days) AS last_day",
-        f"IF(dated > 1, {mean_gap}, NULL) AS mean_gap",
-        f"IF(dated > 1, CAST(coalesce({largest_step}, 0) AS BIGINT), NULL) AS max_gap",
+        "first_day",
+        "last_day",
+        f"IF(dated > 1, {ratio_rounded('last_day - first_day', 'dated - 1')}, NULL) AS mean_gap",
+        "IF(dated > 1, CAST(coalesce(largest_step, 0) AS BIGINT), NULL) AS max_gap",
     )
 
 

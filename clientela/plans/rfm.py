@@ -75,7 +75,7 @@ def rfm_base(shop, as_of: dt.date | None = None, channel: str | None = None) ->
     """
     channels = selected_channels(channel)
     carried = [f"{FULL_NAME} AS name", "coalesce(phone_number, '') AS phone_number"]
-    links = weighted_links(identity_links(shop.identity, carried, channels), F.expr("max(phone_number) AS phone_number"))
+    links = weighted_links(identity_links(shop.identity, carried, channels))
     sales = up_to(channel_sales(shop, channels), as_of)
     several = _ids_with_several_names(shop.identity)
     one_name = "CASE WHEN dated > 1 THEN CAST(last_day - first_day AS DOUBLE) / (dated - 1) END AS avg_cycle"

@@ -13,8 +13,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Day lists are gathered per key with an object-hash aggregate. The default of 128 groups makes it
-    # fall back to sorting at once; a group here is a short list of day numbers, so many fit.
+    # The cohorts gather a customer's months with an object-hash aggregate. The default of 128 groups makes
+    # it fall back to sorting at once; a group here is a short list of month numbers, so many fit.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
