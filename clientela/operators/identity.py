@@ -4,8 +4,9 @@ The relation is ``ifood FULL JOIN store ON document FULL JOIN food99 ON store ph
 join cannot be split when one document or phone is hot, and it sends all rows without a key to one
 task. So each full join is written as its three disjoint parts: matches (inner), left rows without a
 match and right rows without a match (anti). The adaptive planner can split a hot key in each of
-these, and the side that only tests for a match is cut down to distinct keys first. Rows without a
-key get one that nothing on the other side equals, which spreads them over all tasks.
+these, and the side that only tests for a match is first cut down to at most 16 rows per key (not to
+one: an aggregate by the join key itself would keep the join from being split). Rows without a key get one
+that nothing on the other side equals, which spreads them over all tasks.
 """
 
 from __future__ import annotations
@@ -36,22 +37,22 @@ store_rows AS (
   FROM store JOIN food99 ON store.phone_key = food99.phone_key
   UNION ALL
   SELECT store.* EXCEPT (phone_key), NULL, NULL, NULL, NULL
-  FROM store LEFT ANTI JOIN (SELECT DISTINCT phone_key FROM food99 WHERE n_phone IS NOT NULL) p ON store.phone_key = p.phone_key),
+  FROM store LEFT ANTI JOIN (SELECT DISTINCT phone_key, pmod(hash(n_uid), 16) AS part FROM food99 WHERE n_phone IS NOT NULL) p ON store.phone_key = p.phone_key),
 registry_rows AS (
   SELECT s.* EXCEPT (document_key), c_id, c_document, c_first, c_last
   FROM store_rows s JOIN ifood ON s.document_key = ifood.document_key
   UNION ALL
   SELECT s.* EXCEPT (document_key), NULL, NULL, NULL, NULL
   FROM store_rows s
-  LEFT ANTI JOIN (SELECT DISTINCT document_key FROM ifood WHERE c_document IS NOT NULL) d ON s.document_key = d.document_key
+  LEFT ANTI JOIN (SELECT DISTINCT document_key, pmod(hash(c_id), 16) AS part FROM ifood WHERE c_document IS NOT NULL) d ON s.document_key = d.document_key
   UNION ALL
   SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, c_id, c_document, c_first, c_last
   FROM ifood
-  LEFT ANTI JOIN (SELECT DISTINCT document_key FROM store WHERE s_document IS NOT NULL) d ON ifood.document_key = d.document_key
+  LEFT ANTI JOIN (SELECT DISTINCT document_key, pmod(hash(s_phone), 16) AS part FROM store WHERE s_document IS NOT NULL) d ON ifood.document_key = d.document_key
   UNION ALL
   SELECT NULL, NULL, NULL, NULL, n_uid, n_phone, n_first, n_last, NULL, NULL, NULL, NULL
   FROM food99
-  LEFT ANTI JOIN (SELECT DISTINCT phone_key FROM store WHERE s_phone IS NOT NULL) p ON food99.phone_key = p.phone_key)
+  LEFT ANTI JOIN (SELECT DISTINCT phone_key, pmod(hash(s_document), 16) AS part FROM store WHERE s_phone IS NOT NULL) p ON food99.phone_key = p.phone_key)
 SELECT concat_ws({id_sep}, coalesce(c_id, ''), coalesce(n_uid, ''), coalesce(s_document, '')) AS id,
        coalesce(c_id, n_uid) AS customer_id,
        coalesce(n_first, c_first, s_first, '') AS first_name,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clientela import labels
 from clientela.functions.text import clean_phone, fill, first_word, headed, percent_encode
 from clientela.functions.times import zone_text
+from clientela.operators.joins import join_unique
 from clientela.plans.rfm import in_segment
 
 SHORTEST_PHONE = 6
@@ -27,7 +28,7 @@ def campaign_audience(
     if phone_only:
         chosen = chosen.where(F.length("phone_number") >= SHORTEST_PHONE)
     contacted = last_contact.select(F.col("customer_id").cast("string").alias("id"), "last_contact")
-    return chosen.join(contacted, "id", "left")
+    return join_unique(chosen, contacted, ["id"], "left")
 
 
 def campaign_queue(audience: DataFrame) -> DataFrame:

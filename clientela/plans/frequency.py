@@ -9,6 +9,7 @@ from clientela.functions.money import from_units, mean_rounded_to_cents, ratio_r
 from clientela.functions.text import headed
 from clientela.labels import DATE_TEXT, FREQUENCY_HEADERS
 from clientela.operators.identity import FULL_NAME, identity_links, weighted_links
+from clientela.operators.joins import join_unique
 from clientela.operators.ordered import with_global_order
 from clientela.operators.sales import SALE_KEY, channel_flags, channel_sales, channels_text, daily_totals, selling_keys
 
@@ -83,7 +84,7 @@ def customer_frequency(
     customers = shop.identity.where(identity_filters(name, phone_number, document_number)).selectExpr(
         "id", f"{FULL_NAME} AS name", "document_number", "phone_number"
     )
-    return customers.join(summary, "id").selectExpr(
+    return join_unique(customers, summary, ["id"]).selectExpr(
         "name",
         f"date_format(date_from_unix_date(first_day), '{DATE_TEXT}') AS primeira_compra",
         f"date_format(date_from_unix_date(last_day), '{DATE_TEXT}') AS ultima_compra",
@@ -134,10 +135,9 @@ def customer_count(
     document_number: str | None = None,
 ) -> DataFrame:
     """Distinct customers behind the listing with the same filters. Reads keys only, no dates or totals."""
+    links = identity_links(shop.identity).distinct()
     selling = (
-        identity_links(shop.identity)
-        .distinct()
-        .join(selling_keys(channel_sales(shop)), SALE_KEY)
+        join_unique(links, selling_keys(channel_sales(shop)), SALE_KEY)
         .groupBy("id")
         .agg(*channel_flags())
         .selectExpr("id", channels_text())

@@ -15,8 +15,8 @@ matched AS (
   SELECT s, IF(store.document_number IS NULL, 0, s) AS documented, coalesce(c, 1) AS apps, coalesce(c_id, 0) AS app_ids,
          coalesce(u, 1) AS foods, coalesce(u_id, 0) AS food_ids
   FROM store
-  LEFT JOIN ifood ON store.document_number = ifood.document_number
-  LEFT JOIN food99 ON store.phone_number = food99.phone_number),
+  LEFT JOIN ifood ON '=' || store.document_number = '=' || ifood.document_number
+  LEFT JOIN food99 ON '=' || store.phone_number = '=' || food99.phone_number),
 parts AS (
   SELECT sum(s * apps * foods) AS total, sum(s * app_ids * foods) AS app, sum(documented * apps * foods) AS shop,
          sum(s * apps * food_ids) AS food, sum(documented * apps * food_ids) AS shop_food,
@@ -46,7 +46,8 @@ def channel_overlap(shop) -> DataFrame:
 
     A store row with ``c`` app customers on its document and ``u`` food99 customers on its phone makes
     ``max(c,1) * max(u,1)`` identity rows. Counting with these products never builds the rows, so a
-    document or phone shared by very many rows costs one row here.
+    document or phone shared by very many rows costs one row here. The joins compare marked keys for
+    the reason given in :func:`clientela.operators.joins.join_unique`.
     """
     spark = shop.store_customer.sparkSession
     return spark.sql(_OVERLAP, ifood=shop.ifood_customer, store=shop.store_customer, food99=shop.food99_customer)

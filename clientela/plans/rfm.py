@@ -13,6 +13,7 @@ from clientela.functions.money import from_units
 from clientela.functions.text import headed
 from clientela.functions.times import reference_date
 from clientela.operators.identity import FULL_NAME, identity_links, weighted_links
+from clientela.operators.joins import join_unique
 from clientela.operators.ordered import ONE_SLICE_ROWS, order_statistics
 from clientela.operators.sales import (
     SALE_KEY,
@@ -36,7 +37,7 @@ def _ids_with_several_names(identity: DataFrame) -> DataFrame:
 
 def _per_customer(links: DataFrame, sales: DataFrame) -> DataFrame:
     """Fold sales to one row per ``(id, name)``; each key is summed before it meets its identities."""
-    return links.join(key_totals(sales), SALE_KEY).groupBy(*CUSTOMER_KEY).agg(
+    return join_unique(links, key_totals(sales), SALE_KEY).groupBy(*CUSTOMER_KEY).agg(
         F.expr("max(phone_number) AS phone_number"),
         F.expr("sum(units * copies) AS units"),
         F.expr("sum(sales * copies) AS frequency"),
@@ -82,7 +83,7 @@ def rfm_base(shop, as_of: dt.date | None = None, channel: str | None = None) ->
     if several.isEmpty():
         customers = _per_customer(links, sales).selectExpr("*", one_name)
     else:
-        shared = links.join(several, "id", "left_semi")
+        shared = join_unique(links, several, ["id"], "left_semi")
         gaps = "dated - coalesce(starts, 0)"
         credited = f"CASE WHEN {gaps} > 0 THEN CAST(coalesce(steps, 0) AS DOUBLE) / ({gaps}) END AS avg_cycle"
         many_names = (
@@ -91,7 +92,7 @@ def rfm_base(shop, as_of: dt.date | None = None, channel: str | None = None) ->
             .selectExpr("*", credited)
             .drop("steps", "starts")
         )
-        alone = links.join(several, "id", "left_anti")
+        alone = join_unique(links, several, ["id"], "left_anti")
         customers = _per_customer(alone, sales).selectExpr("*", one_name).unionByName(many_names)
     last = "date_from_unix_date(last_day)"
     return customers.selectExpr(

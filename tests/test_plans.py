@@ -136,3 +136,32 @@ def test_scratch_is_refused_on_a_cluster_without_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         session_module.scratch_root(Session())
+
+
+def sides_of_joins(plan):
+    """For each sort-merge join, the operators under the sorts of its two sides."""
+    lines = plan.splitlines()
+    depth = [re.search(r"\w", line).start() if re.search(r"\w", line) else 0 for line in lines]
+    for i, line in enumerate(lines):
+        if "SortMergeJoin" in line:
+            for j in range(i + 1, len(lines)):
+                if depth[j] <= depth[i]:
+                    break
+                if depth[j] == depth[i] + 3:
+                    assert "Sort [" in lines[j]
+                    yield line.strip(), lines[j + 1].strip()
+
+
+SPLITTABLE = {
+    **{name: ANALYSES[name] for name in ("frequency", "count", "rfm", "cohort", "transactions", "gaps")},
+    "identity": lambda shop: sample_shop(shop.store_customer.sparkSession, FOLDER).identity,
+}
+
+
+@pytest.mark.parametrize("name", sorted(SPLITTABLE))
+def test_both_sides_of_every_join_come_from_a_shuffle(shop, name):
+    """Adaptive execution splits a hot partition only then."""
+    sides = list(sides_of_joins(plan_of(SPLITTABLE[name](shop))))
+    assert sides
+    for join, side in sides:
+        assert "Exchange" in side, (join, side)
