@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import oracle
 
 FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
+QUERIES, STATEMENTS = {k: v for k, v in entry.queries().items() if k in entry._QUERIES}, oracle.statements()
 KINDS = {
     "string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "date": "DATE", "int": "INTEGER",
     "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
