@@ -1,21 +1,76 @@
-"""The dealt operators as queries over the test tables: (session, folder) to DataFrame."""
+"""The dealt operators as queries over the test tables: (session, folder) to DataFrame.
+
+Each query applies its operator to the whole table and derives its digest columns from the result.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clientela.llm import jaccard_join
+from clientela.llm import byte_bpe, jaccard_join, language, packing, pii
 from clientela.llm.tables import read
 
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, folder, "documents"))
 
 
+def held_out(column: str = "doc_id"):
+    return F.crc32(F.col(column).cast("string")) % 4 == 2
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = language.train(docs.where(~F.coalesce(held_out(), F.lit(False))))
+    found = language.predict(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def span_text(spans: str = "spans"):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def spans_of(kind: str | None = None, spans: str = "spans"):
+    """Base spans, of one kind or all."""
+    return F.filter(spans, lambda s: s["base"] & (F.lit(True) if kind is None else s["kind"] == kind))
+
+
+def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    counts = [F.size(spans_of(kind)).cast("long").alias(f"n_{kind}") for kind in kinds]
+    found = found.select("*", *counts, spans_of().alias("base_spans"))
+    return found.select("doc_id", *[f"n_{kind}" for kind in kinds], F.sha2(span_text("base_spans"), 256).alias("base_sha256"), span_text().alias("spans"))
+
+
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return _span_digest(pii.find_personal_data(read(spark, folder, "documents")), pii.KINDS)
+
+
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack_documents(read(spark, folder, "documents"), WORD_VOCABULARY)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = byte_bpe.encode_documents(read(spark, folder, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode_documents(encoded, BYTE_RANKS, public_tokenizers.PATTERN)
+    return decoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+_QUERIES = (op1_ngram_jaccard_join, op4_language_id, op7_pii, op8_packing, op9_byte_bpe)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
