@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientela.llm import byte_bpe, jaccard_join, language, packing, pii
+from clientela.llm import byte_bpe, fingerprints, jaccard_join, language, language_model, link_graph, packing, pii, secrets, voronoi
 from clientela.llm.tables import read
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, folder, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return link_graph.judge_pages(read(spark, folder, "pages"))
+
+
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return _span_digest(secrets.find_secrets(read(spark, folder, "documents")), secrets.KINDS)
+
+
 def held_out(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % 4 == 2
 
@@ -33,6 +41,15 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_edited(read(spark, folder, "documents"))
+
+
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return language_model.score(docs, language_model.train(docs))
+
+
 def span_text(spans: str = "spans"):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -66,7 +83,14 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_QUERIES = (op1_ngram_jaccard_join, op4_language_id, op7_pii, op8_packing, op9_byte_bpe)
+def op10_voronoi_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return voronoi.top_k(read(spark, folder, "embeddings"))
+
+
+_QUERIES = (
+    op1_ngram_jaccard_join, op2_url_filter, op3_secret_scan, op4_language_id, op5_fingerprints, op6_lm_scoring, op7_pii,
+    op8_packing, op9_byte_bpe, op10_voronoi_top_k,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
