@@ -10,7 +10,11 @@ UNITS_PER_CENT = UNITS_PER_ONE // 100
 
 
 def to_units(total: str) -> str:
-    return f"CAST(rint({total} * {UNITS_PER_ONE}D) AS BIGINT)"
+    """Whole units of a total; a total with a finer part is refused, as its sums would be wrong."""
+    scaled = f"({total} * {UNITS_PER_ONE}D)"
+    finer = f"abs({scaled} - rint({scaled})) > greatest(1e-4, abs({scaled}) * 1e-12)"
+    refused = f"CAST(raise_error(concat('total has more than 4 decimals: ', {total})) AS BIGINT)"
+    return f"IF({finer}, {refused}, CAST(rint({scaled}) AS BIGINT))"
 
 
 def from_units(units: str) -> str:

@@ -33,8 +33,12 @@ def day_date(df: DataFrame, name: str) -> str:
     return f"date_from_unix_date({day_number(df, name)})"
 
 
-def before_day_after(df: DataFrame, name: str, day: dt.date) -> str:
-    """True up to the end of the UTC day ``day``. A plain comparison, so it reaches the file scan."""
+def before_day_after(df: DataFrame, name: str, day: dt.date | None) -> str:
+    """True up to the end of the UTC day ``day`` (today if None). A plain comparison, so it reaches the file scan."""
+    if day is None:
+        if isinstance(_kind(df, name), TimestampNTZType):
+            return f"{name} < CAST(date_from_unix_date({_TODAY} + 1) AS TIMESTAMP_NTZ)"
+        return f"{name} < timestamp_micros(({_TODAY} + 1L) * {_MICROS_PER_DAY}L)"
     end = day + dt.timedelta(days=1)
     if isinstance(_kind(df, name), TimestampNTZType):
         return f"{name} < TIMESTAMP_NTZ '{end} 00:00:00'"
@@ -51,5 +55,9 @@ def month_number(date: str) -> str:
     return f"(year({date}) * 12 + month({date}) - 1)"
 
 
+#: The UTC day now, in any session zone.
+_TODAY = f"CAST(unix_micros(current_timestamp()) div {_MICROS_PER_DAY} AS INT)"
+
+
 def reference_date(as_of: dt.date | None) -> str:
-    return "current_date()" if as_of is None else f"DATE '{as_of}'"
+    return f"date_from_unix_date({_TODAY})" if as_of is None else f"DATE '{as_of}'"

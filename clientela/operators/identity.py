@@ -82,6 +82,10 @@ def stacked(keys: Mapping[str, str]) -> str:
 
 FULL_NAME = "first_name || ' ' || last_name"
 
+#: What links can carry of their identity row.
+CARRIED = {"name": f"{FULL_NAME} AS name", "phone_number": "coalesce(phone_number, '') AS phone_number"}
+LINK_KEY = ("channel", "native_key")
+
 NATIVE_KEYS = {IFOOD: "customer_id_original", FOOD99: "c_uid_original", STORE: "document_number_ctb"}
 
 

@@ -1,10 +1,11 @@
 """Positions, running totals and order statistics over one global order, without a single-task sort.
 
-A table above ``ONE_SLICE_ROWS`` is range-partitioned on the order into slices and written to the
-shared scratch folder together with its slice number, which fixes the slice borders for all later
-passes. Slice totals (one small row per slice) give each slice its offset; the rest is work inside a
-slice. The order must be total (end it with unique columns): then no slice can be hot, however many
-rows tie in its leading columns.
+A table is range-partitioned on the order into slices and written to the shared scratch folder together
+with its slice number, which fixes the slice borders for all later passes. Slice totals (one small row
+per slice) give each slice its offset; the rest is work inside a slice. The order must be total (end it
+with unique columns): then no slice can be hot, however many rows tie in its leading columns.
+
+Whole numbers at given positions need no order at all: counts of bins narrow each one down.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from clientela.session import materialize
 
-#: Up to this many rows, counted beforehand, one task orders the table faster than a shuffle would.
-ONE_SLICE_ROWS = 1_000_000
+#: Bins a bracket is cut into in one pass of :func:`values_at`; a pass gathers this many counts per position.
+BINS = 4096
 
 
 def _sliced(df: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -25,81 +26,111 @@ def _sliced(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return materialize(split, "sliced")
 
 
-def with_global_order(
-    df: DataFrame,
-    order: Sequence[Column],
-    running: Mapping[str, str] | None = None,
-    rows: int | None = None,
-    one_slice_rows: int = ONE_SLICE_ROWS,
-) -> DataFrame:
+def _decimal_sum(column: str) -> Column:
+    return F.sum(F.col(column).cast("decimal(28,0)"))
+
+
+def with_global_order(df: DataFrame, order: Sequence[Column], running: Mapping[str, str] | None = None) -> DataFrame:
     """Add ``position`` (from 1) and, for each ``running`` name, the running total of a whole-number column.
 
-    ``rows`` is the row count if the caller knows it; tables not known to be small are sliced.
-    Running totals are decimals, so they cannot overflow and do not depend on the slicing.
+    The whole total of each is added as ``<name>_total``. Totals are decimals, so they cannot overflow and
+    do not depend on the slicing.
     """
     running = dict(running or {})
-
-    def total(column: str) -> Column:
-        return F.sum(F.col(column).cast("decimal(28,0)")).cast("decimal(38,0)")
-
-    if rows is not None and rows <= one_slice_rows:
-        inside = Window.orderBy(*order)
-        to_here = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        sums = [F.sum(F.col(c).cast("decimal(28,0)")).over(to_here).alias(name) for name, c in running.items()]
-        return df.select("*", F.row_number().over(inside).cast("bigint").alias("position"), *sums)
-
     sliced = _sliced(df, order)
     totals = sliced.groupBy("slice").agg(
-        F.count(F.lit(1)).alias("rows_here"), *[total(c).alias(f"{name}_here") for name, c in running.items()]
+        F.count(F.lit(1)).alias("rows_here"),
+        *[_decimal_sum(c).cast("decimal(38,0)").alias(f"{name}_here") for name, c in running.items()],
     )
     # One row per slice: as many rows as shuffle partitions, whatever the size of the table.
-    earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    all_slices = Window.orderBy("slice")
+    earlier = all_slices.rowsBetween(Window.unboundedPreceding, -1)
+    every = all_slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(
         "slice",
         F.coalesce(F.sum("rows_here").over(earlier), F.lit(0)).alias("rows_before"),
         *[F.coalesce(F.sum(f"{name}_here").over(earlier), F.lit(0)).alias(f"{name}_before") for name in running],
+        *[F.coalesce(F.sum(f"{name}_here").over(every), F.lit(0)).alias(f"{name}_total") for name in running],
     )
     inside = Window.partitionBy("slice").orderBy(*order)
     to_here = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = sliced.select(
         "*",
         F.row_number().over(inside).alias("row_here"),
-        *[F.sum(F.col(c).cast("decimal(28,0)")).over(to_here).alias(f"{name}_run") for name, c in running.items()],
+        *[_decimal_sum(c).over(to_here).alias(f"{name}_run") for name, c in running.items()],
     )
     return numbered.join(F.broadcast(offsets), "slice").select(
         *df.columns,
         (F.col("rows_before") + F.col("row_here")).cast("bigint").alias("position"),
         *[(F.col(f"{name}_before") + F.col(f"{name}_run")).cast("decimal(38,0)").alias(name) for name in running],
+        *[F.col(f"{name}_total").cast("decimal(38,0)").alias(f"{name}_total") for name in running],
     )
 
 
-def order_statistics(
-    df: DataFrame,
-    columns: Sequence[str],
-    positions: Sequence[int],
-    rows: int | None = None,
-    one_slice_rows: int = ONE_SLICE_ROWS,
-) -> dict[int, Row]:
+def _slice_sizes(sliced: DataFrame, weight: str) -> list[tuple[int, int]]:
+    """(slice, rows) in order: one row per slice."""
+    return sorted((r["slice"], int(r["n"])) for r in sliced.groupBy("slice").agg(F.expr(f"sum({weight}) AS n")).collect())
+
+
+def rows_between(df: DataFrame, order: Sequence[Column], copies: str, first: int, last: int) -> DataFrame:
+    """Rows that cover positions ``first`` (from 0) to ``last`` (exclusive), where a row stands for ``copies`` equal ones.
+
+    Adds ``through``, the position a row reaches up to. Only the slices that the positions lie in are read.
+    """
+    sliced = _sliced(df, order)
+    offsets, before = {}, 0
+    for number, count in _slice_sizes(sliced, copies):
+        if before < last and before + count > first:
+            offsets[number] = before
+        before += count
+    start = F.coalesce(*[F.when(F.col("slice") == n, F.lit(b)) for n, b in offsets.items()], F.lit(0))
+    inside = Window.partitionBy("slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = sliced.where(F.col("slice").isin(list(offsets))).withColumn("through", start + F.sum(copies).over(inside))
+    return chosen.where(F.expr(f"through > {first} AND through - {copies} < {last}")).drop("slice")
+
+
+def order_statistics(df: DataFrame, columns: Sequence[str], positions: Sequence[int]) -> dict[int, Row]:
     """Rows at the given 0-based positions of ``df`` ordered ascending by ``columns`` (a unique key)."""
     order = [F.asc(c) for c in columns]
-    keys = df.select(*columns)
-    if rows is not None and rows <= one_slice_rows:
-        wanted = {(0, p + 1): p for p in positions}
-        sliced = keys.withColumn("slice", F.lit(0))
-    else:
-        sliced = _sliced(keys, order)
-        counts = sorted(tuple(r) for r in sliced.groupBy("slice").count().collect())
-        wanted, before = {}, 0
-        for number, count in counts:
-            wanted.update({(number, p - before + 1): p for p in positions if before <= p < before + count})
-            before += count
-    slices = sorted({number for number, _ in wanted})
-    ranks = sorted({rank for _, rank in wanted})
+    sliced = _sliced(df.select(*columns), order)
+    wanted, before = {}, 0
+    for number, count in _slice_sizes(sliced, "1"):
+        wanted.update({(number, p - before + 1): p for p in positions if before <= p < before + count})
+        before += count
     inside = Window.partitionBy("slice").orderBy(*order)
     found = (
-        sliced.where(F.col("slice").isin(slices))
+        sliced.where(F.col("slice").isin([number for number, _ in wanted]))
         .withColumn("row_here", F.row_number().over(inside))
-        .where(F.col("row_here").isin(ranks))
+        .where(F.col("row_here").isin([rank for _, rank in wanted]))
         .collect()
     )
     return {wanted[key]: row for row in found if (key := (row["slice"], row["row_here"])) in wanted}
+
+
+def values_at(df: DataFrame, value: str, positions: Sequence[int], low: int, high: int) -> dict[int, tuple[int, int]]:
+    """(value, rows below it) at 0-based positions of whole numbers between ``low`` and ``high``, in ascending order.
+
+    Each pass counts the rows of every bin of the brackets that are still open, and goes on with the bin
+    that holds the position: two passes for a million distinct values, six at most.
+    """
+    brackets = {p: (low, high, 0) for p in positions}
+    while pending := sorted({(lo, hi) for lo, hi, _ in brackets.values() if lo < hi}):
+        widths = [(hi - lo) // BINS + 1 for lo, hi in pending]
+        inside = ", ".join(
+            f"IF({value} BETWEEN {lo}L AND {hi}L, named_struct('bracket', {k}, 'bin', ({value} - {lo}L) div {w}L), NULL)"
+            for k, ((lo, hi), w) in enumerate(zip(pending, widths))
+        )
+        counted = df.selectExpr(f"inline(filter(array({inside}), b -> b IS NOT NULL))").groupBy("bracket", "bin").count()
+        bins: dict[int, list[tuple[int, int]]] = {}
+        for row in counted.collect():
+            bins.setdefault(row["bracket"], []).append((row["bin"], row["count"]))
+        for p, (lo, hi, below) in brackets.items():
+            if lo < hi:
+                k = pending.index((lo, hi))
+                for number, count in sorted(bins[k]):
+                    if p < below + count:
+                        start = lo + number * widths[k]
+                        brackets[p] = (start, min(start + widths[k] - 1, hi), below)
+                        break
+                    below += count
+    return {p: (lo, below) for p, (lo, _, below) in brackets.items()}

@@ -19,6 +19,7 @@ from clientela.functions.money import to_units
 from clientela.functions.times import before_day_after, day_number
 from clientela.labels import CHANNELS, FOOD99, IFOOD, STORE
 from clientela.operators.identity import stacked
+from clientela.operators.joins import join_unique
 
 SALE_KEY = ["channel", "native_key"]
 
@@ -61,9 +62,7 @@ def channel_sales(
 
 
 def up_to(sales: DataFrame, as_of: dt.date | None) -> DataFrame:
-    """Drop sales after ``as_of``, so that a past reference date sees no later sale."""
-    if as_of is None:
-        return sales
+    """Drop sales after ``as_of`` (today if None), so that a reference date sees no later sale."""
     return sales.where(f"created_at IS NULL OR {before_day_after(sales, 'created_at', as_of)}")
 
 
@@ -87,6 +86,22 @@ def daily_totals(sales: DataFrame) -> DataFrame:
     return _measured(sales).groupBy(*SALE_KEY, "day").agg(F.expr("count(1) AS sales"), F.expr("sum(units) AS units"))
 
 
+def daily_leads(sales: DataFrame) -> DataFrame:
+    """:func:`daily_totals` with the least total of the day, and whether it has a sale without a total."""
+    measured = sales.selectExpr(*SALE_KEY, f"{day_number(sales, 'created_at')} AS day", f"{to_units('total')} AS units", "total")
+    return measured.groupBy(*SALE_KEY, "day").agg(
+        F.expr("count(1) AS sales"),
+        F.expr("sum(units) AS units"),
+        F.expr("min(total) AS least"),
+        F.expr("bool_or(total IS NULL) AS blank"),
+    )
+
+
+def of_keys(sales: DataFrame, keys: DataFrame) -> DataFrame:
+    """Sales of some keys only, before they are summed or moved."""
+    return join_unique(sales, keys.select(*SALE_KEY).distinct(), SALE_KEY, "left_semi")
+
+
 def selling_keys(sales: DataFrame) -> DataFrame:
     """Distinct ``(channel, native_key)`` that sold anything."""
     return sales.select(*SALE_KEY).distinct()

@@ -48,8 +48,10 @@ def cohort_counts(shop, as_of: dt.date | None = None, channel: str | None = None
 
 
 def cohort_matrix(counts: DataFrame, width: int = LOOK_BACK_MONTHS + 1) -> DataFrame:
-    """Columns ``m1 .. m<width>``; a month without customers is null."""
+    """Columns ``m1 .. m<width>``; a month without customers is null. A cell beyond them is an error."""
     indexes = list(range(1, width + 1))
+    beyond = f"raise_error(concat('month index beyond m{width}: ', cohort_index))"
+    counts = counts.withColumn("cohort_index", F.expr(f"IF(cohort_index > {width}, CAST({beyond} AS BIGINT), cohort_index)"))
     wide = counts.groupBy("cohort_month").pivot("cohort_index", indexes).agg(F.first("customers"))
     return wide.toDF("cohort_month", *[f"m{i}" for i in indexes]).orderBy("cohort_month")
 
@@ -64,7 +66,26 @@ def cohort_retention(matrix: DataFrame) -> DataFrame:
     return matrix.selectExpr(f"date_format(cohort_month, '{MONTH_TEXT}') AS cohort_month", *shares)
 
 
+def _tenths(percent: str) -> str:
+    """A percentage from 0 to 200 in tenths: the exact value of the double, halves to the even tenth.
+
+    As a multiple of 2^-52, or below 1 of 2^-58, it is a whole number wherever a half is near, and ten times
+    that fits a long.
+    """
+
+    def at(bits: int) -> str:
+        whole = f"(CAST({percent} * {2**bits}D AS BIGINT) * 10L)"
+        half, one = f"{2**(bits - 1)}L", f"{2**bits}L"
+        rest, down = f"({whole} % {one})", f"({whole} div {one})"
+        return f"({down} + IF({rest} > {half} OR ({rest} = {half} AND {down} % 2 = 1), 1L, 0L))"
+
+    return f"IF({percent} < 1, {at(58)}, {at(52)})"
+
+
 def percent_text(retention: DataFrame) -> DataFrame:
     """Retention as text with one decimal; blank where there is none."""
-    shown = [f"IF({m} IS NULL, '', format_string('%.1f%%', {m} * 100D)) AS {m}" for m in _months(retention)]
+    shown = []
+    for m in _months(retention):
+        tenths = _tenths(f"({m} * 100D)")
+        shown.append(f"IF({m} IS NULL, '', concat({tenths} div 10, '.', {tenths} % 10, '%')) AS {m}")
     return retention.selectExpr("cohort_month", *shown)

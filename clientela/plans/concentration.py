@@ -6,21 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientela.functions.money import to_units
-from clientela.operators.ordered import ONE_SLICE_ROWS, with_global_order
-from clientela.session import materialize
+from clientela.operators.ordered import with_global_order
 
 VIP_SHARE = 80
 CYCLE_DAYS = 7
 CYCLE_BARS = 10
 
 
-def abc_curve(base: DataFrame, one_slice_rows: int = ONE_SLICE_ROWS) -> DataFrame:
+def abc_curve(base: DataFrame) -> DataFrame:
     """``position, id, monetary, cum_perc``: customers by value, highest first, with the running share."""
-    table = materialize(base.selectExpr("id", "name", "monetary", f"{to_units('monetary')} AS units"), "abc")
-    facts = table.agg(F.expr("count(1) AS rows"), F.expr("sum(CAST(units AS DECIMAL(28, 0))) AS total")).first()
+    table = base.selectExpr("id", "name", "monetary", f"{to_units('monetary')} AS units")
     order = [F.desc_nulls_last("monetary"), F.col("id"), F.col("name")]
-    ordered = with_global_order(table, order, {"running": "units"}, facts["rows"], one_slice_rows)
-    share = f"try_divide(100D * CAST(running AS DOUBLE), {float(facts['total'] or 0)!r}D)"
+    ordered = with_global_order(table, order, {"running": "units"})
+    share = "try_divide(100D * CAST(running AS DOUBLE), CAST(running_total AS DOUBLE))"
     return ordered.selectExpr("position", "id", "monetary", f"IF(monetary IS NULL, NULL, {share}) AS cum_perc")
 
 

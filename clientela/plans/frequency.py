@@ -8,28 +8,25 @@ from pyspark.sql import functions as F
 from clientela.functions.money import from_units, mean_rounded_to_cents, ratio_rounded
 from clientela.functions.text import headed
 from clientela.labels import DATE_TEXT, FREQUENCY_HEADERS
-from clientela.operators.identity import FULL_NAME, identity_links, weighted_links
+from clientela.operators.identity import FULL_NAME
 from clientela.operators.joins import join_unique
-from clientela.operators.ordered import with_global_order
-from clientela.operators.sales import SALE_KEY, channel_flags, channel_sales, channels_text, daily_totals, selling_keys
-
-#: Rows a page may reach into the order before a distributed numbering replaces the top-k operator.
-SHALLOW_ROWS = 100_000
+from clientela.operators.ordered import rows_between
+from clientela.operators.sales import SALE_KEY, channel_flags, channel_sales, channels_text, daily_totals, of_keys, selling_keys
 
 LISTING_ORDER = ("id", "name", "document_number", "phone_number")
 
 
-def customer_summary(shop) -> DataFrame:
-    """Per ``id``: sales, totals, first and last day, gap statistics and channel text.
+def customer_summary(shop, chosen: DataFrame | None = None) -> DataFrame:
+    """Per ``id``: sales, totals, first and last day, gap statistics and channel text; of ``chosen`` ids or all.
 
     Only the sums per key and day are ordered by customer, so the calendar bounds the window of one
     customer, however many sales it has. The gaps between consecutive purchases add up to
     last day - first day; the largest one lies between two of the days.
     """
-    links = weighted_links(identity_links(shop.identity))
+    links, sales = _of_ids(shop.links(), channel_sales(shop), chosen)
     by_day = Window.partitionBy("id").orderBy("day")
     per_id = (
-        links.join(daily_totals(channel_sales(shop)), SALE_KEY)
+        links.join(daily_totals(sales), SALE_KEY)
         .withColumn("previous", F.lag("day").over(by_day))
         .groupBy("id")
         .agg(
@@ -54,6 +51,20 @@ def customer_summary(shop) -> DataFrame:
     )
 
 
+def _of_ids(links: DataFrame, sales: DataFrame, chosen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Links of the chosen ids, and only the sales of their keys."""
+    if chosen is None:
+        return links, sales
+    links = join_unique(links, chosen, ["id"], "left_semi")
+    return links, of_keys(sales, links)
+
+
+def _chosen_ids(shop, name: str | None, phone_number: str | None, document_number: str | None) -> DataFrame | None:
+    if not (name or phone_number or document_number):
+        return None
+    return shop.identity.where(identity_filters(name, phone_number, document_number)).select("id").distinct()
+
+
 def normalized_channels(sales_channel: str) -> str:
     """Channel text of a filter in the order listings use, whatever order it was given in."""
     return "/".join(sorted(sales_channel.split("/")))
@@ -78,7 +89,7 @@ def customer_frequency(
     document_number: str | None = None,
 ) -> DataFrame:
     """One row per identity row with at least one purchase. Empty filters select everything."""
-    summary = customer_summary(shop)
+    summary = customer_summary(shop, _chosen_ids(shop, name, phone_number, document_number))
     if sales_channel:
         summary = summary.where(F.col("sales_channel") == normalized_channels(sales_channel))
     customers = shop.identity.where(identity_filters(name, phone_number, document_number)).selectExpr(
@@ -107,19 +118,15 @@ def listing_order() -> list[Column]:
 def page(listing: DataFrame, page_number: int = 1, rows_per_page: int = 20) -> DataFrame:
     """One page of the listing, highest total first.
 
-    A page near the top is a plain top-k. A deep page would pull every row before it into one task,
-    so it is cut out of a distributed numbering instead. Equal rows are folded for that: each folded
-    row covers as many positions as it has copies, and is expanded to those on the page.
+    The order is cut into slices, and only those that the page lies in are read. Equal rows are folded
+    for that: each folded row covers as many positions as it has copies, and is expanded to those on the page.
     """
     skipped = (page_number - 1) * rows_per_page
-    if skipped + rows_per_page <= SHALLOW_ROWS:
-        return listing.orderBy(*listing_order()).offset(skipped).limit(rows_per_page)
     folded = listing.groupBy(*listing.columns).agg(F.expr("count(1) AS copies"))
-    numbered = with_global_order(folded, listing_order(), {"through": "copies"})
-    shown = f"least(through, {skipped + rows_per_page}) - greatest(through - copies, {skipped})"
-    on_page = numbered.withColumn("shown", F.expr(f"CAST({shown} AS INT)")).where("shown > 0")
-    expanded = on_page.withColumn("copy", F.explode(F.sequence(F.lit(1), "shown")))
-    return expanded.orderBy("position", "copy").select(*listing.columns)
+    on_page = rows_between(folded, listing_order(), "copies", skipped, skipped + rows_per_page)
+    shown = f"CAST(least(through, {skipped + rows_per_page}) - greatest(through - copies, {skipped}) AS INT)"
+    expanded = on_page.withColumn("copy", F.explode(F.sequence(F.lit(1), F.expr(shown))))
+    return expanded.orderBy("through", "copy").select(*listing.columns)
 
 
 def customer_frequency_export(listing: DataFrame) -> DataFrame:
@@ -135,18 +142,16 @@ def customer_count(
     document_number: str | None = None,
 ) -> DataFrame:
     """Distinct customers behind the listing with the same filters. Reads keys only, no dates or totals."""
-    links = identity_links(shop.identity).distinct()
+    chosen = _chosen_ids(shop, name, phone_number, document_number)
+    links, sales = _of_ids(shop.links().select("id", *SALE_KEY).distinct(), channel_sales(shop), chosen)
     selling = (
-        join_unique(links, selling_keys(channel_sales(shop)), SALE_KEY)
+        join_unique(links, selling_keys(sales), SALE_KEY)
         .groupBy("id")
         .agg(*channel_flags())
         .selectExpr("id", channels_text())
     )
     if sales_channel:
         selling = selling.where(F.col("sales_channel") == normalized_channels(sales_channel))
-    if name or phone_number or document_number:
-        chosen = shop.identity.where(identity_filters(name, phone_number, document_number))
-        selling = selling.join(chosen.select("id").distinct(), "id", "left_semi")
     return selling.agg(F.count(F.lit(1)).alias("n"))
 
 

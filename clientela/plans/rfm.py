@@ -9,19 +9,17 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from clientela import labels
-from clientela.functions.money import from_units
+from clientela.functions.money import UNITS_PER_ONE, from_units, to_units
 from clientela.functions.text import headed
 from clientela.functions.times import reference_date
-from clientela.operators.identity import FULL_NAME, identity_links, weighted_links
-from clientela.operators.joins import join_unique
-from clientela.operators.ordered import ONE_SLICE_ROWS, order_statistics
+from clientela.labels import CHANNELS
+from clientela.operators.ordered import order_statistics, values_at
 from clientela.operators.sales import (
     SALE_KEY,
     channel_flags,
     channel_sales,
     channels_text,
-    daily_totals,
-    key_totals,
+    daily_leads,
     selected_channels,
     up_to,
 )
@@ -30,70 +28,51 @@ from clientela.session import materialize
 CUSTOMER_KEY = ["id", "name"]
 
 
-def _ids_with_several_names(identity: DataFrame) -> DataFrame:
-    names = identity.selectExpr("id", f"{FULL_NAME} AS name").groupBy("id")
-    return names.agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("id")
+def _customer_days(links: DataFrame, sales: DataFrame) -> DataFrame:
+    """One row per ``(id, name, day)``: sums, channels, and channel and total of its first sale.
 
-
-def _per_customer(links: DataFrame, sales: DataFrame) -> DataFrame:
-    """Fold sales to one row per ``(id, name)``; each key is summed before it meets its identities."""
-    return join_unique(links, key_totals(sales), SALE_KEY).groupBy(*CUSTOMER_KEY).agg(
+    The first sale is the one with the first channel in text order, then the least total (none comes
+    first). Its aggregates are fixed-width, so that a hash aggregate can hold them.
+    """
+    noted, channel, total = [], "NULL", "NULL"
+    for i, name in reversed(list(enumerate(sorted(CHANNELS)))):
+        here = f"channel = '{name}'"
+        noted += [F.expr(f"bool_or({here}) AS has_{i}"), F.expr(f"bool_or({here} AND blank) AS blank_{i}"), F.expr(f"min(IF({here}, least, NULL)) AS least_{i}")]
+        channel = f"IF(has_{i}, {i}, {channel})"
+        total = f"IF(has_{i}, IF(blank_{i}, NULL, least_{i}), {total})"
+    days = links.join(daily_leads(sales), SALE_KEY).groupBy(*CUSTOMER_KEY, "day").agg(
         F.expr("max(phone_number) AS phone_number"),
         F.expr("sum(units * copies) AS units"),
-        F.expr("sum(sales * copies) AS frequency"),
-        F.expr("sum(dated * copies) AS dated"),
-        F.expr("min(first_day) AS first_day"),
-        F.expr("max(last_day) AS last_day"),
+        F.expr("sum(sales * copies) AS sales"),
         *channel_flags(),
+        *noted,
     )
-
-
-def _gaps_by_name(links: DataFrame, sales: DataFrame) -> DataFrame:
-    """Days since the previous purchase of an id, credited to the name that leads the day.
-
-    All names of an id share one purchase history. The first sale of a day carries the gap; among
-    the names with a sale on that day the alphabetically first one leads. The calendar bounds the
-    days of an id, and so the window.
-    """
-    by_day = Window.partitionBy("id").orderBy("day")
-    return (
-        links.join(daily_totals(sales), SALE_KEY)
-        .where("day IS NOT NULL")
-        .groupBy("id", "day")
-        .agg(F.min("name").alias("name"))
-        .withColumn("step", F.col("day") - F.lag("day").over(by_day))
-        .groupBy(*CUSTOMER_KEY)
-        .agg(F.expr("sum(step) AS steps"), F.expr("count_if(step IS NULL) AS starts"))
-    )
+    return days.withColumns({"lead_channel": F.expr(channel), "lead_total": F.expr(total)})
 
 
 def rfm_base(shop, as_of: dt.date | None = None, channel: str | None = None) -> DataFrame:
     """One row per ``(id, name)`` with a purchase.
 
-    Where an id has one name, its gaps add up to last day - first day. Ids with several names are
-    looked for in the registries first (a small job); only if there are any does the plan get a
-    second branch that credits each gap to a name.
+    All names of an id share one purchase history. Sales of a day go by channel, total and name, and the
+    first one carries the days since the purchase before; the others of the day carry none. So only the
+    sums per day are put in order, and the calendar bounds the days of an id.
     """
     channels = selected_channels(channel)
-    carried = [f"{FULL_NAME} AS name", "coalesce(phone_number, '') AS phone_number"]
-    links = weighted_links(identity_links(shop.identity, carried, channels))
-    sales = up_to(channel_sales(shop, channels), as_of)
-    several = _ids_with_several_names(shop.identity)
-    one_name = "CASE WHEN dated > 1 THEN CAST(last_day - first_day AS DOUBLE) / (dated - 1) END AS avg_cycle"
-    if several.isEmpty():
-        customers = _per_customer(links, sales).selectExpr("*", one_name)
-    else:
-        shared = join_unique(links, several, ["id"], "left_semi")
-        gaps = "dated - coalesce(starts, 0)"
-        credited = f"CASE WHEN {gaps} > 0 THEN CAST(coalesce(steps, 0) AS DOUBLE) / ({gaps}) END AS avg_cycle"
-        many_names = (
-            _per_customer(shared, sales)
-            .join(_gaps_by_name(shared, sales), CUSTOMER_KEY, "left")
-            .selectExpr("*", credited)
-            .drop("steps", "starts")
-        )
-        alone = join_unique(links, several, ["id"], "left_anti")
-        customers = _per_customer(alone, sales).selectExpr("*", one_name).unionByName(many_names)
+    links = shop.links("name", "phone_number").where(F.col("channel").isin(list(channels)))
+    days = _customer_days(links, up_to(channel_sales(shop, channels), as_of))
+    order = [F.asc_nulls_first("day"), "lead_channel", F.asc_nulls_first("lead_total"), "name"]
+    stepped = days.withColumn("previous", F.lag("day").over(Window.partitionBy("id").orderBy(*order)))
+    customers = stepped.groupBy(*CUSTOMER_KEY).agg(
+        F.expr("max(phone_number) AS phone_number"),
+        F.expr("sum(units) AS units"),
+        F.expr("sum(sales) AS frequency"),
+        F.expr("sum(IF(day IS NULL, 0, sales)) AS dated"),
+        F.expr("min(day) AS first_day"),
+        F.expr("max(day) AS last_day"),
+        F.expr("sum(day - previous) AS steps"),
+        F.expr("count_if(day IS NOT NULL AND previous IS NULL) AS starts"),
+        *[F.expr(f"bool_or(sells_{i}) AS sells_{i}") for i in range(len(CHANNELS))],
+    )
     last = "date_from_unix_date(last_day)"
     return customers.selectExpr(
         "id",
@@ -104,7 +83,7 @@ def rfm_base(shop, as_of: dt.date | None = None, channel: str | None = None) ->
         "date_from_unix_date(first_day) AS first_purchase",
         f"{last} AS last_purchase",
         f"CAST(datediff({reference_date(as_of)}, {last}) AS BIGINT) AS recency",
-        "avg_cycle",
+        "IF(dated > starts, CAST(coalesce(steps, 0) AS DOUBLE) / (dated - starts), NULL) AS avg_cycle",
         channels_text(),
     )
 
@@ -123,13 +102,9 @@ def _edge_positions(rows: int) -> list[tuple[int, int, Fraction]]:
     return positions
 
 
-def _edges(statistics: dict[int, Row], column: str, rows: int) -> list[Fraction]:
+def _edges(values: dict[int, int], rows: int) -> list[Fraction]:
     """Linearly interpolated edges, computed without rounding."""
-    edges = []
-    for low, high, share in _edge_positions(rows):
-        a, b = (Fraction(statistics[p][column]) for p in (low, high))
-        edges.append(a + (b - a) * share)
-    return edges
+    return [values[low] + (values[high] - values[low]) * share for low, high, share in _edge_positions(rows)]
 
 
 def _require_distinct(edges: list, column: str) -> None:
@@ -142,27 +117,34 @@ def _above(column: str, cuts: list[float]) -> str:
     return " + ".join(f"int({column} > {cut!r}D)" for cut in cuts)
 
 
-def _with_scores(table: DataFrame, rows: int, recency_edges: list[float], one_slice_rows: int) -> DataFrame:
+def _with_scores(table: DataFrame, facts: Row) -> DataFrame:
+    rows, recency_edges = facts["rows"], facts["recency_edges"]
     _require_distinct(recency_edges, "recency")
+    units = to_units("monetary")
     around = sorted({p for low, high, _ in _edge_positions(rows) for p in (low, high)})
-    money = order_statistics(table, ["monetary", *CUSTOMER_KEY], around, rows, one_slice_rows)
-    _require_distinct(_edges(money, "monetary", rows), "monetary")
+    money = {p: value for p, (value, _) in values_at(table, units, around, facts["least_units"], facts["most_units"]).items()}
+    _require_distinct(_edges(money, rows), "monetary")
     # No value lies strictly between the two neighbours of an edge, so "above the edge" is the same
     # as "above its lower neighbour".
     cuts = [low for low, _, _ in _edge_positions(rows)[1:4]]
 
-    # The frequency score cuts ranks, not values; ties rank by id, then name.
-    ranked = ["frequency", *CUSTOMER_KEY]
-    ranks = order_statistics(table, ranked, cuts, rows, one_slice_rows)
+    # The frequency score cuts ranks, not values; ties rank by id, then name. Only the customers whose
+    # frequency lies at a cut are put in order.
+    tied = values_at(table, "frequency", cuts, facts["least_frequency"], facts["most_frequency"])
     f_score = F.lit(1)
-    for cut in cuts:
-        limit = F.struct(*[F.lit(ranks[cut][c]).cast(table.schema[c].dataType) for c in ranked])
-        f_score = f_score + (F.struct(*ranked) > limit).cast("int")
+    for value in sorted({value for value, _ in tied.values()}):
+        places = {cut: cut - below for cut, (v, below) in tied.items() if v == value}
+        found = order_statistics(table.where(F.col("frequency") == value), CUSTOMER_KEY, sorted(set(places.values())))
+        for place in places.values():
+            limit = F.struct(F.lit(value).cast("bigint"), *[F.lit(found[place][c]) for c in CUSTOMER_KEY])
+            f_score = f_score + (F.struct("frequency", *CUSTOMER_KEY) > limit).cast("int")
+    money_cuts = [repr(money[cut] / UNITS_PER_ONE) for cut in cuts]
+    m_score = " + ".join(f"int(monetary > {cut}D)" for cut in money_cuts)
     scored = table.select(
         "*",
         F.expr(f"4 - ({_above('recency', recency_edges[1:4])}) AS r_score"),
         f_score.alias("f_score"),
-        F.expr(f"1 + {_above('monetary', [money[cut]['monetary'] for cut in cuts])} AS m_score"),
+        F.expr(f"1 + {m_score} AS m_score"),
     )
     return scored.selectExpr("*", "r_score + f_score + m_score AS rfm_score")
 
@@ -173,7 +155,7 @@ def segment_label(score: str) -> Column:
     return F.expr(f"CASE {whens} ELSE '{lowest}' END")
 
 
-def rfm_segments(base: DataFrame, on_ties: str = "raise", one_slice_rows: int = ONE_SLICE_ROWS) -> DataFrame:
+def rfm_segments(base: DataFrame, on_ties: str = "raise") -> DataFrame:
     """Add ``r_score, f_score, m_score, rfm_score, segmento``.
 
     The base is stored once; the quartile cuts come from small jobs over it and enter the result as
@@ -188,6 +170,10 @@ def rfm_segments(base: DataFrame, on_ties: str = "raise", one_slice_rows: int =
         F.expr("count(1) AS rows"),
         F.expr("count_if(recency IS NULL OR monetary IS NULL) AS incomplete"),
         F.expr("percentile(recency, array(0D, 0.25D, 0.5D, 0.75D, 1D)) AS recency_edges"),
+        F.expr(f"min({to_units('monetary')}) AS least_units"),
+        F.expr(f"max({to_units('monetary')}) AS most_units"),
+        F.expr("min(frequency) AS least_frequency"),
+        F.expr("max(frequency) AS most_frequency"),
     ).first()
     unscored = [f"CAST(NULL AS INT) AS {c}" for c in ("r_score", "f_score", "m_score", "rfm_score")]
     if facts["rows"] < labels.MIN_SCORED_CUSTOMERS:
@@ -195,7 +181,7 @@ def rfm_segments(base: DataFrame, on_ties: str = "raise", one_slice_rows: int =
     try:
         if facts["incomplete"]:
             raise QuartileError(f"{facts['incomplete']} customers have no recency or no monetary value")
-        scored = _with_scores(table, facts["rows"], facts["recency_edges"], one_slice_rows)
+        scored = _with_scores(table, facts)
     except QuartileError:
         if on_ties == "raise":
             raise

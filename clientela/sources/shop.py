@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from clientela import schemas
-from clientela.operators.identity import resolve_identity
+from clientela.operators.identity import CARRIED, LINK_KEY, identity_links, resolve_identity, weighted_links
 from clientela.session import materialize
 
 
@@ -22,6 +22,7 @@ class Shop:
     contact_log: DataFrame | None = None
     process_last_run: DataFrame | None = None
     identity_table: DataFrame | None = None
+    link_table: DataFrame | None = None
 
     @cached_property
     def identity(self) -> DataFrame:
@@ -30,9 +31,20 @@ class Shop:
             return self.identity_table
         return resolve_identity(self.ifood_customer, self.store_customer, self.food99_customer)
 
+    def links(self, *carried: str) -> DataFrame:
+        """``(channel, native_key, id, copies)`` and the ``carried`` of ``name`` and ``phone_number``.
+
+        One row for each way an identity owns a key, with the number of times it does. Stored links keep
+        name and phone number, so without them a row can come in parts, whose copies add up.
+        """
+        if self.link_table is not None:
+            return self.link_table.select("id", *carried, *LINK_KEY, "copies")
+        return weighted_links(identity_links(self.identity, [CARRIED[name] for name in carried]))
+
     def with_stored_identity(self) -> Shop:
-        """Resolve identities once and read them back from storage in every later analysis."""
-        return replace(self, identity_table=materialize(self.identity, "identity"))
+        """Resolve identities and their links once and read them back from storage in every later analysis."""
+        stored = replace(self, identity_table=materialize(self.identity, "identity"))
+        return replace(stored, link_table=materialize(stored.links(*CARRIED), "links"))
 
 
 def parquet_shop(spark: SparkSession, folder: str) -> Shop:

@@ -4,6 +4,7 @@ from decimal import Decimal
 import pandas as pd
 import pytest
 
+from clientela.plans.rfm import rfm_base
 from clientela.plans import cohort, concentration
 from conftest import local_frame, tuples
 from test_rfm import BASE, DAY
@@ -51,11 +52,10 @@ def base(spark, values):
     return local_frame(spark, rows, BASE)
 
 
-@pytest.mark.parametrize("one_slice_rows", [0, 1_000_000])
-def test_curve_equals_a_running_sum(spark, settings, one_slice_rows):
+def test_curve_equals_a_running_sum(spark, settings):
     settings(adaptive__coalescePartitions__enabled="false")
     money = [round((i * 37 % 50) + i / 100, 2) for i in range(1, 200)] + [10.0] * 100
-    curve = concentration.abc_curve(base(spark, [(m, None) for m in money]), one_slice_rows)
+    curve = concentration.abc_curve(base(spark, [(m, None) for m in money]))
     rows = curve.orderBy("position").collect()
     ordered = pd.Series(sorted(map(lambda m: Decimal(str(m)), money), reverse=True))
     expected = [float(100 * x / ordered.sum()) for x in ordered.cumsum()]
@@ -82,3 +82,32 @@ def test_cycle_bands(spark):
     assert mean == pytest.approx((6.9 + 7.0 + 13.99 + 14.0 + 106.5) / 5)
     with pytest.raises(ValueError):
         concentration.repurchase_cycle(frame, order="size")
+
+
+def test_percent_text_equals_python(spark):
+    shares = [1 / 16, 1 / 8, 3 / 16, 0.0015, 0.0005, 0.00049, 1 / 3, 2 / 3, 1.0, 0.0, 0.0625 / 2, 0.9995, 0.99949, 5 / 2000, 7 / 2000, 0.12345] + [a / b for b in (7, 16, 40, 80, 2000) for a in range(1, b, max(1, b // 40))]
+    wide = local_frame(spark, [(str(k), share) for k, share in enumerate(shares)], "cohort_month string, m1 double")
+    shown = {r["cohort_month"]: r["m1"] for r in cohort.percent_text(wide).collect()}
+    assert shown == {str(k): f"{share:.1%}" for k, share in enumerate(shares)}
+
+
+def test_sales_after_today_are_dropped_and_cells_beyond_the_matrix_raise(spark, make_shop):
+    today = dt.datetime.now(dt.timezone.utc).date()
+    days = [str(today - dt.timedelta(days=40)), str(today), str(today + dt.timedelta(days=3)), str(today + dt.timedelta(days=500))]
+    for kind in ("timestamp_ntz", "timestamp"):
+        shop = make_shop([("1", None, "A", "a")], ifood_sales=[("1", 1, day) for day in days], kind=kind)
+        assert rfm_base(shop).first()["recency"] == 0 and rfm_base(shop).first()["frequency"] == 2
+        assert {r["cohort_index"] for r in cohort.cohort_counts(shop).collect()} <= {1, 2, 3}
+    late = local_frame(spark, [(DAY, 14, 1)], "cohort_month date, cohort_index bigint, customers bigint")
+    with pytest.raises(Exception, match="beyond m13"):
+        cohort.cohort_matrix(late).collect()
+
+
+@pytest.mark.parametrize("zone", ["Pacific/Kiritimati", "Pacific/Pago_Pago"])
+def test_the_default_day_is_utc(spark, settings, zone):
+    from clientela.functions.times import reference_date
+
+    settings(session__timeZone=zone)
+    before = dt.datetime.now(dt.timezone.utc).date()
+    day = spark.sql(f"SELECT {reference_date(None)}").first()[0]
+    assert before <= day <= dt.datetime.now(dt.timezone.utc).date()

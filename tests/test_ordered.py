@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from clientela.operators.ordered import order_statistics, with_global_order
+from clientela.operators.ordered import order_statistics, rows_between, values_at, with_global_order
 from conftest import local_frame
 
 KINDS = "id string, value bigint"
@@ -14,34 +14,50 @@ def rows(seed, n, hot):
     return [(f"c{i:04d}", 7 if rng.random() < hot else rng.randint(-50, 1000)) for i in range(n)]
 
 
-@pytest.mark.parametrize("one_slice_rows", [0, 1_000_000])
 @pytest.mark.parametrize("n,hot", [(0, 0), (1, 0), (300, 0.0), (300, 0.7)])
-def test_positions_and_running_totals(spark, settings, one_slice_rows, n, hot):
+def test_positions_and_running_totals(spark, settings, n, hot):
     settings(adaptive__coalescePartitions__enabled="false")
     data = rows(n, n, hot)
     df = local_frame(spark, data, KINDS)
-    ordered = with_global_order(df, [F.desc("value"), F.asc("id")], {"running": "value"}, n, one_slice_rows)
-    assert ordered.columns == ["id", "value", "position", "running"]
+    ordered = with_global_order(df, [F.desc("value"), F.asc("id")], {"running": "value"})
+    assert ordered.columns == ["id", "value", "position", "running", "running_total"]
     expected, total = [], 0
     for position, (i, value) in enumerate(sorted(data, key=lambda r: (-r[1], r[0])), 1):
         total += value
-        expected.append((i, value, position, total))
+        expected.append((i, value, position, total, sum(v for _, v in data)))
     assert sorted(map(tuple, ordered.collect()), key=lambda r: r[2]) == expected
 
 
-def test_unknown_row_count_is_sliced(spark):
-    df = local_frame(spark, rows(3, 50, 0.2), KINDS)
-    positions = sorted(r["position"] for r in with_global_order(df, [F.asc("value"), F.asc("id")]).collect())
-    assert positions == list(range(1, 51))
+@pytest.mark.parametrize("first,last", [(0, 5), (17, 60), (95, 140), (500, 510)])
+def test_rows_between_positions(spark, settings, first, last):
+    settings(adaptive__coalescePartitions__enabled="false")
+    data = [(i, value % 4 + 1) for i, value in rows(5, 40, 0.3)]
+    found = rows_between(local_frame(spark, data, KINDS), [F.asc("id")], "value", first, last).collect()
+    expected, through = [], 0
+    for i, copies in sorted(data):
+        through += copies
+        if through > first and through - copies < last:
+            expected.append((i, copies, through))
+    assert sorted((r["id"], r["value"], r["through"]) for r in found) == expected
+
+
+@pytest.mark.parametrize("low,high,n", [(0, 0, 3), (-5, 20_000, 500), (10**12, 10**12 + 10**9, 300), (1, 3, 200)])
+def test_values_at_positions(spark, low, high, n):
+    rng = random.Random(n)
+    values = [rng.randint(low, high) for _ in range(n)]
+    df = local_frame(spark, [(str(k), v) for k, v in enumerate(values)], KINDS)
+    positions = [0, n // 3, n // 2, n - 1]
+    ranked = sorted(values)
+    expected = {p: (ranked[p], sum(v < ranked[p] for v in values)) for p in positions}
+    assert values_at(df, "value", positions, min(values), max(values)) == expected
 
 
-@pytest.mark.parametrize("one_slice_rows", [0, 1_000_000])
 @pytest.mark.parametrize("hot", [0.0, 0.8])
-def test_order_statistics(spark, settings, one_slice_rows, hot):
+def test_order_statistics(spark, settings, hot):
     settings(adaptive__coalescePartitions__enabled="false")
     data = rows(11, 200, hot)
     df = local_frame(spark, data, KINDS)
     wanted = [0, 1, 49, 50, 99, 150, 199]
-    found = order_statistics(df, ["value", "id"], wanted, 200, one_slice_rows)
+    found = order_statistics(df, ["value", "id"], wanted)
     ranked = sorted((v, i) for i, v in data)
     assert {p: (r["value"], r["id"]) for p, r in found.items()} == {p: ranked[p] for p in wanted}

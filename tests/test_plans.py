@@ -72,7 +72,7 @@ def test_scans_read_only_needed_columns(shop):
 
 def test_sales_are_summed_before_the_first_shuffle(shop):
     plan = plan_of(rfm.rfm_base(shop, dt.date(2001, 8, 2)))
-    below = plan[plan.index("partial_sum(units"):]
+    below = plan[plan.rindex("partial_sum(units"):]
     assert "Exchange" not in below[: below.index("FileScan")]
 
 
@@ -95,13 +95,21 @@ def test_drill_down_keys_and_dates_reach_the_scan(spark, make_shop, tmp_path):
     assert re.search(r"PushedFilters: \[[^\]]*LessThan\(created_at", dated)
 
 
-def test_page_is_a_top_k(shop):
-    assert "TakeOrderedAndProject" in plan_of(frequency.page(frequency.customer_frequency(shop), 2, 25))
+def test_filters_reach_links_and_sales_before_the_daily_sums(shop):
+    plan = plan_of(frequency.customer_frequency(shop, document_number="D6"))
+    below = plan[plan.rindex("partial_sum(units"):]
+    assert "LeftSemi" in below and "o_custkey" in below
+    assert "LeftSemi" in plan_of(frequency.customer_count(shop, document_number="D6"))
+
+
+def test_page_reads_only_the_slices_it_lies_in(shop):
+    plan = plan_of(frequency.page(frequency.customer_frequency(shop), 2, 25))
+    assert "SinglePartition" not in plan and re.search(r"PushedFilters: \[[^\]]*(EqualTo|In)\(slice", plan)
 
 
 def test_large_orders_do_not_use_one_task(spark, shop):
     base = rfm.rfm_base(shop, dt.date(2001, 8, 2))
-    curve = plan_of(concentration.abc_curve(base, one_slice_rows=0))
+    curve = plan_of(concentration.abc_curve(base))
     # only the slice totals, one row per slice, meet in one task
     single = curve.index("SinglePartition")
     assert "HashAggregate(keys=[slice" in curve[single: single + 600]
@@ -119,6 +127,15 @@ def test_scratch_follows_the_setting(spark, monkeypatch):
     assert session_module.scratch_path(spark, "x").startswith(f"{root}/clientela/x-")
 
 
+def test_scratch_tables_go_with_their_owner(spark, shop):
+    with session_module.scratch_tables(spark):
+        path = session_module.scratch_path(spark, "x")
+        spark.range(3).write.parquet(path)
+        assert spark.read.parquet(path).count() == 3
+    assert session_module.list_folders(spark, path.rsplit("/", 1)[0]) == []
+    assert "owner-" not in session_module.scratch_path(spark, "x")
+
+
 def test_scratch_is_refused_on_a_cluster_without_a_shared_folder():
     class Context:
         master, applicationId = "spark://host:7077", "app"
