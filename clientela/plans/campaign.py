@@ -21,10 +21,10 @@ def campaign_audience(
     name: str | None = None,
     phone_only: bool = True,
 ) -> DataFrame:
-    """Segmented customers with their last contact (null if never). ``name`` is a case-blind pattern."""
+    """Segmented customers with their last contact (null if never). ``name`` is a pattern, case-blind in all alphabets."""
     chosen = in_segment(segments, segment)
     if name:
-        chosen = chosen.where(F.coalesce(F.col("name").rlike(f"(?i){name}"), F.lit(False)))
+        chosen = chosen.where(F.coalesce(F.col("name").rlike(f"(?iU){name}"), F.lit(False)))
     if phone_only:
         chosen = chosen.where(F.length("phone_number") >= SHORTEST_PHONE)
     contacted = last_contact.select(F.col("customer_id").cast("string").alias("id"), "last_contact")

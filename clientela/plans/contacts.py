@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,13 +42,32 @@ def contact_rows(contacts: DataFrame, fixed: Mapping[str, Column] | None = None)
     return contacts.select(required.alias("timestamp"), *texts)
 
 
-def append_contacts(contacts: DataFrame, path: str) -> None:
-    """Append a batch of contacts to the log folder."""
-    contact_rows(contacts).write.mode("append").parquet(path)
+def append_to_table(contacts: DataFrame, table: str = "contact_log") -> None:
+    """Append a batch to the catalog table made by :func:`ensure_contact_log`."""
+    ensure_contact_log(contacts.sparkSession, table)
+    contact_rows(contacts).write.insertInto(table)
+
+
+def append_contacts(contacts: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add a batch of contacts to the log folder, in a folder of its own.
+
+    A batch written again under its name replaces itself; without a name it gets a new one.
+    """
+    write_part(contact_rows(contacts), path, "batch", batch or uuid.uuid4().hex)
+
+
+def write_part(rows: DataFrame, path: str, source: str, part: str | int) -> None:
+    """One part of a log folder: ``<path>/source=<source>/part=<part>``. Readers see the parts of all sources."""
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/source={source}/part={part}")
+
+
+def read_parts(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def read_contact_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CONTACT_LOG).parquet(path)
+    """All parts of a log folder, whoever wrote them."""
+    return read_parts(spark, path, CONTACT_LOG)
 
 
 def last_contact(log: DataFrame) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,11 +35,14 @@ def build_session(name: str = "clientela", master: str | None = None, **extra: s
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one in local mode only."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    on_cluster = not context.master.startswith("local")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
+        if on_cluster and configured.startswith("file:"):
+            warnings.warn("spark.checkpoint.dir is a file: folder; it must be a mount that every executor shares", stacklevel=2)
         return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if on_cluster:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = context.applicationId
     if app not in _local_scratch:
@@ -46,8 +52,39 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+_owners: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/clientela/{label}-{uuid.uuid4().hex}"
+    owner = f"{_owners[-1]}/" if _owners else ""
+    return f"{scratch_root(spark)}/clientela/{owner}{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end; results must have been written by then."""
+    _owners.append(f"owner-{uuid.uuid4().hex}")
+    folder = f"{scratch_root(spark)}/clientela/{_owners[-1]}"
+    try:
+        yield
+    finally:
+        _owners.pop()
+        delete_folder(spark, folder)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    store, place = _hadoop(spark, path)
+    store.delete(place, True)
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    store, place = _hadoop(spark, path)
+    return sorted(s.getPath().toString() for s in store.listStatus(place) if s.isDirectory()) if store.exists(place) else []
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

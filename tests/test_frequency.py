@@ -109,7 +109,7 @@ def test_page_count(spark):
         assert one(frequency.customer_page_count(counted, 25)) == {"total": customers, "total_pages": pages}
 
 
-def test_pages_add_up_to_the_listing_shallow_or_deep(make_shop, monkeypatch):
+def test_pages_add_up_to_the_listing(make_shop):
     people = [(str(i), None, f"N{i}", "x") for i in range(23)] + [("5", None, "N5", "x")] * 6
     sales = [(str(i), i % 4, "2024-01-01") for i in range(23)]
     listing = frequency.customer_frequency(make_shop(people, ifood_sales=sales))
@@ -120,8 +120,7 @@ def test_pages_add_up_to_the_listing_shallow_or_deep(make_shop, monkeypatch):
         return [tuple(r) for n in range(1, 6) for r in frequency.page(listing, n, 7).collect()]
 
     assert pages() == whole
-    monkeypatch.setattr(frequency, "SHALLOW_ROWS", 0)
-    assert pages() == whole
+    assert frequency.page(listing, 99, 7).collect() == []
 
 
 def test_export_writes_utf8_csv_with_headers(spark, make_shop, tmp_path):
@@ -132,6 +131,28 @@ def test_export_writes_utf8_csv_with_headers(spark, make_shop, tmp_path):
     assert lines[1].startswith("João Açaí,01/01/2024")
 
 
+def test_export_joined_parts_keep_every_value(spark, tmp_path):
+    import csv
+    import io
+
+    rows = [("Ana ", 12345678.9, 3), ('Zé "Rei"', 0.5, 1), (" a,b\nc\r\nd", 1e7, 2), (None, None, None), ("", -0.25, 0), ("plain", 1234.5678, 4)]
+    df = spark.createDataFrame(rows, "Cliente string, `Total, \"Gasto\"` double, n bigint").coalesce(1)
+    path = write_csv(df, str(tmp_path))
+    text = b"".join(p.read_bytes() for p in sorted((tmp_path / path.split("/")[-1]).glob("part-*"))).decode()
+    read = list(csv.reader(io.StringIO(text, newline="")))
+    assert read[0] == df.columns and text.count("Cliente") == 1
+    shown = ["12345678.9", "0.5", "10000000.0", "", "-0.25", "1234.5678"]
+    assert read[1:] == [[name or "", total, "" if n is None else str(n)] for (name, _, n), total in zip(rows, shown)]
+
+
+def test_totals_finer_than_the_unit_are_refused(make_shop):
+    shop = make_shop([ANA], ifood_sales=[("1", 0.00004, "2024-01-01"), ("1", 0.12345, "2024-01-02")])
+    with pytest.raises(Exception, match="more than 4 decimals"):
+        frequency.customer_frequency(shop).collect()
+    exact = make_shop([ANA], ifood_sales=[("1", 0.1234, "2024-01-01"), ("1", 123456789012.3456, "2024-01-02"), ("1", None, "2024-01-03")])
+    assert one(frequency.customer_frequency(exact))["total_gasto"] == 123456789012.469
+
+
 def test_export_name():
     import datetime as dt
 
