@@ -6,8 +6,19 @@ all sales of an id, global windows), not the plans of the package, so that agree
 
 from __future__ import annotations
 
-from clientela import labels
-from sampledata import VIEWS, view_text
+from sampledata import ACCENTED, SHARED_IDS, VIEWS, view_text
+
+# Fixed values, written here once more: the channels, segments, texts and headers that results must carry.
+IFOOD, FOOD99, STORE = "iFood", "99food", "Loja"
+SEGMENTS = ((10, "🏆 Campeões (VIP)"), (8, "📈 Clientes Fiéis"), (6, "⚡ Potenciais"), (None, "💤 Em Risco/Perdidos"))
+CHAT_LINK = "https://wa.me/"
+NEVER = "Nunca"
+ZONE = "America/Sao_Paulo"
+EXPORT_HEADERS = {
+    "name": "Cliente", "primeira_compra": "1ª Compra", "ultima_compra": "Última Compra", "num_compras": "Nº Compras",
+    "total_gasto": "Total Gasto", "ticket_medio": "Ticket Médio", "media_frequencia_compra": "Freq Média (dias)",
+    "max_dias_sem_recompra": "Máx Dias s/ Compra", "sales_channel": "Canal de Venda", "document_number": "CPF", "phone_number": "Telefone",
+}
 
 PARAMETERS = {
     "rfm_as_of": "2001-08-02",
@@ -15,12 +26,15 @@ PARAMETERS = {
     "sales_channel": "Loja/iFood",
     "name": "Cliente1",
     "customer_id": "6D6",
-    "channel": labels.STORE,
+    "channel": STORE,
     "segment": "📈 Clientes Fiéis",
     "purpose": "Saudades",
     "shop_name": "Minha Loja",
     "contact_id": "2",
     "process_keys": ["click", "purchase"],
+    "document_number": "D6",
+    "phone_number": "5511900000005",
+    "accented_name": "joão á|ZÉLIA",
 }
 
 _IDENTITY = """identity AS (
@@ -46,9 +60,9 @@ def _branch(channel: str, fact: str, fact_key: str, total: str, identity_key: st
 
 
 _BRANCHES = {
-    labels.IFOOD: _branch(labels.IFOOD, "app_orders", "customer_id", "total_bag_detail", "customer_id_original"),
-    labels.FOOD99: _branch(labels.FOOD99, "app_orders", "c_uid", "total_bag_detail", "c_uid_original"),
-    labels.STORE: _branch(labels.STORE, "store_sales", "client_cpf", "total", "document_number_ctb"),
+    IFOOD: _branch(IFOOD, "app_orders", "customer_id", "total_bag_detail", "customer_id_original"),
+    FOOD99: _branch(FOOD99, "app_orders", "c_uid", "total_bag_detail", "c_uid_original"),
+    STORE: _branch(STORE, "store_sales", "client_cpf", "total", "document_number_ctb"),
 }
 
 
@@ -112,7 +126,7 @@ def _rfm(channel: str | None = None) -> list[str]:
     return [
         _IDENTITY,
         _sales(channel),
-        _GAPS.format(ties="name, channel, total", where=f"WHERE sales_date <= DATE '{as_of}'"),
+        _GAPS.format(ties="channel, total NULLS FIRST, name", where=f"WHERE sales_date <= DATE '{as_of}'"),
         f"""rfm AS (
   SELECT id, name, max(phone_number) AS phone_number, {_UNITS} / 10000.0 AS monetary, CAST(count(*) AS BIGINT) AS frequency,
          min(sales_date) AS first_purchase, max(sales_date) AS last_purchase,
@@ -127,7 +141,7 @@ def _edge(column: str, quarter: int) -> str:
     return f"quantile_cont({column}, {quarter / 4}) OVER ()"
 
 
-_LABELS = " ".join(f"WHEN score >= {floor} THEN '{label}'" for floor, label in labels.SEGMENTS if floor)
+_LABELS = " ".join(f"WHEN score >= {floor} THEN '{label}'" for floor, label in SEGMENTS if floor)
 
 
 def _segments() -> list[str]:
@@ -146,7 +160,7 @@ def _segments() -> list[str]:
         f"""segments AS (
   SELECT id, name, phone_number, monetary, frequency, first_purchase, last_purchase, recency, avg_cycle, sales_channel,
          CAST(r_score AS INTEGER) AS r_score, CAST(f_score AS INTEGER) AS f_score, CAST(m_score AS INTEGER) AS m_score,
-         CAST(score AS INTEGER) AS rfm_score, CASE {_LABELS} ELSE '{labels.SEGMENTS[-1][1]}' END AS segmento
+         CAST(score AS INTEGER) AS rfm_score, CASE {_LABELS} ELSE '{SEGMENTS[-1][1]}' END AS segmento
   FROM (SELECT *, r_score + f_score + m_score AS score FROM scores))""",
     ]
 
@@ -165,24 +179,37 @@ def _audience(where: str) -> list[str]:
 
 
 def _labelled_counts(source: str) -> str:
-    names = ", ".join(f"('{label}')" for label in labels.SEGMENT_LABELS)
+    names = ", ".join(f"('{label}')" for label in [label for _, label in SEGMENTS])
     return f"""SELECT segmento, CAST(count(s.id) AS BIGINT) AS quantidade
 FROM (VALUES {names}) AS l(segmento) LEFT JOIN {source} s USING (segmento) GROUP BY segmento"""
 
 
 _ONE_SEGMENT = f"AND segmento = '{PARAMETERS['segment']}'"
 
-_MESSAGE = (
-    "'Oi ' || split_part(trim(name), ' ', 1) || '! 🍦 Sentimos sua falta. Já faz ' || CAST(recency AS STRING) || "
-    "' dias que você não vem nos visitar. Que tal um açaí hoje para matar a saudade?'"
-)
+_FIRST_NAME = "split_part(trim(name), ' ', 1)"
+_MESSAGE_TEXTS = {
+    "Saudades": f"'Oi ' || {_FIRST_NAME} || '! 🍦 Sentimos sua falta. Já faz ' || CAST(recency AS STRING) || "
+    "' dias que você não vem nos visitar. Que tal um açaí hoje para matar a saudade?'",
+    "Agradecimento": f"'Olá ' || {_FIRST_NAME} || '! 💜 Passando para agradecer por ser um dos nossos clientes ' || segmento || "
+    f"'. Sua preferência no {PARAMETERS['shop_name']} é muito especial para nós!'",
+    "Promoção": f"'Fala ' || {_FIRST_NAME} || '! 🎁 Como você é um cliente ' || segmento || "
+    "', liberamos um benefício exclusivo para você hoje na loja. Venha conferir!'",
+    "Feedback": f"'Olá ' || {_FIRST_NAME} || '! 🌟 Como foi sua última experiência? Sendo um cliente ' || segmento || "
+    "', sua opinião nos ajuda a ser cada vez melhores.'",
+}
+
+
+def _messages(purpose: str) -> tuple[list[str], str]:
+    parts = [*_audience(_ONE_SEGMENT), _MESSAGES.format(message=_MESSAGE_TEXTS[purpose], purpose=purpose)]
+    return parts, f"SELECT *, '{CHAT_LINK}' || phone_clean || '?text=' || replace(url_encode(message_body), '%2F', '/') AS wa_link FROM messages"
 
-_MESSAGES = f"""digits AS (
-  SELECT id, regexp_replace(replace(phone_number, '.0', ''), '[^0-9]', '', 'g') AS digits, {_MESSAGE} AS message_body
+
+_MESSAGES = """digits AS (
+  SELECT id, regexp_replace(replace(phone_number, '.0', ''), '[^0-9]', '', 'g') AS digits, {message} AS message_body
   FROM audience),
 messages AS (
   SELECT id, CASE WHEN left(digits, 2) <> '55' AND length(digits) >= 10 THEN '55' || digits ELSE digits END AS phone_clean,
-         '{PARAMETERS['purpose']}' AS message_type, message_body FROM digits)"""
+         '{purpose}' AS message_type, message_body FROM digits)"""
 
 _CURVE = """curve AS (
   SELECT CAST(row_number() OVER w AS BIGINT) AS position, id, monetary,
@@ -195,11 +222,11 @@ FROM (SELECT CAST(floor(avg_cycle / 7) * 7 AS BIGINT) AS b FROM rfm WHERE avg_cy
 
 
 def _transaction_text(where: str = "") -> str:
-    return f"""SELECT id, channel AS canal, strftime(created_at AT TIME ZONE 'UTC' AT TIME ZONE '{labels.DISPLAY_ZONE}',
+    return f"""SELECT id, channel AS canal, strftime(created_at AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}',
   '%d/%m/%Y %H:%M') AS data_venda, total FROM sales {where}"""
 
 
-_EXPORT = ", ".join(f'{name} AS "{head}"' for name, head in labels.FREQUENCY_HEADERS.items() if name != "id")
+_EXPORT = ", ".join(f'{name} AS "{head}"' for name, head in EXPORT_HEADERS.items())
 _MONTHS = ", ".join(f"round(m{i} / CAST(m1 AS DOUBLE), 6) AS m{i}" for i in range(1, 14))
 _LATEST = """SELECT strftime(timestamp, '%d/%m/%Y %H:%M') AS timestamp, customer_name, segment, message_type
 FROM (SELECT * FROM contact_log ORDER BY contact_log.timestamp DESC LIMIT {n})"""
@@ -225,8 +252,35 @@ _OVERLAP = "SELECT count(*) AS total_cliente, " + ", ".join(
     ]
 ) + " FROM identity"
 
-# name: (relations to define first, final SELECT)
-_STATEMENTS: dict[str, tuple[list[str], str]] = {
+_QUEUE = (
+    "SELECT id, name, phone_number, sales_channel, segmento, frequency, "
+    "strftime(first_purchase, '%d/%m/%Y') AS first_purchase, strftime(last_purchase, '%d/%m/%Y') AS last_purchase, "
+    f"coalesce(strftime(last_contact, '%d/%m/%Y %H:%M'), '{NEVER}') AS ultimo_contato FROM audience"
+)
+_TEXTS = ", ".join(f'CAST({name} AS STRING) AS "{head}"' for name, head in EXPORT_HEADERS.items())
+
+
+def _percent(month: str) -> str:
+    """Exact share in tenths of a percent, halves to the even tenth. No share of the test tables lies so near a half
+    that the double of the share would fall on the other side."""
+    scaled, rest = f"(1000 * {month}) // m1", f"2 * ((1000 * {month}) % m1)"
+    tenths = f"({scaled} + CASE WHEN {rest} > m1 OR ({rest} = m1 AND ({scaled}) % 2 = 1) THEN 1 ELSE 0 END)"
+    return f"CASE WHEN {month} IS NULL THEN '' ELSE CAST({tenths} // 10 AS STRING) || '.' || CAST({tenths} % 10 AS STRING) || '%' END AS {month}"
+
+
+def _repeated(registry: str, key: str) -> str:
+    return (
+        f"SELECT '{registry}' AS registry, '{key}' AS key, CAST(count(CASE WHEN n > 1 THEN 1 END) AS BIGINT) AS repeated_values, "
+        f"CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS rows_in_them "
+        f"FROM (SELECT count(*) AS n FROM {registry} WHERE {key} IS NOT NULL GROUP BY {key})"
+    )
+
+
+_KEYS = (("ifood_customer", "document_number"), ("store_customer", "document_number"), ("store_customer", "phone_number"), ("food99_customer", "phone_number"))
+_BY_DOCUMENT = f"WHERE document_number = '{PARAMETERS['document_number']}'"
+
+# name: (relations to define first, final SELECT[, changed views])
+_STATEMENTS: dict[str, tuple] = {
     "identity": ([_IDENTITY], "SELECT * FROM identity"),
     "transactions": ([_IDENTITY, _sales()], "SELECT id, sales_date, total, channel FROM sales"),
     "purchase_gaps": (
@@ -275,22 +329,34 @@ _STATEMENTS: dict[str, tuple[list[str], str]] = {
     ),
     "latest_events": ([], _LATEST.format(n=50)),
     "latest_events_10": ([], _LATEST.format(n=10)),
-    "campaign_queue": (
-        _audience(_ONE_SEGMENT),
-        "SELECT id, name, phone_number, sales_channel, segmento, frequency, "
-        "strftime(first_purchase, '%d/%m/%Y') AS first_purchase, strftime(last_purchase, '%d/%m/%Y') AS last_purchase, "
-        f"coalesce(strftime(last_contact, '%d/%m/%Y %H:%M'), '{labels.NEVER}') AS ultimo_contato FROM audience",
-    ),
+    "campaign_queue": (_audience(_ONE_SEGMENT), _QUEUE),
+    "campaign_queue_named": (_audience(""), f"{_QUEUE} WHERE regexp_matches(name, '{PARAMETERS['accented_name']}', 'i')", ACCENTED),
     "campaign_segment_counts": (_audience(""), _labelled_counts("audience")),
-    "campaign_messages": (
-        [*_audience(_ONE_SEGMENT), _MESSAGES],
-        f"SELECT *, '{labels.CHAT_LINK}' || phone_clean || '?text=' || replace(url_encode(message_body), '%2F', '/') AS wa_link FROM messages",
-    ),
+    "campaign_messages": _messages(PARAMETERS["purpose"]),
+    "campaign_messages_thanks": _messages("Agradecimento"),
+    "campaign_messages_offer": _messages("Promoção"),
+    "campaign_messages_feedback": _messages("Feedback"),
     "process_last_run": ([], f"SELECT * FROM process_last_run WHERE process_key IN ({_NAMES})"),
     "contact_log_append": ([], "SELECT * FROM contact_log"),
+    "contact_log_streamed": ([], "SELECT * FROM contact_log"),
+    "last_contact_streamed": ([_LAST], "SELECT * FROM last_contacts"),
+    "rfm_base_shared_ids": (_rfm(), "SELECT * FROM rfm", SHARED_IDS),
+    "customer_frequency_by_document": (_listing(), f"SELECT * FROM listing {_BY_DOCUMENT}"),
+    "customer_frequency_by_phone": (_listing(), f"SELECT * FROM listing WHERE phone_number = '{PARAMETERS['phone_number']}'"),
+    "customer_count_by_document": (_listing(), f"{_COUNT_IDS} {_BY_DOCUMENT}"),
+    "customer_frequency_deep_page": (_listing(), f"SELECT * FROM listing {_LISTING_ORDER} LIMIT 20 OFFSET 80"),
+    "customer_frequency_csv": (_listing(), f"SELECT {_TEXTS} FROM listing"),
+    "cohort_retention_text": (
+        _cohort(), f"SELECT strftime(cohort_month, '%Y-%m') AS cohort_month, {', '.join(_percent(f'm{i}') for i in range(1, 14))} FROM matrix"
+    ),
+    "process_run_text": ([], f"SELECT name, strftime(last_run_date, '%d/%m/%Y %H:%M:%S') AS last_run FROM process_last_run WHERE process_key IN ({_NAMES})"),
+    "duplicate_keys": ([], " UNION ALL ".join(_repeated(*pair) for pair in _KEYS)),
 }
 
 
 def statements() -> dict[str, str]:
-    views = [f"{name} AS ({view_text(name)})" for name in VIEWS]
-    return {name: "WITH " + ",\n".join(views + parts) + "\n" + final for name, (parts, final) in _STATEMENTS.items()}
+    out = {}
+    for name, (parts, final, *changed) in _STATEMENTS.items():
+        views = [f"{view} AS ({view_text(view, *changed)})" for view in VIEWS]
+        out[name] = "WITH " + ",\n".join(views + parts) + "\n" + final
+    return out

@@ -55,6 +55,28 @@ VIEWS = {
         FROM {events} GROUP BY event_type""",
 }
 
+#: Views that replace some of the above: ids under two names, and sales of one day in two channels.
+SHARED_IDS = {
+    "ifood_customer": VIEWS["ifood_customer"]
+    + """
+        UNION ALL
+        SELECT CAST(c_custkey AS STRING), CASE WHEN c_custkey % 14 <> 0 THEN 'D' || CAST(c_custkey AS STRING) END,
+               'Outra' || CAST(c_custkey AS STRING), c_mktsegment
+        FROM {customer} WHERE c_custkey % 8 = 4""",
+    "store_sales": """
+        SELECT 'D' || CAST(o_custkey AS STRING) AS client_cpf, o_totalprice AS total, o_orderdate AS created_at
+        FROM {orders} WHERE o_orderkey % 3 <> 1""",
+}
+#: Names with accents, in capitals and in small letters.
+ACCENTED = {
+    "ifood_customer": """
+        SELECT CAST(c_custkey AS STRING) AS id,
+               CASE WHEN c_custkey % 14 <> 0 THEN 'D' || CAST(c_custkey AS STRING) END AS document_number,
+               CASE c_custkey % 3 WHEN 0 THEN 'JOÃO' WHEN 1 THEN 'Zélia' ELSE 'Ana' END AS first_name,
+               CASE WHEN c_custkey % 4 = 0 THEN 'ÁVILA' ELSE 'Conceição' END AS last_name
+        FROM {customer} WHERE c_custkey % 2 = 0""",
+}
+
 _TABLES = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
@@ -63,17 +85,25 @@ _TABLES = {
 }
 
 
-def sample_shop(spark: SparkSession, folder: str) -> Shop:
-    tables: dict[str, DataFrame] = {
-        name: spark.read.schema(schema).parquet(f"{folder}/{name}.parquet") for name, schema in _TABLES.items()
-    }
-    views = {}
-    for name, text in VIEWS.items():
-        used = {table: df for table, df in tables.items() if "{" + table + "}" in text}
-        views[name] = spark.sql(text, **used)
-    return Shop(**views)
+def sample_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {name: spark.read.schema(schema).parquet(f"{folder}/{name}.parquet") for name, schema in _TABLES.items()}
+
+
+def sample_view(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
+    return spark.sql(text, **{table: df for table, df in tables.items() if "{" + table + "}" in text})
+
+
+def sample_shop(spark: SparkSession, folder: str, changed: dict[str, str] | None = None) -> Shop:
+    tables = sample_tables(spark, folder)
+    return Shop(**{name: sample_view(spark, text, tables) for name, text in (VIEWS | (changed or {})).items()})
+
+
+def streamed_contacts(spark: SparkSession, folder: str) -> DataFrame:
+    """The contact log as a stream of the events file."""
+    events = spark.readStream.schema(_TABLES["events"]).parquet(f"{folder}/events*.parquet")
+    return sample_view(spark, VIEWS["contact_log"], {"events": events})
 
 
-def view_text(name: str) -> str:
+def view_text(name: str, changed: dict[str, str] | None = None) -> str:
     """The same view for an engine that has the test tables registered under their own names."""
-    return VIEWS[name].format(**{table: table for table in _TABLES})
+    return (VIEWS | (changed or {}))[name].format(**{table: table for table in _TABLES})
