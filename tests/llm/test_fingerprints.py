@@ -1,0 +1,76 @@
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from clientela.llm import fingerprints as fp
+from clientela.llm import queries
+
+from llm.test_jaccard_join import shingles
+
+
+def sketch(text):
+    return next(iter(fp.sketches(pa.array([text], pa.string()))))
+
+
+def successors(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    return [(own, text or "", following or "") for (own, text), (_, following) in zip(rows, [*rows[1:], *rows[:1]])]
+
+
+def check(rows, result):
+    expected = []
+    for own, text, following in successors(rows):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        a, b, c = sketch(text), sketch(edited), sketch(following)
+        expected.append((own or 0, len(text), hashlib.sha256(edited.encode()).hexdigest(), fp.as_text(a), fp.as_text(b), fp.resemblance(a, b), fp.resemblance(a, c)))
+    got = [(r.doc_id or 0, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in result]
+    assert sorted(got) == sorted(expected)
+
+
+def test_query_equals_brute_force(spark, corpus):
+    check([(own, text) for own, text, _ in corpus], queries.op5_fingerprints(spark, "/root/testdata/sf0.001").collect())
+
+
+def test_edge_cases(make_docs):
+    rows = [(9, None), (2, ""), (3, "é漢😀" * 7), (3, "a b c d e f g"), (3, "a b c d e f g"), (-4, "one"), (None, "w x y z"), (2**53 + 1, "odd " * 40_000), (2**53 + 2, "even")]
+    check(rows, fp.compare_edited(make_docs(rows)).collect())
+    check(rows[:1], fp.compare_edited(make_docs(rows[:1])).collect())
+    assert fp.compare_edited(make_docs()).collect() == []
+
+
+@pytest.mark.parametrize("shared", [0, 200, 800])
+def test_estimates(shared):
+    words = [f"w{k}" for k in range(4000)]
+    a, b = " ".join(words[:1000]), " ".join(words[1000 - shared : 2000 - shared])
+    x, y = shingles(a), shingles(b)
+    assert abs(fp.resemblance(sketch(a), sketch(b)) - len(x & y) / len(x | y)) < 0.15
+    assert abs(fp.containment(sketch(a), sketch(b)) - len(x & y) / len(x)) < 0.25
+    assert abs(fp.distinct(sketch(a)) / len(x) - 1) < 0.3
+
+
+def test_small_sets_are_exact():
+    a, b = "a b c d e f g h", "a b c d e f g x"
+    x, y = shingles(a), shingles(b)
+    assert fp.resemblance(sketch(a), sketch(b)) == len(x & y) / len(x | y)
+    assert fp.containment(sketch(a), sketch(b)) == len(x & y) / len(x) and fp.distinct(sketch(a)) == len(x)
+    empty = sketch(None)
+    assert (fp.resemblance(empty, empty), fp.resemblance(empty, sketch(a)), fp.containment(empty, empty), fp.distinct(empty)) == (1.0, 0.0, 1.0, 0.0)
+
+
+def test_merged_parts_are_the_whole(spark, make_docs, corpus):
+    rows = [(own, text) for own, text, _ in corpus]
+    prints = fp.fingerprint_documents(make_docs(rows)).selectExpr("doc_id % 3 AS key", "fingerprint")
+    merged = {r.key: r.fingerprint for r in fp.merge_fingerprints(prints.repartition(5), "key").collect()}
+    for key in range(3):
+        every = [sketch(text) for own, text in rows if own % 3 == key]
+        assert np.array_equal(fp.from_text(merged[key]), fp.merge(every))
+
+
+def test_text_form_round_trip():
+    x = np.array([0, 1, 2**48 - 1], np.uint64)
+    assert np.array_equal(fp.from_text(fp.as_text(x)), x) and len(fp.from_text("")) == 0

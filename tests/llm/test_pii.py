@@ -1,0 +1,101 @@
+from __future__ import annotations
+
+import hashlib
+import itertools
+import re
+
+import numpy as np
+
+from clientela.llm import pii, queries
+
+
+def reference_spans(text):
+    """The fixed patterns, written out once more from their definition."""
+    found = []
+    for kind, pattern in (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ):
+        for m in re.finditer(pattern, text or ""):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            ok = kind == "email"
+            if kind == "ip":
+                ok = max(int(p) for p in m[0].split(".")) <= 255
+            if kind == "phone":
+                ok = 8 <= len(digits) <= 15
+            if kind == "card":
+                total = sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(reversed(digits)))
+                ok = 16 <= len(digits) <= 19 and total % 10 == 0
+            if ok:
+                found.append((kind, m.start(), m.end()))
+    return found
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def check(rows, result):
+    by_id = {own: text for own, text in rows}
+    assert sorted(r.doc_id for r in result) == sorted(own for own, _ in rows)
+    for r in result:
+        base = reference_spans(by_id[r.doc_id])
+        assert r.base_sha256 == digest(base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        every = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+        assert set(base) <= set(every) and every == sorted(every, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+
+
+def test_query_keeps_all_base_spans(spark, corpus):
+    check([(own, text) for own, text, _ in corpus], queries.op7_pii(spark, "/root/testdata/sf0.001").collect())
+
+
+def test_edge_cases(make_docs):
+    text = "é mail a.b@c.example.com, x@y or 1.2.3.4.5 and 300.1.1.1 card 4111 1111 1111 1111 +1 (415) 555-2671 +49-30"
+    rows = [(1, None), (2, ""), (3, text), (4, "+" * 5000 + "@" * 5000), (5, "1" * 30_000), (6, ("word " * 20_000) + "a@b.co"), (7, "漢字 a@b.co 漢字")]
+    found = pii.find_personal_data(make_docs(rows))
+    result = queries._span_digest(found, pii.KINDS).collect()
+    check(rows, result)
+    assert pii.find_personal_data(make_docs()).collect() == []
+    assert [r.spans for r in result if r.doc_id < 3] == ["", ""]
+
+
+def test_field_adds_what_the_patterns_miss():
+    import pyarrow as pa
+
+    text = "call (415) 555-2671 today. card 4111 1111 1111 1112 was used"
+    spans = [(k, text[a:b], base) for k, a, b, base in next(pii._find(pa.array([text]), pii.default_field()))]
+    assert spans == [("card", "4111 1111 1111 1112", False), ("phone", "(415) 555-2671", False)]
+
+
+def test_clean_text_gets_no_spans():
+    import pyarrow as pa
+
+    plain = [re.sub("#", "7", line) for line in pii.PLAIN.strip().split("\n")]
+    assert [s for s in pii._find(pa.array(plain), pii.default_field()) if s] == []
+
+
+def test_viterbi_equals_search_over_all_paths():
+    rng = np.random.default_rng(2)
+    k = len(pii.LABELS)
+    field = pii.Field(rng.normal(0, 1, (pii._N_OWN, k)), rng.normal(0, 1, (pii._N_SIDE, k)), rng.normal(0, 1, (pii._N_SIDE, k)), rng.normal(0, 1, (k, k)), rng.normal(0, 1, k))
+    words = "a@b.co +1 (2) the 12-34 X. y".split()
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    end = np.cumsum([len(w) + 1 for w in words]) - 1
+    codes = pii.word_shapes(data, np.r_[0, end[:-1] + 1], end)
+    sentence = np.array([0, 0, 0, 0, 1, 1, 1])
+    scores = field.scores(codes, sentence)
+    for rows in ([0, 1, 2, 3], [4, 5, 6]):
+        best = max(
+            itertools.product(range(k), repeat=len(rows)),
+            key=lambda path: field.first[path[0]] + sum(scores[r, p] for r, p in zip(rows, path)) + sum(field.step[a, b] for a, b in zip(path, path[1:])),
+        )
+        assert field.decode(codes, sentence)[rows].tolist() == list(best)
+
+
+def test_masking(make_docs):
+    docs = make_docs([(1, "mail a@b.co now"), (2, None), (3, "nothing"), (3, "nothing")])
+    masked = pii.mask_personal_data(docs)
+    assert masked.schema == docs.schema
+    assert sorted((r.doc_id, r.text) for r in masked.collect() if r.text) == [(1, "mail [EMAIL] now"), (3, "nothing"), (3, "nothing")]
+    assert pii._masked("abcdef", [("ip", 1, 4, True), ("card", 2, 5, True)]) == "a[IP]f"
