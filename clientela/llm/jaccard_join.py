@@ -1,9 +1,11 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-1. Every document becomes the set of its distinct word shingles. A table of counters of one fixed
-   size estimates in how many sets a shingle occurs; sets are ordered by it, rarest first.
-2. Two sets of sizes a <= b with a Jaccard likeness of at least t share a shingle among the first
-   n - ceil(t n) + 1 of each (prefix filter). Only these prefixes are shuffled, in packed blocks.
+1. Every document becomes the set of its distinct word shingles; equal sets are one node. Shingles are
+   shuffled once, packed by bucket of their hash, to count exactly in how many nodes each occurs.
+2. Two sets with a Jaccard likeness of at least t share a shingle among the first n - ceil(t n) + 1 of
+   each, in any order common to all (prefix filter). The order is rarest first. Shingles of one node
+   come first and can't be shared, so only shared shingles go back to their nodes, which keep those
+   inside their prefix: mostly none.
 3. Sets that share a prefix shingle fall into the block of that shingle's leader, the member with the
    smallest hash. Shingles of one family of copies mostly have one leader, so a set falls into few
    blocks. A pair that meets in several blocks is taken in the one with the smallest leader only.
@@ -13,7 +15,8 @@
    the components found; pairs themselves are never written.
 5. Components of these links, joined back to all documents.
 
-Equal sets are one node, named by a 64-bit signature of the set, and share its component.
+Nodes are named by a 64-bit signature of the set. In steps 1 and 2 a shingle is known by the upper 48 bits
+of its hash; prefixes are longer by two, so that shingles which agree in these bits can't lose a pair.
 """
 
 from __future__ import annotations
@@ -28,11 +31,14 @@ from pyspark.sql import functions as F
 from clientela.llm import texts
 from clientela.llm.components import connected_components
 from clientela.llm.tables import counters, records_per_batch, ship, shuffle_partitions, stored
+from clientela.operators.joins import join_unique
 
 PERCENT = 75
-SKETCH_BITS = 21
+NODE_FILTER_BITS = 26
 CHUNK_SHINGLES = 20_000
 PAIRS_PER_BATCH = 64
+HELD_SHINGLES = 500_000
+DEALT_SHINGLES = 1_000_000
 _BLOCK = 1 << 15
 _CELLS = 64
 
@@ -57,25 +63,15 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, np.ndarr
         yield batch.column(0).slice(first, last - first), text, hashes, starts
 
 
-_SETS = "doc_id long, n int, node long, block int, counts binary"
+_SETS = "doc_id long, n int, node long"
 
 
-def _count(size: int, bits: int):
-    """Every document's set size and signature; at the end of the task, its counters in blocks."""
-
+def _count(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "node", "block", "counts"]
-        counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for ids, _, hashes, starts in _sets(batch, size):
-                counts += np.bincount(hashes >> np.uint64(64 - bits), minlength=1 << bits).astype(np.uint32)
                 n, node = _signed(hashes, starts)
-                empty = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(node.view(np.int64)), *empty], names=names)
-        empty = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())]
-        for block, part in enumerate(counts.reshape(-1, min(_BLOCK, 1 << bits))):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([*empty, pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(node.view(np.int64))], names=["doc_id", "n", "node"])
 
     return run
 
@@ -84,88 +80,156 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-_PREFIX = "bucket int, h binary, times binary, node binary, n binary, pos binary"
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new) > 1:
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+_SHINGLES = "bucket int, h binary, times binary, node binary, n binary"
 
 
-def _prefixes(size: int, percent: int, bits: int, levels, buckets: int):
-    """Packed prefix shingles by bucket of the hash range; equal sets of a batch count once."""
+def _dealt(size: int, buckets: int):
+    """Packed shingles by bucket of the hash range, a bounded number at a time; equal sets among these count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
+        parts: list[tuple[np.ndarray, ...]] = []
+        seen: set[int] = set()
+        held = 0
         for batch in batches:
-            parts = []
             for ids, text, hashes, starts in _sets(batch, size):
                 n, node = _signed(hashes, starts)
-                order = np.lexsort((hashes, level[hashes >> np.uint64(64 - bits)], text))
-                pos = np.arange(len(text)) - starts[text]  # ordering moves shingles within their set only
-                keep = (pos < prefix_length(n, percent)[text]) & ids.is_valid().to_numpy(zero_copy_only=False)[text]
-                at = text[keep]
-                parts.append((hashes[order][keep], node[at], n[at].astype(np.int32), np.minimum(pos[keep], 65535).astype(np.uint16)))
-            h, node, n, pos = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.uint64)] * 4
-            if not len(h):
-                continue
-            bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            order = np.lexsort((h, node, bucket))
-            h, node, n, pos, bucket = (x[order] for x in (h, node, n, pos, bucket))
-            keep = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
-            h, node, n, pos, bucket = (x[keep] for x in (h, node, n, pos, bucket))
-            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-            columns: list[list] = [[] for _ in range(6)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                new = np.flatnonzero(np.r_[True, node[a + 1 : b] != node[a : b - 1]]) + a
-                times = np.diff(np.r_[new, b]).astype(np.uint32)
-                for column, x in zip(columns[1:], (h[a:b], times, node[new], n[new], pos[a:b])):
-                    column.append(x.tobytes())
-                columns[0].append(int(bucket[a]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
-                names=["bucket", "h", "times", "node", "n", "pos"],
-            )
+                take = ids.is_valid().to_numpy(zero_copy_only=False) & (n > 0)
+                take &= np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
+                keep = take[text]
+                parts.append((hashes[keep] >> np.uint64(16), text[keep], node, n))
+                held += len(parts[-1][0])
+                if held > DEALT_SHINGLES:
+                    yield _packed_shingles(parts, buckets)
+                    parts, seen, held = [], set(), 0
+        if held:
+            yield _packed_shingles(parts, buckets)
+
+    return run
+
+
+def _packed_shingles(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+    count = np.cumsum([0, *[len(p[2]) for p in parts]])
+    h = np.concatenate([p[0] for p in parts])
+    text = np.concatenate([p[1] + c for p, c in zip(parts, count)])
+    node, n = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
+    bucket = _bucket(h << np.uint64(16), buckets)
+    order = np.argsort(bucket, kind="stable")  # within a bucket, by text
+    h, text, bucket = h[order], text[order], bucket[order]
+    edges = np.r_[_runs(bucket), len(h)]
+    six = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    columns: list[list] = [[] for _ in range(5)]
+    for a, b in zip(edges[:-1], edges[1:]):
+        new = _runs(text[a:b])
+        columns[0].append(int(bucket[a]))
+        columns[1].append(six[a:b].tobytes())
+        columns[2].append(np.diff(np.r_[new, b - a]).astype(np.uint16 if b - a < 65536 else np.uint32).tobytes())
+        columns[3].append(node[text[a:b][new]].tobytes())
+        columns[4].append(n[text[a:b][new]].astype(np.uint32).tobytes())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "h", "times", "node", "n"]
+    )
+
+
+def _by_bucket(solve):
+    """Apply ``solve`` to the rows of each bucket; partitions are sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["bucket"] != row["bucket"]:
+                    yield from solve(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from solve(held)
 
     return run
 
 
-_ENTRIES = "h long, node long, n int, pos int, leader long"
+_SHARED = "bucket int, node binary, n binary, h binary, often binary"
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefix shingles that two different sets share, with the leader of each shingle; bucket by bucket."""
+def _shared(buckets: int):
+    """Shingles of two nodes or more, with their number of nodes, packed by bucket of the node."""
 
-    def solve(rows: list[dict]) -> pa.RecordBatch | None:
-        times = np.concatenate([np.frombuffer(r["times"], np.uint32) for r in rows])
-        h = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in rows])
-        node, n = (np.repeat(np.concatenate([np.frombuffer(r[k], t) for r in rows]), times) for k, t in (("node", np.uint64), ("n", np.int32)))
-        pos = np.concatenate([np.frombuffer(r["pos"], np.uint16) for r in rows])
+    def solve(rows: list[dict]) -> Iterator[tuple[np.ndarray, ...]]:
+        short = [np.frombuffer(r["h"], np.uint8).reshape(-1, 6) for r in rows]
+        h = np.zeros((sum(map(len, short)), 8), np.uint8)
+        h[:, :6] = np.concatenate(short)
+        h = h.view("<u8").ravel()
+        times = [np.frombuffer(r["times"], np.uint16 if len(r["h"]) // 6 < 65536 else np.uint32) for r in rows]
+        which = np.repeat(np.arange(sum(map(len, times))), np.concatenate(times))
         order = np.argsort(h, kind="stable")
-        same = np.flatnonzero(h[order][1:] == h[order][:-1])
-        often = np.zeros(len(h), bool)
-        often[same] = often[same + 1] = True
-        order = order[often]
-        order = order[np.lexsort((texts.mix(node[order]), h[order]))]  # a group's leader comes first
-        h, node, n, pos = (x[order] for x in (h, node, n, pos))
-        if not len(h):
-            return None
-        keep = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]  # equal sets count once
-        h, node, n, pos = h[keep], node[keep], n[keep], pos[keep]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        members = np.diff(np.r_[first, len(h)])
-        leader = np.repeat(node[first], members)
-        keep = np.repeat(members > 1, members)
+        h = h[order]
+        same = np.flatnonzero(h[1:] == h[:-1])
+        many = np.zeros(len(h), bool)
+        many[same] = many[same + 1] = True
+        h, which = h[many], which[order[many]]
+        node = np.concatenate([np.frombuffer(r["node"], np.uint64) for r in rows])[which]
+        n = np.concatenate([np.frombuffer(r["n"], np.uint32) for r in rows])[which]
+        order = np.lexsort((node, h))
+        order = order[_runs(h[order], node[order])]  # equal sets count once
+        h, node, n = h[order], node[order], n[order]
+        members = np.diff(np.r_[_runs(h), len(h)])
+        often = np.repeat(members, members).astype(np.uint32)
+        keep = often > 1
+        yield node[keep], n[keep], h[keep], often[keep]
+
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        bucket = _bucket(texts.mix(columns[0]), buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, columns = bucket[order], [x[order] for x in columns]
+        edges = np.r_[_runs(bucket), len(bucket)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(h[keep].view(np.int64)), pa.array(node[keep].view(np.int64)), pa.array(n[keep], pa.int32()), pa.array(pos[keep].astype(np.int32)), pa.array(leader[keep].view(np.int64))],
-            names=["h", "node", "n", "pos", "leader"],
+            [pa.array(bucket[edges[:-1]]), *[pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()) for x in columns]],
+            names=["bucket", "node", "n", "h", "often"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in _by_bucket(solve)(batches):
+            held.append(part)
+            size += len(part[0])
+            if size > HELD_SHINGLES:  # few large blocks rather than one for each pair of buckets
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return run
+
+
+def _prefixes(percent: int):
+    """Shared shingles inside their node's prefix, rarest first, with their position."""
+
+    def solve(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        node, n, h, often = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("node", np.uint64), ("n", np.uint32), ("h", np.uint64), ("often", np.uint32)))
+        order = np.lexsort((h, often, node))
+        node, n, h = node[order], n[order].astype(np.int64), h[order]
+        first = _runs(node)
+        shared = np.diff(np.r_[first, len(node)])
+        pos = np.arange(len(node)) - np.repeat(first, shared) + n - np.repeat(shared, shared)
+        keep = pos < prefix_length(n, percent) + 2
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h[keep].view(np.int64)), pa.array(node[keep].view(np.int64)), pa.array(n[keep], pa.int32()), pa.array(np.maximum(pos[keep], 0), pa.int32())],
+            names=["h", "node", "n", "pos"],
         )
 
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[0]["bucket"] != row["bucket"]:
-                if (out := solve(held)) is not None:
-                    yield out
-                held = []
-            held.append(row)
-    if held and (out := solve(held)) is not None:
-        yield out
+    return _by_bucket(solve)
 
 
 def _node_filter(bits: int):
@@ -238,7 +302,6 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _linked(left: _Chunk, right: _Chunk, block: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each left set, the right sets linked to it, among pairs whose smallest shared leader is ``block``."""
     within = left is right
-    place = texts.mix(np.array([block], np.int64).view(np.uint64))[0]
     starts = np.argsort(left.owner, kind="stable")
     edges = np.searchsorted(left.owner[starts], np.arange(len(left.node) + 1))
     for x in range(len(left.node)):
@@ -253,9 +316,9 @@ def _linked(left: _Chunk, right: _Chunk, block: int, percent: int) -> Iterator[t
         new = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
         other = y[new]
         # a pair belongs to the block whose leader comes first among those of its shared shingles
-        least = np.minimum.reduceat(texts.mix(right.leader[at].view(np.uint64)), new)
+        least = np.minimum.reduceat(right.leader[at], new)
         nx, ny = left.n[x], right.n[other]
-        ok = (least == place) & (np.minimum(nx, ny) * 100 >= percent * np.maximum(nx, ny))
+        ok = (least == block) & (np.minimum(nx, ny) * 100 >= percent * np.maximum(nx, ny))
         if within:
             ok &= other > x
         need = -(-percent * (nx + ny) // (100 + percent))
@@ -312,7 +375,7 @@ def _solve(percent: int):
 
 def jaccard_components(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = texts.SHINGLE,
-    percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, chunk_shingles: int = CHUNK_SHINGLES,
+    percent: int = PERCENT, chunk_shingles: int = CHUNK_SHINGLES,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links.
 
@@ -327,18 +390,17 @@ def jaccard_components(
     """
     spark = ship(docs.sparkSession)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    # every row's id, set size and signature, and the counters of the frequency estimate
-    first = stored(source.mapInArrow(_count(size, sketch_bits), _SETS), "sets")
-    sets = first.where("block is null").select("doc_id", "n", "node")
-    counts = _filled(counters(first.where("block is not null").select("block", "counts")), 1 << sketch_bits)
-    levels = spark.sparkContext.broadcast(np.minimum(8 * np.log2(1.0 + counts), 255).astype(np.uint8))
-
-    buckets = 4 * shuffle_partitions(spark)
-    packed = source.mapInArrow(_prefixes(size, percent, sketch_bits, levels, buckets), _PREFIX)
-    packed = packed.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
-    entries = stored(packed.mapInArrow(_shared, _ENTRIES), "prefixes")
-
-    bits = sketch_bits + 5
+    sets = stored(source.mapInArrow(_count(size), _SETS), "sets")
+
+    partitions = shuffle_partitions(spark)
+    buckets = 4 * partitions
+    dealt = source.mapInArrow(_dealt(size, buckets), _SHINGLES).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    shared = dealt.mapInArrow(_shared(partitions), _SHARED).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    entries = stored(shared.mapInArrow(_prefixes(percent), "h long, node long, n int, pos int"), "prefixes")
+    leaders = entries.groupBy("h").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("node")).alias("leader")).where("members > 1")
+    entries = stored(entries.join(leaders.drop("members"), "h"), "entries")
+
+    bits = NODE_FILTER_BITS
     seen = counters(entries.select("node").distinct().mapInArrow(_node_filter(bits), "block int, counts binary"), "or")
     wanted = spark.sparkContext.broadcast(_filled(seen, 1 << (bits - 5)))
     shingles = source.mapInArrow(_kept_sets(size, bits, wanted), "node long, shingles binary").dropDuplicates(["node"])
@@ -359,7 +421,7 @@ def jaccard_components(
         "node", F.coalesce("least", "own").alias("least"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     taking_part = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    return sets.join(classes, "node", "left").select(
+    return join_unique(sets, classes, ["node"], "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(taking_part, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),

@@ -18,9 +18,19 @@ from clientela.session import scratch_path
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch. Texts are long; Spark's own default would hold tens of megabytes in each task.
+TEXTS_PER_BATCH = 2000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's code to the executors, once per application: their tasks import it."""
+    """Send this package's code to the executors, once per application: their tasks import it.
+
+    Where the session leaves the size of Arrow batches as Spark has it, it is made smaller.
+    """
     app = spark.sparkContext.applicationId
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, str(TEXTS_PER_BATCH))
     if app not in _shipped:
         package = Path(__file__).resolve().parents[1]
         path = os.path.join(tempfile.mkdtemp(prefix="clientela-code-"), "clientela_code.zip")
@@ -84,10 +94,9 @@ def counters(df: DataFrame, sums: str = "sum") -> np.ndarray:
 @contextlib.contextmanager
 def records_per_batch(spark: SparkSession, rows: int):
     """Fewer rows in an Arrow batch while tables of wide rows are stored."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(_BATCH_ROWS, before)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SHINGLE = 5
 
 _SEPARATOR = np.zeros(256, dtype=bool)
@@ -30,7 +30,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power_table(base: int, length: int) -> np.ndarray:
     table = _powers.get(base)
     if table is None or len(table) < length:
-        steps = np.full(max(length, SLICE_BYTES + (1 << 18)), base, dtype=np.uint64)
+        steps = np.full(max(length, SLICE_BYTES), base, dtype=np.uint64)
         steps[0] = 1
         table = _powers[base] = np.cumprod(steps, dtype=np.uint64)
         if len(table) > 4 * SLICE_BYTES:  # one huge text: not kept
