@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientela.llm import texts
 from clientela.llm.tables import ship
-from clientela.llm.units import UnitCache, text_runs
+from clientela.llm.units import PLAIN, UnitCache, byte_characters, spelled, text_runs
 
 UNKNOWN = "\ufffd".encode()
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -26,11 +27,8 @@ _AMID_SPACES = re.compile(f"[{_SPACES}] [{_SPACES}]")
 _UNIT_EDGE = re.compile(f"(?<![{_SPACES}])(?= )|(?= [^{_SPACES}])")
 
 
-def byte_characters() -> list[str]:
-    """The character that stands for each byte: itself where printable in Latin-1, else the next free one from 256."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+#: The pattern keeps a space with the letters after it, and matches a sign after them by itself.
+_PLAIN = PLAIN.replace("(", "( ?", 1)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,14 +42,14 @@ def build_tokenizer(ranks: dict[bytes, int], pattern: str):
     from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
     table = byte_characters()
-    spelled = {token: "".join([table[b] for b in token]) for token in ranks}
+    spelling = {token: "".join([table[b] for b in token]) for token in ranks}
     merges = [
-        (spelled[token[:k]], spelled[token[k:]])
+        (spelling[token[:k]], spelling[token[k:]])
         for token in sorted(ranks, key=ranks.get)
         for k in range(1, len(token))
         if token[:k] in ranks and token[k:] in ranks
     ]
-    tokenizer = Tokenizer(BPE(vocab={spelled[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+    tokenizer = Tokenizer(BPE(vocab={spelling[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
     tokenizer.pre_tokenizer = Sequence([Split(Regex(pattern), "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
     return tokenizer
 
@@ -67,15 +65,15 @@ def split_units(text: str) -> list[str]:
 class _Vocabulary:
     def __init__(self, path: str, pattern: str):
         ranks = read_ranks(path)
-        self.cache = UnitCache(build_tokenizer(ranks, pattern), split_units)
+        self.cache = UnitCache(build_tokenizer(ranks, pattern), split_units, _PLAIN if pattern == PATTERN else r"(?!)", spelled)
         size = max(ranks.values(), default=-1) + 1
-        spelled = [UNKNOWN] * (size + 1)  # the last stands for every id without a token
+        tokens = [UNKNOWN] * (size + 1)  # the last stands for every id without a token
         for token, rank in ranks.items():
-            spelled[rank] = token
+            tokens[rank] = token
         self.unknown = size
-        self.lengths = np.array([len(t) for t in spelled], np.int64)
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
 
 _vocabularies: dict[tuple[str, str], _Vocabulary] = {}

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientela.llm.tables import ship
-from clientela.llm.units import UnitCache, text_runs
+from clientela.llm.units import PLAIN, UnitCache, spelled, text_runs
 
 LONGEST = 4096
 END_ID = 2
@@ -31,8 +31,8 @@ def _cache(vocabulary: str) -> UnitCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        # white space is dropped, so a space parts units
-        _caches[vocabulary] = UnitCache(Tokenizer.from_file(vocabulary), lambda text: text.split(" "))
+        # white space is dropped and case folded; a space or a line break parts units
+        _caches[vocabulary] = UnitCache(Tokenizer.from_file(vocabulary), lambda text: text.replace("\n", " ").split(" "), PLAIN, lambda word: spelled(word.lower()))
     return _caches[vocabulary]
 
 

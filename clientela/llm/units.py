@@ -6,6 +6,8 @@ distinct one is encoded once and kept, up to a bound, for the life of the Python
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -16,13 +18,57 @@ KEPT_LENGTH = 48
 ENCODE_AT_ONCE = 20_000
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte: itself where printable in Latin-1, else the next free one from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
+_SPELLING = dict(enumerate(byte_characters()))
+#: A word of Latin letters, and a full stop or comma after it. These letters are composed, and except for
+#: the dotted I their small forms are letters that do not depend on their neighbours.
+PLAIN = r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)"
+
+
+def spelled(text: str) -> str:
+    """The text as byte-level models see it: one character for each byte."""
+    return text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(_SPELLING)
+
+
 class UnitCache:
     """Packed ids (little-endian unsigned 32-bit) of texts, unit by unit."""
 
-    def __init__(self, tokenizer, split: Callable[[str], list[str]]):
+    def __init__(self, tokenizer, split: Callable[[str], list[str]], plain: str, model_word: Callable[[str], str]):
+        """``plain``: units of one letter word and a sign, each a word of the library's model; ``model_word``: how it spells the former."""
         self.tokenizer = tokenizer
         self.split = split
+        self.plain = re.compile(plain)
+        self.model_word = model_word
         self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.signs = {sign: self._model(sign) if sign else b"" for sign in ("", ".", ",")}
+
+    def _model(self, word: str) -> bytes:
+        ids = [token.id for token in self.tokenizer.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _found(self, units: Iterable[str]) -> dict[str, bytes]:
+        """Ids of units: plain ones by the library's model, all others by its whole pipeline."""
+        found, others = {}, []
+        match, words, signs, model_word = self.plain.fullmatch, self.words, self.signs, self.model_word
+        for unit in units:
+            plain = match(unit)
+            if plain is None:
+                others.append(unit)
+                continue
+            word = model_word(plain[1])
+            ids = words.get(word)
+            if ids is None:
+                ids = words[word] = self._model(word)
+            found[unit] = ids + signs[plain[2]]
+        found.update(self._encoded(others))
+        return found
 
     def _encoded(self, units: list[str]) -> Iterable[tuple[str, bytes]]:
         for first in range(0, len(units), ENCODE_AT_ONCE):
@@ -38,6 +84,8 @@ class UnitCache:
         """The ids of each text."""
         if len(self.kept) > KEPT_UNITS:
             self.kept.clear()
+        if len(self.words) > KEPT_UNITS:
+            self.words.clear()
         known = self.kept
         split = [self.split(text) for text in texts]
         missing: set[str] = set()
@@ -46,7 +94,7 @@ class UnitCache:
         missing.difference_update(known)
         found = known
         if missing:
-            new = dict(self._encoded(list(missing)))
+            new = self._found(missing)
             long = {u: i for u, i in new.items() if len(u) > KEPT_LENGTH}
             if long:
                 found = known | new
