@@ -21,7 +21,7 @@ from clientela.llm import texts
 from clientela.llm.tables import ship
 
 UNDETERMINED = "und"
-BUCKET_BITS = 13
+BUCKET_BITS = 12
 SAMPLE_ROWS = 2000
 EPOCHS = 30
 #: Families of ISO 639-1 codes. Any other label is a family of its own.
@@ -164,21 +164,20 @@ def train(labelled: DataFrame, text_column: str = "text", label_column: str = "l
     share = {label: min(1.0, rows / len(sizes) / n) for label, n in sizes.items()}
     cut = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(int(v * (2**31 - 1)))) for k, v in share.items()))
     place = F.xxhash64("text", F.lit(11)).bitwiseAND(F.lit(2**31 - 1))
-    sample = source.where(place <= cut[F.col("label")])
+    sample = source.where(place <= cut[F.col("label")]).distinct()  # copies of a text share its place
     found = sample.mapInArrow(_collect_counts, "label string, buckets binary, counts binary")
-    # copies of one text have one place in the sample, so they are bounded as well
     found = found.orderBy(F.xxhash64("buckets", "counts"), "label", "buckets").limit(int(1.2 * rows) + 50).collect()
-    x = np.zeros((len(found), 1 << BUCKET_BITS), np.float32)
+    # a column for each bucket and one for the bias; all work is done in place
+    x = np.zeros((len(found), (1 << BUCKET_BITS) + 1), np.float32)
     label_list = [r.label for r in found]
     labels = np.array(label_list)
     for row, r in zip(x, found):
         row[np.frombuffer(r.buckets, np.uint16)] = np.frombuffer(r.counts, np.uint32)
     x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
-    scale = 1 / np.sqrt(x.mean(axis=0) + 1e-4)
-    x = x * scale
-    norm = np.sqrt((x**2).sum(axis=1).mean()) or 1.0
-    x, scale = x / norm, scale / norm
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    scale = 1 / np.sqrt(x[:, :-1].mean(axis=0) + 1e-4)
+    scale /= np.sqrt(np.einsum("ij,ij,j->i", x[:, :-1], x[:, :-1], scale**2).mean()) or 1.0
+    x[:, :-1] *= scale
+    x[:, -1] = 1
     families: dict[str, list[str]] = {}
     for label in sorted(set(label_list)):
         families.setdefault(family_of(label), []).append(label)
