@@ -24,8 +24,8 @@ HIDDEN = 32
 PLACES = (-2, -1, 1, 2)
 ROUNDS = 2
 STRIDE = 4
-STEP_WORDS = 2048
-RATE = 0.05
+STEP_WORDS = 512
+RATE = 0.1
 _PART = 1 << 14
 _FIXED_POINT = 2.0**20
 
