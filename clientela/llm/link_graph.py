@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientela.llm.tables import stored
+from clientela.operators.joins import join_unique
 
 #: The rules, as (verdict, host and path).
 RULES = (
@@ -28,7 +29,6 @@ RULES = (
 )
 FOLLOW = 0.85
 ROUNDS = 15
-STORE_EVERY = 5
 THRESHOLD = 1.0
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,6 +70,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
     links = links.select("source", F.translate("target", _UPPER, _LOWER).alias("target")).where("source <> target")
     links = links.groupBy("source", "target").agg(F.count("*").cast("double").alias("weight"))
+    links = stored(links, "named")
     hosts = pages.where("host <> ''").select("host").distinct().unionByName(links.select(F.col("target").alias("host"))).distinct()
     labels = F.split("host", r"\.")
     chain = F.transform(F.sequence(F.lit(0), F.size(labels) - 2), lambda k: F.array_join(F.slice(labels, k + 1, 255), "."))
@@ -77,7 +78,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     above = above.select(F.explode(F.arrays_zip(F.expr("slice(chain, 1, size(chain) - 1)").alias("low"), F.expr("slice(chain, 2, size(chain) - 1)").alias("high"))).alias("e"))
     above = above.select(F.col("e.low").alias("source"), F.col("e.high").alias("target")).distinct()
     both = above.unionByName(above.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    return links.unionByName(both.withColumn("weight", F.lit(1.0))).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
+    every = links.unionByName(both.withColumn("weight", F.lit(1.0)))
+    return stored(every.groupBy("source", "target").agg(F.sum("weight").alias("weight")), "links")
 
 
 def seeds(judged: DataFrame) -> DataFrame:
@@ -104,14 +106,13 @@ def propagate(edges: DataFrame, start: DataFrame, follow: float = FOLLOW, rounds
     share = stored(directed.join(out, ["kind", "host"]).select("kind", "host", "to", (F.lit(follow) * F.col("weight") / F.col("total")).alias("share")), "edges")
     start = stored(start, "seeds")
     now = start
-    for turn in range(1, rounds + 1):
+    for _ in range(rounds):
         moved = now.join(share, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("mass") * F.col("share")).alias("mass"))
         moved = moved.groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
         passed = moved.groupBy("kind").agg(F.sum("mass").alias("passed"))  # two rows
         given = start.join(F.broadcast(passed), "kind", "left").select("kind", "host", (F.col("mass") * (1 - F.coalesce("passed", F.lit(0.0)))).alias("mass"))
-        now = moved.unionByName(given).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if turn % STORE_EVERY == 0 or turn == rounds:
-            now = stored(now, "ranks")
+        # each round is read twice by the next one, so its plan must end here
+        now = stored(moved.unionByName(given).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "ranks")
     return now
 
 
@@ -124,9 +125,11 @@ def judge_pages(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, th
     """
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     judged = with_rule(with_host_and_path(source), rules)
-    ranks = propagate(host_edges(judged), seeds(judged), rounds=rounds)
+    edges = host_edges(judged)
+    judged = stored(judged.drop("html", "url"), "judged")
+    ranks = propagate(edges, seeds(judged), rounds=rounds)
     hosts = ranks.groupBy("host").agg(*[F.round(F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0)), 12).alias(k) for k in ("trust", "distrust")])
     shares = {k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")}
-    found = judged.drop("html", "url").join(hosts, "host", "left").withColumns(shares)
+    found = join_unique(judged, hosts, ["host"], "left").withColumns(shares)
     by_method = F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("ruling", by_method).alias("verdict"), "trust", "distrust")
