@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pyarrow as pa
 
-KEPT_UNITS = 600_000
+KEPT_UNITS = 200_000
+KEPT_WORDS = 400_000
 KEPT_LENGTH = 48
 ENCODE_AT_ONCE = 20_000
 
@@ -84,7 +85,7 @@ class UnitCache:
         """The ids of each text."""
         if len(self.kept) > KEPT_UNITS:
             self.kept.clear()
-        if len(self.words) > KEPT_UNITS:
+        if len(self.words) > KEPT_WORDS:
             self.words.clear()
         known = self.kept
         split = [self.split(text) for text in texts]
