@@ -96,17 +96,29 @@ class Network:
 
     def train_step(self, around: np.ndarray, words: np.ndarray, power: "Network", rate: float) -> None:
         """One step of adaptive gradient ascent (squares of past gradients in ``power``)."""
+        order = np.argsort(words)  # words of a class lie together
+        words, around = words[order], around[:, order]
         n, state = len(words), self.forward(around)
         klass, member = words // CLASS_SIZE, words % CLASS_SIZE
-        error = -np.exp(_log_softmax(state @ self.classes))
-        error[np.arange(n), klass] += 1
+        every = np.arange(n)
+        error = -_softmax(state @ self.classes)
+        error[every, klass] += 1
         back = error @ self.classes.T
         grad_classes = state.T @ error
-        for k, rows in _by_class(klass):
-            part = -np.exp(_log_softmax(state[rows] @ self.words[k]))
-            part[np.arange(len(rows)), member[rows]] += 1
-            back[rows] += part @ self.words[k].T
-            _ascend(self.words[k], power.words[k], state[rows].T @ part / n, rate)
+        grad_words = np.zeros_like(self.words)
+        edges = np.searchsorted(klass, np.arange(CLASSES + 1)).tolist()
+        part = np.empty((n, CLASS_SIZE), np.float32)
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            if b > a:
+                np.matmul(state[a:b], self.words[k], out=part[a:b])
+        part = -_softmax(part)
+        part[every, member] += 1
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            if b > a:
+                back[a:b] += part[a:b] @ self.words[k].T
+                grad_words[k] = state[a:b].T @ part[a:b]
+        grad_words /= n
+        _ascend(self.words, power.words, grad_words, rate)
         _ascend(self.classes, power.classes, grad_classes / n, rate)
         inner = back[:, :-1] * (1 - state[:, :-1] ** 2) / n
         _ascend(self.hidden, power.hidden, inner.sum(axis=0), rate)
@@ -129,6 +141,12 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
 def _by_class(klass: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(klass, kind="stable")
     edges = np.searchsorted(klass[order], np.arange(CLASSES + 1))
