@@ -2,7 +2,7 @@
 
 The network sums one table row per place of the window, applies tanh, and predicts the word in two steps,
 its class and then the word within it. It is trained in numpy by all tasks at once, each on its own
-documents from common weights; after each round their weights are averaged, by number of words.
+documents from common weights; after each round their weights are averaged, by number of words. All rounds together take every word as a target.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ CLASSES = 32
 CLASS_SIZE = 32
 HIDDEN = 32
 PLACES = (-2, -1, 1, 2)
-ROUNDS = 2
-STRIDE = 4
+#: As many rounds as strides: every word of every text is a target once.
+STRIDE = 2
+ROUNDS = STRIDE
 STEP_WORDS = 512
 RATE = 0.1
 _PART = 1 << 14
@@ -105,7 +106,6 @@ class Network:
         error[every, klass] += 1
         back = error @ self.classes.T
         grad_classes = state.T @ error
-        grad_words = np.zeros_like(self.words)
         edges = np.searchsorted(klass, np.arange(CLASSES + 1)).tolist()
         part = np.empty((n, CLASS_SIZE), np.float32)
         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
@@ -116,9 +116,7 @@ class Network:
         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
             if b > a:
                 back[a:b] += part[a:b] @ self.words[k].T
-                grad_words[k] = state[a:b].T @ part[a:b]
-        grad_words /= n
-        _ascend(self.words, power.words, grad_words, rate)
+                _ascend(self.words[k], power.words[k], state[a:b].T @ part[a:b] / n, rate)
         _ascend(self.classes, power.classes, grad_classes / n, rate)
         inner = back[:, :-1] * (1 - state[:, :-1] ** 2) / n
         _ascend(self.hidden, power.hidden, inner.sum(axis=0), rate)
@@ -178,8 +176,9 @@ def _train(vocabulary: Vocabulary, weights, phase: int, stride: int):
         power = Network(np.zeros_like(network.flat))
         seen = 0
         for batch in batches:
-            for _, _, words, around, _ in _windows(batch.column(0), vocabulary):
-                target = np.arange(phase, len(words), stride)
+            for _, _, words, around, starts in _windows(batch.column(0), vocabulary):
+                place = np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))  # in its text, however batches are cut
+                target = np.flatnonzero(place % stride == phase)
                 for start in range(0, len(target), STEP_WORDS):
                     part = target[start : start + STEP_WORDS]
                     network.train_step(around[:, part], words[part], power, RATE)
@@ -213,7 +212,10 @@ class Model:
 
 
 def train(docs: DataFrame, text_column: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> Model:
-    """Vocabulary and weights from all documents; each round takes every ``stride``-th word of each as a target, another one each time."""
+    """Vocabulary and weights from all documents; each round takes every ``stride``-th word of each as a target, another one each time.
+
+    With as many rounds as strides (the defaults), or more, every word of every text is a target.
+    """
     spark = ship(docs.sparkSession)
     source = docs.select(F.col(text_column).cast("string").alias("text"))
     vocabulary = learn_vocabulary(source)

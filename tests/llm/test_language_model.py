@@ -75,3 +75,30 @@ def test_edge_cases(make_docs):
 def test_training_does_not_depend_on_order_of_sums(make_docs):
     docs = make_docs([(k, f"a b c {k % 5} d e f") for k in range(40)]).repartition(4, "doc_id")
     assert np.array_equal(lm.train(docs).weights, lm.train(docs).weights)
+
+
+def test_every_word_is_a_target_with_the_defaults(make_docs, monkeypatch):
+    model = lm.train(make_docs([(1, "a b c d e f g h i")]))
+    column = pa.array(["a b c d e f g h i", "a", "b c", "", "d e f"])
+    seen = []
+    monkeypatch.setattr(lm.Network, "train_step", lambda self, around, words, power, rate: seen.extend(words.tolist()))
+
+    class Sent:
+        value = model.weights
+
+    for turn in range(lm.ROUNDS):
+        list(lm._train(model.vocabulary, Sent, turn % lm.STRIDE, lm.STRIDE)([pa.RecordBatch.from_arrays([column], names=["text"])]))
+    words = np.concatenate([w for _, _, w, _, _ in lm._windows(column, model.vocabulary)])
+    assert sorted(seen) == sorted(words.tolist())
+
+
+def test_learns_with_the_defaults(make_docs):
+    """What always stands at the third or fourth place of four is learned as well."""
+    docs = ["red cat runs home " * 200 for _ in range(40)]
+    model = lm.train(make_docs(list(enumerate(docs))).coalesce(1))
+    rows = lm.score(make_docs([(1, "red cat runs home " * 5), (2, "home red runs cat " * 5)]), model).collect()
+    mean = {r.doc_id: r.mean_log for r in rows}
+    network = lm.Network(model.weights)
+    _, _, words, around, _ = next(iter(lm._windows(pa.array(["red cat runs home " * 5]), model.vocabulary)))
+    logs = network.log_probabilities(around, words)[4:-4]
+    assert mean[1] > mean[2] + 0.5 and all(logs[k::4].mean() > -0.5 for k in range(4))
