@@ -1,24 +1,29 @@
 """Masked pseudo-likelihood: every word is predicted from the words on both sides, and the logs are added up.
 
 The network sums one table row per place of the window, applies tanh, and predicts the word in two steps,
-its class and then the word within it. It is trained in numpy by all tasks at once, each on its own
+its class and then the word within it. Classes grow with the root of the counted words; a word beyond them
+is predicted as its hash class, and then by its exact share of that class in the corpus. It is trained in numpy by all tasks at once, each on its own
 documents from common weights; after each round their weights are averaged, by number of words. All rounds together take every word as a target.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientela.llm import texts
-from clientela.llm.tables import ship, shuffle_partitions
+from clientela.llm.tables import ship, shuffle_partitions, stored
 
+#: Classes at least; beyond these, one for so many of the root of the number of different words.
 CLASSES = 32
+ROOT_PER_CLASS = 16
 CLASS_SIZE = 32
 HIDDEN = 32
 PLACES = (-2, -1, 1, 2)
@@ -27,8 +32,15 @@ STRIDE = 2
 ROUNDS = STRIDE
 STEP_WORDS = 512
 RATE = 0.1
+#: Counts of at most so many words are sent to every task; those of all others are joined.
+SENT_WORDS = 1 << 18
+#: An unseen word counts as so many occurrences of its hash class.
+UNSEEN = 0.5
 _PART = 1 << 14
 _FIXED_POINT = 2.0**20
+#: Weights of each class, and those besides.
+_PER_CLASS = len(PLACES) * CLASS_SIZE * HIDDEN + (HIDDEN + 1) * (1 + CLASS_SIZE)
+_FIXED = (len(PLACES) + 1) * HIDDEN
 
 
 @dataclass
@@ -37,21 +49,50 @@ class Vocabulary:
 
     hashes: np.ndarray
     ids: np.ndarray
+    classes: int = CLASSES
 
     @property
     def size(self) -> int:
-        return CLASSES * CLASS_SIZE
+        return self.classes * CLASS_SIZE
+
+    @property
+    def rest(self) -> int:
+        """The first id of the last class."""
+        return self.size - CLASS_SIZE
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
-        rest = (self.size - CLASS_SIZE + (hashes % np.uint64(CLASS_SIZE)).astype(np.int64)).astype(np.int32)
+        rest = (self.rest + (hashes % np.uint64(CLASS_SIZE)).astype(np.int64)).astype(np.int32)
         if not len(self.hashes):
             return rest
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.ids[at], rest).astype(np.int32)
 
 
-def learn_vocabulary(source: DataFrame) -> Vocabulary:
-    """Words of all documents, counted; the most frequent get ids of their own (ties by hash)."""
+@dataclass
+class Shares:
+    """Counts of words (sorted hashes, logarithms), occurrences in each hash class, and whether these are all counted words."""
+
+    hashes: np.ndarray
+    logs: np.ndarray
+    totals: np.ndarray
+    complete: bool
+
+    def within(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithm of each word's share of its hash class, less that of its count where the count is not known here; and where so."""
+        out = -np.log(self.totals + UNSEEN)[(hashes % np.uint64(CLASS_SIZE)).astype(np.int64)]
+        known = np.zeros(len(hashes), bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = self.hashes[at] == hashes
+            out[known] += self.logs[at[known]]
+        if self.complete:
+            out[~known] += math.log(UNSEEN)
+            known[:] = True
+        return out, ~known
+
+
+def count_words(source: DataFrame) -> DataFrame:
+    """word (hash), times: all words of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,19 +101,48 @@ def learn_vocabulary(source: DataFrame) -> Vocabulary:
             words, times = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(times)], names=["word", "times"])
 
-    counts = source.select("text").mapInArrow(count, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
-    rows = counts.orderBy(F.desc("times"), "word").limit((CLASSES - 1) * CLASS_SIZE).collect()
+    counted = source.select("text").mapInArrow(count, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    return stored(counted, "word-counts")
+
+
+def learn_vocabulary(counts: DataFrame) -> Vocabulary:
+    """The most frequent words get ids of their own (ties by hash), more of them where there are more words."""
+    classes = max(CLASSES, math.isqrt(counts.count()) // ROOT_PER_CLASS)
+    rows = counts.orderBy(F.desc("times"), "word").limit((classes - 1) * CLASS_SIZE).collect()
     hashes = np.array([r.word for r in rows], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], np.arange(len(hashes), dtype=np.int32)[order])
+    return Vocabulary(hashes[order], np.arange(len(hashes), dtype=np.int32)[order], classes)
+
+
+def learn_shares(counts: DataFrame, vocabulary: Vocabulary) -> tuple[Shares, DataFrame]:
+    """Shares of the words beyond the vocabulary, and the counts that are too many to be sent."""
+    own = counts.sparkSession.createDataFrame([(h,) for h in vocabulary.hashes.view(np.int64).tolist()], "word long")
+    beyond = counts.join(F.broadcast(own), "word", "left_anti")
+    totals = np.zeros(CLASS_SIZE)
+    for r in beyond.groupBy(F.col("word").bitwiseAND(CLASS_SIZE - 1).alias("k")).agg(F.sum("times").alias("n")).collect():
+        totals[r.k] = r.n
+    least, words = 1, 0
+    by_times = sorted(((r.times, r.n) for r in beyond.groupBy("times").agg(F.count("*").alias("n")).collect()), reverse=True)
+    for times, n in by_times:
+        words += n
+        if words > SENT_WORDS:
+            least = times + 1
+            break
+    sent = beyond.where(F.col("times") >= least).toArrow()
+    hashes = sent["word"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    shares = Shares(hashes[order], np.log(sent["times"].to_numpy())[order], totals, least == 1)
+    return shares, counts.where(F.col("times") < least)
 
 
 class Network:
     """Weights as one flat array of 32-bit floats, and views into it."""
 
-    def __init__(self, flat: np.ndarray | None = None):
-        words = CLASSES * CLASS_SIZE
-        shapes = {"places": (len(PLACES), words + 1, HIDDEN), "hidden": (HIDDEN,), "classes": (HIDDEN + 1, CLASSES), "words": (CLASSES, HIDDEN + 1, CLASS_SIZE)}
+    def __init__(self, flat: np.ndarray | None = None, classes: int = CLASSES):
+        if flat is not None:
+            classes = (len(flat) - _FIXED) // _PER_CLASS
+        words = classes * CLASS_SIZE
+        shapes = {"places": (len(PLACES), words + 1, HIDDEN), "hidden": (HIDDEN,), "classes": (HIDDEN + 1, classes), "words": (classes, HIDDEN + 1, CLASS_SIZE)}
         sizes = [int(np.prod(s)) for s in shapes.values()]
         if flat is None:
             flat = np.random.default_rng(3).normal(0, 0.1, sum(sizes))
@@ -91,7 +161,7 @@ class Network:
         state = self.forward(around)
         klass, member = words // CLASS_SIZE, words % CLASS_SIZE
         total = _log_softmax(state @ self.classes)[np.arange(len(words)), klass]
-        for k, rows in _by_class(klass):
+        for k, rows in _by_class(klass, len(self.words)):
             total[rows] += _log_softmax(state[rows] @ self.words[k])[np.arange(len(rows)), member[rows]]
         return total
 
@@ -106,17 +176,22 @@ class Network:
         error[every, klass] += 1
         back = error @ self.classes.T
         grad_classes = state.T @ error
-        edges = np.searchsorted(klass, np.arange(CLASSES + 1)).tolist()
+        edges = np.searchsorted(klass, np.arange(len(self.words) + 1)).tolist()
+        runs = [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
         part = np.empty((n, CLASS_SIZE), np.float32)
-        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            if b > a:
-                np.matmul(state[a:b], self.words[k], out=part[a:b])
+        for k, a, b in runs:
+            np.matmul(state[a:b], self.words[k], out=part[a:b])
         part = -_softmax(part)
         part[every, member] += 1
-        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            if b > a:
-                back[a:b] += part[a:b] @ self.words[k].T
-                _ascend(self.words[k], power.words[k], state[a:b].T @ part[a:b] / n, rate)
+        grad_words = np.empty((len(runs), *self.words.shape[1:]), np.float32)
+        for grad, (k, a, b) in zip(grad_words, runs):
+            back[a:b] += part[a:b] @ self.words[k].T
+            np.matmul(state[a:b].T, part[a:b], out=grad)
+        grad_words /= n
+        rows = [k for k, _, _ in runs]  # the others' gradients are 0
+        squares = power.words[rows] + grad_words * grad_words
+        power.words[rows] = squares
+        self.words[rows] += rate * grad_words / (np.sqrt(squares) + 1e-6)
         _ascend(self.classes, power.classes, grad_classes / n, rate)
         inner = back[:, :-1] * (1 - state[:, :-1] ** 2) / n
         _ascend(self.hidden, power.hidden, inner.sum(axis=0), rate)
@@ -145,14 +220,20 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _by_class(klass: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _by_class(klass: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(klass, kind="stable")
-    edges = np.searchsorted(klass[order], np.arange(CLASSES + 1))
+    edges = np.searchsorted(klass[order], np.arange(classes + 1))
     yield from ((k, order[a:b]) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a)
 
 
 def _windows(column: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, end, words, what stands at each place around them, where each text's words start)."""
+    for first, last, _, *rest in _hashed_windows(column, vocabulary):
+        yield first, last, *rest
+
+
+def _hashed_windows(column: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``_windows``, with the hashes of the words after the end."""
     data, offsets = texts.flat(texts.as_strings(column))
     nothing = vocabulary.size
     for first, last in texts.slices(offsets):
@@ -165,7 +246,7 @@ def _windows(column: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int, in
             here, there = (slice(-place, None), slice(None, place)) if place < 0 else (slice(None, -place), slice(place, None))
             same = text[here] == text[there]
             row[here] = np.where(same, words[there], nothing)
-        yield first, last, words, around, found.starts
+        yield first, last, found.hashes, words, around, found.starts
 
 
 def _train(vocabulary: Vocabulary, weights, phase: int, stride: int):
@@ -197,11 +278,12 @@ def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, list] = {}
     for batch in batches:
         for part, sums, seen in zip(*(c.to_pylist() for c in batch.columns)):
-            whole = np.array(np.frombuffer(sums, np.int64), dtype=object)
-            held = total.setdefault(part, [0, 0])
-            held[0] = held[0] + whole
-            held[1] += seen
-    means = {part: (sums / seen).astype(np.float64) / _FIXED_POINT for part, (sums, seen) in total.items()}
+            whole = np.frombuffer(sums, np.int64)
+            held = total.setdefault(part, [0, 0, 0])
+            held[0] = held[0] + (whole >> 32)  # in halves: sums stay exact
+            held[1] = held[1] + (whole & 0xFFFFFFFF)
+            held[2] += seen
+    means = {part: ((high.astype(object) * 2**32 + low) / seen).astype(np.float64) / _FIXED_POINT for part, (high, low, seen) in total.items()}
     yield pa.RecordBatch.from_pydict({"part": pa.array(list(means), pa.int32()), "mean": pa.array([m.tobytes() for m in means.values()], pa.binary())})
 
 
@@ -209,6 +291,8 @@ def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     vocabulary: Vocabulary
     weights: np.ndarray
+    shares: Shares
+    counts: DataFrame
 
 
 def train(docs: DataFrame, text_column: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> Model:
@@ -218,41 +302,71 @@ def train(docs: DataFrame, text_column: str = "text", rounds: int = ROUNDS, stri
     """
     spark = ship(docs.sparkSession)
     source = docs.select(F.col(text_column).cast("string").alias("text"))
-    vocabulary = learn_vocabulary(source)
-    weights = Network().flat
+    counts = count_words(source)
+    vocabulary = learn_vocabulary(counts)
+    weights = Network(classes=vocabulary.classes).flat
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
         parts = source.mapInArrow(_train(vocabulary, sent, turn % stride, stride), "part int, sums binary, seen long")
         means = parts.repartition(shuffle_partitions(spark), "part").mapInArrow(_add_parts, "part int, mean binary").collect()
         if means:
             weights = np.concatenate([np.frombuffer(r["mean"]) for r in sorted(means, key=lambda r: r.part)]).astype(np.float32)
-    return Model(vocabulary, weights)
+    return Model(vocabulary, weights, *learn_shares(counts, vocabulary))
 
 
-def _score(vocabulary: Vocabulary, weights):
+def _score(vocabulary: Vocabulary, weights, shares):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network(weights.value)
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for first, last, words, around, starts in _windows(batch.column(1), vocabulary):
+            for first, last, hashes, words, around, starts in _hashed_windows(batch.column(1), vocabulary):
                 logs = np.concatenate([np.zeros(0), *[network.log_probabilities(around[:, a : a + 16384], words[a : a + 16384]) for a in range(0, len(words), 16384)]])
+                beyond = np.flatnonzero(words >= vocabulary.rest)
+                within, unknown = shares.value.within(hashes[beyond])
+                logs[beyond] += within
                 total = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])[starts]
                 n = np.diff(starts)
-                sums = np.diff(total)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(sums / np.maximum(n, 1), pa.float64(), mask=n == 0)],
-                    names=["doc_id", "n_words", "log_likelihood", "mean_log"],
-                )
+                    [
+                        pa.array(np.arange(key, key + last - first)), batch.column(0).slice(first, last - first), pa.array(n, pa.int64()),
+                        pa.array(np.diff(total), pa.float64()), _words_of(beyond[unknown], hashes, starts),
+                    ],
+                    names=["key", "doc_id", "n_words", "sums", "beyond"],
+                )
+                key += last - first
 
     return run
 
 
+def _words_of(at: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    """The words at these places, counted, text by text."""
+    text, word = np.searchsorted(starts, at, side="right") - 1, hashes[at]
+    order = np.lexsort((word, text))
+    text, word = text[order], word[order]
+    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (word[1:] != word[:-1])]) if len(at) else at
+    values = pa.StructArray.from_arrays([pa.array(word[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(at)]), pa.int64())], names=["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[first], np.arange(len(starts))), pa.int32()), values)
+
+
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, log_likelihood (sum over its words), mean_log (null without words).
 
+    A word beyond the vocabulary has the probability of its hash class, times its share of that class's
+    occurrences in the training documents; all words unseen there together count as half an occurrence.
+
     Null or empty text: no words, likelihood 0. A null id stays null. Repeated rows: each is scored. Empty
     table: no rows. Other columns are not read. Whole texts are scored, every word from its own window.
     """
     spark = ship(docs.sparkSession)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    sent = spark.sparkContext.broadcast(model.weights)
-    return source.mapInArrow(_score(model.vocabulary, sent), "doc_id long, n_words long, log_likelihood double, mean_log double")
+    sent, shares = spark.sparkContext.broadcast(model.weights), spark.sparkContext.broadcast(model.shares)
+    schema = "key long, doc_id long, n_words long, sums double, beyond array<struct<word:long,n:long>>"
+    scored = source.mapInArrow(_score(model.vocabulary, sent, shares), schema)
+    if not model.shares.complete:
+        scored = stored(scored, "scored")  # a key names one row from here on
+        words = scored.select("key", F.inline("beyond")).join(model.counts, "word", "left")
+        log = F.round(F.log(F.coalesce("times", F.lit(UNSEEN))) * 2**32).cast("long")  # whole numbers: sums don't depend on their order
+        added = words.groupBy("key").agg((F.sum(log * F.col("n")) / 2**32).alias("added"))
+        scored = scored.join(added, "key", "left").withColumn("sums", F.col("sums") + F.coalesce("added", F.lit(0.0)))
+    mean = F.when(F.col("n_words") > 0, F.col("sums") / F.col("n_words"))
+    return scored.select("doc_id", "n_words", F.col("sums").alias("log_likelihood"), mean.alias("mean_log"))

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -102,3 +104,46 @@ def test_learns_with_the_defaults(make_docs):
     _, _, words, around, _ = next(iter(lm._windows(pa.array(["red cat runs home " * 5]), model.vocabulary)))
     logs = network.log_probabilities(around, words)[4:-4]
     assert mean[1] > mean[2] + 0.5 and all(logs[k::4].mean() > -0.5 for k in range(4))
+
+
+def zipf_docs(rng, n=60):
+    return [" ".join(f"w{k}" for k in rng.choices(range(5000), [1 / (k + 1) for k in range(5000)], k=300)) for _ in range(n)]
+
+
+def test_words_beyond_the_vocabulary_are_predicted_by_their_counts(make_docs):
+    docs = zipf_docs(random.Random(4))
+    model = lm.train(make_docs(list(enumerate(docs))))
+    counts = Counter(" ".join(docs).split())
+    hashed = {w: int(lm.texts.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])).hashes[0]) for w in [*counts, "zzqx"]}
+    beyond = {w for w in counts if hashed[w] not in set(model.vocabulary.hashes.tolist())}
+    assert len(beyond) > 500
+    totals = Counter()
+    for w in beyond:
+        totals[hashed[w] % 32] += counts[w]
+    words = [max(beyond, key=counts.get), min(beyond, key=counts.get), "zzqx"]
+    rows = {r.doc_id: r.log_likelihood for r in lm.score(make_docs(list(enumerate(words))), model).collect()}
+    network = lm.Network(model.weights)
+    for k, w in enumerate(words):
+        _, _, ids, around, _ = next(iter(lm._windows(pa.array([w]), model.vocabulary)))
+        share = counts.get(w, 0.5) / (totals[hashed[w] % 32] + 0.5)
+        assert abs(rows[k] - float(network.log_probabilities(around, ids)[0]) - math.log(share)) < 1e-4
+
+
+def test_joined_counts_equal_sent_ones(make_docs, monkeypatch):
+    docs = zipf_docs(random.Random(5))
+    table = make_docs([*enumerate(docs), (None, docs[0]), (3, docs[3]), (99, "new zzqx zzqx w1"), (100, None)])
+    training = make_docs(list(enumerate(docs)))
+    sent = lm.train(training)
+    monkeypatch.setattr(lm, "SENT_WORDS", len(sent.shares.hashes) - 1)
+    joined = lm.train(training)
+    assert sent.shares.complete and not joined.shares.complete and 0 < len(joined.shares.hashes) < lm.SENT_WORDS
+    want, got = (sorted((r.doc_id or -1, r.n_words, r.log_likelihood) for r in lm.score(table, m).collect()) for m in (sent, joined))
+    assert len(want) == 64 and np.allclose(np.array(want, float), np.array(got, float), atol=1e-6)
+
+
+def test_classes_grow_with_the_vocabulary(make_docs, monkeypatch):
+    monkeypatch.setattr(lm, "ROOT_PER_CLASS", 1)
+    docs = [" ".join(f"w{k}" for k in range(a, a + 250)) for a in range(0, 5000, 250)]
+    model = lm.train(make_docs(list(enumerate(docs))))
+    assert model.vocabulary.classes == 70 and len(model.vocabulary.hashes) == 69 * lm.CLASS_SIZE
+    assert len(lm.Network(model.weights).words) == 70 and lm.score(make_docs([(1, docs[0])]), model).first().log_likelihood < 0
