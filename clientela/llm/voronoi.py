@@ -62,7 +62,10 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Cells:
-    """Pivots, and for each cell its radius and the smallest distances to its pivot (at most k + 1, ascending)."""
+    """Pivots, and for each cell its radius and the smallest distances to its pivot (at most k + 1, ascending).
+
+    Of each id one row at most counts among the distances of all cells, so only one of them can be the query's own.
+    """
 
     pivots: np.ndarray
     radius: np.ndarray
@@ -79,7 +82,7 @@ class Cells:
 
     def floors(self, products: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
         """Scores that the k best of each row reach: products with the pivots, less what a distance from the pivot can take."""
-        if len(self.near) <= k:  # one of the k + 1 best may be the query itself
+        if len(self.near) <= k:  # all are of different ids: one of the k + 1 best may be the query's own
             return np.full(len(products), -np.inf)
         sure = products[:, self.of] - size[:, None] * self.near
         return np.partition(sure, len(self.near) - k - 1, axis=1)[:, len(self.near) - k - 1] - self.slack(size)
@@ -147,9 +150,13 @@ def _solve(cells: Cells, k: int):
                 if not len(q):
                     continue
                 scores = _products(q, x)
+                repeated = len(np.unique(data_ids)) < len(data_ids)
                 out: list[list[np.ndarray]] = [[], [], []]
                 for own, score, low in zip(query_ids, scores, least):
                     at = np.flatnonzero((data_ids != own) & (score >= low))
+                    if repeated:  # an id's equal scores count once, and must not push out others
+                        at = at[np.lexsort((data_ids[at], score[at]))]
+                        at = at[np.r_[True, (data_ids[at][1:] != data_ids[at][:-1]) | (score[at][1:] != score[at][:-1])][: len(at)]]
                     if len(at) > k:  # all that tie with the k-th stay until they are put in order
                         at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
                     at = at[np.lexsort((data_ids[at], ~score[at]))][:k]
@@ -186,7 +193,8 @@ def top_k(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "e
 
     placed = stored(scaled.mapInArrow(_assign(pivots, step), "vec_id long, v binary, cell int, distance double, query boolean"), "cells")
     sizes = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius"), F.count_if("query").alias("queries"), F.max(F.when(F.col("query"), F.col("distance"))).alias("query_radius")).collect()}
-    near = placed.select("cell", "distance").mapInArrow(_nearest(k), "cell int, distance double")
+    of_id = placed.groupBy("vec_id").agg(F.min(F.struct("distance", "cell")).alias("d"))  # an id may have many rows: bounds take one
+    near = of_id.select("d.cell", "d.distance").mapInArrow(_nearest(k), "cell int, distance double")
     ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy("distance"))).where(F.col("place") <= k + 1)
     nearest: dict[int, list[float]] = {}
     for r in ranked.collect():

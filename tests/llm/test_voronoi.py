@@ -67,3 +67,20 @@ def test_large_components_are_exact(make_vectors):
     exact = brute_force(rows)
     held = [(q, r, v, max(-(2**63), min(2**63 - 1, s))) for q, r, v, s in exact]
     assert {(v, s) for *_, v, s in result} == {(v, s) for *_, v, s in held}
+
+
+@pytest.mark.parametrize("copies", [0, 100])
+def test_one_id_holds_a_third_of_all_rows(make_vectors, monkeypatch, copies):
+    monkeypatch.setattr(voronoi, "ROWS_PER_PIVOT", 40)
+    rng = np.random.default_rng(2)
+    own = rng.normal(0, 0.01, (100, 3)) + [100, 0, 0]
+    others = rng.normal(0, 1, (200, 3))
+    rows = [(0, [float(np.float32(x)) for x in v]) for v in own] + [(k, [float(np.float32(x)) for x in v]) for k, v in enumerate(others, 1)]
+    rows += [(1000, [2.0, 0.0, k / 64]) for k in range(copies)]  # the same score with a query on the first axis
+    rows += [(2000, [50.0, 0.0, 0.0])]
+    assert found(voronoi.top_k(make_vectors(rows))) == brute_force(rows)
+
+
+def test_equal_scores_of_an_id_do_not_push_out_others(make_vectors):
+    rows = [(0, [1.0, 0.0])] + [(1, [2.0, float(k)]) for k in range(40)] + [(k, [1.0, 0.0]) for k in range(2, 15)]
+    assert found(voronoi.top_k(make_vectors(rows))) == brute_force(rows)
