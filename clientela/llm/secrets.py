@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,8 +25,7 @@ from clientela.llm.tables import ship, stored
 KINDS = ("assign", "access", "hex")
 LEARNED = "learned"
 SAMPLE_SECRETS = 600
-SAMPLE_WORDS = 4000
-LONGEST_SAMPLE = 256
+LEAST_WORD = 8
 CONFIDENCE = 0.05
 LEAST_CANDIDATE = 16
 #: A candidate must be this much likelier as a credential, per character, and at least as likely as this share of the labelled ones.
@@ -38,6 +38,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CANDIDATE)
 _DIGIT = re.compile(r"[0-9]")
+_WORD = re.compile(r"(?<!\S)[A-Za-z]{%d,}(?!\S)" % LEAST_WORD)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, int]]:
@@ -198,9 +199,9 @@ class Formats:
         return best
 
 
-def learn(credentials: dict[str, list[str]], words: list[str], margin: float = MARGIN, quantile: float = QUANTILE) -> Formats:
-    """Formats from labelled credentials by kind, and from ordinary words. A kind needs two credentials."""
-    counts = Counter(c for word in words for c in word)
+def learn(credentials: dict[str, list[str]], words: list[str] | Counter[str], margin: float = MARGIN, quantile: float = QUANTILE) -> Formats:
+    """Formats from labelled credentials by kind, and from ordinary words, or counts of their characters. A kind needs two credentials."""
+    counts = Counter(words) if isinstance(words, Counter) else Counter(c for word in words for c in word)
     for chars in CLASSES:
         counts.update(chars[1])
     total = sum(counts.values())
@@ -215,16 +216,20 @@ def learn(credentials: dict[str, list[str]], words: list[str], margin: float = M
 
 # Documents --------------------------------------------------------------------------------------------
 
+_LETTERS = np.frombuffer((string.ascii_uppercase + string.ascii_lowercase).encode(), np.uint8)
 _FOUND = "array<struct<kind:string,start:int,end:int,text:string>>"
 _FOUND_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Base spans with the credential's text, and candidates (kind null) that touch no base span."""
+    """Base spans with the credential's text, and candidates (kind null) that touch no base span.
+
+    The first row of each part has the counts of characters in the ordinary long words of the part's texts.
+    """
     for batch in batches:
         for first in range(0, batch.num_rows, 512):
             part = batch.slice(first, 512)
-            rows, words = [], []
+            rows, counts = [], np.zeros(256, np.int64)
             for text in part.column(1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
@@ -233,23 +238,32 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if all(b <= s[1] or a >= s[2] for s in base):
                         found.append(dict(kind=None, start=a, end=b, text=text[a:b]))
                 rows.append(found)
-                long = max(text.split(), key=len, default="") if len(text) < 4000 else ""
-                words.append(long[:LONGEST_SAMPLE] if long.isalpha() else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, _FOUND_ARROW), pa.array(words, pa.string())], names=["doc_id", "found", "word"])
+                counts += np.bincount(np.frombuffer("".join(_WORD.findall(text)).encode(), np.uint8), minlength=256)
+            letters = [counts[_LETTERS].tolist()] + [None] * (len(rows) - 1)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(rows, _FOUND_ARROW), pa.array(letters, pa.list_(pa.int64()))], names=["doc_id", "found", "letters"]
+            )
 
 
 def _bounded(df: DataFrame, column: str, rows: int) -> list[str]:
     """The ``rows`` distinct values with the smallest hash."""
-    values = df.select(F.substring(column, 1, LONGEST_SAMPLE).alias("v")).where("v is not null and v <> ''").distinct()
+    values = df.select(F.col(column).alias("v")).where("v is not null and v <> ''").distinct()
     return sorted(r.v for r in values.orderBy(F.xxhash64("v", F.lit(3)), "v").limit(rows).collect())
 
 
+def _letters(scanned: DataFrame) -> Counter[str]:
+    """Counts of characters in the ordinary long words of all texts."""
+    each = scanned.where("letters is not null").select(F.posexplode("letters").alias("at", "n"))
+    return Counter({chr(_LETTERS[r["at"]]): r.n for r in each.groupBy("at").agg(F.sum("n").alias("n")).collect()})
+
+
 def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", formats: Formats | None = None) -> DataFrame:
     """One row per document: doc_id, spans (kind, start, end in code points, base, format, score).
 
     Base spans come from the fixed patterns and carry their kind. Without ``formats``, automata are
-    learned from the documents' own base credentials as labelled examples: at most 600 of each kind and
-    4,000 ordinary words, those with the smallest hash. Every candidate of every document is scored; those
+    learned from the documents' own base credentials as labelled examples: at most 600 of each kind, those
+    with the smallest hash, each whole. They are held against the frequencies of characters in all ordinary
+    long words (8 or more ASCII letters between blanks) of all texts. Every candidate of every document is scored; those
     that pass are added as ``learned``, with the kind whose format they have. Spans go by start, then kind.
 
     Null or empty text: no spans. A null id stays null. Repeated rows: each is searched. Empty table: no
@@ -258,11 +272,11 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    scanned = stored(source.mapInArrow(_scan, f"doc_id long, found {_FOUND}, word string"), "candidates")
+    scanned = stored(source.mapInArrow(_scan, f"doc_id long, found {_FOUND}, letters array<long>"), "candidates")
     if formats is None:
         each = scanned.select(F.explode("found").alias("f")).select("f.*").where("kind is not null")
         labelled = {kind: _bounded(each.where(F.col("kind") == kind), "text", SAMPLE_SECRETS) for kind in KINDS}
-        formats = learn(labelled, _bounded(scanned, "word", SAMPLE_WORDS))
+        formats = learn(labelled, _letters(scanned))
     learned = formats
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 from clientela.llm import queries, secrets
 
@@ -78,3 +79,17 @@ def test_learned_spans_in_documents(make_docs):
     found = {r.doc_id: r.spans for r in secrets.find_secrets(make_docs(rows)).collect()}
     assert [(s.kind, s.start, s.end, s.base) for s in found[100]] == [("learned", 4, 34, False)]
     assert found[101] == [] and all(s.base for k in range(60) for s in found[k])
+
+
+def test_background_counts_long_words_of_whole_texts(make_docs):
+    long = "zebrazebra, quizzical " + "lorem " * 2000 + "jazzjazzjazz 12345678901234567890 jukeboxes"
+    rows = [(1, long), (2, "quizzical quizzical short"), (3, None)]
+    source = make_docs(rows).select("doc_id", "text")
+    scanned = source.mapInArrow(secrets._scan, f"doc_id long, found {secrets._FOUND}, letters array<long>")
+    want = Counter("quizzical" * 3 + "jazzjazzjazz" + "jukeboxes")
+    assert +secrets._letters(scanned) == want
+
+
+def test_credentials_are_learned_whole(make_docs):
+    each = make_docs([(1, "a" * 300), (2, "a" * 300 + "b"), (3, "a" * 300)])
+    assert secrets._bounded(each, "text", 600) == ["a" * 300, "a" * 300 + "b"]
