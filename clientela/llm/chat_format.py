@@ -23,9 +23,10 @@ OPEN, CLOSE = "<s>", "</s>"
 OTHER_OPEN, OTHER_CLOSE = "[INST]", "[/INST]"
 
 # Expressions are SQL text, with patterns as raw literals; columns made on the way begin with an underscore.
-_MARK = r"r'</?s>|\[/?INST\]'"
-_AFTER_CLOSE = r"r'(?<=</s>|\[/INST\])'"
-_ESCAPED = r"r'(?<=<)\\(?=\\*/?s>)|(?<=\[)\\(?=\\*/?INST\])'"
+# A pattern begins with the one or two characters it can begin with, which are quick to look for.
+_MARK = r"r'[<\[](?:(?<=<)/?s>|(?<=\[)/?INST\])'"
+_CLOSING = r"r'[<\[]/(?:(?<=<.)s>|(?<=\[.)INST\])'"
+_ESCAPED = r"r'\\(?:(?<=<.)(?=\\*/?s>)|(?<=\[.)(?=\\*/?INST\]))'"
 #: What begins each mark, escaped or not, and what takes its place.
 _ESCAPES = (
     (r"r'<(?=\\*s>)'", r"r'<\\'"),
@@ -38,40 +39,32 @@ _ROLE = r"IF(role RLIKE r'\A[A-Za-z0-9_.-]+\z', role, '=' || hex(encode(role, 'U
 _RENDERED = rf"IF(role = '{ASSISTANT}', '{OPEN}' || _body || '{CLOSE}', '{OTHER_OPEN}' || {_ROLE} || '\n' || _body || '{OTHER_CLOSE}')"
 
 
-def _is_loss(piece: str) -> str:
-    return f"(startswith({piece}, '{OPEN}') AND endswith({piece}, '{CLOSE}'))"
-
-
-def _inner(piece: str, opening: str, closing: str) -> str:
-    return f"substr({piece}, {len(opening) + 1}, char_length({piece}) - {len(opening) + len(closing)})"
-
-
 def _unescaped(body: str) -> str:
-    return f"regexp_replace({body}, {_ESCAPED}, '')"
+    return rf"IF(contains({body}, '\\'), regexp_replace({body}, {_ESCAPED}, ''), {body})"
 
 
 def _cut(df: DataFrame, text: str) -> DataFrame:
-    """Add ``_pieces``: the text cut after every closing mark; what follows the last one is the last piece."""
-    return df.withColumn("_pieces", F.expr(f"split({text}, {_AFTER_CLOSE}, -1)"))
+    """Add ``_cuts``: the turns without their closing marks, as (loss, inner); null where the text does not follow the grammar."""
+    inner = f"""transform(slice(_pieces, 1, size(_pieces) - 1), p -> CASE
+        WHEN startswith(p, '{OPEN}') THEN struct(true AS loss, substr(p, {len(OPEN) + 1}) AS inner)
+        WHEN startswith(p, '{OTHER_OPEN}') THEN struct(false AS loss, substr(p, {len(OTHER_OPEN) + 1}) AS inner)
+        END)"""
+    # put together again with the closing mark of each opening one, the turns must be the text
+    again = f"array_join(transform(_cuts, x -> IF(x.loss, '{OPEN}' || x.inner || '{CLOSE}', '{OTHER_OPEN}' || x.inner || '{OTHER_CLOSE}')), '')"
+    marked = f"exists(_cuts, x -> (contains(x.inner, '<') OR contains(x.inner, '[')) AND x.inner RLIKE {_MARK})"
+    cut = df.withColumn("_pieces", F.expr(f"split({text}, {_CLOSING}, -1)")).withColumn("_cuts", F.expr(inner)).drop("_pieces")
+    return cut.withColumn("_cuts", F.expr(f"IF(exists(_cuts, x -> x IS NULL) OR {again} <> {text} OR {marked}, NULL, _cuts)"))
 
 
 def read_turns(df: DataFrame, text: str = "formatted", turns: str = "turns") -> DataFrame:
-    """The parser: adds an array of (role, text), null where the text does not follow the grammar.
-
-    A piece that is no turn, or holds a mark inside, makes the whole text invalid.
-    """
-    inner = f"""transform(slice(_pieces, 1, size(_pieces) - 1), p -> CASE
-        WHEN {_is_loss("p")} THEN struct(true AS loss, {_inner("p", OPEN, CLOSE)} AS inner)
-        WHEN startswith(p, '{OTHER_OPEN}') AND endswith(p, '{OTHER_CLOSE}') THEN struct(false AS loss, {_inner("p", OTHER_OPEN, OTHER_CLOSE)} AS inner)
-        END)"""
-    head = r"transform(_inner, x -> struct(x.loss AS loss, x.inner AS inner, IF(x.loss, NULL, substring_index(x.inner, '\n', 1)) AS head))"
+    """The parser: adds an array of (role, text), null where the text does not follow the grammar."""
+    head = r"transform(_cuts, x -> struct(x.loss AS loss, x.inner AS inner, IF(x.loss, '', substring_index(x.inner, '\n', 1)) AS head))"
     role = f"CASE WHEN x.loss THEN '{ASSISTANT}' WHEN startswith(x.head, '=') THEN decode(unhex(substr(x.head, 2)), 'UTF-8') ELSE x.head END"
     body = "IF(x.loss, x.inner, substr(x.inner, char_length(x.head) + 2))"
-    valid = rf"NOT x.inner RLIKE {_MARK} AND (x.loss OR contains(x.inner, '\n'))"
-    read = f"transform(_heads, x -> CASE WHEN {valid} THEN struct({role} AS role, {_unescaped(body)} AS text) END)"
-    steps = _cut(df, text).withColumn("_inner", F.expr(inner)).withColumn("_heads", F.expr(head)).withColumn(turns, F.expr(read))
-    whole = steps.withColumn(turns, F.expr(f"IF(element_at(_pieces, -1) = '' AND NOT exists({turns}, t -> t IS NULL), {turns}, NULL)"))
-    return whole.drop("_pieces", "_inner", "_heads")
+    bodies = f"transform(_cuts, x -> struct({role} AS role, {body} AS body))"
+    read = f"transform(_cuts, x -> struct(x.role AS role, {_unescaped('x.body')} AS text))"
+    headed = _cut(df, text).withColumn("_cuts", F.expr(head)).withColumn("_cuts", F.expr(rf"IF(exists(_cuts, x -> NOT x.loss AND NOT contains(x.inner, '\n')), NULL, _cuts)"))
+    return headed.withColumn("_cuts", F.expr(bodies)).withColumn(turns, F.expr(read)).drop("_cuts")
 
 
 def read_loss_text(df: DataFrame, text: str = "formatted", spans: str = "loss_spans", loss: str = "loss") -> DataFrame:
@@ -79,14 +72,15 @@ def read_loss_text(df: DataFrame, text: str = "formatted", spans: str = "loss_sp
 
     One walk over the pieces checks that the k-th span covers the k-th assistant body, and no span is left.
     """
-    covered = f"coalesce(try_element_at({spans}, s.k + 1) = struct(s.at + {len(OPEN)}L AS start, s.at + char_length(p) - {len(CLOSE)}L AS end), false)"
-    walk = f"""aggregate(_pieces, named_struct('at', 0L, 'k', 0, 'fits', true), (s, p) -> named_struct(
-        'at', s.at + char_length(p), 'k', s.k + int({_is_loss("p")}), 'fits', s.fits AND (NOT {_is_loss("p")} OR {covered})))"""
-    bodies = f"transform(filter(_pieces, p -> {_is_loss('p')}), p -> {_unescaped(_inner('p', OPEN, CLOSE))})"
-    fits = f"_walk.fits AND _walk.k = size({spans})"
+    end = f"s.at + char_length(x.inner) + IF(x.loss, {len(OPEN) + len(CLOSE)}, {len(OTHER_OPEN) + len(OTHER_CLOSE)})"
+    covered = f"coalesce(try_element_at({spans}, s.k + 1) = struct(s.at + {len(OPEN)}L AS start, {end} - {len(CLOSE)}L AS end), false)"
+    walk = f"""aggregate(_cuts, named_struct('at', 0L, 'k', 0, 'fits', true), (s, x) -> named_struct(
+        'at', {end}, 'k', s.k + int(x.loss), 'fits', s.fits AND (NOT x.loss OR {covered})))"""
+    bodies = f"transform(filter(_cuts, x -> x.loss), x -> {_unescaped('x.inner')})"
+    fits = f"coalesce(_walk.fits AND _walk.k = size({spans}), false)"
     error = "raise_error('the loss mask does not cover the assistant texts')"
     walked = _cut(df, text).withColumn("_walk", F.expr(walk))
-    return walked.withColumn(loss, F.expr(f"IF({fits}, array_join({bodies}, ''), {error})")).drop("_pieces", "_walk")
+    return walked.withColumn(loss, F.expr(f"IF({fits}, array_join({bodies}, ''), {error})")).drop("_cuts", "_walk")
 
 
 def _rendered_turns(turns: DataFrame) -> DataFrame:

@@ -173,7 +173,7 @@ def _negatives(primes: list[int], columns: int, width: int, wanted: int):
             for i, positives in enumerate(anchors.field("positives").to_pylist()):
                 row, highs = scores[i], np.array([p["positive_score"] for p in positives], np.int64)
                 lows = highs - highs // (5 // (5 - WINDOW_FIFTHS))  # 4 / 5 of it, rounded up, without overflow
-                at = np.flatnonzero((labels != anchor_labels[i]) & (row >= lows.min()) & (row <= highs.max()))
+                at = np.flatnonzero((labels != anchor_labels[i]) & (ids != anchor_ids[i]) & (row >= lows.min()) & (row <= highs.max()))
                 if not len(at):
                     continue
                 at = _best(at, row, ids)
@@ -217,8 +217,8 @@ def hard_negatives(
 
     Anchors are the rows whose id is divisible by ``step``. The score of a row is its inner product with
     the anchor, of the vectors floor(256 x); higher scores come first, ties by smaller id. An anchor's
-    positives are its first rows of the same label and another id. For each, the first rows of other labels
-    whose score s keeps 4/5 p <= s <= p are returned, where p is the positive's score.
+    positives are its first rows of the same label. For each, the first rows of other labels are returned
+    whose score s keeps 4/5 p <= s <= p, where p is the positive's score. Rows of the anchor's own id are neither.
 
     Rows with a null id, label or vector, or with a null or non-finite component (also after scaling), take
     no part. Rows repeated in full count once; an id with several vectors or labels is an anchor with each, and

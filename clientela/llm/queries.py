@@ -133,6 +133,28 @@ def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
 
 #: Operators whose result DuckDB can state over the same tables.
 _SQL = {
+    "op1_ngram_jaccard_join": r"""
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents WHERE doc_id IS NOT NULL
+        ),
+        shingled AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM texts
+        ),
+        -- documents with equal sets are one set, of their smallest id
+        sets AS (SELECT min(doc_id) AS own, any_value(s) AS s, len(any_value(s)) AS n FROM shingled WHERE len(s) > 0 GROUP BY sha256(array_to_string(list_sort(s), chr(10)))),
+        shingles AS (SELECT own, n, unnest(s) AS shingle FROM sets),
+        shared AS (SELECT a.own AS a, b.own AS b, a.n AS na, b.n AS nb, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.own < b.own GROUP BY ALL),
+        links AS (SELECT a, b FROM shared WHERE 100 * n >= 75 * (na + nb - n)),
+        two_way AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (SELECT own, own AS other FROM sets UNION SELECT r.own, l.b FROM reached r JOIN two_way l ON l.a = r.other),
+        classes AS (SELECT own, min(other) AS least FROM reached GROUP BY own),
+        counts AS (SELECT a, count(*) AS n FROM two_way GROUP BY a),
+        of_set AS (SELECT sha256(array_to_string(list_sort(s), chr(10))) AS k, own, least, coalesce(c.n, 0) AS n_links FROM sets JOIN classes USING (own) LEFT JOIN counts c ON c.a = own)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE least END AS component_id, CASE WHEN len(s) = 0 THEN 0 ELSE n_links END AS n_links
+        FROM shingled LEFT JOIN of_set ON len(s) > 0 AND k = sha256(array_to_string(list_sort(s), chr(10)))""",
     "op10_voronoi_top_k": """
         WITH vectors AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
         scores AS (

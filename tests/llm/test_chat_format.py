@@ -1,0 +1,104 @@
+from __future__ import annotations
+
+import itertools
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from clientela.llm import chat_format, queries
+
+SCHEMA = "conv_id long, turn int, role string, text string, formatted string, end long, piece string"
+MARKS = ["<s>", "</s>", "[INST]", "[/INST]"]
+
+
+@pytest.fixture
+def make_rows(spark):
+    return lambda rows: spark.createDataFrame([(*r, "f", 1, "p") for r in rows], SCHEMA)
+
+
+def parsed(text):
+    """The grammar, read by a scanner that looks for one mark after another."""
+    turns, at = [], 0
+    while at < len(text):
+        opening = next(m for m in ("<s>", "[INST]") if text.startswith(m, at))
+        closing = {"<s>": "</s>", "[INST]": "[/INST]"}[opening]
+        end = text.index(closing, at)
+        inner = text[at + len(opening) : end]
+        assert not any(m in inner for m in MARKS)
+        role, body = ("assistant", inner) if opening == "<s>" else inner.split("\n", 1)
+        if role.startswith("="):
+            role = bytes.fromhex(role[1:]).decode()
+        turns.append((role, re.sub(r"(<)\\(\\*/?s>)|(\[)\\(\\*/?INST\])", lambda m: (m[1] or m[3]) + (m[2] or m[4]), body)))
+        at = end + len(closing)
+    return turns
+
+
+def read(df):
+    back = chat_format.read_loss_text(chat_format.read_turns(df))
+    return {r.conv_id: r for r in back.collect()}
+
+
+def check(result, rows):
+    source = {}
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", (r[3] or "").encode())):
+        source.setdefault(conv, []).append((role or "", text or ""))
+    assert result.keys() == source.keys()
+    for conv, turns in source.items():
+        row = result[conv]
+        assert parsed(row.formatted) == turns == [tuple(t) for t in row.turns] and row.n_turns == len(turns)
+        spans = [row.formatted[s.start : s.end] for s in row.loss_spans]
+        assert [t for _, t in parsed("".join(f"<s>{s}</s>" for s in spans))] == [t for r, t in turns if r == "assistant"]
+        assert row.loss == "".join(t for r, t in turns if r == "assistant")
+
+
+def test_texts_of_marks_and_backslashes(make_rows):
+    parts = [*MARKS, "\\", "<", "[", "s>", "/s>", "INST]", "/INST]", "\n", "x", "é😀", "<\\s>", "[\\\\/INST]"]
+    rng = random.Random(2)
+    texts = ["".join(p) for p in itertools.product(parts, repeat=2)] + ["".join(rng.choices(parts, k=rng.randint(3, 9))) for _ in range(600)]
+    roles = ["user", "assistant", "system", "", "a b", "=x", "[INST]", "</s>\n", "<s>", "ass\nistant", "Assistant", "\\"]
+    rows = [(k % 90, k // 90, roles[rng.randrange(len(roles))], text) for k, text in enumerate(texts)]
+    check(read(chat_format.format_conversations(make_rows(rows))), rows)
+
+
+def test_edge_cases(make_rows):
+    long = "word <s> [/INST] \\ " * 60_000
+    rows = [
+        (1, 0, "user", None), (1, 1, "assistant", None), (2, 3, "assistant", "b"), (2, 1, "user", "a"), (2, 1, "user", "a"), (2, 1, None, "c"),
+        (None, 0, "user", "n"), (None, 1, "assistant", "m"), (3, None, "assistant", "first"), (3, -5, "assistant", "second"), (4, 0, "assistant", long),
+        *[(5, k, "user" if k % 2 else "assistant", "</s>[INST] ok [/INST]") for k in range(3000)],
+    ]
+    result = read(chat_format.format_conversations(make_rows(rows)))
+    check(result, rows)
+    assert result[3].loss == "firstsecond" and result[5].n_turns == 3000
+    assert chat_format.format_conversations(make_rows([])).collect() == []
+
+
+def test_text_without_marks_is_not_escaped(make_rows):
+    row = chat_format.format_conversations(make_rows([(1, 0, "user", "a \\ b [x] <t>"), (1, 1, "assistant", "<\\s")])).first()
+    assert row.formatted == "[INST]user\na \\ b [x] <t>[/INST]<s><\\s</s>"
+
+
+@pytest.mark.parametrize(
+    "text", ["x", "<s>", "<s>a</s>x", "<s>a[/INST]", "[INST]user\nb</s>", "[INST]no line[/INST]", "<s>a<s>b</s>", "[INST]u\n[INST]v[/INST]", "</s>", "<s>a</s></s>"]
+)
+def test_parser_refuses_other_texts(spark, text):
+    assert chat_format.read_turns(spark.createDataFrame([(text,)], "formatted string")).first().turns is None
+
+
+def test_wrong_masks_are_errors(make_rows):
+    made = chat_format.format_conversations(make_rows([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "assistant", "c")]))
+    for wrong in ("slice(loss_spans, 1, 1)", "concat(loss_spans, loss_spans)", "transform(loss_spans, s -> struct(s.start - 1L AS start, s.end AS end))"):
+        with pytest.raises(Exception, match="loss mask"):
+            chat_format.read_loss_text(made.withColumn("loss_spans", F.expr(wrong))).collect()
+
+
+def test_no_python_in_the_plan(spark):
+    plan = queries.op12_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|LogicalRDD|ExistingRDD", plan)
+
+
+def test_hostile_conversation(spark):
+    row = queries.op12_chat_format(spark, "/root/testdata/sf0.001").where("conv_id = -7").first()
+    assert (row.n_turns, row.loss_chars) == (2, 21)
