@@ -16,8 +16,7 @@ CYCLE_BARS = 10
 def abc_curve(base: DataFrame) -> DataFrame:
     """``position, id, monetary, cum_perc``: customers by value, highest first, with the running share."""
     table = base.selectExpr("id", "name", "monetary", f"{to_units('monetary')} AS units")
-    order = [F.desc_nulls_last("monetary"), F.col("id"), F.col("name")]
-    ordered = with_global_order(table, order, {"running": "units"})
+    ordered = with_global_order(table, "units", ["id", "name"], {"running": "units"})
     share = "try_divide(100D * CAST(running AS DOUBLE), CAST(running_total AS DOUBLE))"
     return ordered.selectExpr("position", "id", "monetary", f"IF(monetary IS NULL, NULL, {share}) AS cum_perc")
 

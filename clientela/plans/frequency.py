@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from clientela.functions.money import from_units, mean_rounded_to_cents, ratio_rounded
+from clientela.functions.money import UNITS_PER_ONE, from_units, mean_rounded_to_cents, ratio_rounded, to_units
 from clientela.functions.text import headed
 from clientela.labels import DATE_TEXT, FREQUENCY_HEADERS
 from clientela.operators.identity import FULL_NAME
 from clientela.operators.joins import join_unique
-from clientela.operators.ordered import rows_between
+from clientela.operators.ordered import rows_after, rows_between
 from clientela.operators.sales import SALE_KEY, channel_flags, channel_sales, channels_text, daily_totals, of_keys, selling_keys
 
 LISTING_ORDER = ("id", "name", "document_number", "phone_number")
@@ -116,17 +119,35 @@ def listing_order() -> list[Column]:
 
 
 def page(listing: DataFrame, page_number: int = 1, rows_per_page: int = 20) -> DataFrame:
-    """One page of the listing, highest total first.
+    """One page of the listing, highest total first; equal rows are rows of their own.
 
-    The order is cut into slices, and only those that the page lies in are read. Equal rows are folded
-    for that: each folded row covers as many positions as it has copies, and is expanded to those on the page.
+    The listing is counted by bins of its totals, and only the rows of the bins that the page lies in are put in order.
     """
     skipped = (page_number - 1) * rows_per_page
-    folded = listing.groupBy(*listing.columns).agg(F.expr("count(1) AS copies"))
-    on_page = rows_between(folded, listing_order(), "copies", skipped, skipped + rows_per_page)
-    shown = f"CAST(least(through, {skipped + rows_per_page}) - greatest(through - copies, {skipped}) AS INT)"
-    expanded = on_page.withColumn("copy", F.explode(F.sequence(F.lit(1), F.expr(shown))))
-    return expanded.orderBy("through", "copy").select(*listing.columns)
+    return rows_between(listing, to_units("total_gasto"), LISTING_ORDER, skipped, skipped + rows_per_page)
+
+
+@dataclass(frozen=True)
+class Continuation:
+    """Where a page ended: the key of its last row, and how many rows equal to it have been shown."""
+
+    key: tuple
+    shown: int
+
+
+def continuation(rows: Sequence[Row], before: Continuation | None = None) -> Continuation | None:
+    """The end of a page that was read as ``rows``, after the one that ended at ``before``."""
+    if not rows:
+        return before
+    keys = [(None if r["total_gasto"] is None else round(r["total_gasto"] * UNITS_PER_ONE), *[r[c] for c in LISTING_ORDER]) for r in rows]
+    equal = keys.count(keys[-1])
+    return Continuation(keys[-1], equal + (before.shown if before and before.key == keys[-1] else 0))
+
+
+def next_page(listing: DataFrame, after: Continuation | None = None, rows_per_page: int = 20) -> DataFrame:
+    """The page after another one, without counting: one evaluation of the listing."""
+    key, shown = (after.key, after.shown) if after else (None, 0)
+    return rows_after(listing, to_units("total_gasto"), LISTING_ORDER, key, shown, rows_per_page)
 
 
 def customer_frequency_export(listing: DataFrame) -> DataFrame:

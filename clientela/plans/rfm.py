@@ -13,7 +13,7 @@ from clientela.functions.money import UNITS_PER_ONE, from_units, to_units
 from clientela.functions.text import headed
 from clientela.functions.times import reference_date
 from clientela.labels import CHANNELS
-from clientela.operators.ordered import order_statistics, values_at
+from clientela.operators.ordered import At, Bracket, bracket, keys_at, sketch, values_at
 from clientela.operators.sales import (
     SALE_KEY,
     channel_flags,
@@ -98,7 +98,7 @@ def _edge_positions(rows: int) -> list[tuple[int, int, Fraction]]:
     for quarter in range(5):
         exact = Fraction((rows - 1) * quarter, 4)
         low = exact.numerator // exact.denominator
-        positions.append((low, min(low + 1, rows - 1), exact - low))
+        positions.append((low, low + (exact > low), exact - low))
     return positions
 
 
@@ -112,40 +112,53 @@ def _require_distinct(edges: list, column: str) -> None:
         raise QuartileError(f"quartile edges of {column} coincide: {[float(e) for e in edges]}")
 
 
-def _above(column: str, cuts: list[float]) -> str:
-    """Number of cuts a value lies above."""
-    return " + ".join(f"int({column} > {cut!r}D)" for cut in cuts)
+#: The columns whose quartiles are cut, as whole numbers; the inner quartiles.
+MEASURES = {"recency": "recency", "frequency": "frequency", "units": to_units("monetary")}
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _facts(table: DataFrame) -> Row:
+    """One pass: rows, missing values, and for each measure its limits and the values around its quartiles."""
+    measures = [
+        f"{what} AS {name}_{part}"
+        for name, measure in MEASURES.items()
+        for part, what in (("least", f"min({measure})"), ("most", f"max({measure})"), ("sketch", sketch(measure, QUARTILES)))
+    ]
+    counts = "count(1) AS rows", "count_if(recency IS NULL OR monetary IS NULL) AS incomplete"
+    return table.agg(*[F.expr(e) for e in (*counts, *measures)]).first()
+
+
+def _around_edges(table: DataFrame, facts: Row) -> dict[str, dict[int, At]]:
+    """What stands at the positions next to the quartile edges of each measure."""
+    positions = _edge_positions(facts["rows"])
+    wanted, limits = {}, {}
+    for name, measure in MEASURES.items():
+        limits[measure] = low, high = facts[f"{name}_least"], facts[f"{name}_most"]
+        inner = {p: bracket(facts[f"{name}_sketch"], k, facts["rows"], low, high) for k, pair in enumerate(positions[1:4]) for p in pair[:2]}
+        wanted[measure] = {0: (low, low), facts["rows"] - 1: (high, high)} | inner
+    found = values_at(table, wanted, limits)
+    return {name: found[measure] for name, measure in MEASURES.items()}
 
 
 def _with_scores(table: DataFrame, facts: Row) -> DataFrame:
-    rows, recency_edges = facts["rows"], facts["recency_edges"]
-    _require_distinct(recency_edges, "recency")
-    units = to_units("monetary")
-    around = sorted({p for low, high, _ in _edge_positions(rows) for p in (low, high)})
-    money = {p: value for p, (value, _) in values_at(table, units, around, facts["least_units"], facts["most_units"]).items()}
-    _require_distinct(_edges(money, rows), "monetary")
+    rows, around = facts["rows"], _around_edges(table, facts)
+    for name, shown in (("recency", "recency"), ("units", "monetary")):
+        _require_distinct(_edges({p: at.value for p, at in around[name].items()}, rows), shown)
     # No value lies strictly between the two neighbours of an edge, so "above the edge" is the same
     # as "above its lower neighbour".
     cuts = [low for low, _, _ in _edge_positions(rows)[1:4]]
 
     # The frequency score cuts ranks, not values; ties rank by id, then name. Only the customers whose
     # frequency lies at a cut are put in order.
-    tied = values_at(table, "frequency", cuts, facts["least_frequency"], facts["most_frequency"])
+    tied = {cut: Bracket(F.col("frequency") == at.value, at.below, at.count) for cut in cuts for at in [around["frequency"][cut]]}
+    ranked = ["frequency", *CUSTOMER_KEY]
     f_score = F.lit(1)
-    for value in sorted({value for value, _ in tied.values()}):
-        places = {cut: cut - below for cut, (v, below) in tied.items() if v == value}
-        found = order_statistics(table.where(F.col("frequency") == value), CUSTOMER_KEY, sorted(set(places.values())))
-        for place in places.values():
-            limit = F.struct(F.lit(value).cast("bigint"), *[F.lit(found[place][c]) for c in CUSTOMER_KEY])
-            f_score = f_score + (F.struct("frequency", *CUSTOMER_KEY) > limit).cast("int")
-    money_cuts = [repr(money[cut] / UNITS_PER_ONE) for cut in cuts]
-    m_score = " + ".join(f"int(monetary > {cut}D)" for cut in money_cuts)
-    scored = table.select(
-        "*",
-        F.expr(f"4 - ({_above('recency', recency_edges[1:4])}) AS r_score"),
-        f_score.alias("f_score"),
-        F.expr(f"1 + {m_score} AS m_score"),
-    )
+    for key, _ in keys_at(table.select(*ranked), ranked, tied).values():
+        limit = F.struct(*[F.lit(v).cast(table.schema[c].dataType) for c, v in zip(ranked, key)])
+        f_score = f_score + (F.struct(*ranked) > limit).cast("int")
+    recent = " + ".join(f"int(recency > {around['recency'][cut].value}L)" for cut in cuts)
+    spent = " + ".join(f"int(monetary > {around['units'][cut].value / UNITS_PER_ONE!r}D)" for cut in cuts)
+    scored = table.select("*", F.expr(f"4 - ({recent}) AS r_score"), f_score.alias("f_score"), F.expr(f"1 + {spent} AS m_score"))
     return scored.selectExpr("*", "r_score + f_score + m_score AS rfm_score")
 
 
@@ -158,23 +171,14 @@ def segment_label(score: str) -> Column:
 def rfm_segments(base: DataFrame, on_ties: str = "raise") -> DataFrame:
     """Add ``r_score, f_score, m_score, rfm_score, segmento``.
 
-    The base is stored once; the quartile cuts come from small jobs over it and enter the result as
+    The base is stored once; the quartile cuts come from a few small jobs over it and enter the result as
     literals. Below ten customers there are no scores. Coinciding edges raise ``QuartileError``;
     ``on_ties="empty"`` returns no rows instead.
     """
     if on_ties not in ("raise", "empty"):
         raise ValueError("on_ties is 'raise' or 'empty'")
     table = materialize(base, "rfm")
-    # recency is a whole number of days: the calendar bounds the distinct values this aggregate holds
-    facts = table.agg(
-        F.expr("count(1) AS rows"),
-        F.expr("count_if(recency IS NULL OR monetary IS NULL) AS incomplete"),
-        F.expr("percentile(recency, array(0D, 0.25D, 0.5D, 0.75D, 1D)) AS recency_edges"),
-        F.expr(f"min({to_units('monetary')}) AS least_units"),
-        F.expr(f"max({to_units('monetary')}) AS most_units"),
-        F.expr("min(frequency) AS least_frequency"),
-        F.expr("max(frequency) AS most_frequency"),
-    ).first()
+    facts = _facts(table)
     unscored = [f"CAST(NULL AS INT) AS {c}" for c in ("r_score", "f_score", "m_score", "rfm_score")]
     if facts["rows"] < labels.MIN_SCORED_CUSTOMERS:
         return table.selectExpr("*", *unscored, f"'{labels.BEGINNER}' AS segmento")

@@ -6,9 +6,7 @@ import re
 import pytest
 
 from clientela import session as session_module
-from clientela.operators.ordered import with_global_order
 from clientela.plans import cohort, concentration, frequency, rfm, sales_history
-from pyspark.sql import functions as F
 from sampledata import sample_shop
 
 FOLDER = "/root/testdata/sf0.001"
@@ -102,21 +100,58 @@ def test_filters_reach_links_and_sales_before_the_daily_sums(shop):
     assert "LeftSemi" in plan_of(frequency.customer_count(shop, document_number="D6"))
 
 
-def test_page_reads_only_the_slices_it_lies_in(shop):
-    plan = plan_of(frequency.page(frequency.customer_frequency(shop), 2, 25))
-    assert "SinglePartition" not in plan and re.search(r"PushedFilters: \[[^\]]*(EqualTo|In)\(slice", plan)
+def test_page_sorts_only_the_bins_it_lies_in(shop, monkeypatch):
+    from clientela.operators import ordered
+
+    def no_write(*_):
+        raise AssertionError("the listing was written")
+
+    monkeypatch.setattr(ordered, "materialize", no_write)
+    listing = frequency.customer_frequency(shop)
+    plan = plan_of(frequency.page(listing, 2, 25))
+    assert "SinglePartition" not in plan and "rangepartitioning" not in plan
+    limit = int(re.search(r"TakeOrderedAndProject\(limit=(\d+)", plan)[1])
+    assert limit < 60  # the page, and what comes before it in its first bin
+    assert "_bin" in plan and re.search(r"Filter.*1024", plan)  # below the sort, the totals are held to the bins
+    assert "TakeOrderedAndProject(limit=25" in plan_of(frequency.next_page(listing, None, 25))
+
+
+def test_pages_of_continuations_are_the_listing(shop):
+    listing = frequency.customer_frequency(shop).unionByName(frequency.customer_frequency(shop).limit(30))
+    whole = [tuple(r) for r in listing.orderBy(*frequency.listing_order()).collect()]
+    after, pages = None, []
+    while rows := frequency.next_page(listing, after, 40).collect():
+        pages += [tuple(r) for r in rows]
+        after = frequency.continuation(rows, after)
+    assert pages == whole
+
+
+def jobs_of(spark, build):
+    tracker, group = spark.sparkContext.statusTracker(), "counted"
+    spark.sparkContext.setJobGroup(group, "count of jobs")
+    try:
+        build()
+        return len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_segments_are_built_in_few_jobs(spark, shop, settings):
+    settings(autoBroadcastJoinThreshold="10485760")
+    base = rfm.rfm_base(shop, dt.date(2001, 8, 2))
+    stored = session_module.materialize(base, "base")
+    # one job stores the base, eight cut it
+    assert jobs_of(spark, lambda: rfm.rfm_segments(stored)) <= 9
 
 
 def test_large_orders_do_not_use_one_task(spark, shop):
     base = rfm.rfm_base(shop, dt.date(2001, 8, 2))
     curve = plan_of(concentration.abc_curve(base))
-    # only the slice totals, one row per slice, meet in one task
+    # only the slice totals, one row per bin, meet in one task
     single = curve.index("SinglePartition")
-    assert "HashAggregate(keys=[slice" in curve[single: single + 600]
+    assert "HashAggregate(keys=[_bin" in curve[single: single + 600]
     assert curve.count("SinglePartition") == 1
-    assert curve.count("Window") == 2
-    ordered = plan_of(with_global_order(base.select("id", "frequency"), [F.asc("frequency"), F.asc("id")]))
-    assert ordered.count("SinglePartition") == 1
+    assert curve.count("Window") == 2 and "rangepartitioning" not in curve
 
 
 def test_scratch_follows_the_setting(spark, monkeypatch):
