@@ -48,47 +48,53 @@ def sketch(value: str, quantiles: Sequence[float]) -> str:
     return f"approx_percentile({value}, array({', '.join(f'{x!r}D' for x in around)}), {ACCURACY})"
 
 
-def bracket(sketched: Sequence[int], which: int, rows: int, low: int, high: int) -> tuple[int, int]:
-    """An interval that should hold the values at the ``which``-th quantile; :func:`values_at` checks that it does."""
+def bracket(sketched: Sequence[int], which: int, rows: int, low: int, high: int) -> tuple[int, int, int]:
+    """An interval that should hold the values at the ``which``-th quantile, and about how many rows lie strictly inside; :func:`values_at` checks that it does."""
     for k, margin in enumerate(MARGINS):
         if margin * rows >= rows / ACCURACY + 2:
             first = 2 * (which * len(MARGINS) + k)
-            return sketched[first], sketched[first + 1]
-    return low, high
+            return sketched[first], sketched[first + 1], int(2 * rows * (margin + 1 / ACCURACY)) + 1
+    return low, high, rows
 
 
-def _disjoint(intervals: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for low, high in sorted(intervals):
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], high))
+@dataclass(frozen=True)
+class _Interval:
+    low: int
+    high: int
+    width: int  # of a bin
+
+
+def _disjoint(intervals: Sequence[tuple[int, int, int]]) -> list[_Interval]:
+    """Intervals in order; those that overlap become one. Where few rows lie inside, each value is a bin of its own."""
+    joined: list[list[int]] = []
+    for low, high, rows in sorted(set(intervals)):
+        if joined and low <= joined[-1][1]:
+            joined[-1] = [joined[-1][0], max(joined[-1][1], high), joined[-1][2] + rows]
         else:
-            out.append((low, high))
-    return out
+            joined.append([low, high, rows])
+    return [_Interval(low, high, 1 if rows <= BINS else (high - low) // BINS + 1) for low, high, rows in joined]
 
 
-def _zone(value: str, number: int, intervals: Sequence[tuple[int, int]]) -> str:
+def _zone(value: str, number: int, intervals: Sequence[_Interval]) -> str:
     """Where a value lies: in a bin of one of the intervals (odd zones), or between them (even zones)."""
 
     def place(zone: int, at: str = "0L") -> str:
         return f"named_struct('number', {number}, 'zone', {zone}, 'bin', {at})"
 
     whens = []
-    for j, (low, high) in enumerate(intervals):
-        width = (high - low) // BINS + 1
-        whens.append(f"WHEN {value} < {low}L THEN {place(2 * j)}")
-        whens.append(f"WHEN {value} <= {high}L THEN {place(2 * j + 1, f'({value} - {low}L) div {width}L')}")
+    for j, i in enumerate(intervals):
+        whens.append(f"WHEN {value} < {i.low}L THEN {place(2 * j)}")
+        whens.append(f"WHEN {value} <= {i.high}L THEN {place(2 * j + 1, f'({value} - {i.low}L) div {i.width}L')}")
     return f"CASE {' '.join(whens)} ELSE {place(2 * len(intervals))} END"
 
 
-def _range(zone: int, at: int, intervals: Sequence[tuple[int, int]], least: int, most: int) -> tuple[int, int]:
+def _range(zone: int, at: int, intervals: Sequence[_Interval], least: int, most: int) -> tuple[int, int]:
     """Values that a bin or a gap spans."""
     j, inside = divmod(zone, 2)
     if inside:
-        low, high = intervals[j]
-        width = (high - low) // BINS + 1
-        return low + at * width, min(low + (at + 1) * width - 1, high)
-    return (intervals[j - 1][1] + 1 if j else least), (intervals[j][0] - 1 if j < len(intervals) else most)
+        i = intervals[j]
+        return i.low + at * i.width, min(i.low + (at + 1) * i.width - 1, i.high)
+    return (intervals[j - 1].high + 1 if j else least), (intervals[j].low - 1 if j < len(intervals) else most)
 
 
 @dataclass(frozen=True)
@@ -101,13 +107,14 @@ class At:
 
 
 def values_at(
-    df: DataFrame, wanted: Mapping[str, Mapping[int, tuple[int, int]]], limits: Mapping[str, tuple[int, int]]
+    df: DataFrame, wanted: Mapping[str, Mapping[int, tuple[int, int, int]]], limits: Mapping[str, tuple[int, int]]
 ) -> dict[str, dict[int, At]]:
     """For each whole-number expression, what stands at 0-based positions in ascending order.
 
-    ``wanted`` gives an interval to look in for each position; ``limits`` the least and greatest value. A
-    pass counts all expressions' rows by bin and goes on with the bin that holds the position, or with the gap
-    between intervals where the interval did not hold it: two passes from good intervals, six at most without.
+    ``wanted`` gives an interval to look in for each position, and about how many rows lie strictly inside; ``limits``
+    the least and greatest value. A pass counts all expressions' rows by bin and goes on with the bin that holds
+    the position, or with the gap between intervals where the interval did not hold it: one or two passes from
+    good intervals, six at most without.
     """
     open_now = {value: dict(positions) for value, positions in wanted.items()}
     found: dict[str, dict[int, At]] = {value: {} for value in wanted}
@@ -125,7 +132,7 @@ def values_at(
                         del open_now[value][position]
                         found[value][position] = At(low, below, count)
                     else:
-                        open_now[value][position] = (low, high)
+                        open_now[value][position] = (low, high, count)
                 below += count
     return found
 

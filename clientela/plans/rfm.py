@@ -135,7 +135,7 @@ def _around_edges(table: DataFrame, facts: Row) -> dict[str, dict[int, At]]:
     for name, measure in MEASURES.items():
         limits[measure] = low, high = facts[f"{name}_least"], facts[f"{name}_most"]
         inner = {p: bracket(facts[f"{name}_sketch"], k, facts["rows"], low, high) for k, pair in enumerate(positions[1:4]) for p in pair[:2]}
-        wanted[measure] = {0: (low, low), facts["rows"] - 1: (high, high)} | inner
+        wanted[measure] = {0: (low, low, 0), facts["rows"] - 1: (high, high, 0)} | inner
     found = values_at(table, wanted, limits)
     return {name: found[measure] for name, measure in MEASURES.items()}
 

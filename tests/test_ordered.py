@@ -89,9 +89,9 @@ def test_values_at_positions(spark, low, high, n, off):
     ranked = sorted(values)
     limits = ranked[0], ranked[-1]
     # intervals that hold the values, and intervals that hold none of them
-    wanted = {p: (max(limits[0], ranked[p] - 3 + off), min(limits[1], ranked[p] + 5 + off)) if not off else (limits[1], limits[1]) for p in (0, n // 3, n // 2, n - 1)}
+    wanted = {p: (max(limits[0], ranked[p] - 3 + off), min(limits[1], ranked[p] + 5 + off), n) if not off else (limits[1], limits[1], 0) for p in (0, n // 3, n // 2, n - 1)}
     expected = {p: At(ranked[p], sum(v < ranked[p] for v in values), values.count(ranked[p])) for p in wanted}
-    twice = values_at(df, {"value": wanted, "value * 2": {0: (2 * limits[0], 2 * limits[1])}}, {"value": limits, "value * 2": (2 * limits[0], 2 * limits[1])})
+    twice = values_at(df, {"value": wanted, "value * 2": {0: (2 * limits[0], 2 * limits[1], n)}}, {"value": limits, "value * 2": (2 * limits[0], 2 * limits[1])})
     assert twice == {"value": expected, "value * 2": {0: At(2 * ranked[0], 0, values.count(ranked[0]))}}
 
 
@@ -101,9 +101,9 @@ def test_sketched_brackets_hold_the_quartiles(spark):
     df, ranked = spark.createDataFrame([(v,) for v in values], "value bigint"), sorted(values)
     found = df.selectExpr(f"{sketch('value', [0.25, 0.5])} AS s").first()["s"]
     for k, q in enumerate((0.25, 0.5)):
-        low, high = bracket(found, k, len(values), 0, max(values))
+        low, high, _ = bracket(found, k, len(values), 0, max(values))
         assert low <= ranked[int(q * len(values))] <= high and sum(low <= v <= high for v in values) < 300
-    assert bracket(found, 0, 20, 1, 9) == (1, 9)
+    assert bracket(found, 0, 20, 1, 9) == (1, 9, 20)
 
 
 @pytest.mark.parametrize("sample", [4096, 25])
