@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import time
 
 import numpy as np
 
@@ -99,3 +100,46 @@ def test_masking(make_docs):
     assert masked.schema == docs.schema
     assert sorted((r.doc_id, r.text) for r in masked.collect() if r.text) == [(1, "mail [EMAIL] now"), (3, "nothing"), (3, "nothing")]
     assert pii._masked("abcdef", [("ip", 1, 4, True), ("card", 2, 5, True)]) == "a[IP]f"
+
+
+HARD = ["1" * 5000 + ".1.1.1", "0" * 9000 + "1.255.0255.00 1.2.3.4.5.6.7.8", "a@b.com_x@c.org@d.net a@b@c.de @x.y .@-.-", "é@x.co a@b.c@d.e", "1.1.1.256.1.1.1", "a@b..c a@b.c."]
+
+
+def test_base_spans_of_hard_texts():
+    import random
+
+    rng = random.Random(4)
+    drawn = ["".join(rng.choices("a1@.+- (é", k=rng.randint(1, 40))) for _ in range(4000)]
+    for text in drawn + HARD[2:]:
+        assert pii.base_spans(text) == reference_spans(text), text
+    assert [len(pii.base_spans(t)) for t in HARD[:2]] == [0, 3]
+
+
+def test_long_texts_take_linear_time():
+    import pyarrow as pa
+
+    many = " ".join(f"u{k}@x{k}.org (415) 555-{k % 10000:04d} é" for k in range(10_000))
+    texts = [
+        *HARD, "a" * 1_000_000 + " @", "1" * 1_000_000 + " 1.1", "1." * 500_000, "a@" * 500_000, "+1 " * 300_000, "a." * 400_000 + "@b.", many,
+        "word " * 1_000_000, *["two words"] * 50,
+    ]
+    begin = time.perf_counter()
+    found = list(pii._find(pa.array(texts), pii.default_field()))
+    assert time.perf_counter() - begin < 60
+    assert len(found) == len(texts) and sum(s[0] == "email" for s in found[len(HARD) + 6]) == 10_000
+    for text, spans in zip(texts, found):
+        assert all(0 <= a < b <= len(text) for _, a, b, _ in spans)
+
+
+def test_field_on_forms_that_are_not_in_the_table():
+    import pyarrow as pa
+
+    forms = {
+        "phone": ["(0) 171 2345678", "020 7946 0958", "415.555.2671", "+ 49 171 2345678"], "card": ["4929 1234 5678 901", "3782-822463-10006"],
+        "ip": ["10.0.0.1"], "email": ["müller@firma.example.de"],
+    }
+    hit = {}
+    for kind, texts in forms.items():
+        spans = [next(pii._find(pa.array([f"you reach us at {t} until noon"]), pii.default_field())) for t in texts]
+        hit[kind] = sum(any(s[0] == kind for s in found) for found in spans)
+    assert hit["phone"] >= 1 and hit["ip"] == 1 and hit["email"] == 1, hit
