@@ -27,7 +27,6 @@ LEARNED = "learned"
 SAMPLE_SECRETS = 600
 LEAST_WORD = 8
 CONFIDENCE = 0.05
-LEAST_CANDIDATE = 16
 #: A candidate must be this much likelier as a credential, per character, and at least as likely as this share of the labelled ones.
 MARGIN = 0.5
 QUANTILE = 0.05
@@ -36,8 +35,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _NAMES = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CANDIDATE)
-_DIGIT = re.compile(r"[0-9]")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{6,}[A-Za-z0-9+/_=-]")
 _WORD = re.compile(r"(?<!\S)[A-Za-z]{%d,}(?!\S)" % LEAST_WORD)
 
 
@@ -53,9 +51,16 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Long words of credential characters with a digit."""
-    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0])]
+def candidates(text: str, base: list[tuple[str, int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Words of 8 or more characters that a credential may have, without dots around them, that touch no base span."""
+    taken = iter(base)  # by start
+    _, begin, end, _ = next(taken, _NO_SPAN)
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        while end <= a:
+            _, begin, end, _ = next(taken, _NO_SPAN)
+        if b <= begin:
+            yield a, b
 
 
 # Grammar inference ------------------------------------------------------------------------------------
@@ -217,31 +222,24 @@ def learn(credentials: dict[str, list[str]], words: list[str] | Counter[str], ma
 # Documents --------------------------------------------------------------------------------------------
 
 _LETTERS = np.frombuffer((string.ascii_uppercase + string.ascii_lowercase).encode(), np.uint8)
-_FOUND = "array<struct<kind:string,start:int,end:int,text:string>>"
-_FOUND_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+_FOUND = "array<struct<kind:string,text:string>>"
+_FOUND_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
+_NO_SPAN = ("", 2**62, 2**62, 0)
+#: Words whose score a task keeps at once.
+KEPT_SCORES = 200_000
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Base spans with the credential's text, and candidates (kind null) that touch no base span.
-
-    The first row of each part has the counts of characters in the ordinary long words of the part's texts.
-    """
+    """Base credentials (kind, text) of the documents, and counts of characters in the ordinary long words of a part's texts."""
     for batch in batches:
         for first in range(0, batch.num_rows, 512):
-            part = batch.slice(first, 512)
-            rows, counts = [], np.zeros(256, np.int64)
-            for text in part.column(1).to_pylist():
+            found, counts = [], np.zeros(256, np.int64)
+            for text in batch.column(1).slice(first, 512).to_pylist():
                 text = text or ""
-                base = base_spans(text)
-                found = [dict(kind=k, start=a, end=b, text=text[c:b]) for k, a, b, c in base]
-                for a, b in candidates(text):
-                    if all(b <= s[1] or a >= s[2] for s in base):
-                        found.append(dict(kind=None, start=a, end=b, text=text[a:b]))
-                rows.append(found)
+                found += [dict(kind=k, text=text[c:b]) for k, a, b, c in base_spans(text)]
                 counts += np.bincount(np.frombuffer("".join(_WORD.findall(text)).encode(), np.uint8), minlength=256)
-            letters = [counts[_LETTERS].tolist()] + [None] * (len(rows) - 1)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(rows, _FOUND_ARROW), pa.array(letters, pa.list_(pa.int64()))], names=["doc_id", "found", "letters"]
+                [pa.array([found], _FOUND_ARROW), pa.array([counts[_LETTERS].tolist()], pa.list_(pa.int64()))], names=["found", "letters"]
             )
 
 
@@ -253,7 +251,7 @@ def _bounded(df: DataFrame, column: str, rows: int) -> list[str]:
 
 def _letters(scanned: DataFrame) -> Counter[str]:
     """Counts of characters in the ordinary long words of all texts."""
-    each = scanned.where("letters is not null").select(F.posexplode("letters").alias("at", "n"))
+    each = scanned.select(F.posexplode("letters").alias("at", "n"))
     return Counter({chr(_LETTERS[r["at"]]): r.n for r in each.groupBy("at").agg(F.sum("n").alias("n")).collect()})
 
 
@@ -272,28 +270,46 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    scanned = stored(source.mapInArrow(_scan, f"doc_id long, found {_FOUND}, letters array<long>"), "candidates")
     if formats is None:
-        each = scanned.select(F.explode("found").alias("f")).select("f.*").where("kind is not null")
+        scanned = stored(source.mapInArrow(_scan, f"found {_FOUND}, letters array<long>"), "credentials")
+        each = scanned.select(F.explode("found").alias("f")).select("f.*")
         labelled = {kind: _bounded(each.where(F.col("kind") == kind), "text", SAMPLE_SECRETS) for kind in KINDS}
         formats = learn(labelled, _letters(scanned))
-    learned = formats
+    return source.mapInArrow(_score(formats), f"doc_id long, spans {SPANS}")
+
+
+def _score(formats: Formats):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, tuple] = {}
+
+        def score(word: str) -> tuple:
+            found = kept.get(word)
+            if found is None:
+                if len(kept) >= KEPT_SCORES:
+                    kept.clear()
+                found = formats.score(word)
+                if len(word) <= 64:
+                    kept[word] = found
+            return found
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for found in batch.column(1).to_pylist():
+            for text in batch.column(1).to_pylist():
+                text = text or ""
+                base = base_spans(text)
                 spans = []
-                for f in found:
-                    kind, ratio, passes = learned.score(f["text"])
-                    ratio = ratio if kind else None
-                    if f["kind"] or passes:
-                        spans.append(dict(kind=f["kind"] or LEARNED, start=f["start"], end=f["end"], base=f["kind"] is not None, format=kind, score=ratio))
+                for label, a, b, c in base:
+                    kind, ratio, _ = formats.score(text[c:b])
+                    spans.append(dict(kind=label, start=a, end=b, base=True, format=kind, score=ratio if kind else None))
+                for a, b in candidates(text, base):
+                    kind, ratio, passes = score(text[a:b])
+                    if passes:
+                        spans.append(dict(kind=LEARNED, start=a, end=b, base=False, format=kind, score=ratio))
                 spans.sort(key=lambda s: (s["start"], (*KINDS, LEARNED).index(s["kind"])))
                 rows.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _SPANS_ARROW)], names=["doc_id", "spans"])
 
-    return scanned.select("doc_id", "found").mapInArrow(score, f"doc_id long, spans {SPANS}")
+    return run
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean,format:string,score:double>>"

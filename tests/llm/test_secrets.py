@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 from clientela.llm import queries, secrets
@@ -85,7 +86,7 @@ def test_background_counts_long_words_of_whole_texts(make_docs):
     long = "zebrazebra, quizzical " + "lorem " * 2000 + "jazzjazzjazz 12345678901234567890 jukeboxes"
     rows = [(1, long), (2, "quizzical quizzical short"), (3, None)]
     source = make_docs(rows).select("doc_id", "text")
-    scanned = source.mapInArrow(secrets._scan, f"doc_id long, found {secrets._FOUND}, letters array<long>")
+    scanned = source.mapInArrow(secrets._scan, f"found {secrets._FOUND}, letters array<long>")
     want = Counter("quizzical" * 3 + "jazzjazzjazz" + "jukeboxes")
     assert +secrets._letters(scanned) == want
 
@@ -93,3 +94,30 @@ def test_background_counts_long_words_of_whole_texts(make_docs):
 def test_credentials_are_learned_whole(make_docs):
     each = make_docs([(1, "a" * 300), (2, "a" * 300 + "b"), (3, "a" * 300)])
     assert secrets._bounded(each, "text", 600) == ["a" * 300, "a" * 300 + "b"]
+
+
+def test_short_dotted_and_letter_only_formats_are_found(make_docs):
+    rng = random.Random(8)
+    consonants = "bcdfghjklmnpqrstvwxz"
+    forms = {
+        "short": lambda: drawn(rng, "0123456789", 3, "k") + drawn(rng, "XYZ", 4, "-"),
+        "dotted": lambda: ".".join(drawn(rng, "0123456789ABCDEF", 4) for _ in range(4)),
+        "letters": lambda: drawn(rng, consonants, 24),
+    }
+    plain = "the representative of international organisations, unfortunately www.example.com/understanding written 2024-11-12. "
+    for name, form in forms.items():
+        rows = [(k, f"secret={form()} and {plain}") for k in range(80)]
+        rows += [(100 + k, f"see {form()}. {plain}") for k in range(20)]
+        found = {r.doc_id: r.spans for r in secrets.find_secrets(make_docs(rows)).collect()}
+        hits = [s for k in range(20) for s in found[100 + k] if s.kind == "learned"]
+        assert sum(s.start == 4 for s in hits) >= 15, name
+        assert sum(s.start != 4 for s in hits) == 0, name
+
+
+def test_many_spans_take_linear_time():
+    text = " ".join(f"token=abcdefgh{k} wordlike{k}x" for k in range(15_000))
+    begin = time.perf_counter()
+    base = secrets.base_spans(text)
+    assert len(base) == 15_000 and len(list(secrets.candidates(text, base))) == 15_000
+    assert time.perf_counter() - begin < 5
+    assert list(secrets.candidates("a.b.c.d..e....... x" + "." * 100_000 + "y", [])) == [(0, 10), (18, 100_020)]
