@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from clientela.llm.tables import ship
 UNDETERMINED = "und"
 BUCKET_BITS = 12
 SAMPLE_ROWS = 2000
+LEAST_ROWS = 20
 EPOCHS = 30
 #: Families of ISO 639-1 codes. Any other label is a family of its own.
 FAMILIES = {
@@ -152,21 +154,25 @@ def _collect_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(labelled: DataFrame, text_column: str = "text", label_column: str = "lang", rows: int = SAMPLE_ROWS, epochs: int = EPOCHS) -> LanguageModel | None:
     """Fit on a sample of about ``rows`` labelled rows, evenly over labels; None if no row has a label.
 
-    The sample takes the rows with the smallest hash of their text, a part of each label so large that
-    ``rows`` / number of labels are expected; it may be up to a fifth larger. Whole texts are counted.
+    The sample takes the different texts with the smallest hash, a part of each label's so large that
+    ``rows`` / number of labels are expected (20 at least, so that no label is lost); it may be up to a fifth
+    larger. Copies of a text count once. Whole texts are counted.
     """
     ship(labelled.sparkSession)
     source = labelled.select(F.col(text_column).cast("string").alias("text"), F.col(label_column).cast("string").alias("label"))
     source = source.where("label is not null and text is not null")
-    sizes = {r.label: r["count"] for r in source.groupBy("label").count().collect()}
+    # copies of a text count once, here and in the sample, so that a label of copies keeps its rows
+    different = source.select("label", F.xxhash64("text", F.lit(11)).alias("place")).distinct()
+    sizes = {r.label: r["count"] for r in different.groupBy("label").count().collect()}
     if not sizes:
         return None
-    share = {label: min(1.0, rows / len(sizes) / n) for label, n in sizes.items()}
+    each = max(LEAST_ROWS, rows / len(sizes))
+    share = {label: min(1.0, each / n) for label, n in sizes.items()}
     cut = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(int(v * (2**31 - 1)))) for k, v in share.items()))
     place = F.xxhash64("text", F.lit(11)).bitwiseAND(F.lit(2**31 - 1))
     sample = source.where(place <= cut[F.col("label")]).distinct()  # copies of a text share its place
     found = sample.mapInArrow(_collect_counts, "label string, buckets binary, counts binary")
-    found = found.orderBy(F.xxhash64("buckets", "counts"), "label", "buckets").limit(int(1.2 * rows) + 50).collect()
+    found = found.orderBy(F.xxhash64("buckets", "counts"), "label", "buckets").limit(int(1.2 * each * len(sizes)) + 50).collect()
     # a column for each bucket and one for the bias; all work is done in place
     x = np.zeros((len(found), (1 << BUCKET_BITS) + 1), np.float32)
     label_list = [r.label for r in found]
@@ -231,16 +237,24 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_column: str = "doc_
     return source.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
 
 
-def keep_determined(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a letter and so gets one of the model's languages."""
+def keep_determined(docs: DataFrame, model: LanguageModel, text_column: str = "text", fill_column: str | None = None) -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and so gets one of the model's languages.
+
+    Nulls of ``fill_column`` become the predicted language.
+    """
     ship(docs.sparkSession)
     place = docs.columns.index(text_column)
+    fill = docs.columns.index(fill_column) if fill_column else None
     predict_batch = _predict(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts_only = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(place).cast(pa.string())], names=["doc_id", "text"])
             labels = [label for part in predict_batch(iter([texts_only])) for label in part.column(1).to_pylist()]
+            columns = [*batch.columns]
+            if fill is not None:
+                columns[fill] = pc.coalesce(columns[fill], pa.array(labels, columns[fill].type))
+            batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
             yield batch.filter(pa.array([label != UNDETERMINED for label in labels], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

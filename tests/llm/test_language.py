@@ -55,3 +55,20 @@ def test_empty_tables_and_one_language(make_docs):
     one = language.train(make_docs([(1, "some words", "en"), (2, "other words", "en")]))
     assert [r.lang_pred for r in language.predict(make_docs([(1, "qué tal")]), one).collect()] == ["en"]
     assert language.predict(make_docs(), one).collect() == []
+
+
+def test_a_label_of_copies_is_still_predicted(make_docs):
+    latin = ["gallia est omnis divisa in partes tres quarum unam incolunt", "arma virumque cano troiae qui primus ab oris"]
+    rows = [(k, f"the house number {k} stands by the river of the town {k * 7}", "en") for k in range(3000)]
+    rows += [(5000 + k, latin[k % 2], "la") for k in range(3000)]
+    model = language.train(make_docs(rows), rows=200)
+    found = {r.doc_id: r.lang_pred for r in language.predict(make_docs([(1, latin[0]), (2, "the town by the river"), (3, None)]), model).collect()}
+    assert found == {1: "la", 2: "en", 3: "und"}
+
+
+def test_missing_languages_are_filled(make_docs):
+    rows = [(k, f"the house number {k} stands by the river", "en") for k in range(60)] + [(100 + k, f"la maison numero {k} est dans la ville", "fr") for k in range(60)]
+    rows += [(500, "la ville est la maison", None), (501, "the house by the river", None), (502, "12", None)]
+    docs = make_docs(rows)
+    kept = {r.doc_id: r.lang for r in language.keep_determined(docs, language.train(docs), fill_column="lang").where("doc_id >= 500").collect()}
+    assert kept == {500: "fr", 501: "en"}
