@@ -28,8 +28,11 @@ RULES = (
     ("block", "net/fr/"),
 )
 FOLLOW = 0.85
-ROUNDS = 15
+#: Rounds end when the masses of a kind change by no more than this in all, and no further host is reached.
+TOLERANCE = 1e-3
 THRESHOLD = 1.0
+#: Shares that differ by less than this part of themselves are equal: sums of doubles depend on their order.
+_ROUNDING = 1e-9
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -93,43 +96,52 @@ def seeds(judged: DataFrame) -> DataFrame:
     return both.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("mass"))  # two rows
 
 
-def propagate(edges: DataFrame, start: DataFrame, follow: float = FOLLOW, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, mass) after ``rounds`` steps; trust follows edges, distrust runs against them.
+def propagate(edges: DataFrame, start: DataFrame, follow: float = FOLLOW, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, mass); trust follows edges, distrust runs against them.
 
-    In each step a host passes on the share ``follow`` of its mass, by weight, and each seed gets the rest of
+    In each round a host passes on the share ``follow`` of its mass, by weight, and each seed gets the rest of
     the total by its share of the seeds. Mass of hosts without an edge to follow goes back to the seeds too.
+    Rounds go on until each kind's total change is at most ``tolerance`` and no host got its first mass, so
+    every host that a seed reaches has some. The change shrinks by ``follow`` at least in every round.
     """
     directed = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "weight").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"), "weight")
     )
     out = directed.groupBy("kind", "host").agg(F.sum("weight").alias("total"))
-    share = stored(directed.join(out, ["kind", "host"]).select("kind", "host", "to", (F.lit(follow) * F.col("weight") / F.col("total")).alias("share")), "edges")
+    share = join_unique(directed, out, ["kind", "host"])
+    share = stored(share.select("kind", "host", "to", (F.lit(follow) * F.col("weight") / F.col("total")).alias("share")), "edges")
     start = stored(start, "seeds")
     now = start
-    for _ in range(rounds):
+    while True:
         moved = now.join(share, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("mass") * F.col("share")).alias("mass"))
         moved = moved.groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
         passed = moved.groupBy("kind").agg(F.sum("mass").alias("passed"))  # two rows
         given = start.join(F.broadcast(passed), "kind", "left").select("kind", "host", (F.col("mass") * (1 - F.coalesce("passed", F.lit(0.0)))).alias("mass"))
-        # each round is read twice by the next one, so its plan must end here
-        now = stored(moved.unionByName(given).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "ranks")
-    return now
+        parts = [part.withColumn("old", F.lit(0.0)) for part in (moved, given)] + [now.select("kind", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("old"))]
+        united = reduce(DataFrame.unionByName, parts).groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old"))
+        # each round is read three times, so its plan must end here
+        now = stored(united, "ranks")
+        changes = now.groupBy("kind").agg(F.sum(F.abs(F.col("mass") - F.col("old"))).alias("change"), F.expr("count_if(mass > 0 AND old = 0) AS reached"))
+        if all(r.change <= tolerance and not r.reached for r in changes.collect()):
+            return now.select("kind", "host", "mass")
 
 
-def judge_pages(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
     A url that is null or has no ``://`` has an empty host and path, fits no rule, and is allowed. Null
     html has no links. Repeated pages are judged alike and count each. Empty table: no rows. Other columns
-    are not read; ``trust`` and ``distrust`` are the host's shares, rounded to 12 places. Equal shares allow.
+    are not read; ``trust`` and ``distrust`` are the host's shares, shown rounded to 12 places and compared as
+    they are. Equal shares allow. A host whose pages are half allowed, half blocked is a seed of both kinds.
     """
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     judged = with_rule(with_host_and_path(source), rules)
     edges = host_edges(judged)
     judged = stored(judged.drop("html", "url"), "judged")
-    ranks = propagate(edges, seeds(judged), rounds=rounds)
-    hosts = ranks.groupBy("host").agg(*[F.round(F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0)), 12).alias(k) for k in ("trust", "distrust")])
+    ranks = propagate(edges, seeds(judged), tolerance=tolerance)
+    hosts = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
     shares = {k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")}
     found = join_unique(judged, hosts, ["host"], "left").withColumns(shares)
-    by_method = F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow")
-    return found.select("page_id", "host", "path", "rule", F.coalesce("ruling", by_method).alias("verdict"), "trust", "distrust")
+    by_method = F.when(F.col("distrust") > (1 + _ROUNDING) * threshold * F.col("trust"), "block").otherwise("allow")
+    shown = [F.round(k, 12).alias(k) for k in ("trust", "distrust")]
+    return found.select("page_id", "host", "path", "rule", F.coalesce("ruling", by_method).alias("verdict"), *shown)

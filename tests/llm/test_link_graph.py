@@ -12,7 +12,7 @@ LINK = re.compile(r"""(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#
 FOLD = {i: i + 32 for i in range(65, 91)}
 
 
-def brute_force(pages, rounds=link_graph.ROUNDS):
+def brute_force(pages):
     """{page: (host, path, rule, verdict)} with dictionaries and loops."""
     judged, edges = [], Counter()
     hosts = set()
@@ -51,7 +51,7 @@ def brute_force(pages, rounds=link_graph.ROUNDS):
         for (a, b), w in edges.items():
             out[b if turned else a].append((a if turned else b, w))
         now = dict(start)
-        for _ in range(rounds):
+        for _ in range(1000 if start else 0):
             moved = defaultdict(float)
             for host, mass in now.items():
                 for target, w in out[host]:
@@ -59,11 +59,15 @@ def brute_force(pages, rounds=link_graph.ROUNDS):
             back = 1 - sum(moved.values())
             for host, share in start.items():
                 moved[host] += back * share
+            change = sum(abs(moved.get(h, 0) - now.get(h, 0)) for h in {*moved, *now})
+            reached = any(mass and not now.get(h) for h, mass in moved.items())
             now = moved
+            if change <= link_graph.TOLERANCE and not reached:
+                break
         shares[kind] = now
     result = {}
     for own, host, path, rule, verdict in judged:
-        bad = round(shares["distrust"].get(host, 0), 12) > round(shares["trust"].get(host, 0), 12)
+        bad = shares["distrust"].get(host, 0) > shares["trust"].get(host, 0) * (1 + 1e-9)
         result.setdefault(own, []).append((host, path, rule, verdict or ("block" if bad else "allow")))
     return {own: sorted(rows, key=repr) for own, rows in result.items()}
 
@@ -104,5 +108,11 @@ def test_propagation_and_edge_cases(make_pages):
     assert result[10][0][:3] == ("a.b.example.com", "/EN/", "com/") and result[11][0][2] == "www.example.com/en/" and result[13][0][2] is None
 
 
+def test_a_long_chain_is_blocked_to_its_end(make_pages):
+    # host k links to host k + 1, the last one to a blocked host: the exact distrust of all is above their trust of none
+    pages = [(k, f"http://h{k}.org/", f"<a href='http://h{k + 1}.org/'>") for k in range(40)] + [(40, "http://h40.org/", "<a href='//x.net/'>"), (41, "http://x.net/es/", "")]
+    assert {own: rows[0][3] for own, rows in found(link_graph.judge_pages(make_pages(pages))).items()} == dict.fromkeys(range(42), "block")
+
+
 def test_empty_table(make_pages):
     assert link_graph.judge_pages(make_pages([])).collect() == []
