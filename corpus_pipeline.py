@@ -6,6 +6,7 @@ the columns of their documents.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,25 +15,30 @@ from pyspark.sql import functions as F
 from clientela.llm import jaccard_join, language, packing, pii
 from clientela.llm.queries import WORD_VOCABULARY
 from clientela.llm.tables import stored
+from clientela.operators.joins import join_unique
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be told: null, empty or without a letter."""
+    """Drop documents whose language can't be told (null, empty or without a letter); a missing ``lang`` becomes the predicted one."""
     model = language.train(docs)
     if model is None:  # no label to learn from: a letter is all that can be asked for
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return language.keep_determined(docs, model)
+    return language.keep_determined(docs, model, fill_column="lang")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies, the document with the smallest id stays; of repeated rows, one.
+    """Of every group of near copies, the row with the smallest id stays, then hash of its text; of repeated rows, one.
 
-    Rows without an id take no part, and stay.
+    Rows are decided one by one: where an id has several texts, a copy goes and the others stay. Rows without
+    an id take no part, and stay.
     """
-    found = jaccard_join.jaccard_components(docs)
-    copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias("copy_of_another")).distinct()
-    kept = docs.join(copies, docs["doc_id"] == copies["copy_of_another"], "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"])
+    row = next(name for name in itertools.accumulate(itertools.repeat("_"), initial="_row") if name not in docs.columns)
+    known = docs.where("doc_id IS NOT NULL").withColumn(row, F.xxhash64("doc_id", "text"))
+    found = jaccard_join.jaccard_components(known, id_column=row).select(F.col("doc_id").alias(row), "component_id").distinct()
+    placed = join_unique(known.select(row, "doc_id"), found, [row])
+    first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(f"first.{row}")
+    kept = join_unique(known, first, [row], "left_semi").drop(row).dropDuplicates(["doc_id", "text"])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
