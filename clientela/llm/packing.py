@@ -32,7 +32,9 @@ def _cache(vocabulary: str) -> UnitCache:
         from tokenizers import Tokenizer
 
         # white space is dropped and case folded; a space or a line break parts units
-        _caches[vocabulary] = UnitCache(Tokenizer.from_file(vocabulary), lambda text: text.replace("\n", " ").split(" "), PLAIN, lambda word: spelled(word.lower()))
+        _caches[vocabulary] = UnitCache(
+            Tokenizer.from_file(vocabulary), lambda text: text.replace("\n", " ").split(" "), PLAIN, lambda word: spelled(word.lower()), str.lower
+        )
     return _caches[vocabulary]
 
 

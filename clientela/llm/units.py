@@ -36,38 +36,52 @@ def spelled(text: str) -> str:
     """The text as byte-level models see it: one character for each byte."""
     return text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(_SPELLING)
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
 
 class UnitCache:
     """Packed ids (little-endian unsigned 32-bit) of texts, unit by unit."""
 
-    def __init__(self, tokenizer, split: Callable[[str], list[str]], plain: str, model_word: Callable[[str], str]):
-        """``plain``: units of one letter word and a sign, each a word of the library's model; ``model_word``: how it spells the former."""
+    def __init__(
+        self, tokenizer, split: Callable[[str], list[str]], plain: str, model_word: Callable[[str], str],
+        ascii_word: Callable[[str], str] | None = None,
+    ):
+        """``plain``: units of one letter word and a sign, each a word of the library's model; ``model_word``: how it spells the former.
+
+        ``ascii_word`` does the same for words of ASCII letters alone, and saves them the pattern.
+        """
         self.tokenizer = tokenizer
+        self.tokenize = tokenizer.model.tokenize
         self.split = split
         self.plain = re.compile(plain)
         self.model_word = model_word
+        self.ascii_word = ascii_word
         self.kept: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.signs = {sign: self._model(sign) if sign else b"" for sign in ("", ".", ",")}
 
     def _model(self, word: str) -> bytes:
-        ids = [token.id for token in self.tokenizer.model.tokenize(word)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        ids = [token.id for token in self.tokenize(word)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _found(self, units: Iterable[str]) -> dict[str, bytes]:
         """Ids of units: plain ones by the library's model, all others by its whole pipeline."""
         found, others = {}, []
-        match, words, signs, model_word = self.plain.fullmatch, self.words, self.signs, self.model_word
+        match, words, signs, model_word, ascii_word, model = self.plain.fullmatch, self.words, self.signs, self.model_word, self.ascii_word, self._model
         for unit in units:
-            plain = match(unit)
-            if plain is None:
-                others.append(unit)
-                continue
-            word = model_word(plain[1])
+            word, sign = (unit[:-1], unit[-1]) if unit.endswith((".", ",")) else (unit, "")
+            if ascii_word and word.isascii() and word.isalpha():
+                word = ascii_word(word)
+            else:
+                plain = match(unit)
+                if plain is None:
+                    others.append(unit)
+                    continue
+                word, sign = model_word(plain[1]), plain[2]
             ids = words.get(word)
             if ids is None:
-                ids = words[word] = self._model(word)
-            found[unit] = ids + signs[plain[2]]
+                ids = words[word] = model(word)
+            found[unit] = ids + signs[sign] if sign else ids
         found.update(self._encoded(others))
         return found
 
@@ -93,17 +107,14 @@ class UnitCache:
         for units in split:
             missing.update(units)
         missing.difference_update(known)
-        found = known
         if missing:
-            new = self._found(missing)
-            long = {u: i for u, i in new.items() if len(u) > KEPT_LENGTH}
-            if long:
-                found = known | new
-                for unit in long:
-                    del new[unit]
-            known.update(new)
-        get = found.__getitem__
-        return [b"".join(map(get, units)) for units in split]
+            known.update(self._found(missing))
+        get = known.__getitem__
+        packed = [b"".join(map(get, units)) for units in split]
+        for unit in missing:
+            if len(unit) > KEPT_LENGTH:
+                del known[unit]
+        return packed
 
 
 def text_runs(column: pa.Array, most: int = 1 << 20) -> Iterable[tuple[int, list[str]]]:
