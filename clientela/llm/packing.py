@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientela.llm.tables import ship
-from clientela.llm.units import PLAIN, UnitCache, spelled, text_runs
+from clientela.llm.units import PLAIN, SIGNS, UnitCache, spelled, text_runs
 
 LONGEST = 4096
 END_ID = 2
@@ -33,7 +33,7 @@ def _cache(vocabulary: str) -> UnitCache:
 
         # white space is dropped and case folded; a space or a line break parts units
         _caches[vocabulary] = UnitCache(
-            Tokenizer.from_file(vocabulary), lambda text: text.replace("\n", " ").split(" "), PLAIN, lambda word: spelled(word.lower()), str.lower
+            Tokenizer.from_file(vocabulary), lambda text: text.replace("\n", " ").split(" "), PLAIN, lambda word: spelled(word.lower()), str.lower, SIGNS
         )
     return _caches[vocabulary]
 

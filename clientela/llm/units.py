@@ -30,6 +30,8 @@ _SPELLING = dict(enumerate(byte_characters()))
 #: A word of Latin letters, and a full stop or comma after it. These letters are composed, and except for
 #: the dotted I their small forms are letters that do not depend on their neighbours.
 PLAIN = r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)"
+#: Signs that only join signs; the apostrophe begins short forms, and the opening angle bracket special tokens.
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<")
 
 
 def spelled(text: str) -> str:
@@ -44,11 +46,12 @@ class UnitCache:
 
     def __init__(
         self, tokenizer, split: Callable[[str], list[str]], plain: str, model_word: Callable[[str], str],
-        ascii_word: Callable[[str], str] | None = None,
+        ascii_word: Callable[[str], str] | None = None, signs: str = "",
     ):
         """``plain``: units of one letter word and a sign, each a word of the library's model; ``model_word``: how it spells the former.
 
-        ``ascii_word`` does the same for words of ASCII letters alone, and saves them the pattern.
+        ``ascii_word`` does the same for words of ASCII letters alone, and saves them the pattern; any run of ``signs``
+        after such a word must be a word of the model as well.
         """
         self.tokenizer = tokenizer
         self.tokenize = tokenizer.model.tokenize
@@ -58,7 +61,7 @@ class UnitCache:
         self.ascii_word = ascii_word
         self.kept: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.signs = {sign: self._model(sign) if sign else b"" for sign in ("", ".", ",")}
+        self.signs = signs
 
     def _model(self, word: str) -> bytes:
         ids = [token.id for token in self.tokenize(word)]
@@ -69,8 +72,9 @@ class UnitCache:
         found, others = {}, []
         match, words, signs, model_word, ascii_word, model = self.plain.fullmatch, self.words, self.signs, self.model_word, self.ascii_word, self._model
         for unit in units:
-            word, sign = (unit[:-1], unit[-1]) if unit.endswith((".", ",")) else (unit, "")
+            word = unit.rstrip(signs)
             if ascii_word and word.isascii() and word.isalpha():
+                sign = unit[len(word) :]
                 word = ascii_word(word)
             else:
                 plain = match(unit)
@@ -81,7 +85,12 @@ class UnitCache:
             ids = words.get(word)
             if ids is None:
                 ids = words[word] = model(word)
-            found[unit] = ids + signs[sign] if sign else ids
+            if sign:
+                tail = words.get(sign)
+                if tail is None:
+                    tail = words[sign] = model(sign)
+                ids += tail
+            found[unit] = ids
         found.update(self._encoded(others))
         return found
 

@@ -133,3 +133,19 @@ def test_buckets_are_written_by_length(make_docs, tmp_path):
     pieces = packing.pack_documents(make_docs([(1, "a b c d e"), (2, "a")]), queries.WORD_VOCABULARY)
     packing.write_buckets(pieces, str(tmp_path / "out"))
     assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"length=2", "length=4"}
+
+
+def test_words_before_any_signs_pack_as_the_library_encodes_them():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from clientela.llm import packing
+
+    library, cache = Tokenizer.from_file(queries.WORD_VOCABULARY), packing._cache(queries.WORD_VOCABULARY)
+    rng = random.Random(6)
+    letters = "aBzE é'sS.,!?<>|()[]{}#$%&*~`^_-+=@:;\"\\/ 9\n"
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 30))) for _ in range(5000)]
+    texts += ["word<|endoftext|>", "a<|startoftext|>!!", "it's!!", "x'll??", "no" + "!" * 500, "." * 300]
+    want = [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    assert cache.pack(texts) == want
