@@ -45,6 +45,13 @@ def before_day_after(df: DataFrame, name: str, day: dt.date | None) -> str:
     return f"{name} < TIMESTAMP_LTZ '{end} 00:00:00Z'"
 
 
+def from_day(df: DataFrame, name: str, day: dt.date) -> str:
+    """True from the start of the UTC day ``day``; reaches the file scan as well."""
+    if isinstance(_kind(df, name), TimestampNTZType):
+        return f"{name} >= TIMESTAMP_NTZ '{day} 00:00:00'"
+    return f"{name} >= TIMESTAMP_LTZ '{day} 00:00:00Z'"
+
+
 def zone_text(df: DataFrame, name: str, pattern: str, zone: str = "UTC") -> str:
     """A time column as text on the clocks of ``zone``."""
     stored = "'UTC'" if isinstance(_kind(df, name), TimestampNTZType) else "current_timezone()"

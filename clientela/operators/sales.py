@@ -16,13 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientela.functions.money import to_units
-from clientela.functions.times import before_day_after, day_number
+from clientela.functions.times import before_day_after, day_date, day_number, month_number, reference_date
 from clientela.labels import CHANNELS, FOOD99, IFOOD, STORE
 from clientela.operators.identity import stacked
 from clientela.operators.joins import join_unique
 
 SALE_KEY = ["channel", "native_key"]
 
+#: Columns of a stored rollup, which stands for the sales it sums; its folders are the months.
+ROLLUP = "channel string, native_key string, sales bigint, units bigint, least double, blank boolean, day int, month int"
+
 
 def selected_channels(channel: str | None) -> tuple[str, ...]:
     """One known channel selects itself; anything else selects all."""
@@ -61,8 +64,22 @@ def channel_sales(
     return reduce(DataFrame.unionByName, branches)
 
 
+def summed_sales(shop, channels: Sequence[str] = CHANNELS) -> DataFrame:
+    """What analyses by day sum up: rows of the shop's stored rollup, or where it has none, :func:`channel_sales`."""
+    if shop.rollup_table is None:
+        return channel_sales(shop, channels)
+    return shop.rollup_table.where(F.col("channel").isin(list(channels)))
+
+
+def _rolled_up(sales: DataFrame) -> bool:
+    return "created_at" not in sales.columns
+
+
 def up_to(sales: DataFrame, as_of: dt.date | None) -> DataFrame:
     """Drop sales after ``as_of`` (today if None), so that a reference date sees no later sale."""
+    if _rolled_up(sales):
+        last = reference_date(as_of)
+        return sales.where(f"month IS NULL OR (month <= {month_number(last)} AND day <= unix_date({last}))")
     return sales.where(f"created_at IS NULL OR {before_day_after(sales, 'created_at', as_of)}")
 
 
@@ -83,11 +100,15 @@ def key_totals(sales: DataFrame) -> DataFrame:
 
 def daily_totals(sales: DataFrame) -> DataFrame:
     """One row per ``(channel, native_key, day)``: ``sales`` and ``units``."""
+    if _rolled_up(sales):
+        return sales.select(*SALE_KEY, "day", "sales", "units")
     return _measured(sales).groupBy(*SALE_KEY, "day").agg(F.expr("count(1) AS sales"), F.expr("sum(units) AS units"))
 
 
 def daily_leads(sales: DataFrame) -> DataFrame:
     """:func:`daily_totals` with the least total of the day, and whether it has a sale without a total."""
+    if _rolled_up(sales):
+        return sales.select(*SALE_KEY, "day", "sales", "units", "least", "blank")
     measured = sales.selectExpr(*SALE_KEY, f"{day_number(sales, 'created_at')} AS day", f"{to_units('total')} AS units", "total")
     return measured.groupBy(*SALE_KEY, "day").agg(
         F.expr("count(1) AS sales"),
@@ -97,6 +118,13 @@ def daily_leads(sales: DataFrame) -> DataFrame:
     )
 
 
+def sale_dates(sales: DataFrame) -> DataFrame:
+    """``(channel, native_key, day)`` of all sales with a time, the day as a date; rows repeat."""
+    if _rolled_up(sales):
+        return sales.where("day IS NOT NULL").selectExpr(*SALE_KEY, "date_from_unix_date(day) AS day")
+    return sales.where("created_at IS NOT NULL").selectExpr(*SALE_KEY, f"{day_date(sales, 'created_at')} AS day")
+
+
 def of_keys(sales: DataFrame, keys: DataFrame) -> DataFrame:
     """Sales of some keys only, before they are summed or moved."""
     return join_unique(sales, keys.select(*SALE_KEY).distinct(), SALE_KEY, "left_semi")

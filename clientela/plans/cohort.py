@@ -7,10 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientela.functions.times import day_date, month_number, reference_date
+from clientela.functions.times import month_number, reference_date
 from clientela.labels import MONTH_TEXT
 from clientela.operators.identity import identity_links
-from clientela.operators.sales import SALE_KEY, channel_sales, selected_channels, up_to
+from clientela.operators.sales import SALE_KEY, sale_dates, selected_channels, summed_sales, up_to
 
 LOOK_BACK_MONTHS = 12
 
@@ -22,10 +22,9 @@ def cohort_counts(shop, as_of: dt.date | None = None, channel: str | None = None
     row with its first day and its months, a list the calendar bounds.
     """
     channels = selected_channels(channel)
-    sales = up_to(channel_sales(shop, channels), as_of).where("created_at IS NOT NULL")
+    dates = sale_dates(up_to(summed_sales(shop, channels), as_of))
     monthly = (
-        sales.selectExpr(*SALE_KEY, f"{day_date(sales, 'created_at')} AS day")
-        .selectExpr(*SALE_KEY, "day", f"{month_number('day')} AS month")
+        dates.selectExpr(*SALE_KEY, "day", f"{month_number('day')} AS month")
         .groupBy(*SALE_KEY, "month")
         .agg(F.min("day").alias("first_day"))
     )

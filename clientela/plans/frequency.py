@@ -14,7 +14,7 @@ from clientela.labels import DATE_TEXT, FREQUENCY_HEADERS
 from clientela.operators.identity import FULL_NAME
 from clientela.operators.joins import join_unique
 from clientela.operators.ordered import rows_after, rows_between
-from clientela.operators.sales import SALE_KEY, channel_flags, channel_sales, channels_text, daily_totals, of_keys, selling_keys
+from clientela.operators.sales import SALE_KEY, channel_flags, channels_text, daily_totals, of_keys, selling_keys, summed_sales
 
 LISTING_ORDER = ("id", "name", "document_number", "phone_number")
 
@@ -26,7 +26,7 @@ def customer_summary(shop, chosen: DataFrame | None = None) -> DataFrame:
     customer, however many sales it has. The gaps between consecutive purchases add up to
     last day - first day; the largest one lies between two of the days.
     """
-    links, sales = _of_ids(shop.links(), channel_sales(shop), chosen)
+    links, sales = _of_ids(shop.links(), summed_sales(shop), chosen)
     by_day = Window.partitionBy("id").orderBy("day")
     per_id = (
         links.join(daily_totals(sales), SALE_KEY)
@@ -164,7 +164,7 @@ def customer_count(
 ) -> DataFrame:
     """Distinct customers behind the listing with the same filters. Reads keys only, no dates or totals."""
     chosen = _chosen_ids(shop, name, phone_number, document_number)
-    links, sales = _of_ids(shop.links().select("id", *SALE_KEY).distinct(), channel_sales(shop), chosen)
+    links, sales = _of_ids(shop.links().select("id", *SALE_KEY).distinct(), summed_sales(shop), chosen)
     selling = (
         join_unique(links, selling_keys(sales), SALE_KEY)
         .groupBy("id")

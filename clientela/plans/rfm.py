@@ -17,10 +17,10 @@ from clientela.operators.ordered import At, Bracket, bracket, keys_at, sketch, v
 from clientela.operators.sales import (
     SALE_KEY,
     channel_flags,
-    channel_sales,
     channels_text,
     daily_leads,
     selected_channels,
+    summed_sales,
     up_to,
 )
 from clientela.session import materialize
@@ -59,7 +59,7 @@ def rfm_base(shop, as_of: dt.date | None = None, channel: str | None = None) ->
     """
     channels = selected_channels(channel)
     links = shop.links("name", "phone_number").where(F.col("channel").isin(list(channels)))
-    days = _customer_days(links, up_to(channel_sales(shop, channels), as_of))
+    days = _customer_days(links, up_to(summed_sales(shop, channels), as_of))
     order = [F.asc_nulls_first("day"), "lead_channel", F.asc_nulls_first("lead_total"), "name"]
     stepped = days.withColumn("previous", F.lag("day").over(Window.partitionBy("id").orderBy(*order)))
     customers = stepped.groupBy(*CUSTOMER_KEY).agg(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clientela import schemas
 from clientela.operators.identity import CARRIED, LINK_KEY, identity_links, resolve_identity, weighted_links
+from clientela.operators.rollup import read_rollup
 from clientela.session import materialize
 
 
@@ -23,6 +24,7 @@ class Shop:
     process_last_run: DataFrame | None = None
     identity_table: DataFrame | None = None
     link_table: DataFrame | None = None
+    rollup_table: DataFrame | None = None
 
     @cached_property
     def identity(self) -> DataFrame:
@@ -46,6 +48,10 @@ class Shop:
         stored = replace(self, identity_table=materialize(self.identity, "identity"))
         return replace(stored, link_table=materialize(stored.links(*CARRIED), "links"))
 
+    def with_rollup(self, path: str) -> Shop:
+        """Listing, counts, RFM and cohorts start from the rollup stored at ``path`` (``operators.rollup``), not from the facts."""
+        return replace(self, rollup_table=read_rollup(self.app_orders.sparkSession, path))
+
 
 def parquet_shop(spark: SparkSession, folder: str) -> Shop:
     """A shop whose tables are Parquet folders ``folder/<table>`` with the schemas of this package."""

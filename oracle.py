@@ -276,6 +276,16 @@ def _repeated(registry: str, key: str) -> str:
     )
 
 
+_FACTS = " UNION ALL ".join(
+    f"SELECT '{channel}' AS channel, {key} AS native_key, {total} AS total, CAST(created_at AS DATE) AS date FROM {fact} WHERE {key} IS NOT NULL"
+    for channel, fact, key, total in (
+        (IFOOD, "app_orders", "customer_id", "total_bag_detail"), (FOOD99, "app_orders", "c_uid", "total_bag_detail"), (STORE, "store_sales", "client_cpf", "total"),
+    )
+)
+_ROLLUP = f"""SELECT channel, native_key, CAST(count(*) AS BIGINT) AS sales, {_UNITS} AS units, min(total) AS least,
+       bool_or(total IS NULL) AS blank, CAST(date_diff('day', DATE '1970-01-01', date) AS INTEGER) AS day,
+       CAST(year(date) * 12 + month(date) - 1 AS INTEGER) AS month
+FROM ({_FACTS}) GROUP BY channel, native_key, date"""
 _KEYS = (("ifood_customer", "document_number"), ("store_customer", "document_number"), ("store_customer", "phone_number"), ("food99_customer", "phone_number"))
 _BY_DOCUMENT = f"WHERE document_number = '{PARAMETERS['document_number']}'"
 
@@ -350,6 +360,12 @@ _STATEMENTS: dict[str, tuple] = {
         _cohort(), f"SELECT strftime(cohort_month, '%Y-%m') AS cohort_month, {', '.join(_percent(f'm{i}') for i in range(1, 14))} FROM matrix"
     ),
     "process_run_text": ([], f"SELECT name, strftime(last_run_date, '%d/%m/%Y %H:%M:%S') AS last_run FROM process_last_run WHERE process_key IN ({_NAMES})"),
+    "daily_rollup": ([], _ROLLUP),
+    "rollup_refreshed": ([], _ROLLUP),
+    "customer_frequency_rollup": (_listing(), "SELECT * FROM listing"),
+    "customer_count_rollup": (_listing(), _COUNT_IDS),
+    "rfm_base_rollup": (_rfm(), "SELECT * FROM rfm"),
+    "cohort_counts_rollup": (_cohort(), "SELECT * FROM counts"),
     "duplicate_keys": ([], " UNION ALL ".join(_repeated(*pair) for pair in _KEYS)),
 }
 

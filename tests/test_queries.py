@@ -12,7 +12,7 @@ FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, STATEMENTS = {k: v for k, v in entry.queries().items() if k in entry._QUERIES or k in entry._FOLDER_QUERIES}, oracle.statements()
 KINDS = {
     "string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "date": "DATE", "int": "INTEGER",
-    "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+    "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
 }
 
 
