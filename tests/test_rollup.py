@@ -8,7 +8,7 @@ import pytest
 
 from clientela.operators import rollup
 from clientela.plans import cohort, frequency, rfm
-from tests.conftest import tuples
+from conftest import tuples
 
 IFOOD = [("1", "D1", "Ana", "Lima"), ("2", None, "Rui", "Reis")]
 STORE = [("D1", "(11) 900000001", "Ana", "L")]
