@@ -36,6 +36,7 @@ STEP_WORDS = 512
 LONGEST_STEP = 2048
 SEEN_PER_STEP_WORD = 32
 RATE = 0.1
+SCORED_AT_ONCE = 4096
 #: Counts of at most so many words are sent to every task; those of all others are joined.
 SENT_WORDS = 1 << 18
 #: An unseen word counts as so many occurrences of its hash class.
@@ -158,17 +159,25 @@ class Network:
         state = self.hidden + self.places[0][around[0]]
         for table, ids in zip(self.places[1:], around[1:]):
             state += table[ids]
-        state = np.tanh(state)
-        return np.hstack([state, np.ones((len(state), 1), np.float32)])
+        out = np.ones((len(state), HIDDEN + 1), np.float32)
+        np.tanh(state, out=out[:, :-1])
+        return out
 
     def log_probabilities(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
-        state = self.forward(around)
+        order = np.argsort(words, kind="stable")  # words of a class lie together
+        words, state = words[order], self.forward(around[:, order])
         klass, member = words // CLASS_SIZE, words % CLASS_SIZE
-        total = _log_softmax(state @ self.classes)[np.arange(len(words)), klass]
-        for k, rows in _by_class(klass, len(self.words)):
-            total[rows] += _log_softmax(state[rows] @ self.words[k])[np.arange(len(rows)), member[rows]]
+        total = np.empty(len(words), np.float32)
+        total[order] = _log_of(self.classes.T @ state.T, klass) + _log_of(self._members(state, _runs(klass, len(self.words))), member)
         return total
 
+    def _members(self, state: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+        """Each state's outputs for the words of its class, a column each: sums and maxima go fast down columns."""
+        outputs = np.empty((CLASS_SIZE, len(state)), np.float32)
+        for k, a, b in runs:
+            outputs[:, a:b] = self.words[k].T @ state[a:b].T
+        return outputs
+
     def train_step(self, around: np.ndarray, words: np.ndarray, power: "Network", rate: float) -> None:
         """One step of adaptive gradient ascent (squares of past gradients in ``power``)."""
         order = np.argsort(words)  # words of a class lie together
@@ -176,21 +185,19 @@ class Network:
         n, state = len(words), self.forward(around)
         klass, member = words // CLASS_SIZE, words % CLASS_SIZE
         every = np.arange(n)
-        error = -_softmax(state @ self.classes)
-        error[every, klass] += 1
-        back = error @ self.classes.T
-        grad_classes = state.T @ error
-        edges = np.searchsorted(klass, np.arange(len(self.words) + 1)).tolist()
-        runs = [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
-        part = np.empty((n, CLASS_SIZE), np.float32)
-        for k, a, b in runs:
-            np.matmul(state[a:b], self.words[k], out=part[a:b])
-        part = -_softmax(part)
-        part[every, member] += 1
+        error = _softmax(self.classes.T @ state.T)
+        np.negative(error, out=error)
+        error[klass, every] += 1
+        back = error.T @ self.classes.T
+        grad_classes = state.T @ error.T
+        runs = _runs(klass, len(self.words))
+        part = _softmax(self._members(state, runs))
+        np.negative(part, out=part)
+        part[member, every] += 1
         grad_words = np.empty((len(runs), *self.words.shape[1:]), np.float32)
         for grad, (k, a, b) in zip(grad_words, runs):
-            back[a:b] += part[a:b] @ self.words[k].T
-            np.matmul(state[a:b].T, part[a:b], out=grad)
+            back[a:b] += part[:, a:b].T @ self.words[k].T
+            np.matmul(state[a:b].T, part[:, a:b].T, out=grad)
         grad_words /= n
         rows = [k for k, _, _ in runs]  # the others' gradients are 0
         squares = power.words[rows] + grad_words * grad_words
@@ -215,21 +222,24 @@ def _ascend(weights: np.ndarray, squares: np.ndarray, grad: np.ndarray, rate: fl
     weights += rate * grad / (np.sqrt(squares) + 1e-6)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _log_of(outputs: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of each column at its chosen row."""
+    outputs = outputs - outputs.max(axis=0)
+    return outputs[chosen, np.arange(len(chosen))] - np.log(np.exp(outputs).sum(axis=0))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    x /= x.sum(axis=1, keepdims=True)
+    """Of each column, in place."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
     return x
 
 
-def _by_class(klass: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(klass, kind="stable")
-    edges = np.searchsorted(klass[order], np.arange(classes + 1))
-    yield from ((k, order[a:b]) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a)
+def _runs(klass: np.ndarray, classes: int) -> list[tuple[int, int, int]]:
+    """(class, first place, end) of each class that occurs; classes ascend."""
+    edges = np.searchsorted(klass, np.arange(classes + 1)).tolist()
+    return [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
 
 
 def _windows(column: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -328,7 +338,7 @@ def _score(vocabulary: Vocabulary, weights, shares):
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, last, hashes, words, around, starts in _hashed_windows(batch.column(1), vocabulary):
-                logs = np.concatenate([np.zeros(0), *[network.log_probabilities(around[:, a : a + 16384], words[a : a + 16384]) for a in range(0, len(words), 16384)]])
+                logs = np.concatenate([np.zeros(0), *[network.log_probabilities(around[:, a : a + SCORED_AT_ONCE], words[a : a + SCORED_AT_ONCE]) for a in range(0, len(words), SCORED_AT_ONCE)]])
                 beyond = np.flatnonzero(words >= vocabulary.rest)
                 within, unknown = shares.value.within(hashes[beyond])
                 logs[beyond] += within
