@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ LONGEST_STEP = 2048
 SEEN_PER_STEP_WORD = 32
 RATE = 0.1
 SCORED_AT_ONCE = 4096
+#: Texts are cut into words in runs of so many bytes, which stay in the cache.
+SLICE_BYTES = 1 << 18
 #: Counts of at most so many words are sent to every task; those of all others are joined.
 SENT_WORDS = 1 << 18
 #: An unseen word counts as so many occurrences of its hash class.
@@ -48,6 +51,31 @@ _PER_CLASS = len(PLACES) * CLASS_SIZE * HIDDEN + (HIDDEN + 1) * (1 + CLASS_SIZE)
 _FIXED = (len(PLACES) + 1) * HIDDEN
 
 
+class Places:
+    """Where a hash stands among sorted ones: by its leading bits, then a few comparisons; hashes are evenly spread."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = max(4, min(22, len(hashes).bit_length() + 4))
+        self.hashes, self.shift = hashes, np.uint64(64 - bits)
+        edges = np.arange(1 << bits, dtype=np.uint64) << self.shift
+        self.first = np.searchsorted(hashes, edges).astype(np.int32)
+        self.most = int(np.diff(np.r_[self.first, len(hashes)]).max())
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these occur (places in ``hashes``), and where each stands."""
+        at, here = self.first[(hashes >> self.shift).view(np.int64)], np.arange(len(hashes))
+        found, places = [here[:0]], [at[:0]]
+        for _ in range(self.most):
+            inside = at < len(self.hashes)
+            at, here = at[inside], here[inside]
+            theirs, sought = self.hashes[at], hashes[here]
+            same, later = theirs == sought, theirs < sought
+            found.append(here[same])
+            places.append(at[same])
+            at, here = at[later] + 1, here[later]
+        return np.concatenate(found), np.concatenate(places)
+
+
 @dataclass
 class Vocabulary:
     """Hashes of the most frequent words, sorted, with their ids by rank; all other words share the last class."""
@@ -67,10 +95,13 @@ class Vocabulary:
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
         rest = (self.rest + (hashes % np.uint64(CLASS_SIZE)).astype(np.int64)).astype(np.int32)
-        if not len(self.hashes):
-            return rest
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at], rest).astype(np.int32)
+        found, at = self.places.find(hashes)
+        rest[found] = self.ids[at]
+        return rest
+
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.hashes)
 
 
 @dataclass
@@ -86,15 +117,18 @@ class Shares:
         """Logarithm of each word's share of its hash class, less that of its count where the count is not known here; and where so."""
         out = -np.log(self.totals + UNSEEN)[(hashes % np.uint64(CLASS_SIZE)).astype(np.int64)]
         known = np.zeros(len(hashes), bool)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            known = self.hashes[at] == hashes
-            out[known] += self.logs[at[known]]
+        found, at = self.places.find(hashes)
+        known[found] = True
+        out[found] += self.logs[at]
         if self.complete:
             out[~known] += math.log(UNSEEN)
             known[:] = True
         return out, ~known
 
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.hashes)
+
 
 def count_words(source: DataFrame) -> DataFrame:
     """word (hash), times: all words of all documents."""
@@ -156,15 +190,16 @@ class Network:
             setattr(self, name, self.flat[start : start + size].reshape(shape))
 
     def forward(self, around: np.ndarray) -> np.ndarray:
-        state = self.hidden + self.places[0][around[0]]
+        state = self.places[0].take(around[0], axis=0)
+        state += self.hidden
         for table, ids in zip(self.places[1:], around[1:]):
-            state += table[ids]
+            state += table.take(ids, axis=0)
         out = np.ones((len(state), HIDDEN + 1), np.float32)
         np.tanh(state, out=out[:, :-1])
         return out
 
     def log_probabilities(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
-        order = np.argsort(words, kind="stable")  # words of a class lie together
+        order = np.argsort(words)  # words of a class lie together
         words, state = words[order], self.forward(around[:, order])
         klass, member = words // CLASS_SIZE, words % CLASS_SIZE
         total = np.empty(len(words), np.float32)
@@ -200,9 +235,7 @@ class Network:
             np.matmul(state[a:b].T, part[:, a:b].T, out=grad)
         grad_words /= n
         rows = [k for k, _, _ in runs]  # the others' gradients are 0
-        squares = power.words[rows] + grad_words * grad_words
-        power.words[rows] = squares
-        self.words[rows] += rate * grad_words / (np.sqrt(squares) + 1e-6)
+        _ascend(self.words, power.words, grad_words, rate, rows if len(rows) < len(self.words) else slice(None))
         _ascend(self.classes, power.classes, grad_classes / n, rate)
         inner = back[:, :-1] * (1 - state[:, :-1] ** 2) / n
         _ascend(self.hidden, power.hidden, inner.sum(axis=0), rate)
@@ -210,22 +243,27 @@ class Network:
             order = np.argsort(ids.astype(np.uint16) if self.places.shape[1] <= 1 << 16 else ids, kind="stable")  # short keys sort by radix
             sorted_ids = ids[order]
             first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
-            rows = sorted_ids[first]
-            grad = np.add.reduceat(inner[order], first, axis=0)
-            total = squares[rows] + grad * grad
-            squares[rows] = total
-            table[rows] += rate * grad / (np.sqrt(total) + 1e-6)
+            pairs = inner.take(order, axis=0).view(np.complex64)  # two floats are added at once
+            _ascend(table, squares, np.add.reduceat(pairs, first, axis=0).view(np.float32), rate, sorted_ids[first])
 
 
-def _ascend(weights: np.ndarray, squares: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    squares += grad * grad
-    weights += rate * grad / (np.sqrt(squares) + 1e-6)
+def _ascend(weights: np.ndarray, squares: np.ndarray, grad: np.ndarray, rate: float, rows=slice(None)) -> None:
+    """Move some rows along their gradient, by the root of the sum of its squares so far. ``grad`` is used up."""
+    total = grad * grad
+    total += squares[rows]
+    squares[rows] = total
+    np.sqrt(total, out=total)
+    total += 1e-6
+    grad *= rate
+    grad /= total
+    weights[rows] += grad
 
 
 def _log_of(outputs: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The logarithm of the softmax of each column at its chosen row."""
-    outputs = outputs - outputs.max(axis=0)
-    return outputs[chosen, np.arange(len(chosen))] - np.log(np.exp(outputs).sum(axis=0))
+    """The logarithm of the softmax of each column at its chosen row; ``outputs`` is used up."""
+    outputs -= outputs.max(axis=0)
+    picked = outputs[chosen, np.arange(len(chosen))]
+    return picked - np.log(np.exp(outputs, out=outputs).sum(axis=0))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -252,7 +290,7 @@ def _hashed_windows(column: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[
     """As ``_windows``, with the hashes of the words after the end."""
     data, offsets = texts.flat(texts.as_strings(column))
     nothing = vocabulary.size
-    for first, last in texts.slices(offsets):
+    for first, last in texts.slices(offsets, SLICE_BYTES):
         at = offsets[first : last + 1]
         found = texts.word_hashes(data[at[0] : at[-1]], at - at[0])
         words = vocabulary.encode(found.hashes)

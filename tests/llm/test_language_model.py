@@ -147,3 +147,12 @@ def test_classes_grow_with_the_vocabulary(make_docs, monkeypatch):
     model = lm.train(make_docs(list(enumerate(docs))))
     assert model.vocabulary.classes == 70 and len(model.vocabulary.hashes) == 69 * lm.CLASS_SIZE
     assert len(lm.Network(model.weights).words) == 70 and lm.score(make_docs([(1, docs[0])]), model).first().log_likelihood < 0
+
+
+def test_hashes_are_found_among_sorted_ones():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 3000):
+        known = np.unique(np.r_[rng.integers(0, 2**64 - 1, n, np.uint64), np.arange(min(n, 7), dtype=np.uint64), np.full(min(n, 1), 2**64 - 1, np.uint64)])
+        sought = rng.permutation(np.r_[known, known, rng.integers(0, 2**64 - 1, 500, np.uint64), np.array([3, 2**64 - 1], np.uint64)])
+        found, at = lm.Places(known).find(sought)
+        assert sorted(found.tolist()) == np.flatnonzero(np.isin(sought, known)).tolist() and np.array_equal(known[at], sought[found])
