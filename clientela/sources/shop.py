@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from clientela import schemas
+from clientela.operators.clustered import sales_reader
 from clientela.operators.identity import CARRIED, LINK_KEY, identity_links, resolve_identity, weighted_links
 from clientela.operators.rollup import read_rollup
 from clientela.session import materialize
@@ -25,6 +27,7 @@ class Shop:
     identity_table: DataFrame | None = None
     link_table: DataFrame | None = None
     rollup_table: DataFrame | None = None
+    sales_by_key: Callable[..., DataFrame] | None = None
 
     @cached_property
     def identity(self) -> DataFrame:
@@ -52,6 +55,11 @@ class Shop:
         """Listing, counts, RFM and cohorts start from the rollup stored at ``path`` (``operators.rollup``), not from the facts."""
         return replace(self, rollup_table=read_rollup(self.app_orders.sparkSession, path))
 
+    def with_clustered(self, path: str) -> Shop:
+        """Sales are read from the copy stored by key at ``path`` (``operators.clustered``), not from the facts."""
+        spark = self.app_orders.sparkSession
+        return replace(self, sales_by_key=sales_reader(spark, path, self.app_orders.schema["created_at"].dataType.simpleString()))
+
 
 def parquet_shop(spark: SparkSession, folder: str) -> Shop:
     """A shop whose tables are Parquet folders ``folder/<table>`` with the schemas of this package."""

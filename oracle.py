@@ -360,6 +360,8 @@ _STATEMENTS: dict[str, tuple] = {
         _cohort(), f"SELECT strftime(cohort_month, '%Y-%m') AS cohort_month, {', '.join(_percent(f'm{i}') for i in range(1, 14))} FROM matrix"
     ),
     "process_run_text": ([], f"SELECT name, strftime(last_run_date, '%d/%m/%Y %H:%M:%S') AS last_run FROM process_last_run WHERE process_key IN ({_NAMES})"),
+    "transactions_clustered": ([_IDENTITY, _sales()], "SELECT id, sales_date, total, channel FROM sales"),
+    "customer_transactions_clustered": ([_IDENTITY, _sales()], _transaction_text(f"WHERE id = '{PARAMETERS['customer_id']}'")),
     "daily_rollup": ([], _ROLLUP),
     "rollup_refreshed": ([], _ROLLUP),
     "customer_frequency_rollup": (_listing(), "SELECT * FROM listing"),
