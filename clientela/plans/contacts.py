@@ -12,6 +12,7 @@ from clientela.functions.text import headed
 from clientela.functions.times import zone_text
 from clientela.labels import HISTORY_HEADERS, MINUTE_TEXT
 from clientela.schemas import CONTACT_LOG
+from clientela.streaming.log_days import read_log
 
 LATEST_EVENTS = 50
 LATEST_SHOWN = 10
@@ -66,8 +67,8 @@ def read_parts(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def read_contact_log(spark: SparkSession, path: str) -> DataFrame:
-    """All parts of a log folder, whoever wrote them."""
-    return read_parts(spark, path, CONTACT_LOG)
+    """All rows of a log folder, whoever wrote them, folded into days or not."""
+    return read_log(spark, path)
 
 
 def last_contact(log: DataFrame) -> DataFrame:

@@ -82,6 +82,12 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     store.delete(place, True)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder, or a file, is there."""
+    store, place = _hadoop(spark, path)
+    return store.exists(place)
+
+
 def list_folders(spark: SparkSession, path: str) -> list[str]:
     store, place = _hadoop(spark, path)
     return sorted(s.getPath().toString() for s in store.listStatus(place) if s.isDirectory()) if store.exists(place) else []

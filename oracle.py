@@ -348,6 +348,7 @@ _STATEMENTS: dict[str, tuple] = {
     "campaign_messages_feedback": _messages("Feedback"),
     "process_last_run": ([], f"SELECT * FROM process_last_run WHERE process_key IN ({_NAMES})"),
     "contact_log_append": ([], "SELECT * FROM contact_log"),
+    "contact_log_folded": ([], "SELECT * FROM contact_log"),
     "contact_log_streamed": ([], "SELECT * FROM contact_log"),
     "last_contact_streamed": ([_LAST], "SELECT * FROM last_contacts"),
     "rfm_base_shared_ids": (_rfm(), "SELECT * FROM rfm", SHARED_IDS),

@@ -1,0 +1,90 @@
+"""A contact log folded by day against the same log in parts."""
+
+import pytest
+
+from clientela.plans import contacts
+from clientela.session import list_folders
+from clientela.streaming import log_days
+from conftest import local_frame, stamp, tuples
+
+LOG = "timestamp timestamp_ntz, customer_id string"
+
+
+def rows(spark, *times):
+    return local_frame(spark, [(stamp(t), f"c{t}") for t in times], LOG)
+
+
+def write(spark, path, part, *times, source="stream"):
+    contacts.write_part(contacts.contact_rows(rows(spark, *times)), path, source, part)
+
+
+def files(tmp_path):
+    return sorted(str(p.parent.relative_to(tmp_path)) for p in tmp_path.glob("log/**/*.parquet") if "manifest" not in str(p))
+
+
+def customers(spark, path):
+    return sorted(i for (i,) in tuples(contacts.read_contact_log(spark, path), "customer_id"))
+
+
+def test_folds_keep_every_row_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    want = []
+    for number in range(6):
+        times = ["2024-01-05 10:00", f"2024-01-0{number + 1} 23:59:59", "1969-12-31 23:00"]
+        write(spark, path, number, *times)
+        write(spark, path, f"n{number}", *times[:1], source="batch")
+        want += [f"c{t}" for t in times + times[:1]]
+        assert customers(spark, path) == sorted(want)
+        if number % 2:
+            log_days.fold_log(spark, path)
+            assert customers(spark, path) == sorted(want)
+    log_days.fold_log(spark, path)  # nothing new: clears what the last one replaced
+    assert customers(spark, path) == sorted(want) == sorted(customers(spark, path))
+    kept = files(tmp_path)
+    assert not [f for f in kept if "source=" in f] and len(kept) == len({f.rsplit("/", 1)[1] for f in kept}) == 7
+
+
+def test_a_retried_batch_is_not_read_twice(spark, tmp_path):
+    path = str(tmp_path / "log")
+    write(spark, path, 0, "2024-01-01")
+    write(spark, path, 1, "2024-01-02")
+    log_days.fold_log(spark, path)
+    log_days.fold_log(spark, path)
+    write(spark, path, 1, "2024-01-02")  # its stream had not noted it
+    write(spark, path, 2, "2024-01-02")
+    assert customers(spark, path) == ["c2024-01-01", "c2024-01-02", "c2024-01-02"]
+    log_days.fold_log(spark, path)
+    assert customers(spark, path) == ["c2024-01-01", "c2024-01-02", "c2024-01-02"]
+
+
+def test_a_part_still_being_written_waits_and_a_broken_fold_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    write(spark, path, 0, "2024-01-01")
+    write(spark, path, 1, "2024-01-02")
+    (tmp_path / "log/source=stream/part=1/_SUCCESS").unlink()
+    log_days.fold_log(spark, path)
+    assert [f for f in files(tmp_path) if "part=1" in f] and customers(spark, path) == ["c2024-01-01", "c2024-01-02"]
+    write(spark, path, 1, "2024-01-02")
+
+    def broken(self):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(log_days._Manifest, "rows", broken)
+        with pytest.raises(RuntimeError):
+            log_days.fold_log(spark, path)
+    assert customers(spark, path) == ["c2024-01-01", "c2024-01-02"]
+    for _ in range(2):
+        log_days.fold_log(spark, path)
+        assert customers(spark, path) == ["c2024-01-01", "c2024-01-02"]
+    assert [f.rsplit("/", 1)[1].split("=")[0] for f in list_folders(spark, path)] == ["_closed", "source"]
+
+
+def test_days_untouched_are_not_written_again(spark, tmp_path):
+    path = str(tmp_path / "log")
+    write(spark, path, 0, "2024-01-01", "2024-01-02")
+    log_days.fold_log(spark, path)
+    write(spark, path, 1, "2024-01-02 12:00")
+    log_days.fold_log(spark, path)
+    log_days.fold_log(spark, path)
+    assert [f.rsplit("/", 2)[1:] for f in files(tmp_path)] == [["fold=1", "day=19723"], ["fold=2", "day=19724"]]
