@@ -48,10 +48,15 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The table, written to the shared scratch folder and read back: lineage ends here."""
+    return stored_at(df, label)[0]
+
+
+def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``stored``, and the folder, for whoever deletes it once nothing reads it."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{label}-{uuid.uuid4().hex[:8]}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
