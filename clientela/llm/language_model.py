@@ -38,8 +38,12 @@ LONGEST_STEP = 2048
 SEEN_PER_STEP_WORD = 32
 RATE = 0.1
 SCORED_AT_ONCE = 4096
+#: So many words at a time are held against all classes: what this makes stays in the cache.
+CACHED = 512
 #: Texts are cut into words in runs of so many bytes, which stay in the cache.
 SLICE_BYTES = 1 << 18
+#: A task adds up its batches' counts as long as they are about so many.
+COUNTED_AT_ONCE = 1 << 20
 #: Counts of at most so many words are sent to every task; those of all others are joined.
 SENT_WORDS = 1 << 18
 #: An unseen word counts as so many occurrences of its hash class.
@@ -134,16 +138,31 @@ def count_words(source: DataFrame) -> DataFrame:
     """word (hash), times: all words of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             data, offsets = texts.flat(texts.as_strings(batch.column(0)))
-            parts = [texts.word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).hashes for a, b in texts.slices(offsets)]
-            words, times = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(times)], names=["word", "times"])
+            parts = [texts.word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).hashes for a, b in texts.slices(offsets, SLICE_BYTES)]
+            held.append(np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True))
+            if sum(len(words) for words, _ in held) > COUNTED_AT_ONCE:
+                yield _added_up(held)
+                held = []
+        if held:
+            yield _added_up(held)
 
     counted = source.select("text").mapInArrow(count, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
     return stored(counted, "word-counts")
 
 
+def _added_up(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The counts of several batches as one: a word that all of them hold goes to the shuffle once."""
+    words, times = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(words)
+    words, times = words[order], times[order]
+    first = np.flatnonzero(np.r_[np.ones(min(len(words), 1), bool), words[1:] != words[:-1]])
+    times = np.add.reduceat(times, first) if len(first) else times
+    return pa.RecordBatch.from_arrays([pa.array(words[first].view(np.int64)), pa.array(times, pa.int64())], names=["word", "times"])
+
+
 def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     """The most frequent words get ids of their own (ties by hash), more of them where there are more words."""
     classes = max(CLASSES, math.isqrt(counts.count()) // ROOT_PER_CLASS)
@@ -188,75 +207,104 @@ class Network:
         self.flat = np.asarray(flat, np.float32).copy()
         for (name, shape), start, size in zip(shapes.items(), np.cumsum([0, *sizes[:-1]]), sizes):
             setattr(self, name, self.flat[start : start + size].reshape(shape))
+        self.matrices = list(self.words)  # views, made once: a step multiplies by hundreds of them
+        self.turned = [w[:-1].T for w in self.words]
 
     def forward(self, around: np.ndarray) -> np.ndarray:
+        """The hidden outputs, and a column of ones."""
+        return _with_ones(self._hidden(around))
+
+    def _hidden(self, around: np.ndarray) -> np.ndarray:
         state = self.places[0].take(around[0], axis=0)
         state += self.hidden
         for table, ids in zip(self.places[1:], around[1:]):
             state += table.take(ids, axis=0)
-        out = np.ones((len(state), HIDDEN + 1), np.float32)
-        np.tanh(state, out=out[:, :-1])
-        return out
+        return np.tanh(state, out=state)
 
     def log_probabilities(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
         order = np.argsort(words)  # words of a class lie together
         words, state = words[order], self.forward(around[:, order])
         klass, member = words // CLASS_SIZE, words % CLASS_SIZE
         total = np.empty(len(words), np.float32)
-        total[order] = _log_of(self.classes.T @ state.T, klass) + _log_of(self._members(state, _runs(klass, len(self.words))), member)
+        of_class = [_log_of(self.classes.T @ state[a : a + CACHED].T, klass[a : a + CACHED]) for a in range(0, len(words), CACHED)]
+        total[order] = np.concatenate(of_class) + _log_of(self._members(state, _runs(klass, len(self.words))), member)
         return total
 
     def _members(self, state: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
         """Each state's outputs for the words of its class, a column each: sums and maxima go fast down columns."""
-        outputs = np.empty((CLASS_SIZE, len(state)), np.float32)
+        outputs = np.empty((len(state), CLASS_SIZE), np.float32)
         for k, a, b in runs:
-            outputs[:, a:b] = self.words[k].T @ state[a:b].T
-        return outputs
+            state[a:b].dot(self.matrices[k], outputs[a:b])  # small products are fastest on whole rows
+        return np.ascontiguousarray(outputs.T)
 
     def train_step(self, around: np.ndarray, words: np.ndarray, power: "Network", rate: float) -> None:
-        """One step of adaptive gradient ascent (squares of past gradients in ``power``)."""
+        """One step of adaptive gradient descent (squares of past gradients in ``power``)."""
         order = np.argsort(words)  # words of a class lie together
         words, around = words[order], around[:, order]
-        n, state = len(words), self.forward(around)
+        n, hidden = len(words), self._hidden(around)
+        state = _with_ones(hidden)
         klass, member = words // CLASS_SIZE, words % CLASS_SIZE
         every = np.arange(n)
-        error = _softmax(self.classes.T @ state.T)
-        np.negative(error, out=error)
-        error[klass, every] += 1
-        back = error.T @ self.classes.T
-        grad_classes = state.T @ error.T
+        # gradients are taken downhill, errors being probabilities less one where the word is, and gone against
+        back, grad_classes = np.empty_like(hidden), np.zeros_like(self.classes)
+        for a in range(0, n, CACHED):
+            own = slice(a, a + CACHED)
+            error = _softmax(self.classes.T @ state[own].T)
+            error[klass[own], every[: error.shape[1]]] -= 1
+            np.matmul(error.T, self.classes[:-1].T, out=back[own])
+            grad_classes[:-1] += (error @ hidden[own]).T
+            grad_classes[-1] += error.sum(axis=1)
+        grad_classes /= n
         runs = _runs(klass, len(self.words))
-        part = _softmax(self._members(state, runs))
-        np.negative(part, out=part)
-        part[member, every] += 1
-        grad_words = np.empty((len(runs), *self.words.shape[1:]), np.float32)
-        for grad, (k, a, b) in zip(grad_words, runs):
-            back[a:b] += part[:, a:b].T @ self.words[k].T
-            np.matmul(state[a:b].T, part[:, a:b].T, out=grad)
+        part = np.ascontiguousarray(_softmax(self._members(state, runs)).T)
+        part[every, member] -= 1
+        dense = 2 * len(runs) >= len(self.words)  # gradients of classes that don't occur are 0, which moves nothing
+        grad_words = (np.zeros if dense else np.empty)((len(self.words) if dense else len(runs), *self.words.shape[1:]), np.float32)
+        within = np.empty_like(back)
+        for at, (k, a, b) in enumerate(runs):
+            part[a:b].dot(self.turned[k], within[a:b])
+            state[a:b].T.dot(part[a:b], grad_words[k if dense else at])
+        back += within
         grad_words /= n
-        rows = [k for k, _, _ in runs]  # the others' gradients are 0
-        _ascend(self.words, power.words, grad_words, rate, rows if len(rows) < len(self.words) else slice(None))
-        _ascend(self.classes, power.classes, grad_classes / n, rate)
-        inner = back[:, :-1] * (1 - state[:, :-1] ** 2) / n
-        _ascend(self.hidden, power.hidden, inner.sum(axis=0), rate)
-        for table, squares, ids in zip(self.places, power.places, around):
-            order = np.argsort(ids.astype(np.uint16) if self.places.shape[1] <= 1 << 16 else ids, kind="stable")  # short keys sort by radix
-            sorted_ids = ids[order]
-            first = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
-            pairs = inner.take(order, axis=0).view(np.complex64)  # two floats are added at once
-            _ascend(table, squares, np.add.reduceat(pairs, first, axis=0).view(np.float32), rate, sorted_ids[first])
-
-
-def _ascend(weights: np.ndarray, squares: np.ndarray, grad: np.ndarray, rate: float, rows=slice(None)) -> None:
-    """Move some rows along their gradient, by the root of the sum of its squares so far. ``grad`` is used up."""
+        _descend(self.words, power.words, grad_words, rate, None if dense else np.array([k for k, _, _ in runs]))
+        _descend(self.classes, power.classes, grad_classes, rate)
+        inner = np.square(hidden, out=hidden)
+        np.subtract(1, inner, out=inner)
+        inner *= back
+        inner /= n
+        _descend(self.hidden, power.hidden, inner.sum(axis=0), rate)
+        order = np.argsort(around.astype(np.uint16) if self.places.shape[1] <= 1 << 16 else around, axis=1, kind="stable")  # short keys sort by radix
+        for table, squares, ids, by_id in zip(self.places, power.places, around, order):
+            ids = ids.take(by_id)
+            first = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+            pairs = inner.take(by_id, axis=0).view(np.complex64)  # two floats are added at once
+            _descend(table, squares, np.add.reduceat(pairs, first, axis=0).view(np.float32), rate, ids.take(first))
+
+
+def _descend(weights: np.ndarray, squares: np.ndarray, grad: np.ndarray, rate: float, rows: np.ndarray | None = None) -> None:
+    """Move all or some rows against their gradient, by the root of the sum of its squares so far. ``grad`` is used up."""
     total = grad * grad
-    total += squares[rows]
-    squares[rows] = total
-    np.sqrt(total, out=total)
+    if rows is None:
+        squares += total
+        np.sqrt(squares, out=total)
+    else:
+        total += squares.take(rows, axis=0)
+        squares[rows] = total
+        np.sqrt(total, out=total)
     total += 1e-6
-    grad *= rate
+    grad *= -rate
     grad /= total
-    weights[rows] += grad
+    if rows is None:
+        weights += grad
+    else:
+        grad += weights.take(rows, axis=0)
+        weights[rows] = grad
+
+
+def _with_ones(hidden: np.ndarray) -> np.ndarray:
+    out = np.ones((len(hidden), HIDDEN + 1), np.float32)
+    out[:, :-1] = hidden
+    return out
 
 
 def _log_of(outputs: np.ndarray, chosen: np.ndarray) -> np.ndarray:

@@ -21,6 +21,8 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LETTER_VALUE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
+#: The value of each byte, none of a word's being 0 and all separators' 0: one look-up finds both.
+_VALUES = {lower: np.where(_SEPARATOR, np.uint64(0), _LETTER_VALUE[_LOWER] if lower else _LETTER_VALUE) for lower in (True, False)}
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _PAD = np.uint64(0x5851F42D4C957F2D)
@@ -84,7 +86,8 @@ class Words:
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     if not len(data):
         return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    word = ~_SEPARATOR[data]
+    value = _VALUES[lower].take(data.astype(np.intp))
+    word = value != 0
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     edge = offsets[:-1][offsets[:-1] < len(data)]
@@ -93,9 +96,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Wo
     starts = np.searchsorted(start, offsets).astype(np.int64)
     if not len(start):
         return Words(np.zeros(0, np.uint64), starts)
-    value = _LETTER_VALUE[_LOWER[data] if lower else data]
     value *= _power_table(_BASE, len(data))
-    value *= word
     sums = np.add.reduceat(value, start)
     return Words(mix(sums * _power_table(_INVERSE, len(data))[start]), starts)
 

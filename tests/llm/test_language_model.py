@@ -156,3 +156,66 @@ def test_hashes_are_found_among_sorted_ones():
         sought = rng.permutation(np.r_[known, known, rng.integers(0, 2**64 - 1, 500, np.uint64), np.array([3, 2**64 - 1], np.uint64)])
         found, at = lm.Places(known).find(sought)
         assert sorted(found.tolist()) == np.flatnonzero(np.isin(sought, known)).tolist() and np.array_equal(known[at], sought[found])
+
+
+def definition_of_a_step(network, power, around, words, rate):
+    """A step in doubles, word by word."""
+    get = lambda n: {k: np.array(getattr(n, k), float) for k in ("places", "hidden", "classes", "words")}
+    weights, squares = get(network), get(power)
+    grads = {k: np.zeros_like(v) for k, v in weights.items()}
+    for t, word in enumerate(words):
+        h = np.tanh(weights["hidden"] + sum(weights["places"][k][around[k, t]] for k in range(len(lm.PLACES))))
+        state, back = np.append(h, 1), np.zeros(lm.HIDDEN + 1)
+        for name, table, choice in (("classes", weights["classes"], word // lm.CLASS_SIZE), ("words", weights["words"][word // lm.CLASS_SIZE], word % lm.CLASS_SIZE)):
+            out = np.exp(state @ table)
+            error = -out / out.sum()
+            error[choice] += 1
+            back += table @ error
+            (grads[name] if name == "classes" else grads[name][word // lm.CLASS_SIZE])[...] += np.outer(state, error) / len(words)
+        inner = back[:-1] * (1 - h**2) / len(words)
+        grads["hidden"] += inner
+        for k in range(len(lm.PLACES)):
+            grads["places"][k][around[k, t]] += inner
+    for k, grad in grads.items():
+        squares[k] += grad**2
+        weights[k] += rate * grad / (np.sqrt(squares[k]) + 1e-6)
+    return weights, squares
+
+
+def test_a_step_equals_the_definition():
+    """Few classes of many as well as most; ids that repeat and the place beyond a text's edge; views stay the weights themselves."""
+    rng = np.random.default_rng(8)
+    for classes, n, most in ((32, 300, 1024), (80, 40, 2560), (32, 1, 5)):
+        network = lm.Network(classes=classes)
+        power = lm.Network(rng.random(network.flat.size).astype(np.float32) * 1e-4)
+        words = rng.integers(0, most, n).astype(np.int32)
+        around = rng.integers(0, most, (len(lm.PLACES), n)).astype(np.int32)
+        around[0, ::3] = network.places.shape[1] - 1
+        weights, squares = definition_of_a_step(network, power, around, words, 0.1)
+        network.train_step(around, words, power, 0.1)
+        for k in weights:
+            assert np.allclose(getattr(network, k), weights[k], atol=1e-4) and np.allclose(getattr(power, k), squares[k], rtol=1e-3, atol=1e-7)
+        assert np.array_equal(lm.Network(network.flat).log_probabilities(around, words), network.log_probabilities(around, words))
+
+
+def test_a_step_keeps_to_few_calls_for_each_class():
+    """Products of a class go through the views made once, whole rows at a time, not through a slice of the weights each time."""
+    network = lm.Network()
+    assert all(m.base is not None and np.shares_memory(m, network.flat) and m.flags.c_contiguous for m in network.matrices)
+    assert len(network.matrices) == len(network.turned) == len(network.words)
+
+
+def test_a_task_adds_up_the_counts_of_its_batches(make_docs, monkeypatch):
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]) for texts in (["a b a", None], [""], ["b c", "A"], ["d"])]
+    kept = {}
+    frame = make_docs([(1, "a")])
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema, g=type(frame).mapInArrow: kept.setdefault("count", f) and g(self, f, schema))
+    lm.count_words(frame)
+    for most, parts in ((100, 1), (0, 3)):
+        monkeypatch.setattr(lm, "COUNTED_AT_ONCE", most)
+        out = list(kept["count"](iter(batches)))
+        total = Counter()
+        for batch in out:
+            assert len(set(batch["word"].to_pylist())) == len(batch)
+            total.update(dict(zip(batch["word"].to_pylist(), batch["times"].to_pylist())))
+        assert len(out) == parts and sorted(total.values()) == [1, 1, 2, 3] and list(kept["count"](iter([]))) == []
