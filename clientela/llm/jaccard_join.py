@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from clientela.llm import texts
 from clientela.llm.components import connected_components
-from clientela.llm.tables import counters, records_per_batch, ship, shuffle_partitions, stored
+from clientela.llm.tables import bytes_per_batch, counters, records_per_batch, ship, shuffle_partitions, stored
 from clientela.operators.joins import join_unique
 
 PERCENT = 75
@@ -39,6 +39,8 @@ CHUNK_SHINGLES = 20_000
 PAIRS_PER_BATCH = 64
 HELD_SHINGLES = 500_000
 DEALT_SHINGLES = 1_000_000
+#: Shingles of an Arrow batch of packed rows, at most if they are not of one bucket.
+SENT_SHINGLES = 100_000
 _BLOCK = 1 << 15
 _CELLS = 64
 
@@ -108,38 +110,44 @@ def _dealt(size: int, buckets: int):
                 take = ids.is_valid().to_numpy(zero_copy_only=False) & (n > 0)
                 take &= np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
                 keep = take[text]
-                parts.append((hashes[keep] >> np.uint64(16), text[keep], node, n))
+                parts.append((hashes[keep] >> np.uint64(16), text[keep].astype(np.int32), node, n))
                 held += len(parts[-1][0])
                 if held > DEALT_SHINGLES:
-                    yield _packed_shingles(parts, buckets)
+                    yield from _packed_shingles(parts, buckets)
                     parts, seen, held = [], set(), 0
         if held:
-            yield _packed_shingles(parts, buckets)
+            yield from _packed_shingles(parts, buckets)
 
     return run
 
 
-def _packed_shingles(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+def _packed_shingles(parts: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The parts' shingles by bucket; ``parts`` is emptied, and copies go as soon as the next one stands."""
     count = np.cumsum([0, *[len(p[2]) for p in parts]])
-    h = np.concatenate([p[0] for p in parts])
-    text = np.concatenate([p[1] + c for p, c in zip(parts, count)])
     node, n = (np.concatenate([p[k] for p in parts]) for k in (2, 3))
-    bucket = _bucket(h << np.uint64(16), buckets)
-    order = np.argsort(bucket, kind="stable")  # within a bucket, by text
-    h, text, bucket = h[order], text[order], bucket[order]
+    bucket = np.concatenate([_bucket(p[0] << np.uint64(16), buckets) for p in parts])
+    text = np.concatenate([p[1] + np.int32(c) for p, c in zip(parts, count)])
+    h = np.concatenate([p[0] for p in parts]).astype("<u8", copy=False)
+    parts.clear()
+    order = np.argsort(bucket, kind="stable").astype(np.int32)  # within a bucket, by text
+    h = h[order]
+    text = text[order]
+    bucket = bucket[order]
+    del order
     edges = np.r_[_runs(bucket), len(h)]
-    six = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    columns: list[list] = [[] for _ in range(5)]
-    for a, b in zip(edges[:-1], edges[1:]):
-        new = _runs(text[a:b])
-        columns[0].append(int(bucket[a]))
-        columns[1].append(six[a:b].tobytes())
-        columns[2].append(np.diff(np.r_[new, b - a]).astype(np.uint16 if b - a < 65536 else np.uint32).tobytes())
-        columns[3].append(node[text[a:b][new]].tobytes())
-        columns[4].append(n[text[a:b][new]].astype(np.uint32).tobytes())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "h", "times", "node", "n"]
-    )
+    six = h.view(np.uint8).reshape(-1, 8)[:, :6]
+    for first, last in texts.slices(edges, SENT_SHINGLES):
+        columns: list[list] = [[] for _ in range(5)]
+        for a, b in zip(edges[first:last], edges[first + 1 : last + 1]):
+            new = _runs(text[a:b])
+            columns[0].append(int(bucket[a]))
+            columns[1].append(six[a:b].tobytes())
+            columns[2].append(np.diff(np.r_[new, b - a]).astype(np.uint16 if b - a < 65536 else np.uint32).tobytes())
+            columns[3].append(node[text[a:b][new]].tobytes())
+            columns[4].append(n[text[a:b][new]].astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "h", "times", "node", "n"]
+        )
 
 
 def _by_bucket(solve):
@@ -166,18 +174,19 @@ def _shared(buckets: int):
     """Shingles of two nodes or more, with their number of nodes, packed by bucket of the node."""
 
     def solve(rows: list[dict]) -> Iterator[tuple[np.ndarray, ...]]:
-        short = [np.frombuffer(r["h"], np.uint8).reshape(-1, 6) for r in rows]
-        h = np.zeros((sum(map(len, short)), 8), np.uint8)
-        h[:, :6] = np.concatenate(short)
+        ends = np.cumsum([0, *[len(r["h"]) // 6 for r in rows]])
+        h = np.zeros((ends[-1], 8), np.uint8)
+        for r, a, b in zip(rows, ends[:-1], ends[1:]):
+            h[a:b, :6] = np.frombuffer(r["h"], np.uint8).reshape(-1, 6)
         h = h.view("<u8").ravel()
-        times = [np.frombuffer(r["times"], np.uint16 if len(r["h"]) // 6 < 65536 else np.uint32) for r in rows]
-        which = np.repeat(np.arange(sum(map(len, times))), np.concatenate(times))
         order = np.argsort(h, kind="stable")
         h = h[order]
-        same = np.flatnonzero(h[1:] == h[:-1])
         many = np.zeros(len(h), bool)
-        many[same] = many[same + 1] = True
-        h, which = h[many], which[order[many]]
+        many[1:] = h[1:] == h[:-1]
+        many[:-1] |= many[1:]
+        h, order = h[many], order[many]  # mostly few are left, and large copies go
+        times = [np.frombuffer(r["times"], np.uint16 if len(r["h"]) // 6 < 65536 else np.uint32) for r in rows]
+        which = np.searchsorted(np.cumsum(np.concatenate(times), dtype=np.int64), order, side="right")
         node = np.concatenate([np.frombuffer(r["node"], np.uint64) for r in rows])[which]
         n = np.concatenate([np.frombuffer(r["n"], np.uint32) for r in rows])[which]
         order = np.lexsort((node, h))
@@ -188,16 +197,19 @@ def _shared(buckets: int):
         keep = often > 1
         yield node[keep], n[keep], h[keep], often[keep]
 
-    def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(x) for x in zip(*parts)]
+        parts.clear()
         bucket = _bucket(texts.mix(columns[0]), buckets)
         order = np.argsort(bucket, kind="stable")
         bucket, columns = bucket[order], [x[order] for x in columns]
         edges = np.r_[_runs(bucket), len(bucket)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(bucket[edges[:-1]]), *[pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()) for x in columns]],
-            names=["bucket", "node", "n", "h", "often"],
-        )
+        for first, last in texts.slices(edges, SENT_SHINGLES):
+            at = edges[first : last + 1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[at[:-1]]), *[pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()) for x in columns]],
+                names=["bucket", "node", "n", "h", "often"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -205,10 +217,10 @@ def _shared(buckets: int):
             held.append(part)
             size += len(part[0])
             if size > HELD_SHINGLES:  # few large blocks rather than one for each pair of buckets
-                yield packed(held)
+                yield from packed(held)
                 held, size = [], 0
         if size:
-            yield packed(held)
+            yield from packed(held)
 
     return run
 
@@ -396,7 +408,8 @@ def jaccard_components(
     buckets = 4 * partitions
     dealt = source.mapInArrow(_dealt(size, buckets), _SHINGLES).repartition(partitions, "bucket").sortWithinPartitions("bucket")
     shared = dealt.mapInArrow(_shared(partitions), _SHARED).repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    entries = stored(shared.mapInArrow(_prefixes(percent), "h long, node long, n int, pos int"), "prefixes")
+    with bytes_per_batch(spark):
+        entries = stored(shared.mapInArrow(_prefixes(percent), "h long, node long, n int, pos int"), "prefixes")
     leaders = entries.groupBy("h").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("node")).alias("leader")).where("members > 1")
     entries = stored(entries.join(leaders.drop("members"), "h"), "entries")
 
@@ -408,7 +421,7 @@ def jaccard_components(
     left = chunks.select("leader", F.col("chunk").alias("i"), F.col("members").alias("left"))
     right = chunks.select("leader", F.col("chunk").alias("j"), F.col("members").alias("right"))
     pairs = left.join(right.hint("merge"), "leader").where("i <= j")
-    with records_per_batch(spark, PAIRS_PER_BATCH):
+    with records_per_batch(spark, PAIRS_PER_BATCH), bytes_per_batch(spark):
         found = stored(pairs.mapInArrow(_solve(percent), "node long, root long, links long"), "found")
 
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))

@@ -15,27 +15,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientela.llm.tables import ship
-from clientela.llm.units import PLAIN, SIGNS, UnitCache, spelled, text_runs
+from clientela.llm.units import KEPT_UNITS, KEPT_WORDS, PLAIN, SIGNS, UnitCache, spelled, text_runs
 
 LONGEST = 4096
 END_ID = 2
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
-_caches: dict[str, UnitCache] = {}
+_caches: dict[tuple[str, int, int], UnitCache] = {}
 
 
-def _cache(vocabulary: str) -> UnitCache:
-    if vocabulary not in _caches:
+def _cache(vocabulary: str, kept_units: int = KEPT_UNITS, kept_words: int = KEPT_WORDS) -> UnitCache:
+    own = (vocabulary, kept_units, kept_words)
+    if own not in _caches:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         # white space is dropped and case folded; a space or a line break parts units
-        _caches[vocabulary] = UnitCache(
-            Tokenizer.from_file(vocabulary), lambda text: text.replace("\n", " ").split(" "), PLAIN, lambda word: spelled(word.lower()), str.lower, SIGNS
-        )
-    return _caches[vocabulary]
+        _caches[own] = UnitCache(
+            Tokenizer.from_file(vocabulary), lambda text: text.replace("\n", " ").split(" "), PLAIN, lambda word: spelled(word.lower()), str.lower, SIGNS,
+            kept_units, kept_words,
+        )
+    return _caches[own]
 
 
 def piece_lengths(tokens: int, longest: int = LONGEST) -> list[int]:
@@ -43,11 +45,11 @@ def piece_lengths(tokens: int, longest: int = LONGEST) -> list[int]:
     return [longest] * whole + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def _pack(vocabulary: str, end_id: int, longest: int):
+def _pack(vocabulary: str, end_id: int, longest: int, kept_units: int = KEPT_UNITS, kept_words: int = KEPT_WORDS):
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(vocabulary)
+        cache = _cache(vocabulary, kept_units, kept_words)
         partition = TaskContext.get().partitionId()
         used = [0] * longest.bit_length()
         for batch in batches:
@@ -73,13 +75,15 @@ def _pack(vocabulary: str, end_id: int, longest: int):
 
 def pack_documents(
     docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text",
-    end_id: int = END_ID, longest: int = LONGEST,
+    end_id: int = END_ID, longest: int = LONGEST, kept_units: int = KEPT_UNITS, kept_words: int = KEPT_WORDS,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
     ``longest`` is a power of two up to 4096; ``length`` is the piece's bucket. ``sequence_id`` holds the bucket,
     the partition and a running number, so ids of one bucket lie together and no counting pass is needed.
 
+    A worker keeps the ids of ``kept_units`` units and ``kept_words`` words; fewer take less memory, and the same ids come out.
+
     Null or empty text: one piece with the end id. A null id stays null. Repeated rows: each is packed.
     Empty table: no rows. Other columns are not read. Very long texts give more pieces.
     """
@@ -87,7 +91,7 @@ def pack_documents(
         raise ValueError("longest must be a power of two up to 4096")
     ship(docs.sparkSession)
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return source.mapInArrow(_pack(vocabulary, end_id, longest), PIECES)
+    return source.mapInArrow(_pack(vocabulary, end_id, longest, kept_units, kept_words), PIECES)
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

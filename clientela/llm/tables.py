@@ -21,6 +21,9 @@ _shipped: set[str] = set()
 #: Rows of an Arrow batch. Texts are long; Spark's own default would hold tens of megabytes in each task.
 TEXTS_PER_BATCH = 2000
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch of packed rows, which the executor and its Python worker hold at the same time.
+PACKED_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -97,11 +100,20 @@ def counters(df: DataFrame, sums: str = "sum") -> np.ndarray:
 
 
 @contextlib.contextmanager
-def records_per_batch(spark: SparkSession, rows: int):
-    """Fewer rows in an Arrow batch while tables of wide rows are stored."""
-    before = spark.conf.get(_BATCH_ROWS)
-    spark.conf.set(_BATCH_ROWS, str(rows))
+def _set(spark: SparkSession, key: str, value: int, default: str):
+    before = spark.conf.get(key, default)
+    spark.conf.set(key, str(value))
     try:
         yield
     finally:
-        spark.conf.set(_BATCH_ROWS, before)
+        spark.conf.set(key, before)
+
+
+def records_per_batch(spark: SparkSession, rows: int):
+    """Fewer rows in an Arrow batch while tables of wide rows are stored."""
+    return _set(spark, _BATCH_ROWS, rows, "10000")
+
+
+def bytes_per_batch(spark: SparkSession, most: int = PACKED_BYTES):
+    """Smaller Arrow batches while tables of packed rows are stored; a larger row is a batch of its own."""
+    return _set(spark, _BATCH_BYTES, most, "67108864")

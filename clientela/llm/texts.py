@@ -13,7 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+#: Texts are taken by so many bytes at a time; a worker's arrays have eight bytes and more for each.
+SLICE_BYTES = 1 << 18
 SHINGLE = 5
 
 _SEPARATOR = np.zeros(256, dtype=bool)

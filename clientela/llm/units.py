@@ -46,13 +46,16 @@ class UnitCache:
 
     def __init__(
         self, tokenizer, split: Callable[[str], list[str]], plain: str, model_word: Callable[[str], str],
-        ascii_word: Callable[[str], str] | None = None, signs: str = "",
+        ascii_word: Callable[[str], str] | None = None, signs: str = "", kept_units: int = KEPT_UNITS, kept_words: int = KEPT_WORDS,
     ):
         """``plain``: units of one letter word and a sign, each a word of the library's model; ``model_word``: how it spells the former.
 
         ``ascii_word`` does the same for words of ASCII letters alone, and saves them the pattern; any run of ``signs``
-        after such a word must be a word of the model as well.
+        after such a word must be a word of the model as well. ``kept_units`` and ``kept_words``: how many of them stay from
+        call to call.
         """
+        self.kept_units = kept_units
+        self.kept_words = kept_words
         self.tokenizer = tokenizer
         self.tokenize = tokenizer.model.tokenize
         self.split = split
@@ -106,9 +109,9 @@ class UnitCache:
 
     def pack(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.kept) > KEPT_UNITS:
+        if len(self.kept) > self.kept_units:
             self.kept.clear()
-        if len(self.words) > KEPT_WORDS:
+        if len(self.words) > self.kept_words:
             self.words.clear()
         known = self.kept
         split = [self.split(text) for text in texts]

@@ -17,6 +17,10 @@ from clientela.llm.queries import WORD_VOCABULARY
 from clientela.llm.tables import stored
 from clientela.operators.joins import join_unique
 
+#: Units and words whose ids a worker keeps. The same workers run all stages, and hold what each of them has kept.
+KEPT_UNITS = 50_000
+KEPT_WORDS = 100_000
+
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language can't be told (null, empty or without a letter); a missing ``lang`` becomes the predicted one."""
@@ -51,7 +55,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of a power of two of token ids, each a sequence of its own."""
-    return packing.pack_documents(docs, WORD_VOCABULARY)
+    return packing.pack_documents(docs, WORD_VOCABULARY, kept_units=KEPT_UNITS, kept_words=KEPT_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -130,3 +130,41 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(200, 201), (201, 201), (None, 5)], "a long, b long")
     rows = {r.node: r.root for r in connected_components(edges).collect()}
     assert rows == {**{k: 0 for k in range(n + 1)}, 200: 200, 201: 200}
+
+
+def test_workers_hold_and_send_bounded_parts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from clientela.llm import jaccard_join
+
+    rng = np.random.default_rng(3)
+    rows = [" ".join(map(str, rng.integers(10**6, size=2000).tolist())) for _ in range(560)]  # 1.1 million shingles, dealt in two parts
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 280)), pa.array(rows[k : k + 280])], names=["doc_id", "text"]) for k in (0, 280)]
+    del rows
+    tracemalloc.start()
+    most = sent = 0
+    for batch in jaccard_join._dealt(5, 8)(iter(batches)):
+        most, sent = max(most, batch.nbytes), sent + sum(len(h) // 6 for h in batch.column(1).to_pylist())
+    dealt = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent == 560 * 1996
+    assert dealt < 64e6 and most < 4e6, (dealt, most)
+
+
+def test_shared_shingles_are_sent_in_bounded_parts():
+    import pyarrow as pa
+
+    from clientela.llm import jaccard_join
+
+    n, nodes = 30_000, range(1, 13)
+    h = np.arange(n, dtype="<u8")
+    six = h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    rows = [{"bucket": 0, "h": six, "times": np.array([n], np.uint16).tobytes(), "node": np.array([k], np.uint64).tobytes(), "n": np.array([n], np.uint32).tobytes()} for k in nodes]
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("h", "times", "node", "n"))])
+    out = list(jaccard_join._shared(16)(iter([pa.RecordBatch.from_pylist(rows, schema)])))
+    sent = [[len(x) // 8 for x in batch.column(1).to_pylist()] for batch in out]
+    assert len(sent) > 1 and all(sum(part) <= jaccard_join.SENT_SHINGLES or len(part) == 1 for part in sent), sent
+    node, got = (np.concatenate([np.frombuffer(x, np.uint64) for batch in out for x in batch.column(c).to_pylist()]) for c in (1, 3))
+    assert len(node) == n * len(nodes) and all(np.array_equal(np.sort(got[node == k]), h) for k in nodes)

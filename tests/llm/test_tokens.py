@@ -149,3 +149,11 @@ def test_words_before_any_signs_pack_as_the_library_encodes_them():
     texts += ["word<|endoftext|>", "a<|startoftext|>!!", "it's!!", "x'll??", "no" + "!" * 500, "." * 300]
     want = [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
     assert cache.pack(texts) == want
+
+
+def test_kept_units_are_bounded_and_change_no_ids():
+    small, large = packing._cache(queries.WORD_VOCABULARY, 30, 30), packing._cache(queries.WORD_VOCABULARY)
+    for k in range(20):
+        text = " ".join(f"{a}{b}, {k}" for a in "abcde" for b in ("lpha", "eta", "amma"))
+        assert small.pack([text]) == large.pack([text])
+        assert len(small.kept) <= 30 + 46 and len(small.words) <= 30 + 46
